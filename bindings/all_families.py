@@ -1,3 +1,10 @@
 """Importing this module registers every query."""
 
-from bindings import shapes_cte, shapes_joins, shapes_sets, shapes_subqueries, shapes_windows  # noqa: F401
+from bindings import (  # noqa: F401
+    shapes_cte,
+    shapes_joins,
+    shapes_sets,
+    shapes_subqueries,
+    shapes_windows,
+    sqltext,
+)
