@@ -6,5 +6,7 @@ from bindings import (  # noqa: F401
     shapes_sets,
     shapes_subqueries,
     shapes_windows,
+    evaluation,
+    profiles,
     sqltext,
 )

@@ -21,6 +21,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def cents(df: DataFrame, column: str) -> DataFrame:
+    """Money as DECIMAL: means of few amounts in cents fall on rounding boundaries too often as doubles."""
+    return df.withColumn(column, F.col(column).cast("decimal(18,2)"))
+
+
 def register(key: str, oracle: str | None = None, digits: dict[str, int] | None = None):
     """Bind ``fn(tables) -> DataFrame`` to ``key``.
 
@@ -32,7 +37,7 @@ def register(key: str, oracle: str | None = None, digits: dict[str, int] | None
     def bind(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(Tables(spark, sf_dir))
-            return df.withColumns({c: F.round(c, n) for c, n in digits.items()}) if digits else df
+            return df.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in digits.items()}) if digits else df
 
         QUERIES[key] = run
         if oracle is not None:

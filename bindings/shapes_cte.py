@@ -1,6 +1,6 @@
 """CTE shapes on orders (events where orders would give no rows)."""
 
-from bindings.registry import register
+from bindings.registry import cents, register
 from tidemark.operators import cte, datefilters
 
 G, M, D = "o_orderstatus", "o_totalprice", "o_orderdate"
@@ -97,13 +97,13 @@ def _(t):
 
 @register(
     "cte_significant_categories",
-    """SELECT * FROM (SELECT o_custkey, count(*) AS record_count, avg(o_totalprice) AS avg_metric, stddev_samp(o_totalprice) AS std_metric
+    """SELECT * FROM (SELECT o_custkey, count(*) AS record_count, avg(CAST(o_totalprice AS DECIMAL(18,2))) AS avg_metric, stddev_samp(o_totalprice) AS std_metric
     FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY o_custkey) c
     WHERE record_count >= 5 AND std_metric > avg_metric * 0.2""",
-    {"avg_metric": 4, "std_metric": 4},
+    {"avg_metric": 6, "std_metric": 4},
 )
 def _(t):
-    return cte.significant_categories(t.orders, "o_custkey", M, D, SINCE)
+    return cte.significant_categories(cents(t.orders, M), "o_custkey", M, D, SINCE)
 
 
 @register(
