@@ -6,6 +6,7 @@ from bindings import (  # noqa: F401
     shapes_sets,
     shapes_subqueries,
     shapes_windows,
+    corpus,
     evaluation,
     profiles,
     sqltext,
