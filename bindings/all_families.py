@@ -10,4 +10,5 @@ from bindings import (  # noqa: F401
     evaluation,
     profiles,
     sqltext,
+    storage,
 )
