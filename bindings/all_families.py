@@ -6,9 +6,11 @@ from bindings import (  # noqa: F401
     shapes_sets,
     shapes_subqueries,
     shapes_windows,
+    activity,
     corpus,
     evaluation,
     profiles,
+    retrieval,
     sqltext,
     storage,
 )

@@ -132,7 +132,7 @@ def _(t):
     return sqlreports.complexity_report(statement_log(t), "sql", "db_type")
 
 
-_GUARD = (
+GUARD = (
     "CASE "
     + " ".join(f"WHEN regexp_matches(upper(sql), '\\b{c}\\b') THEN 'dangerous_command_{c.lower()}'" for c in st.BLOCKED_COMMANDS)
     + " ".join(f" WHEN contains(upper(sql), '{f.upper()}') THEN 'dangerous_function_{f}'" for f in st.BLOCKED_FUNCTIONS)
@@ -140,7 +140,7 @@ _GUARD = (
 )
 
 
-@register("sqltext_guard", f"SELECT event_id, {_GUARD} IS NULL AS allowed, {_GUARD} AS failure_type FROM ({LOG}) log")
+@register("sqltext_guard", f"SELECT event_id, {GUARD} IS NULL AS allowed, {GUARD} AS failure_type FROM ({LOG}) log")
 def _(t):
     fail = st.guard_failure(F.col("sql"))
     return statement_log(t).select("event_id", fail.isNull().alias("allowed"), fail.alias("failure_type"))
@@ -148,7 +148,7 @@ def _(t):
 
 @register(
     "sqltext_guard_report",
-    f"SELECT failure_type, count(*) AS n_blocked FROM (SELECT {_GUARD} AS failure_type FROM ({LOG}) log) g WHERE failure_type IS NOT NULL GROUP BY failure_type",
+    f"SELECT failure_type, count(*) AS n_blocked FROM (SELECT {GUARD} AS failure_type FROM ({LOG}) log) g WHERE failure_type IS NOT NULL GROUP BY failure_type",
 )
 def _(t):
     return sqlreports.guard_report(statement_log(t), "sql")
