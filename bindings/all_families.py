@@ -8,9 +8,11 @@ from bindings import (  # noqa: F401
     shapes_windows,
     activity,
     corpus,
+    curation,
     evaluation,
     profiles,
     retrieval,
     sqltext,
     storage,
+    synthetic,
 )
