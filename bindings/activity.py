@@ -149,7 +149,7 @@ def _(t):
     "tel_token_rates",
     """SELECT event_id, CASE WHEN value > 0 THEN user_id / value END AS tokens_per_second,
     CASE WHEN value > 0 THEN coalesce(value / nullif(user_id, 0), 0) END AS time_per_token FROM events""",
-    {"tokens_per_second": 6, "time_per_token": 6},
+    {"tokens_per_second": 9, "time_per_token": 9},
 )
 def _(t):
     return telemetry.token_rates(t.events, "user_id", "value").select("event_id", "tokens_per_second", "time_per_token")

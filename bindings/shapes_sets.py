@@ -1,6 +1,6 @@
 """Set-operation shapes: orders.o_custkey against lineitem.l_suppkey."""
 
-from bindings.registry import register
+from bindings.registry import cents, register
 from tidemark.operators import setops
 
 V1, V2 = "o_custkey", "l_suppkey"
@@ -115,12 +115,12 @@ def _(t):
 
 @register(
     "set_union_high_avg",
-    """SELECT o_custkey AS value, round(avg(o_totalprice), 4) AS avg_metric FROM orders GROUP BY o_custkey HAVING avg(o_totalprice) > 50000
-    UNION SELECT l_suppkey, round(avg(l_extendedprice), 4) FROM lineitem GROUP BY l_suppkey HAVING avg(l_extendedprice) > 50000""",
-    {"avg_metric": 4},
+    """SELECT o_custkey AS value, round(avg(CAST(o_totalprice AS DECIMAL(18,2))), 6) AS avg_metric FROM orders GROUP BY o_custkey HAVING avg(o_totalprice) > 50000
+    UNION SELECT l_suppkey, round(avg(CAST(l_extendedprice AS DECIMAL(18,2))), 6) FROM lineitem GROUP BY l_suppkey HAVING avg(l_extendedprice) > 50000""",
+    {"avg_metric": 6},
 )
 def _(t):
-    return setops.union_high_avg(t.orders, t.lineitem, V1, V2, M1, M2, 50_000)
+    return setops.union_high_avg(cents(t.orders, M1), cents(t.lineitem, M2), V1, V2, M1, M2, 50_000)
 
 
 @register(

@@ -19,12 +19,12 @@ def _(t):
 @register(
     "sub_correlated_child_stats",
     """SELECT c_mktsegment, c_acctbal, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS related_count,
-    (SELECT avg(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS avg_related
+    (SELECT avg(CAST(o_totalprice AS DECIMAL(18,2))) FROM orders WHERE o_custkey = c_custkey) AS avg_related
     FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 0""",
-    {"avg_related": 4},
+    {"avg_related": 6},
 )
 def _(t):
-    return sq.correlated_child_stats(t.customer, t.orders, "c_custkey", "o_custkey", "c_mktsegment", "c_acctbal", M)
+    return sq.correlated_child_stats(t.customer, cents(t.orders, M), "c_custkey", "o_custkey", "c_mktsegment", "c_acctbal", M)
 
 
 @register(
