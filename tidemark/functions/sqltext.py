@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import let
+
 # Names looked for in a statement, class priority and scores.
 WINDOW_FUNCTIONS = [
     "ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE", "LAG", "LEAD", "FIRST_VALUE", "LAST_VALUE",
@@ -99,12 +101,13 @@ def has_having(sql: Column) -> Column:
 
 def with_complexity(df: DataFrame, sql: str, strict_joins: bool = False) -> DataFrame:
     """Add join_count, nesting_level, all_complexities, primary_complexity, complexity_score, feature_count."""
-    text = F.col(sql)
-    blank = text.isNull() | (F.regexp_replace(text, r"\s+", "") == "")
+    df = df.withColumn("__u", F.upper(sql))
+    text = F.col("__u")
     # one alternation per family answers "any of these?", cheaper than listing the names
-    window = F.upper(text).rlike(rf"\b(?:{'|'.join(WINDOW_FUNCTIONS)})\s*\([^)]*\)\s+OVER\s*\(")
-    sets = F.upper(text).rlike(rf"\b(?:{'|'.join(SET_OPERATIONS)})\b")
-    aggregates = F.upper(text).rlike(rf"\b(?:{'|'.join(AGGREGATES)})\s*\(|\bGROUP\s+BY\b")
+    window = text.rlike(rf"\b(?:{'|'.join(WINDOW_FUNCTIONS)})\s*\([^)]*\)\s+OVER\s*\(")
+    sets = text.rlike(rf"\b(?:{'|'.join(SET_OPERATIONS)})\b")
+    aggregates = text.rlike(rf"\b(?:{'|'.join(AGGREGATES)})\s*\(|\bGROUP\s+BY\b")
+    blank = text.isNull() | text.rlike(r"^\s*$")
     df = df.withColumns({"join_count": join_count(text, strict_joins), "nesting_level": nesting_level(text)})
     classes = F.array_compact(
         F.array(
@@ -123,7 +126,7 @@ def with_complexity(df: DataFrame, sql: str, strict_joins: bool = False) -> Data
     )
     df = df.withColumn("primary_complexity", primary)
     score = F.coalesce(*[F.when(F.col("primary_complexity") == c, F.lit(s)) for c, s in CLASS_SCORES.items()], F.lit(0))
-    return df.withColumns({"complexity_score": score, "feature_count": F.size("all_complexities")})
+    return df.withColumns({"complexity_score": score, "feature_count": F.size("all_complexities")}).drop("__u")
 
 
 def corpus_label(primary: Column) -> Column:
@@ -136,15 +139,18 @@ def guard_failure(sql: Column) -> Column:
 
     Commands match whole words and come first; functions match anywhere.
     """
-    text = F.upper(sql)
-    commands = F.coalesce(
-        *[F.when(text.rlike(rf"\b{c}\b"), F.lit(f"dangerous_command_{c.lower()}")) for c in BLOCKED_COMMANDS]
-    )
-    functions = F.coalesce(
-        *[F.when(text.contains(f.upper()), F.lit(f"dangerous_function_{f}")) for f in BLOCKED_FUNCTIONS]
-    )
-    any_command = text.rlike(rf"\b(?:{'|'.join(BLOCKED_COMMANDS)})\b")
-    return F.when(any_command, commands).otherwise(functions)
+
+    def first_failure(text: Column) -> Column:
+        commands = F.coalesce(
+            *[F.when(text.rlike(rf"\b{c}\b"), F.lit(f"dangerous_command_{c.lower()}")) for c in BLOCKED_COMMANDS]
+        )
+        functions = F.coalesce(
+            *[F.when(text.contains(f.upper()), F.lit(f"dangerous_function_{f}")) for f in BLOCKED_FUNCTIONS]
+        )
+        any_command = text.rlike(rf"\b(?:{'|'.join(BLOCKED_COMMANDS)})\b")
+        return F.when(any_command, commands).otherwise(functions)
+
+    return let(F.upper(sql), first_failure)
 
 
 def strip(text: Column) -> Column:
@@ -177,16 +183,19 @@ def validity_error(sql: Column) -> Column:
     not a grammar.  Quoted text is blanked before brackets and clauses are looked at.
     """
     bare = F.regexp_replace(F.upper(strip(sql)), r"'[^']*'", "''")
-    body = F.regexp_replace(bare, r"[\s;]+$", "")
-    opened, closed = F.regexp_count(body, F.lit(r"\(")), F.regexp_count(body, F.lit(r"\)"))
-    return (
-        F.when(sql.isNull() | (body == ""), "EmptyStatement: nothing to run")
-        .when(~body.rlike(rf"^\(*\s*(?:{'|'.join(LEADING_WORDS)})\b"), "UnknownStatement: no known leading word")
-        .when(F.regexp_count(body, F.lit("'")) % 2 != 0, "UnbalancedQuotes: a string is not closed")
-        .when(opened != closed, "UnbalancedBrackets: brackets do not match")
-        .when(body.rlike(r"\bSELECT\s+(?:FROM|WHERE)\b|\bSELECT$"), "EmptySelectList: nothing selected")
-        .when(
-            body.rlike(r"\b(?:FROM|WHERE|JOIN|ON|BY|HAVING|AND|OR|SET|VALUES|LIMIT|UNION|IN)$|[,=<>(]$"),
-            "DanglingClause: the last clause has no operand",
+
+    def fault(body: Column) -> Column:
+        opened, closed = F.regexp_count(body, F.lit(r"\(")), F.regexp_count(body, F.lit(r"\)"))
+        return (
+            F.when(body.isNull() | (body == ""), "EmptyStatement: nothing to run")
+            .when(~body.rlike(rf"^\(*\s*(?:{'|'.join(LEADING_WORDS)})\b"), "UnknownStatement: no known leading word")
+            .when(F.regexp_count(body, F.lit("'")) % 2 != 0, "UnbalancedQuotes: a string is not closed")
+            .when(opened != closed, "UnbalancedBrackets: brackets do not match")
+            .when(body.rlike(r"\bSELECT\s+(?:FROM|WHERE)\b|\bSELECT$"), "EmptySelectList: nothing selected")
+            .when(
+                body.rlike(r"\b(?:FROM|WHERE|JOIN|ON|BY|HAVING|AND|OR|SET|VALUES|LIMIT|UNION|IN)$|[,=<>(]$"),
+                "DanglingClause: the last clause has no operand",
+            )
         )
-    )
+
+    return let(F.regexp_replace(bare, r"[\s;]+$", ""), fault)

@@ -16,24 +16,21 @@ def exact_match(predicted: Column, gold: Column) -> Column:
 def sql_tokens(sql: Column) -> Column:
     """Lower-cased tokens; brackets, commas and semicolons stand alone."""
     spaced = F.regexp_replace(F.lower(sql), r"([(),;])", " $1 ")
-    return F.filter(F.split(spaced, r"\s+"), lambda token: token != "")
+    return F.array_remove(F.split(spaced, r"\s+"), "")
 
 
-def _overlap(p: Column, g: Column) -> tuple[Column, Column, Column]:
-    pset, gset = F.array_distinct(sql_tokens(p)), F.array_distinct(sql_tokens(g))
-    return F.size(F.array_intersect(pset, gset)), F.size(pset), F.size(gset)
+def token_set(sql: Column) -> Column:
+    return F.array_distinct(sql_tokens(sql))
 
 
-def f1_micro(predicted: Column, gold: Column) -> Column:
+def f1_micro(both: Column, n_predicted: Column, n_gold: Column) -> Column:
     """Shared share of all distinct tokens (micro average over the union); 1.0 when gold is empty."""
-    both, p, g = _overlap(predicted, gold)
-    return F.when(g == 0, 1.0).otherwise(both / (p + g - both))
+    return F.when(n_gold == 0, 1.0).otherwise(both / (n_predicted + n_gold - both))
 
 
-def f1_binary(predicted: Column, gold: Column) -> Column:
+def f1_binary(both: Column, n_predicted: Column, n_gold: Column) -> Column:
     """Harmonic mean of token precision and recall on distinct tokens; 1.0 when gold is empty."""
-    both, p, g = _overlap(predicted, gold)
-    return F.when(g == 0, 1.0).otherwise(2 * both / (p + g))
+    return F.when(n_gold == 0, 1.0).otherwise(2 * both / (n_predicted + n_gold))
 
 
 def words(text: Column) -> Column:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import sqltext
 from tidemark.functions.draws import draw
+from tidemark.operators.support import attach, per_class
 
 # Fixed values.
 SEVERE, MODERATE, MILD, MINORITY_SHARE = 10, 5, 2, 0.5
@@ -157,7 +158,7 @@ def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
 
 
 def _class_counts(df: DataFrame, cls: str) -> DataFrame:
-    return df.filter(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    return per_class(df.select(F.col(cls).alias("cls")), "cls", F.count(F.lit(1)).alias("n"))
 
 
 def imbalance(df: DataFrame, cls: str) -> DataFrame:
@@ -246,10 +247,6 @@ def stratified_split(
     the counts tell which bucket a class is cut in, and only that bucket's rows, about
     1 / 2**bits of the class, are ranked.  The other rows are decided where they are.
     """
-    from pyspark.sql import Window
-
-    from tidemark.operators.support import attach
-
     rows = df.filter(F.col(cls).isNotNull()).withColumn("__d", draw(F.col(key), seed))
     rows = rows.withColumn("__b", F.shiftright("__d", 60 - bits).cast("int"))
     counts = rows.groupBy(cls, "__b").agg(F.count(F.lit(1)).alias("c"))

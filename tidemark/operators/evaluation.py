@@ -8,17 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import sqltext, tokens
+from tidemark.operators.support import per_class
 
 
 def score(df: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """Add exact_match, f1_score (micro) and token_f1 (binary)."""
+    """Add exact_match, f1_score (micro) and token_f1 (binary).
+
+    Token sets and their sizes are columns of their own, so each is made once per row.
+    """
     p, g = F.col(predicted), F.col(gold)
-    return df.withColumns(
-        {
-            "exact_match": tokens.exact_match(p, g),
-            "f1_score": tokens.f1_micro(p, g),
-            "token_f1": tokens.f1_binary(p, g),
-        }
+    keep = df.columns
+    df = df.withColumns({"__p": tokens.token_set(p), "__g": tokens.token_set(g)})
+    df = df.withColumns(
+        {"__both": F.size(F.array_intersect("__p", "__g")), "__np": F.size("__p"), "__ng": F.size("__g")}
+    )
+    sizes = [F.col(c) for c in ("__both", "__np", "__ng")]
+    return df.select(
+        *keep,
+        tokens.exact_match(p, g).alias("exact_match"),
+        tokens.f1_micro(*sizes).alias("f1_score"),
+        tokens.f1_binary(*sizes).alias("token_f1"),
     )
 
 
@@ -63,9 +72,9 @@ def overall(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def by_class(df: DataFrame, cls: str, metric: str = "f1_score") -> DataFrame:
     return (
-        df.filter(F.col(cls).isNotNull())
-        .groupBy(cls)
-        .agg(F.avg(metric).alias(f"{metric}_mean"), F.avg("exact_match").alias("exact_match_mean"), F.count(metric).alias("n_rows"))
+        per_class(
+            df, cls, F.avg(metric).alias(f"{metric}_mean"), F.avg("exact_match").alias("exact_match_mean"), F.count(metric).alias("n_rows")
+        )
         .orderBy(F.desc(f"{metric}_mean"))
     )
 
@@ -78,18 +87,18 @@ def by_class_full(df: DataFrame, cls: str, metrics: Sequence[str], digits: int =
             F.round(F.stddev_samp(m), digits).alias(f"{m}_std"),
             F.count(m).alias(f"{m}_count"),
         ]
-    return df.filter(F.col(cls).isNotNull()).groupBy(cls).agg(*aggs)
+    return per_class(df, cls, *aggs)
 
 
 def class_distribution(df: DataFrame, cls: str) -> DataFrame:
-    counts = df.filter(F.col(cls).isNotNull()).groupBy(cls).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = per_class(df, cls, F.count(F.lit(1)).alias("n_rows"))
     total = counts.agg(F.sum("n_rows")).scalar()
     return counts.withColumn("pct", F.round(F.col("n_rows") / total * 100, 2))
 
 
 def performance_gap(df: DataFrame, cls: str, metric: str, limit: float = 0.15) -> DataFrame:
     """Best and worst class by mean score (ties by class name) and the distance between them."""
-    means = df.filter(F.col(cls).isNotNull()).groupBy(cls).agg(F.avg(metric).alias("m"))
+    means = per_class(df, cls, F.avg(metric).alias("m"))
     ends = means.agg(
         F.min(F.struct((-F.col("m")).alias("neg"), F.col(cls).alias("c"))).alias("hi"),
         F.min(F.struct(F.col("m"), F.col(cls).alias("c"))).alias("lo"),
@@ -104,7 +113,7 @@ def performance_gap(df: DataFrame, cls: str, metric: str, limit: float = 0.15) -
 
 def class_importance(df: DataFrame, cls: str, metric: str, digits: int = 4) -> DataFrame:
     """How far each class mean lies below the mean of the class means, in points."""
-    means = df.filter(F.col(cls).isNotNull()).groupBy(cls).agg(F.round(F.avg(metric), digits).alias("mean"))
+    means = per_class(df, cls, F.round(F.avg(metric), digits).alias("mean"))
     base = means.agg(F.avg("mean")).scalar()
     return means.withColumn("importance", (base - F.col("mean")) * 100).orderBy(F.desc("mean"))
 
@@ -115,9 +124,9 @@ def syntax_validity(df: DataFrame, predicted: str, cls: str, digits: int = 4) ->
     counts = df.select(F.col(cls).alias("cls"), valid.alias("v")).groupBy("cls").agg(
         F.sum("v").alias("valid"), F.count(F.lit(1)).alias("n")
     )
-    per_class = counts.filter(F.col("cls").isNotNull()).select("cls", "valid", "n")
+    named = counts.filter(F.col("cls").isNotNull()).select("cls", "valid", "n")
     total = counts.agg(F.sum("valid").alias("valid"), F.sum("n").alias("n")).select(F.lit("overall").alias("cls"), "valid", "n")
-    return total.unionByName(per_class).select(
+    return total.unionByName(named).select(
         F.col("cls").alias("scope"), "valid", "n", F.round(F.col("valid") / F.col("n"), digits).alias("validity")
     )
 

@@ -12,17 +12,19 @@ run needs from its neighbours is carried in a table with one row per run:
 * a few *ghost* rows copied from the neighbours for lag, lead and ROWS frames.
 
 That table has as many rows as there are runs (``spark.sql.shuffle.partitions``), which
-is the bound under which it is broadcast.  The range-partitioned rows are checkpointed
-first: run numbers must be the same for every reader.
+is the bound under which it is broadcast.  The range-partitioned rows are written to the
+shared folder first: run numbers must be the same for every reader.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialise
 
@@ -76,7 +78,7 @@ def split_runs(
     desc: bool = False,
     runs: int | None = None,
 ) -> Runs:
-    """Range-partition the rows into runs and checkpoint them."""
+    """Range-partition the rows into runs and write them."""
     spark = df.sparkSession
     n = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
     constant = not part
@@ -89,57 +91,104 @@ def split_runs(
     return Runs(materialise(cut), list(part), order, desc, list(tie), constant)
 
 
-def _carries(r: Runs, measures: dict[str, Column], peers: bool) -> DataFrame:
-    """One row per run: what its first and last key (and peers) receive from the neighbours."""
+def _same(a, b) -> bool:
+    """Equality of key tuples where NaN equals NaN and null equals null."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))
+
+
+def _typed(value, kind: T.DataType):
+    if isinstance(kind, T.DecimalType):
+        return Decimal(value)
+    return float(value) if isinstance(kind, T.DoubleType) else value
+
+
+def _carries(r: Runs, measures: dict[str, Column], peers: bool, dense: bool = False) -> DataFrame:
+    """One row per run: what its first and last key (and peers) receive from the neighbours.
+
+    The executors reduce every run to one row; with as many rows as runs, the running sums
+    over runs are taken on the driver.  Rows equal to a boundary value are counted only for
+    runs whose boundary really falls between equal rows.
+    """
+    spark = r.rows.sparkSession
     names = list(measures)
-    sums = [F.sum(c).alias(m) for m, c in measures.items()]
-    per_key = r.rows.groupBy(RUN, *r.part).agg(*sums)
-    edge = F.struct(*[F.col(p) for p in r.part], *[F.col(m) for m in names])
-    table = per_key.groupBy(RUN).agg(F.min(edge).alias("h"), F.max(edge).alias("t"))
-    head = F.struct(*[F.col(f"h.{p}").alias(p) for p in r.part])
-    tail = F.struct(*[F.col(f"t.{p}").alias(p) for p in r.part])
-    table = table.select(
-        RUN,
-        head.alias("hk"),
-        tail.alias("tk"),
-        *[F.col(f"h.{m}").alias(f"h_{m}") for m in names],
-        *[F.col(f"t.{m}").alias(f"t_{m}") for m in names],
+    per_key = r.rows.groupBy(RUN, *r.part).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(m) for m, c in measures.items()],
+        F.min(r.peer_key()).alias("lo"),
+        F.max(r.peer_key()).alias("hi"),
     )
-    if peers:
-        bounds = r.rows.groupBy(RUN).agg(F.min(r.peer_key()).alias("hv"), F.max(r.peer_key()).alias("tv"))
-        at_edge = (
-            r.rows.join(F.broadcast(bounds), RUN)
-            .groupBy(RUN)
-            .agg(
-                *[F.sum(F.when(r.peer_key() == F.col("hv"), c)).alias(f"hp_{m}") for m, c in measures.items()],
-                *[F.sum(F.when(r.peer_key() == F.col("tv"), c)).alias(f"tp_{m}") for m, c in measures.items()],
-            )
-        )
-        table = table.join(bounds, RUN).join(at_edge, RUN)
-    # From here on the table has one row per run, so one ordered task is enough.
-    seq = Window.orderBy(RUN)
-    zero = F.lit(0)
-    out = [F.col(RUN), F.col("hk").alias("__hk"), F.col("tk").alias("__tk")]
+    edge = F.struct(F.struct(*r.part).alias("k"), F.struct(*names).alias("m"))
+    ends = per_key.groupBy(RUN).agg(
+        F.min(edge).alias("head"), F.max(edge).alias("tail"), F.min("lo").alias("hv"), F.max("hi").alias("tv")
+    )
+    if dense:
+        depth = r.rows.withColumn("__d", F.dense_rank().over(r.window(tie=False))).groupBy(RUN, *r.part).agg(F.max("__d").alias("d"))
+        last = depth.groupBy(RUN).agg(F.max(F.struct(F.struct(*r.part).alias("k"), "d")).alias("x"))
+        ends = ends.join(last.select(RUN, F.col("x.d").alias("d")), RUN)
+    schema = ends.schema
+    table = sorted(ends.collect(), key=lambda row: row[RUN])
+    n = len(table)
+    head_key = [tuple(row["head"]["k"]) for row in table]
+    tail_key = [tuple(row["tail"]["k"]) for row in table]
+    goes_on = [i + 1 < n and _same(tail_key[i], head_key[i + 1]) for i in range(n)]
+    equal_on = [peers and i + 1 < n and _same(tuple(table[i]["tv"]), tuple(table[i + 1]["hv"])) for i in range(n)]
+    head_peers, tail_peers = _peer_sums(r, measures, table, equal_on) if any(equal_on) else ({}, {})
+    before = {m: [0] * n for m in names}
+    after = {m: [0] * n for m in names}
+    pbefore = {m: [0] * n for m in names}
+    pafter = {m: [0] * n for m in names}
+    dense_before = [0] * n
     for m in names:
-        table = table.withColumn(f"ct_{m}", F.sum(f"t_{m}").over(Window.partitionBy("tk").orderBy(RUN)))
-        table = table.withColumn(f"ch_{m}", F.sum(f"h_{m}").over(Window.partitionBy("hk").orderBy(F.desc(RUN))))
-        if peers:
-            table = table.withColumn(f"pt_{m}", F.sum(f"tp_{m}").over(Window.partitionBy("tv").orderBy(RUN)))
-            table = table.withColumn(f"ph_{m}", F.sum(f"hp_{m}").over(Window.partitionBy("hv").orderBy(F.desc(RUN))))
-    same_before = F.lag("tk").over(seq).eqNullSafe(F.col("hk"))
-    same_after = F.lead("hk").over(seq).eqNullSafe(F.col("tk"))
+        for i in range(1, n):
+            if goes_on[i - 1]:
+                whole = _same(head_key[i - 1], tail_key[i - 1])
+                before[m][i] = table[i - 1]["tail"]["m"][m] + (before[m][i - 1] if whole else 0)
+            if equal_on[i - 1]:
+                single = _same(tuple(table[i - 1]["hv"]), tuple(table[i - 1]["tv"]))
+                pbefore[m][i] = tail_peers[table[i - 1][RUN]][m] + (pbefore[m][i - 1] if single else 0)
+        for i in range(n - 2, -1, -1):
+            if goes_on[i]:
+                whole = _same(head_key[i + 1], tail_key[i + 1])
+                after[m][i] = table[i + 1]["head"]["m"][m] + (after[m][i + 1] if whole else 0)
+            if equal_on[i]:
+                single = _same(tuple(table[i + 1]["hv"]), tuple(table[i + 1]["tv"]))
+                pafter[m][i] = head_peers[table[i + 1][RUN]][m] + (pafter[m][i + 1] if single else 0)
+    if dense:
+        for i in range(1, n):
+            if goes_on[i - 1]:
+                whole = _same(head_key[i - 1], tail_key[i - 1])
+                # a peer group that continues into a run was counted by the run before
+                dense_before[i] = table[i - 1]["d"] + (dense_before[i - 1] if whole else 0) - (1 if equal_on[i - 1] else 0)
+    kind = {m: schema["head"].dataType["m"].dataType[m].dataType for m in names}
+    fields = [T.StructField(RUN, schema[RUN].dataType)]
+    fields += [T.StructField("__hk", schema["head"].dataType["k"].dataType), T.StructField("__tk", schema["tail"].dataType["k"].dataType)]
+    fields += [T.StructField("__hv", schema["hv"].dataType), T.StructField("__tv", schema["tv"].dataType)]
+    fields += [T.StructField("__before_d", T.LongType())]
     for m in names:
-        out.append(F.coalesce(F.when(same_before, F.lag(f"ct_{m}").over(seq)), zero).alias(f"__before_{m}"))
-        out.append(F.coalesce(F.when(same_after, F.lead(f"ch_{m}").over(seq)), zero).alias(f"__after_{m}"))
-    if peers:
-        out += [F.col("hv").alias("__hv"), F.col("tv").alias("__tv")]
-        peer_before = F.lag("tv").over(seq).eqNullSafe(F.col("hv"))
-        peer_after = F.lead("hv").over(seq).eqNullSafe(F.col("tv"))
-        out.append(peer_before.alias("__continues"))
+        fields += [T.StructField(f"__{p}_{m}", kind[m]) for p in ("before", "after", "pbefore", "pafter")]
+    out = []
+    for i, row in enumerate(table):
+        line = [row[RUN], row["head"]["k"], row["tail"]["k"], row["hv"], row["tv"], dense_before[i]]
         for m in names:
-            out.append(F.coalesce(F.when(peer_before, F.lag(f"pt_{m}").over(seq)), zero).alias(f"__pbefore_{m}"))
-            out.append(F.coalesce(F.when(peer_after, F.lead(f"ph_{m}").over(seq)), zero).alias(f"__pafter_{m}"))
-    return table.select(*out)
+            line += [_typed(v[m][i], kind[m]) for v in (before, after, pbefore, pafter)]
+        out.append(tuple(line))
+    return spark.createDataFrame(out, T.StructType(fields))
+
+
+def _peer_sums(r: Runs, measures: dict[str, Column], table, equal_on) -> tuple[dict, dict]:
+    """Measures of the rows equal to the first / last value of the runs that share a boundary value."""
+    touched = {i for i, e in enumerate(equal_on) if e} | {i + 1 for i, e in enumerate(equal_on) if e}
+    key = r.rows.select(r.peer_key().alias("k")).schema["k"].dataType
+    fields = [T.StructField(RUN, T.IntegerType()), T.StructField("hv", key), T.StructField("tv", key)]
+    spark = r.rows.sparkSession
+    bounds = spark.createDataFrame([(table[i][RUN], table[i]["hv"], table[i]["tv"]) for i in sorted(touched)], T.StructType(fields))
+    at = r.rows.withColumn("__pk", r.peer_key()).join(F.broadcast(bounds), RUN)
+    first, last = F.col("__pk") == F.col("hv"), F.col("__pk") == F.col("tv")
+    sums = at.filter(first | last).groupBy(RUN).agg(
+        F.struct(*[F.coalesce(F.sum(F.when(first, c)), F.lit(0)).alias(m) for m, c in measures.items()]).alias("h"),
+        F.struct(*[F.coalesce(F.sum(F.when(last, c)), F.lit(0)).alias(m) for m, c in measures.items()]).alias("t"),
+    )
+    rows = sums.collect()  # at most one row per run
+    return {x[RUN]: x["h"] for x in rows}, {x[RUN]: x["t"] for x in rows}
 
 
 def _plus(flag: Column, carried: Column) -> Column:
@@ -159,21 +208,8 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
     if kinds & {"running_sum", "range_sum", "total_sum"}:
         measures["s"] = F.col(metric)
     need_peers = bool(kinds & {"rank", "dense_rank", "upto", "range_sum"})
-    carry = _carries(r, measures, need_peers)
+    carry = _carries(r, measures, need_peers, dense="dense_rank" in kinds)
     rows = r.rows
-    if "dense_rank" in kinds:
-        local = rows.withColumn("__d", F.dense_rank().over(r.window(tie=False)))
-        depth = local.groupBy(RUN, *r.part).agg(F.max("__d").alias("d"))
-        edge = F.struct(*[F.col(p) for p in r.part], F.col("d"))
-        d = depth.groupBy(RUN).agg(F.max(edge).alias("t"))
-        d = carry.select(RUN, "__hk", "__tk", "__continues").join(d, RUN).withColumn("d", F.col("t.d"))
-        seq = Window.orderBy(RUN)
-        # a peer group that continues into the run was already counted by the run before
-        own = F.col("d") - F.when(F.col("__continues") & F.col("__hk").eqNullSafe(F.col("__tk")), 1).otherwise(0)
-        d = d.withColumn("cd", F.sum(own).over(Window.partitionBy("__tk").orderBy(RUN)))
-        before = F.when(F.lag("__tk").over(seq).eqNullSafe(F.col("__hk")), F.lag("cd").over(seq))
-        d = d.select(RUN, (F.coalesce(before, F.lit(0)) - F.coalesce(F.col("__continues"), F.lit(False)).cast("int")).alias("__before_d"))
-        carry = carry.join(d, RUN)
     df = rows.join(F.broadcast(carry), RUN)
     in_head = r.key().eqNullSafe(F.col("__hk"))
     in_tail = r.key().eqNullSafe(F.col("__tk"))

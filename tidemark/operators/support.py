@@ -6,13 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.session import materialise
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def as_type_of(df: DataFrame, column: str, value) -> Column:
     """``value`` as a literal of the column's own type, so the filter reaches the scan."""
@@ -32,26 +28,22 @@ def year_bounds(df: DataFrame, date: str, year: int) -> Column:
     )
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when a (materialised) table is within the broadcast bounds."""
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    size = F.lit(0)
-    for name in text:
-        size = size + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
-    return row["n"] <= BROADCAST_ROWS and row["b"] <= BROADCAST_BYTES
-
-
 def attach(df: DataFrame, stats: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group statistics back to their rows.
 
-    The statistics are computed once and their size is measured.  Within the bound
-    they are broadcast, so the row side is not shuffled and a hot group costs
-    nothing; beyond it the join is an ordinary shuffle join, where AQE splits hot keys.
+    The statistics are computed once and written, so their size is known when the join is
+    planned: within ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast, the row
+    side is not shuffled and a hot group costs nothing; beyond it the join is a shuffle
+    join, in which AQE splits hot keys.
     """
-    small = materialise(stats)
-    return df.join(F.broadcast(small) if is_small(small) else small, on, how)
+    return df.join(materialise(stats), on, how)
 
 
-def rounded(column: Column, digits: int | None) -> Column:
-    return column if digits is None else F.round(column, digits)
+def per_class(df: DataFrame, cls: str, *aggs: Column) -> DataFrame:
+    """``groupBy(cls).agg(...)`` without the null class.
+
+    The null group is dropped by its count after aggregation.  A filter on the class itself
+    would be pushed below and evaluate a derived class twice per row.
+    """
+    grouped = df.groupBy(cls).agg(*aggs, F.count(cls).alias("__n"))
+    return grouped.filter(F.col("__n") > 0).drop("__n")

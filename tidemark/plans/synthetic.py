@@ -3,7 +3,7 @@
 ``spark.range`` gives the row ids; every choice (template, domain, tables, columns, verb,
 numbers) is a seeded draw on the id, so rows repeat for a seed under any partitioning and
 no Python runs per row.  The catalogue joined to the ids is the template-by-domain table,
-whose size is fixed by the catalogue; ``attach`` measures it before it is broadcast.
+written once so that Catalyst broadcasts it only if its size allows.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import pick
-from tidemark.operators.support import attach
 from tidemark.plans import domains, templates
+from tidemark.session import materialise
 
 # Ranges and choices of the drawn parameters.
 AGGREGATES = ["SUM", "AVG", "MAX", "MIN", "COUNT"]
@@ -130,7 +130,7 @@ def generate(spark: SparkSession, targets: DataFrame | dict[str, int], seed: int
     for name, n in targets.items():
         bound += n
         cls = F.coalesce(cls, F.when(F.col("id") < bound, F.lit(name)))
-    pairs = eligible(template_df, catalogue if catalogue is not None else domain_table(spark))
+    pairs = materialise(eligible(template_df, catalogue if catalogue is not None else domain_table(spark)))
     sizes = pairs.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.agg(F.map_from_entries(F.collect_list(F.struct("cls", "n")))).scalar()
 
@@ -144,7 +144,7 @@ def generate(spark: SparkSession, targets: DataFrame | dict[str, int], seed: int
         return F.get(F.array(*[F.lit(v) for v in values]), at(len(values), slot))
 
     rows = ids.withColumn("cls", cls).withColumn("slot", at(F.element_at(sizes, F.col("cls")), "pair"))
-    rows = attach(rows, pairs, ["cls", "slot"])
+    rows = rows.join(pairs, ["cls", "slot"])
     n_tables = F.size("tables")
     rows = rows.withColumns({"i1": at(n_tables, "t1"), "i2": at(F.greatest(n_tables - 1, F.lit(1)), "t2")})
     # the second table is another one: skip over the first

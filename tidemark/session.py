@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +38,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives executor loss, lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder, for written intermediate tables."""
-    import uuid
-
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read back: survives executor loss, lineage cut.
+
+    As a Parquet table it is computed by one job (a checkpoint computes its rows twice),
+    later readers fetch only the columns they need, and its file size tells Catalyst
+    whether it may be broadcast.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
