@@ -207,6 +207,7 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
     measures: dict[str, Column] = {"n": F.lit(1).cast("long")}
     if kinds & {"running_sum", "range_sum", "total_sum"}:
         measures["s"] = F.col(metric)
+        measures["c"] = F.when(F.col(metric).isNotNull(), 1).otherwise(0).cast("long")
     need_peers = bool(kinds & {"rank", "dense_rank", "upto", "range_sum"})
     carry = _carries(r, measures, need_peers, dense="dense_rank" in kinds)
     rows = r.rows
@@ -215,6 +216,12 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
     in_tail = r.key().eqNullSafe(F.col("__tk"))
     ordered, peers, group = r.window(), r.window(tie=False), r.group()
     rows_frame = ordered.rowsBetween(Window.unboundedPreceding, 0)
+
+    def summed(window, carried):
+        """Sum over a window and what is carried into it; null while no value was seen."""
+        seen = F.count(metric).over(window) + carried("c")
+        return F.when(seen > 0, F.coalesce(F.sum(metric).over(window), F.lit(0)) + carried("s"))
+
     made = {}
     for name, kind in columns.items():
         if kind == "row_number":
@@ -230,12 +237,12 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
             at_tail = r.peer_key().eqNullSafe(F.col("__tv"))
             c = F.count(F.lit(1)).over(peers) + _plus(in_head, F.col("__before_n")) + _plus(at_tail, F.col("__pafter_n"))
         elif kind == "running_sum":
-            c = F.sum(metric).over(rows_frame) + _plus(in_head, F.col("__before_s"))
+            c = summed(rows_frame, lambda m: _plus(in_head, F.col(f"__before_{m}")))
         elif kind == "range_sum":
             at_tail = r.peer_key().eqNullSafe(F.col("__tv"))
-            c = F.sum(metric).over(peers) + _plus(in_head, F.col("__before_s")) + _plus(at_tail, F.col("__pafter_s"))
+            c = summed(peers, lambda m: _plus(in_head, F.col(f"__before_{m}")) + _plus(at_tail, F.col(f"__pafter_{m}")))
         elif kind == "total_sum":
-            c = F.sum(metric).over(group) + _plus(in_head, F.col("__before_s")) + _plus(in_tail, F.col("__after_s"))
+            c = summed(group, lambda m: _plus(in_head, F.col(f"__before_{m}")) + _plus(in_tail, F.col(f"__after_{m}")))
         else:
             raise ValueError(f"unknown order statistic {kind}")
         made[name] = c
