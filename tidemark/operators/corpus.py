@@ -249,22 +249,22 @@ def stratified_split(
     """
     rows = df.filter(F.col(cls).isNotNull()).withColumn("__d", draw(F.col(key), seed))
     rows = rows.withColumn("__b", F.shiftright("__d", 60 - bits).cast("int"))
-    counts = rows.groupBy(cls, "__b").agg(F.count(F.lit(1)).alias("c"))
+    counts = rows.groupBy(cls, "__b").agg(F.count(F.lit(1)).alias("__c"))
     whole = Window.partitionBy(cls)  # at most 2**bits rows of counts per class
     counts = counts.withColumns(
-        {"upto": F.sum("c").over(whole.orderBy("__b")), "n": F.sum("c").over(whole)}
-    ).withColumn("want", F.round(F.col("n") * share).cast("long"))
+        {"__upto": F.sum("__c").over(whole.orderBy("__b")), "__n": F.sum("__c").over(whole)}
+    ).withColumn("__want", F.round(F.col("__n") * share).cast("long"))
     cuts = (
-        counts.filter(F.col("n") >= 2)
-        .filter(F.col("upto") >= F.col("want"))
+        counts.filter(F.col("__n") >= 2)
+        .filter(F.col("__upto") >= F.col("__want"))
         .groupBy(cls)
-        .agg(F.min(F.struct(F.col("__b").alias("b"), (F.col("want") - (F.col("upto") - F.col("c"))).alias("take"))).alias("cut"))
+        .agg(F.min(F.struct(F.col("__b").alias("__b"), (F.col("__want") - (F.col("__upto") - F.col("__c"))).alias("__take"))).alias("__cut"))
     )
     rows = attach(rows, cuts, cls)
-    clear = rows.filter(F.col("__b") != F.col("cut.b")).withColumn(
-        "split", F.when(F.col("__b") < F.col("cut.b"), names[1]).otherwise(names[0])
+    clear = rows.filter(F.col("__b") != F.col("__cut.__b")).withColumn(
+        "split", F.when(F.col("__b") < F.col("__cut.__b"), names[1]).otherwise(names[0])
     )
     w = Window.partitionBy(cls).orderBy("__d", key)
-    edge = rows.filter(F.col("__b") == F.col("cut.b")).withColumn("__r", F.row_number().over(w))
-    edge = edge.withColumn("split", F.when(F.col("__r") <= F.col("cut.take"), names[1]).otherwise(names[0])).drop("__r")
-    return clear.unionByName(edge).drop("__d", "__b", "cut")
+    edge = rows.filter(F.col("__b") == F.col("__cut.__b")).withColumn("__r", F.row_number().over(w))
+    edge = edge.withColumn("split", F.when(F.col("__r") <= F.col("__cut.__take"), names[1]).otherwise(names[0])).drop("__r")
+    return clear.unionByName(edge).drop("__d", "__b", "__cut")

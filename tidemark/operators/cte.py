@@ -22,7 +22,7 @@ def total_above_threshold(df: DataFrame, group: str, metric: str, date: str, sin
 def topn_then_avg(df: DataFrame, group: str, metric: str, n: int, tie: list[str]) -> DataFrame:
     """Average of the n largest rows per group; rows beyond n are pruned before the shuffle."""
     w = Window.partitionBy(group).orderBy(F.desc(metric), *tie)
-    top = df.select(group, metric, *tie).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    top = df.select(group, metric, *tie).withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
     return top.groupBy(group).agg(F.avg(metric).alias("avg_metric"), F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -53,21 +53,21 @@ def recent_avg_vs_min(df: DataFrame, group: str, metric: str, date: str, as_of,
 def best_month(df: DataFrame, group: str, metric: str, date: str, since) -> DataFrame:
     monthly = (
         since_filter(df, date, since)
-        .groupBy(group, F.trunc(date, "month").alias("m"))
+        .groupBy(group, F.trunc(date, "month").alias("__m"))
         .agg(F.sum(metric).alias("monthly_total"))
     )
     w = Window.partitionBy(group).orderBy(F.desc("monthly_total"))
     return (
-        monthly.withColumn("r", F.rank().over(w))
-        .filter(F.col("r") == 1)
-        .select(group, F.date_format("m", "yyyy-MM").alias("month"), "monthly_total")
+        monthly.withColumn("__r", F.rank().over(w))
+        .filter(F.col("__r") == 1)
+        .select(group, F.date_format("__m", "yyyy-MM").alias("month"), "monthly_total")
     )
 
 
 def sigma_outlier_count(df: DataFrame, group: str, metric: str, date: str, since, k: float = 2.0) -> DataFrame:
     rows = since_filter(df, date, since).select(group, metric)
-    stats = rows.groupBy(group).agg(F.avg(metric).alias("mu"), F.stddev_samp(metric).alias("sd"))
-    far = F.abs(F.col(metric) - F.col("mu")) > k * F.col("sd")
+    stats = rows.groupBy(group).agg(F.avg(metric).alias("__mu"), F.stddev_samp(metric).alias("__sd"))
+    far = F.abs(F.col(metric) - F.col("__mu")) > k * F.col("__sd")
     return attach(rows, stats, group).filter(far).groupBy(group).agg(F.count(F.lit(1)).alias("outlier_count"))
 
 
@@ -127,17 +127,17 @@ def top2_quarters(df: DataFrame, group: str, metric: str, date: str, year: int,
         .agg(F.sum(metric).alias("quarterly_total"), F.count(F.lit(1)).alias("transaction_count"))
     )
     w = Window.partitionBy(group).orderBy(F.desc("quarterly_total"), "quarter")
-    return quarterly.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
+    return quarterly.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
 def cohort_month_avg(df: DataFrame, group: str, metric: str, date: str, since) -> DataFrame:
     cohorts = (
         since_filter(df, date, since)
-        .groupBy(group, F.trunc(date, "month").alias("m"))
+        .groupBy(group, F.trunc(date, "month").alias("__m"))
         .agg(F.avg(metric).alias("cohort_avg"))
     )
     return (
-        cohorts.groupBy(F.date_format("m", "yyyy-MM").alias("cohort_month"))
+        cohorts.groupBy(F.date_format("__m", "yyyy-MM").alias("cohort_month"))
         .agg(
             F.avg("cohort_avg").alias("overall_avg"),
             F.max("cohort_avg").alias("max_avg"),
@@ -161,7 +161,7 @@ def milestone_date(df: DataFrame, group: str, metric: str, date: str, since, thr
 
 
 def volatility_class(df: DataFrame, group: str, metric: str, date: str, since, high: float = 0.5, medium: float = 0.2) -> DataFrame:
-    daily = since_filter(df, date, since).groupBy(group, F.to_date(date).alias("d")).agg(F.sum(metric).alias("daily_total"))
+    daily = since_filter(df, date, since).groupBy(group, F.to_date(date).alias("__d")).agg(F.sum(metric).alias("daily_total"))
     stats = daily.groupBy(group).agg(
         F.avg("daily_total").alias("avg_daily"),
         F.stddev_samp("daily_total").alias("std_daily"),

@@ -10,7 +10,7 @@ CLASS_LIMIT, LENGTH_LIMIT = 10.0, 5.0  # percent, strict
 
 def _tagged(cur: DataFrame, prev: DataFrame, *cols: str) -> DataFrame:
     """Both snapshots in one pass: ``now`` is 1 for the current one."""
-    return cur.select(*cols, F.lit(1).alias("now")).unionByName(prev.select(*cols, F.lit(0).alias("now")))
+    return cur.select(*cols, F.lit(1).alias("__now")).unionByName(prev.select(*cols, F.lit(0).alias("__now")))
 
 
 def class_drift(cur: DataFrame, prev: DataFrame, cls: str, limit: float = CLASS_LIMIT) -> DataFrame:
@@ -19,18 +19,18 @@ def class_drift(cur: DataFrame, prev: DataFrame, cls: str, limit: float = CLASS_
     Shares are of non-null rows.  A class that was absent changes by 100 percent.
     """
     both = _tagged(cur, prev, cls).filter(F.col(cls).isNotNull())
-    n = both.groupBy(cls).agg(F.sum("now").alias("c"), F.sum(1 - F.col("now")).alias("p"))
-    total = n.agg(F.struct(F.sum("c").alias("c"), F.sum("p").alias("p"))).scalar()
-    n = n.withColumn("t", total)
-    share_c = F.coalesce(F.try_divide(F.col("c"), F.col("t.c")), F.lit(0.0)) * 100
-    share_p = F.coalesce(F.try_divide(F.col("p"), F.col("t.p")), F.lit(0.0)) * 100
-    n = n.select(cls, share_p.alias("pp"), share_c.alias("cp"))
-    change = F.when(F.col("pp") > 0, (F.col("cp") - F.col("pp")) / F.col("pp") * 100).otherwise(
-        F.when(F.col("cp") > 0, 100.0).otherwise(0.0)
+    n = both.groupBy(cls).agg(F.sum("__now").alias("__c"), F.sum(1 - F.col("__now")).alias("__p"))
+    total = n.agg(F.struct(F.sum("__c").alias("__c"), F.sum("__p").alias("__p"))).scalar()
+    n = n.withColumn("__t", total)
+    share_c = F.coalesce(F.try_divide(F.col("__c"), F.col("__t.__c")), F.lit(0.0)) * 100
+    share_p = F.coalesce(F.try_divide(F.col("__p"), F.col("__t.__p")), F.lit(0.0)) * 100
+    n = n.select(cls, share_p.alias("__pp"), share_c.alias("__cp"))
+    change = F.when(F.col("__pp") > 0, (F.col("__cp") - F.col("__pp")) / F.col("__pp") * 100).otherwise(
+        F.when(F.col("__cp") > 0, 100.0).otherwise(0.0)
     )
     return n.select(
-        cls, F.round("pp", 2).alias("previous_pct"), F.round("cp", 2).alias("current_pct"),
-        F.round(F.col("cp") - F.col("pp"), 2).alias("pct_point_change"), F.round(change, 2).alias("pct_change"),
+        cls, F.round("__pp", 2).alias("previous_pct"), F.round("__cp", 2).alias("current_pct"),
+        F.round(F.col("__cp") - F.col("__pp"), 2).alias("pct_point_change"), F.round(change, 2).alias("pct_change"),
         (F.abs(change) > limit).alias("exceeds"),
     )
 
@@ -38,28 +38,28 @@ def class_drift(cur: DataFrame, prev: DataFrame, cls: str, limit: float = CLASS_
 def length_drift(cur: DataFrame, prev: DataFrame, cls: str, text: str, limit: float = LENGTH_LIMIT) -> DataFrame:
     """Length statistics of classes present in both snapshots."""
     rows = _tagged(cur, prev, cls, text).filter(F.col(cls).isNotNull())
-    rows = rows.select(cls, "now", F.length(text).alias("len"))
+    rows = rows.select(cls, "__now", F.length(text).alias("__len"))
     # lengths have few distinct values, so the exact median keeps a small count map
-    stats = rows.groupBy(cls, "now").agg(
-        F.avg("len").alias("mean"), F.percentile("len", F.lit(0.5)).alias("median"), F.stddev_samp("len").alias("std"),
-        F.min("len").alias("min"), F.max("len").alias("max"),
+    stats = rows.groupBy(cls, "__now").agg(
+        F.avg("__len").alias("mean"), F.percentile("__len", F.lit(0.5)).alias("median"), F.stddev_samp("__len").alias("std"),
+        F.min("__len").alias("min"), F.max("__len").alias("max"),
     )
 
     def side(now: int, name: str):
-        return F.max(F.when(F.col("now") == now, F.struct("mean", "median", "std", "min", "max"))).alias(name)
+        return F.max(F.when(F.col("__now") == now, F.struct("mean", "median", "std", "min", "max"))).alias(name)
 
-    both = stats.groupBy(cls).agg(side(1, "c"), side(0, "p")).filter(F.col("c").isNotNull() & F.col("p").isNotNull())
-    mean = (F.col("c.mean") - F.col("p.mean")) / F.col("p.mean") * 100
-    median = (F.col("c.median") - F.col("p.median")) / F.col("p.median") * 100
+    both = stats.groupBy(cls).agg(side(1, "__c"), side(0, "__p")).filter(F.col("__c").isNotNull() & F.col("__p").isNotNull())
+    mean = (F.col("__c.mean") - F.col("__p.mean")) / F.col("__p.mean") * 100
+    median = (F.col("__c.median") - F.col("__p.median")) / F.col("__p.median") * 100
     return both.select(
         cls,
-        F.round("p.mean", 2).alias("previous_mean_length"), F.round("c.mean", 2).alias("current_mean_length"),
+        F.round("__p.mean", 2).alias("previous_mean_length"), F.round("__c.mean", 2).alias("current_mean_length"),
         F.round(mean, 2).alias("mean_pct_change"),
-        F.round("p.median", 2).alias("previous_median_length"), F.round("c.median", 2).alias("current_median_length"),
+        F.round("__p.median", 2).alias("previous_median_length"), F.round("__c.median", 2).alias("current_median_length"),
         F.round(median, 2).alias("median_pct_change"),
-        F.round("p.std", 2).alias("previous_std_length"), F.round("c.std", 2).alias("current_std_length"),
-        F.col("p.min").alias("previous_min_length"), F.col("c.min").alias("current_min_length"),
-        F.col("p.max").alias("previous_max_length"), F.col("c.max").alias("current_max_length"),
+        F.round("__p.std", 2).alias("previous_std_length"), F.round("__c.std", 2).alias("current_std_length"),
+        F.col("__p.min").alias("previous_min_length"), F.col("__c.min").alias("current_min_length"),
+        F.col("__p.max").alias("previous_max_length"), F.col("__c.max").alias("current_max_length"),
         (F.abs(mean) > limit).alias("exceeds"),
     )
 

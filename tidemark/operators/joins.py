@@ -25,40 +25,40 @@ def _joined(fact, dim, fk, pk, *dim_cols, how="inner") -> DataFrame:
 
 
 def inner_total_topn(fact, dim, fk, pk, g1, g2, metric, date, since, n: int) -> DataFrame:
-    part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("s"))
-    totals = _joined(part, dim, fk, pk, g2).groupBy(g1, g2).agg(F.sum("s").alias("total"))
+    part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("__s"))
+    totals = _joined(part, dim, fk, pk, g2).groupBy(g1, g2).agg(F.sum("__s").alias("total"))
     return totals.orderBy(F.desc("total"), g1, g2).limit(n)
 
 
 def left_matched_avg(fact, dim, fk, pk, g1, g2, metric, min_rows: int = 3) -> DataFrame:
     part = fact.groupBy(fk, g1).agg(
-        F.sum(metric).alias("s"), F.count(metric).alias("c"), F.count(F.lit(1)).alias("n")
+        F.sum(metric).alias("__s"), F.count(metric).alias("__c"), F.count(F.lit(1)).alias("__n")
     )
     both = _joined(part, dim, fk, pk, g2, how="left").filter(F.col("__pk").isNotNull())
     return (
         both.groupBy(g1, g2)
-        .agg((F.try_divide(F.sum("s"), F.sum("c"))).alias("avg_metric"), F.sum("n").alias("record_count"))
+        .agg((F.try_divide(F.sum("__s"), F.sum("__c"))).alias("avg_metric"), F.sum("__n").alias("record_count"))
         .filter(F.col("record_count") >= min_rows)
         .orderBy(F.desc("avg_metric"))
     )
 
 
 def related_distinct_count(fact, dim, fk, pk, g1, metric, date, since, threshold: float) -> DataFrame:
-    part = since_filter(fact, date, since).groupBy(g1, fk).agg(F.max(metric).alias("mx"))
+    part = since_filter(fact, date, since).groupBy(g1, fk).agg(F.max(metric).alias("__mx"))
     both = _joined(part, dim, fk, pk)
     return (
         both.groupBy(g1)
-        .agg(F.count_distinct("__pk").alias("related_count"), F.max("mx").alias("max_metric"))
+        .agg(F.count_distinct("__pk").alias("related_count"), F.max("__mx").alias("max_metric"))
         .filter(F.col("max_metric") > threshold)
     )
 
 
 def share_of_total(fact, dim, fk, pk, g1, g2, metric, date, since, threshold: float) -> DataFrame:
-    part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("s"))
+    part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("__s"))
     pairs = (
         _joined(part, dim, fk, pk, g2)
         .groupBy(g1, g2)
-        .agg(F.sum("s").alias("total"))
+        .agg(F.sum("__s").alias("total"))
         .filter(F.col("total") > threshold)
     )
     grand = pairs.agg(F.sum("total")).scalar()
@@ -125,11 +125,11 @@ def high_value_rate(fact, dim, fk, pk, pk1, g2, metric, date, since, threshold:
         .agg(
             F.count_distinct("__pk1").alias("related_count"),
             high.alias("high_value_count"),
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).alias("__n"),
         )
         .filter(F.col("related_count") > 0)
-        .withColumn("high_value_pct", F.round(F.col("high_value_count") * 100.0 / F.col("n"), 2))
-        .drop("n")
+        .withColumn("high_value_pct", F.round(F.col("high_value_count") * 100.0 / F.col("__n"), 2))
+        .drop("__n")
     )
 
 
@@ -137,12 +137,12 @@ def activity_span(fact, dim, fk, pk, g1, g2, metric, date, since, min_days: int
     part = (
         since_filter(fact, date, since)
         .groupBy(fk, g1)
-        .agg(F.min(date).alias("lo"), F.max(date).alias("hi"), F.sum(metric).alias("s"))
+        .agg(F.min(date).alias("__lo"), F.max(date).alias("__hi"), F.sum(metric).alias("__s"))
     )
     spans = (
         _joined(part, dim, fk, pk, g2)
         .groupBy(g1, g2)
-        .agg(F.min("lo").alias("first_date"), F.max("hi").alias("last_date"), F.sum("s").alias("total_metric"))
+        .agg(F.min("__lo").alias("first_date"), F.max("__hi").alias("last_date"), F.sum("__s").alias("total_metric"))
     )
     return (
         spans.withColumn("days_span", F.datediff("last_date", "first_date"))
@@ -159,18 +159,18 @@ def rank_within_group(fact, dim, fk, pk, g1, g2, metric, date, since, n: int) ->
 
 
 def category_list(fact, dim, fk, pk, g1, g2, metric, date, since, min_categories: int = 2) -> DataFrame:
-    part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("s"), F.count(metric).alias("c"))
+    part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("__s"), F.count(metric).alias("__c"))
     pairs = (
         _joined(part, dim, fk, pk, g2, how="left")
         .groupBy(g1, g2)
-        .agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        .agg(F.sum("__s").alias("__s"), F.sum("__c").alias("__c"))
     )
     return (
         pairs.groupBy(g1)
         .agg(
             F.count(g2).alias("distinct_categories"),
             F.array_join(F.array_sort(F.collect_list(g2)), ", ").alias("category_list"),
-            F.try_divide(F.sum("s"), F.sum("c")).alias("avg_metric"),
+            F.try_divide(F.sum("__s"), F.sum("__c")).alias("avg_metric"),
         )
         .filter(F.col("distinct_categories") >= min_categories)
         .orderBy(F.desc("distinct_categories"))
@@ -183,15 +183,15 @@ def tier_counts(fact, dim, fk, pk, g2, metric, date, since, threshold: float) ->
         since_filter(fact, date, since)
         .groupBy(fk)
         .agg(
-            F.count_if(m.between(0, third)).alias("lo"),
-            F.count_if(m.between(third, 2 * threshold / 3)).alias("mid"),
-            F.count_if(m > 2 * threshold / 3).alias("hi"),
+            F.count_if(m.between(0, third)).alias("__lo"),
+            F.count_if(m.between(third, 2 * threshold / 3)).alias("__mid"),
+            F.count_if(m > 2 * threshold / 3).alias("__hi"),
         )
     )
     return (
         _joined(part, dim, fk, pk, g2)
         .groupBy(g2)
-        .agg(F.sum("lo").alias("low_tier"), F.sum("mid").alias("mid_tier"), F.sum("hi").alias("high_tier"))
+        .agg(F.sum("__lo").alias("low_tier"), F.sum("__mid").alias("mid_tier"), F.sum("__hi").alias("high_tier"))
     )
 
 
@@ -215,8 +215,8 @@ def five_number_summary(fact, dim, fk, pk, g2, metric, date, since) -> DataFrame
 
 
 def recent_active_count(fact, dim, fk, pk, g1, g2, date, as_of, days: int = 90) -> DataFrame:
-    part = fact.groupBy(fk, g1).agg(F.max(date).alias("d"))
-    last = _joined(part, dim, fk, pk, g2).groupBy(g1, g2).agg(F.max("d").alias("last_activity"))
+    part = fact.groupBy(fk, g1).agg(F.max(date).alias("__d"))
+    last = _joined(part, dim, fk, pk, g2).groupBy(g1, g2).agg(F.max("__d").alias("last_activity"))
     start = F.date_sub(F.lit(str(as_of)).cast("date"), days).cast(fact.schema[date].dataType)
     return (
         last.filter(F.col("last_activity") >= start)
