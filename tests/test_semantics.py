@@ -336,3 +336,23 @@ def test_csv_missing_values_and_columns(spark, tmp_path):
     path.write_text("sql_prompt,sql\na,b\n")
     with pytest.raises(ValueError, match="missing columns"):
         readers.read_corpus_csv(spark, str(path))
+
+
+def test_gt_all_prior_equals_brute_force_within_hours(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [
+        (rnd.choice("ab"), start + timedelta(minutes=rnd.randrange(0, 4 * 24 * 60, 7)), None if rnd.random() < 0.02 else float(rnd.randrange(60)), i)
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "k string, d timestamp_ntz, m double, id long")
+    got = sorted((r["k"], r["m"]) for r in subqueries.gt_all_prior(df, "k", "m", "d", "2024-01-01", days=1).collect() if r["m"] is not None)
+    want = []
+    for k, d, m, _ in rows:
+        seen = [x[2] for x in rows if x[0] == k and d - timedelta(days=1) <= x[1] < d]
+        if m is not None and (not seen or (None not in seen and m > max(seen))):
+            want.append((k, m))
+    assert got == sorted(want)

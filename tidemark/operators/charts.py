@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import SPAN, draw
 from tidemark.operators import ordered
-from tidemark.operators.support import attach
+from tidemark.session import materialise
 
 # Limits the chart rules use.
 BINS, TOP_N, WORDS, SORTED_BARS = 30, 20, 200, 20
@@ -39,7 +39,7 @@ def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
 def _five(df: DataFrame, by: list[str], col: str) -> DataFrame:
     five = ordered.percentiles(df, by, col, [0, 0.25, 0.5, 0.75, 1], ["min_value", "q1", "median", "q3", "max_value"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return five.withColumns({"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach})
+    return materialise(five.withColumns({"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach}))
 
 
 def box(df: DataFrame, col: str) -> DataFrame:
@@ -69,7 +69,7 @@ def box_by_category(df: DataFrame, num: str, cat: str, lo: int = 2, hi: int = 15
     rows = df.select(cat, F.col(num).cast("double").alias("v")).filter(F.col(cat).isNotNull())
     five = _five(rows, [cat], "v")
     outside = (F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))
-    counts = attach(rows, five.select(cat, "lower_fence", "upper_fence"), cat).groupBy(cat).agg(F.count_if(outside).alias("n_outliers"))
+    counts = rows.join(five.select(cat, "lower_fence", "upper_fence"), cat).groupBy(cat).agg(F.count_if(outside).alias("n_outliers"))
     return five.join(counts, cat).filter(_cardinality(df, cat).between(lo, hi))
 
 
@@ -78,6 +78,11 @@ def _cardinality(df: DataFrame, col: str):
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Counts per value, written once: the charts read them for their size and for their rows."""
+    return materialise(_counts(df, col))
+
+
+def _counts(df: DataFrame, col: str) -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -94,7 +99,7 @@ def top_n_bar(df: DataFrame, col: str, n: int = TOP_N, min_values: int = 200) ->
 
 
 def word_frequencies(df: DataFrame, col: str, n: int = WORDS) -> DataFrame:
-    return value_counts(df, col).orderBy(F.desc("n_rows"), col).limit(n)
+    return _counts(df, col).orderBy(F.desc("n_rows"), col).limit(n)
 
 
 def metric_bar(df: DataFrame, x: str, y: str, tie: Sequence[str], n: int = SORTED_BARS) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import sqltext
 from tidemark.functions.draws import draw
 from tidemark.operators.support import attach, per_class
+from tidemark.session import materialise
 
 # Fixed values.
 SEVERE, MODERATE, MILD, MINORITY_SHARE = 10, 5, 2, 0.5
@@ -176,7 +177,7 @@ def imbalance(df: DataFrame, cls: str) -> DataFrame:
 
 
 def minority_classes(df: DataFrame, cls: str) -> DataFrame:
-    counts = _class_counts(df, cls)
+    counts = materialise(_class_counts(df, cls))
     top, total = counts.agg(F.max("n")).scalar(), df.agg(F.count(F.lit(1))).scalar()
     return counts.filter(F.col("n") < top * MINORITY_SHARE).select(
         F.col("cls").alias(cls), F.col("n").alias("n_rows"), F.round(F.col("n") / total * 100, 2).alias("pct")
@@ -185,7 +186,7 @@ def minority_classes(df: DataFrame, cls: str) -> DataFrame:
 
 def balance_targets(df: DataFrame, cls: str, classes: Sequence[str] = tuple(SYNTHETIC_CLASSES)) -> DataFrame:
     """Rows each listed class needs to reach the largest class; classes that need none are left out."""
-    counts = _class_counts(df, cls)
+    counts = materialise(_class_counts(df, cls))
     listed = df.sparkSession.createDataFrame([(c,) for c in classes], "cls string")
     # One row per listed class on either side of the join.
     top = counts.agg(F.max("n")).scalar()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import ordered
+from tidemark.session import materialise
 
 
 def is_id(name: str) -> bool:
@@ -77,6 +78,7 @@ def high_cardinality(df: DataFrame, col: str, threshold: int = 50, n: int = 5) -
     (section, position, value, n_rows, percentage); equal counts are ordered by value.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = materialise(counts)  # read five times below
     facts = counts.agg(
         F.count(F.lit(1)).alias("total_unique"), F.count_if(F.col("n_rows") == 1).alias("singleton_count")
     )

@@ -54,32 +54,53 @@ def group_max_rows(df, group, metric, date, since) -> DataFrame:
 def gt_all_prior(df, group, metric, date, since, days: int = 90) -> DataFrame:
     """Rows above every value of their group in the previous ``days`` days.
 
-    Rows are reduced to one maximum per (group, date value); a date looks back over its own
-    and the previous ``days``-long slice only, so slices, not whole groups, form the windows.
-    A null in the range makes the comparison unknown and drops the row.
+    Time is cut into hours.  What a row looks back on is the whole hours in between, the
+    part of its own hour before it and the part of the oldest hour within reach: the first
+    comes from one maximum per (group, hour), the other two from windows within an hour.
+    No window holds a whole group.  A null in the range makes the comparison unknown and
+    drops the row.
     """
-    span = days * 86_400_000_000
+    unit = 3_600_000_000
+    reach = days * 24
     micros = F.unix_micros(F.col(date).cast("timestamp"))
     peaks = (
         df.filter(F.col(date).isNotNull() & F.col(group).isNotNull())
         .groupBy(group, date)
-        .agg(F.max(metric).alias("peak"), F.max(F.col(metric).isNull()).alias("has_null"))
+        .agg(F.max(metric).alias("__peak"), F.max(F.col(metric).isNull()).alias("__null"))
         .withColumn("__t", micros)
+        .withColumn("__u", F.floor(F.col("__t") / F.lit(unit)))
     )
-    slice_no = F.floor(F.col("__t") / F.lit(span))
-    peaks = peaks.withColumn("__slice", F.explode(F.array(slice_no, slice_no + 1)))
-    peaks = peaks.withColumn("__own", F.col("__slice") == slice_no)
-    w = Window.partitionBy(group, "__slice").orderBy("__t").rangeBetween(-span, -1)
+    hours = peaks.groupBy(group, "__u").agg(F.max("__peak").alias("__peak"), F.max("__null").alias("__null"))
+    between = Window.partitionBy(group).orderBy("__u").rangeBetween(-(reach - 1), -1)  # one row per hour
+    hours = hours.select(
+        group, "__u", F.max("__peak").over(between).alias("__mid"), F.max("__null").over(between).alias("__mid_null")
+    )
+    # the oldest hour, moved forward by the reach, meets the rows that look back on it
+    old = peaks.withColumns({"__t": F.col("__t") + F.lit(reach * unit), "__u": F.col("__u") + reach, "__own": F.lit(False)})
+    both = peaks.withColumn("__own", F.lit(True)).unionByName(old)
+    hour = Window.partitionBy(group, "__u").orderBy("__t")
+    before = hour.rangeBetween(Window.unboundedPreceding, -1)
+    within = hour.rangeBetween(0, Window.unboundedFollowing)
+
+    def own(c):
+        return F.max(F.when(F.col("__own"), F.col(c))).over(before)
+
+    def aged(c):
+        return F.max(F.when(~F.col("__own"), F.col(c))).over(within)
+
     bars = (
-        peaks.withColumn("__bar", F.max("peak").over(w))
-        .withColumn("__unknown", F.max("has_null").over(w))
+        both.withColumns({"__cur": own("__peak"), "__cur_null": own("__null"), "__far": aged("__peak"), "__far_null": aged("__null")})
         .filter("__own")
-        .select(group, date, "__bar", "__unknown")
+        .join(hours, [group, "__u"])
+        .select(
+            group,
+            date,
+            F.greatest("__mid", "__cur", "__far").alias("__bar"),
+            F.greatest(*[F.coalesce(F.col(c), F.lit(False)) for c in ("__mid_null", "__cur_null", "__far_null")]).alias("__unknown"),
+        )
     )
     rows = since_filter(df, date, since).select(group, date, metric)
-    kept = rows.join(bars, [group, date]).filter(
-        ~F.coalesce(F.col("__unknown"), F.lit(False)) & (F.col("__bar").isNull() | (F.col(metric) > F.col("__bar")))
-    )
+    kept = rows.join(bars, [group, date]).filter(~F.col("__unknown") & (F.col("__bar").isNull() | (F.col(metric) > F.col("__bar"))))
     return kept.select(group, metric)
 
 
