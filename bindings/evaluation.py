@@ -69,7 +69,24 @@ def _(t):
     return ev.rouge2(statement_log(t), "event_id", "predicted", "sql")
 
 
-@register("eval_rouge_l", None, {"rougel_precision": 9, "rougel_recall": 9, "rougel_fmeasure": 9})
+# One step of the recursion adds one predicted word: a cell is the better of the cell above and one more than the best
+# cell left of a match.
+_STEP = """list_transform(range(1, len(g) + 1), lambda j: greatest(cells[j], coalesce(list_max(list_transform(range(1, j + 1),
+  lambda i: CASE WHEN g[i] = p[k + 1] THEN CASE WHEN i = 1 THEN 1 ELSE cells[i - 1] + 1 END ELSE 0 END)), 0)))"""
+
+
+@register(
+    "eval_rouge_l",
+    f"""WITH RECURSIVE w AS (SELECT event_id, {_words('predicted')} AS p, {_words('sql')} AS g FROM ({LOG}) log),
+    u AS (SELECT DISTINCT p, g FROM w),
+    dp AS (SELECT p, g, 0 AS k, list_transform(range(1, len(g) + 1), lambda j: 0::BIGINT) AS cells FROM u
+      UNION ALL SELECT p, g, k + 1, {_STEP} FROM dp WHERE k < len(p)),
+    l AS (SELECT p, g, CASE WHEN len(g) = 0 THEN 0 ELSE cells[len(g)] END AS hits FROM dp WHERE k = len(p)),
+    s AS (SELECT event_id, CASE WHEN len(w.p) = 0 THEN 0 ELSE hits::DOUBLE / len(w.p) END AS pr, CASE WHEN len(w.g) = 0 THEN 0 ELSE hits::DOUBLE / len(w.g) END AS re
+      FROM w JOIN l ON w.p = l.p AND w.g = l.g)
+    SELECT event_id, pr AS rougel_precision, re AS rougel_recall, CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END AS rougel_fmeasure FROM s""",
+    {"rougel_precision": 9, "rougel_recall": 9, "rougel_fmeasure": 9},
+)
 def _(t):
     return ev.rouge_l(statement_log(t), "event_id", "predicted", "sql")
 

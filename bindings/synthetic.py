@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from bindings.corpus import raw
-from bindings.registry import register
+from bindings.corpus import RAW, raw
+from bindings.registry import ORACLES, register
 from tidemark.operators import corpus
 from tidemark.plans import synthetic
 
@@ -17,7 +17,14 @@ def _(t):
     return synthetic.generate(t.spark, targets(t))
 
 
-@register("synth_eligible")
+_NEED = ORACLES["corpus_balance_targets"]
+
+
+@register(
+    "synth_eligible",
+    # every one of the 15 templates of a class fits every one of the 11 domains
+    f"SELECT sql_complexity, needed, 165 AS n_pairs, 15 AS n_templates, 11 AS n_domains, round(needed / 165, 4) AS rows_per_pair FROM ({_NEED}) n",
+)
 def _(t):
     """Usable template-domain pairs per class, against the rows that class needs."""
     pairs = synthetic.eligible(synthetic.template_table(t.spark), synthetic.domain_table(t.spark))
@@ -28,6 +35,16 @@ def _(t):
     return both.withColumn("rows_per_pair", F.round(F.col("needed") / F.col("n_pairs"), 4))
 
 
+@register(
+    "corpus_merge_synthetic",
+    f"""WITH k AS (SELECT sql_complexity, count(*) AS n FROM ({RAW}) r WHERE sql_complexity IS NOT NULL GROUP BY 1)
+    SELECT sql_complexity, coalesce(n, 0) AS before, coalesce(n, 0) + coalesce(needed, 0) AS after, coalesce(needed, 0) AS added
+    FROM k FULL JOIN ({_NEED}) t USING (sql_complexity)""",
+)
+def _(t):
+    return corpus.merge_report(raw(t), synthetic.generate(t.spark, targets(t)), "sql_complexity")
+
+
 _TEMPLATE = "SELECT {group_col}, SUM({metric_col}) FROM {table1} WHERE {group_col} > {threshold} LIMIT {top_n}"
 
 

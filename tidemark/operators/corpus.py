@@ -190,7 +190,7 @@ def balance_targets(df: DataFrame, cls: str, classes: Sequence[str] = tuple(SYNT
     listed = df.sparkSession.createDataFrame([(c,) for c in classes], "cls string")
     # One row per listed class on either side of the join.
     top = counts.agg(F.max("n")).scalar()
-    both = F.broadcast(listed).join(counts.filter(F.col("cls").isin(*classes)), "cls", "left")
+    both = listed.join(counts.filter(F.col("cls").isin(*classes)), "cls", "left")
     need = top - F.coalesce("n", F.lit(0))
     return both.select(F.col("cls").alias(cls), need.alias("needed")).filter(F.col("needed") > 0)
 
