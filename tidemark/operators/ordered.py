@@ -78,16 +78,18 @@ def split_runs(
     desc: bool = False,
     runs: int | None = None,
 ) -> Runs:
-    """Range-partition the rows into runs and write them."""
-    spark = df.sparkSession
-    n = runs or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition the rows into runs and write them.
+
+    Without ``runs`` there are at most ``spark.sql.shuffle.partitions``; AQE joins small
+    neighbouring ones, so their number follows the data.
+    """
     constant = not part
     if constant:
         df, part = df.withColumn(_ALL, F.lit(0)), [_ALL]
     keys = [F.col(p).asc() for p in part]
     keys.append(F.col(order).desc() if desc else F.col(order).asc())
     keys += [F.col(t).asc() for t in tie]
-    cut = df.repartitionByRange(n, *keys).withColumn(RUN, F.spark_partition_id())
+    cut = df.repartitionByRange(*([runs] if runs else []), *keys).withColumn(RUN, F.spark_partition_id())
     return Runs(materialise(cut), list(part), order, desc, list(tie), constant)
 
 
