@@ -80,9 +80,14 @@ def split_runs(
 ) -> Runs:
     """Range-partition the rows into runs and write them.
 
-    Without ``runs`` there are at most ``spark.sql.shuffle.partitions``; AQE joins small
-    neighbouring ones, so their number follows the data.
+    Without ``runs`` there are at most ``spark.sql.shuffle.partitions``.  As many as the
+    executors can take at once are kept as they are; of more, AQE joins small neighbouring
+    ones, so that their number follows the data.
     """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if runs is None and n <= 2 * spark.sparkContext.defaultParallelism:
+        runs = n
     constant = not part
     if constant:
         df, part = df.withColumn(_ALL, F.lit(0)), [_ALL]
