@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import license_scan as licenses
+from tidemark.llm.bitplanes import read_tokens, write_tokens
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.packing import pack_powers_of_two
 from tidemark.llm.sharding import hypergeometric_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +29,22 @@ def query(name: str, oracle: str | None = None):
     return bind
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+# --- 1: packing -------------------------------------------------------------------------------
+
+
+@query("op1_packing")
+def _(docs):
+    out = pack_powers_of_two(docs, vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 # --- 2: license scan --------------------------------------------------------------------------
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,6 +96,15 @@ def _(docs):
     return license_scan(docs)
 
 
+# --- 3: token-id files ------------------------------------------------------------------------
+
+
+@query("op3_bit_planes")
+def _(docs):
+    path = write_tokens(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 # --- 4: line dedup ----------------------------------------------------------------------------
 
 
