@@ -47,7 +47,8 @@ def surviving_slots(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keys = materialise(
         _length_and_prefix(docs.select(F.col(text_col).alias("text")), "text", ["norm", "length", "prefix"]).select("length", "prefix")
     )
-    lengths = keys.groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("length")
+    # written, so that the size of this short list is known when the join is planned
+    lengths = materialise(keys.groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("length"))
     pairs = keys.join(lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return pairs.select(F.pmod(F.xxhash64("length", "prefix"), F.lit(SLOTS)).alias("slot")).distinct()
 

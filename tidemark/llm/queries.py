@@ -13,6 +13,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.packing import pack_powers_of_two
+from tidemark.llm.quality import quality_rules
 from tidemark.llm.sharding import hypergeometric_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,11 @@ FROM hashed WINDOW w AS (PARTITION BY text_sha256)
 def _(docs):
     out = exact_dedup(docs.select("doc_id", "text"), with_digest=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+# --- 10: quality rules ------------------------------------------------------------------------
+
+
+@query("op10_quality_rules")
+def _(docs):
+    return quality_rules(docs).drop("k1", "k2")
