@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import license_scan as licenses
 from tidemark.llm.bitplanes import read_tokens, write_tokens
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.langid import identify_languages
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.packing import pack_powers_of_two
@@ -130,6 +131,14 @@ def _(docs):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+# --- 5: language identification --------------------------------------------------------------
+
+
+@query("op5_language_id")
+def _(docs):
+    return identify_languages(docs).drop("k1", "k2")
+
+
 # --- 6: sharding ------------------------------------------------------------------------------
 
 
