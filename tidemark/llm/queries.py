@@ -13,6 +13,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.langid import identify_languages
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
+from tidemark.llm.nbest import encode_nbest
 from tidemark.llm.packing import pack_powers_of_two
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.sharding import hypergeometric_shards
@@ -150,6 +151,15 @@ def _(docs):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# --- 8: n-best segmentation -------------------------------------------------------------------
+
+
+@query("op8_nbest_pieces")
+def _(docs):
+    out = encode_nbest(docs, vocabulary("piece_bpe_32k.model"), best=4)
+    return out.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 # --- 9: exact dedup ---------------------------------------------------------------------------
 
 
