@@ -1,24 +1,79 @@
-"""Corpus pipeline: stages over ``documents``, each applying one operator of ``tidemark.llm``."""
+"""Corpus pipeline: stages over ``documents``, each applying one operator of ``tidemark.llm``.
+
+Every stage but the last returns rows of its input, with the columns of ``documents``; the last
+returns packed sequences.  A stage sees all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.common import fresh, row_keys
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.jaccard_join import near_duplicates
+from tidemark.llm.langid import identify_languages
+from tidemark.llm.packing import pack_powers_of_two
+from tidemark.llm.quality import quality_rules
 from tidemark.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document goes if fewer of its words than this agree on a language.
+LEAST_AGREEMENT = 0.4
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _without(docs: DataFrame, rejected: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` without the rows whose keys over ``columns`` are in ``rejected (k1, k2)``.
+
+    The rejected keys are written, so that few of them are broadcast and many are joined.
+    """
+    k1, k2 = fresh(docs, "k1", "k2")
+    one, two = row_keys(docs, *columns)
+    gone = materialise(rejected.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct())
+    return docs.withColumns({k1: one, k2: two}).join(gone, [k1, k2], "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that fail the base rules or lie outside the perplexity band of their language."""
+    return _without(docs, quality_rules(docs).filter("NOT kept"), "doc_id", "text", "lang")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letters or whose words agree on no language."""
+    found = identify_languages(docs)
+    return _without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_AGREEMENT)), "doc_id", "text")
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One document of each group of equal texts stays."""
     return exact_dedup(docs).filter("kept").select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked texts stays, that with the smallest id."""
+    found = near_duplicates(docs)
+    return _without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id", "text")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as sequences whose lengths are powers of two."""
+    return pack_powers_of_two(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("language_id", language),
+    ("exact_dedup", exact_copies),
+    ("ngram_jaccard", near_copies),
+    ("packing", packed),
+]
 
+#: Perplexity, CRF labels and token ids are beyond SQL; tests compare the stages with plain versions.
 ORACLE_SQL: str | None = None
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import license_scan as licenses
 from tidemark.llm.bitplanes import read_tokens, write_tokens
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.langid import identify_languages
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
@@ -151,6 +152,14 @@ def _(docs):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# --- 7: n-gram Jaccard join -------------------------------------------------------------------
+
+
+@query("op7_ngram_jaccard")
+def _(docs):
+    return near_duplicates(docs).drop("k1", "k2")
+
+
 # --- 8: n-best segmentation -------------------------------------------------------------------
 
 
