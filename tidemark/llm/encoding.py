@@ -1,9 +1,12 @@
-"""Ids of whole texts by a file of the ``tokenizers`` library, with pieces between spaces remembered.
+"""Ids of whole texts by a file of the ``tokenizers`` library, remembering words.
 
-Both tokenizer kinds here cut a text before a space that precedes a visible character, whatever
-stands around it: byte-level BPE attaches such a space to the word after it, the word BPE drops
-it.  So a text's ids are the ids of its pieces one after another, and a piece that was seen
-before needs no second encoding.  A text that may hold a special token is encoded whole.
+The tokenizers here cut a text into words by a pattern and encode each word by itself.  A text of
+common characters is cut by the same pattern here, and only words that the worker has not seen
+go to the library's model.
+
+Classes and normal forms of other characters depend on the library.  A text with any is cut
+where both kinds of tokenizer cut, before a space that precedes a visible character; pieces with
+such characters are encoded by the library whole.  So is a text that may hold a special token.
 """
 
 from __future__ import annotations
@@ -13,8 +16,36 @@ from array import array
 
 from tidemark.llm.common import process_memo
 
-#: Pieces remembered by one Python worker; the memory is emptied when full and changes no result.
-MEMORY = 300_000
+#: Words remembered by one Python worker; the memory is emptied when full, which changes no result.
+WORDS = 800_000
+#: Letters below U+02B0, and characters with no doubt about their class: these, digits, signs and plain white space.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
+COMMON = re.compile("[\t\n\r -~¡-¬®-±´-¸º»¿-ʯ]*")
+#: What the tokenizers' patterns (fixed values) say for common characters; letters first, as they are most frequent.
+SPACED = rf" ?(?:[{LETTERS}]+|[0-9]+)|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+"
+UNSPACED = rf"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}0-9]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in vocabularies of byte-level BPE: visible Latin-1
+    characters stand for themselves, the others follow from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Ids of words; a new one is encoded when it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        known = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        ids = self[word] = array("I", [t.id for t in known]).tobytes()
+        return ids
 
 
 class PieceEncoder:
@@ -28,48 +59,27 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        kind = spec.get("pre_tokenizer") or {}
-        last = kind["pretokenizers"][-1] if kind.get("type") == "Sequence" else kind
-        #: whether a piece keeps the space before it
-        self.spaced = last.get("type") == "ByteLevel" and bool(last.get("use_regex"))
-        self.memory: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes] = {"": b""}
+        #: whether a word keeps the space before it
+        self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
+        self.cut_words = re.compile(SPACED if self.spaced else UNSPACED).findall
+        self.words = _Words(self.tokenizer.model)
         self.cut = re.compile(r" (?=\S)")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, pieces: list[str], memory: dict, lead: str) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in memory))
-        if not new:
-            return
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list(dict.fromkeys(pieces))
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            memory[piece] = array("I", got.ids).tobytes()
+    def common(self, text: str) -> bytes:
+        """Ids of a text of common characters."""
+        return b"".join(map(self.words.__getitem__, self.cut_words(text if self.spaced else text.lower())))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        pieces = text.split(" ")
-        if self.spaced and not all(pieces[1:]) or any(map(str.isspace, map(_head, pieces[1:]))):
-            pieces = self.cut.split(text)
-        head, rest = pieces[0], pieces[1:]
-        lead = " " if self.spaced else ""
-        get = self.memory.get
-        try:
-            tail = b"".join(map(get, rest))
-        except TypeError:  # a piece is not known yet
-            self._learn(rest, self.memory, lead)
-            tail = b"".join(map(self.memory.get, rest))
-        if head not in self.first:
-            self._learn([head], self.first, "")
-        return self.first[head] + tail
-
-
-def _head(piece: str) -> str:
-    return piece[:1]
+        if COMMON.fullmatch(text):
+            return self.common(text)
+        head, *rest = self.cut.split(text)
+        pieces = [head, *(" " + piece for piece in rest)]
+        return b"".join(self.common(p) if COMMON.fullmatch(p) else self.whole(p) for p in pieces)
 
 
 def encoder(path: str) -> PieceEncoder:
