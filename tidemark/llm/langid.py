@@ -34,7 +34,7 @@ EPOCHS, BATCH, RATE = 4, 64, 0.3
 #: Words of one block of the blocked forward-backward pass.
 BLOCK = 128
 #: Characters of text handled at a time, and words remembered by one Python worker.
-HELD, MEMORY = 2_000_000, 300_000
+HELD, MEMORY = 2_000_000, 600_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,13 +44,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+class _Numbers(dict):
+    """Feature numbers of letter groups, remembered."""
+
+    def __missing__(self, group: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        number = self[group] = zlib.crc32(group.encode()) % FEATURES
+        return number
+
+
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Feature numbers of a lower-case word."""
-    marked = f"<{word}>"
-    found = [f"p{word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"s{word[-k:]}" for k in (1, 2, 3) if len(word) >= k]
-    found += {f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)}
-    found += [f"l{lang}" for lang in lexicon.get(word, ())] + [f"n{min(len(word), 12)}"]
-    return sorted({zlib.crc32(f.encode()) % FEATURES for f in found})
+    """Feature numbers of a lower-case word; affixes are letter groups with the mark of an end."""
+    numbers = process_memo("feature_numbers").setdefault("of", _Numbers())
+    marked, n = f"<{word}>", len(word) + 2
+    groups = [marked[i : i + 2] for i in range(n - 1)] + [marked[i : i + 3] for i in range(n - 2)] + [marked[:4], marked[-4:], f"#{min(n, 14)}"]
+    groups += [f"={lang}" for lang in lexicon.get(word, ())]
+    return [numbers[g] for g in dict.fromkeys(groups)]
 
 
 def forward_backward(emissions, transitions, starts):
