@@ -48,7 +48,7 @@ class LineRuns:
             .option("path", path)
             .saveAsTable(name)
         )
-        self.paths[name] = path
+        self.paths[name], self.schema = path, rows.schema
         return name
 
     def runs(self) -> list[str]:
@@ -56,7 +56,7 @@ class LineRuns:
 
     def merged(self, runs: list[str]) -> DataFrame:
         # read as files, not as bucketed tables: a union of those does not keep a bucket's rows together
-        return self.spark.read.parquet(*[self.paths[r] for r in runs]).groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        return self.spark.read.schema(self.schema).parquet(*[self.paths[r] for r in runs]).groupBy("a", "b").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame) -> None:
         """Merge-anti-join ``batch (a, b, docs, last)`` with every run, then add it as a run of its own."""
