@@ -7,10 +7,11 @@ a search from the end: A-star leaves its queue in the order of whole-text scores
 complete paths are the N best segmentations.
 
 A position that no piece spans cuts the lattice: before a run of spaces, and between characters
-that are neighbours in no piece.  The search runs on the parts between cuts, which are short and
-repeat, and are remembered.  The N best of a whole text use at most N - 1 parts that are not
-segmented best, and these are among the N - 1 parts that lose least by it; their combinations
-are searched in the same way, on the lattice of parts.
+of groups that no piece joins.  Between cuts lie short parts that repeat.  A forward pass over a
+part gives its best segmentation and the loss of its second best; both are remembered.  The N best
+of a text use at most N - 1 parts that are not segmented best, and these are among the N - 1 parts
+that lose least by it.  Only these are searched backwards, and their combinations in the same
+way, on the lattice of parts.
 """
 
 from __future__ import annotations
@@ -29,10 +30,25 @@ from tidemark.llm.common import by_bytes, process_memo
 SPACE = "▁"
 #: A spelled character costs this much more than the worst piece (fixed value of the format).
 UNKNOWN_PENALTY = 10
-#: Parts remembered by one Python worker; characters of text handled at a time.
-MEMORY, HELD = 300_000, 1_000_000
+#: Parts remembered by one Python worker, and of these searched backwards; characters of text handled at a time.
+MEMORY, SEARCHED, HELD = 600_000, 50_000, 1_000_000
 LOWEST = float("-inf")
-RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+
+class _Parts(dict):
+    """Numbers of parts; a new one is segmented when it is asked for."""
+
+    def __init__(self, lattice: PieceLattice):
+        self.lattice = lattice
+
+    def __missing__(self, part: str) -> int:
+        score, loss, ids = self.lattice.best_and_loss(part)
+        lattice = self.lattice
+        number = self[part] = len(lattice.blobs)
+        lattice.blobs.append(array("I", ids).tobytes())
+        lattice.scores.append(score)
+        lattice.losses.append(loss)
+        return number
 
 
 class PieceLattice:
@@ -60,17 +76,67 @@ class PieceLattice:
         self.begins: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
         self.begins.update(self.pieces)
         self.unknown = min(score for _, score in self.pieces.values()) - UNKNOWN_PENALTY
-        self.together = {pair for p in self.pieces for pair in zip(p, p[1:])}
-        self.parts: dict[str, list] = {}
+        self.cut = re.compile(self._parts_pattern()).findall
+        self.searched: dict[str, list[tuple[float, bytes]]] = {}
+        self.parts = _Parts(self)
         self.forget()
 
+    def _parts_pattern(self) -> str:
+        """Spaces and a run of one group of characters; groups are what pieces join, directly or not."""
+        group: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                c = group[c]
+            return c
+
+        for piece in self.pieces:
+            for a, b in zip(piece, piece[1:]):
+                if SPACE not in (a, b):
+                    group[root(a)] = root(b)
+        members: dict[str, list[str]] = {}
+        for c in group:
+            members.setdefault(root(c), []).append(c)
+        runs = ["[" + re.escape("".join(sorted(m))) + "]+" for m in sorted(members.values(), key=len, reverse=True) if len(m) > 1]
+        return f"{SPACE}*(?:{'|'.join([*runs, f'[^{SPACE}]'])})|{SPACE}+"
+
     def forget(self) -> None:
         self.parts.clear()
-        self.units: dict[str, int] = {}
-        self.known: list[list[tuple[float, bytes]]] = []
         self.blobs: list[bytes] = []
         self.losses, self.scores = array("d"), array("d")
 
+    def best_and_loss(self, text: str) -> tuple[float, float, list[int]]:
+        """Forward Viterbi with the best two scores: the best, what the second loses, ids of the best."""
+        begins, size = self.begins, len(text)
+        one, two, back = [0.0] + [LOWEST] * size, [LOWEST] * (size + 1), [None] * (size + 1)
+        for start in range(size):
+            best, second = one[start], two[start]
+            end, hit = start + 1, begins.get(text[start], False)
+            if not hit:
+                score = best + self.unknown
+                if score > one[end]:
+                    one[end], two[end], back[end] = score, max(one[end], second + self.unknown), (start, None)
+                elif score > two[end]:
+                    two[end] = score
+            while hit is not False:
+                if hit:
+                    number, weight = hit
+                    score, old = best + weight, one[end]
+                    if score > old:
+                        other = second + weight
+                        one[end], two[end], back[end] = score, old if old > other else other, (start, number)
+                    elif score > two[end]:
+                        two[end] = score
+                end += 1
+                hit = begins.get(text[start:end], False) if end <= size else False
+        ids: list[int] = []
+        at = size
+        while at:
+            start, number = back[at]
+            ids[:0] = [number] if number is not None else [self.spelling[b] for b in text[start].encode()]
+            at = start
+        return one[size], one[size] - two[size], ids
+
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """By end position: start, score and ids of each edge."""
         found: list[list] = [[] for _ in range(len(text) + 1)]
@@ -130,51 +196,13 @@ class PieceLattice:
                 heapq.heappush(queue, (-(behind + score + ahead[at - 1]), [k, *picks], at - 1, behind + score))
         return found
 
-    def segment(self, unit: str) -> list[tuple[float, bytes]]:
-        """The best segmentations of a unit, part by part between cuts."""
-        cuts = [i for i in range(1, len(unit)) if (unit[i - 1], unit[i]) not in self.together]
-        options = []
-        for a, b in zip([0, *cuts], [*cuts, len(unit)]):
-            part = unit[a:b]
-            if part not in self.parts:
-                self.parts[part] = [(score, array("I", ids).tobytes()) for score, ids in self.search(part)]
-            options.append(self.parts[part])
-        if len(options) == 1:
-            return options[0]
-        return [(score, b"".join(options[i][k][1] for i, k in enumerate(picks))) for score, picks in self._chosen(options)]
-
-    def _chosen(self, options: list[list[tuple[float, bytes]]]) -> list[tuple[float, list[int]]]:
-        """``combine`` on the lists that can take part: those that lose least by their second option."""
-        open_ = [i for i, o in enumerate(options) if len(o) > 1]
-        least = sorted(heapq.nsmallest(self.best - 1, open_, key=lambda i: (options[i][0][0] - options[i][1][0], i)))
-        fixed = sum(o[0][0] for o in options) - sum(options[i][0][0] for i in least)
-        out = []
-        for score, picks in self.combine([options[i] for i in least]):
-            chosen = [0] * len(options)
-            for i, k in zip(least, picks):
-                chosen[i] = k
-            out.append((fixed + score, chosen))
-        return out
-
-    def unit_numbers(self, text: str) -> list[int]:
-        units = text.split(" ")
-        if "" in units or SPACE in text:
-            units = [u[1:] for u in RUN.findall(SPACE + text.replace(" ", SPACE))]
-        if len(self.units) > MEMORY or len(self.parts) > MEMORY:
-            self.forget()
-        get = self.units.get
-        numbers = list(map(get, units))
-        if None in numbers:
-            for u in units:
-                if u not in self.units:
-                    self.units[u] = len(self.known)
-                    best = self.segment(SPACE + u)
-                    self.known.append(best)
-                    self.blobs.append(best[0][1])
-                    self.scores.append(best[0][0])
-                    self.losses.append(best[0][0] - best[1][0] if len(best) > 1 else float("inf"))
-            numbers = list(map(self.units.__getitem__, units))
-        return numbers
+    def options(self, part: str) -> list[tuple[float, bytes]]:
+        """The best segmentations of a part, searched backwards."""
+        if part not in self.searched:
+            if len(self.searched) >= SEARCHED:
+                self.searched.clear()
+            self.searched[part] = [(score, array("I", ids).tobytes()) for score, ids in self.search(part)]
+        return self.searched[part]
 
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The best segmentations of a whole text, best first: score, ids (little-endian, 32 bit)."""
@@ -182,20 +210,19 @@ class PieceLattice:
 
         if not text:
             return [(0.0, b"")]
-        numbers = self.unit_numbers(text)
+        if len(self.parts) > MEMORY:
+            self.forget()
+        parts = self.cut(SPACE + text.replace(" ", SPACE))
+        numbers = list(map(self.parts.__getitem__, parts))
         at = np.array(numbers)
         total = float(np.frombuffer(self.scores)[at].sum())
         losses = np.frombuffer(self.losses)[at]
         k = min(self.best - 1, len(at))
-        if k:
-            border = np.partition(losses, k - 1)[k - 1]
-            near = np.flatnonzero(losses <= border)
-            near = near[np.isfinite(losses[near])]
-            least = sorted(near[np.argsort(losses[near], kind="stable")][:k].tolist())
-        else:
-            least = []
-        blobs = [self.blobs[i] for i in numbers]
-        options = [self.known[numbers[i]] for i in least]
+        near = np.flatnonzero(losses <= np.partition(losses, k - 1)[k - 1]) if k else at[:0]
+        near = near[np.isfinite(losses[near])]
+        least = sorted(near[np.argsort(losses[near], kind="stable")][:k].tolist())
+        blobs = list(map(self.blobs.__getitem__, numbers))
+        options = [self.options(parts[i]) for i in least]
         base = total - sum(o[0][0] for o in options)
         out = []
         for score, picks in self.combine(options):
