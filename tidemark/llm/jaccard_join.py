@@ -310,7 +310,7 @@ def _join(percent: int):
         import numpy as np
         import pyarrow as pa
 
-        key, tree, names, sets, parent, out = None, None, [], [], [], []
+        key, last, tree, names, sets, parent, out = None, None, None, [], [], [], []
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -343,7 +343,10 @@ def _join(percent: int):
             for i, (ca, cb, chunk, itself, probe, a, b) in enumerate(zip(*cols)):
                 if (ca, cb, chunk, itself) != key:
                     grown()
-                    key, tree, names, sets, parent = (ca, cb, chunk, itself), None, [], [], []
+                    key, last, tree, names, sets, parent = (ca, cb, chunk, itself), None, None, [], [], []
+                if last == (probe, a, b):
+                    continue  # a copy from another partition
+                last = (probe, a, b)
                 s = np.frombuffer(grams[i].as_buffer(), np.uint64)
                 if not probe:
                     parent.append(len(sets))
@@ -442,15 +445,6 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
     )
     crossing = materialise(crossing.select("a", "b", F.col("other").alias("cluster")).distinct())
 
-    # the sets of all classes that stand in a cluster
-    slot = F.pmod(F.col("a"), F.lit(NEEDED))
-    bits = placed.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(a, {NEEDED}), 64) as int))").alias("bit"))
-    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    needed = spark.sparkContext.broadcast((shared.value, _bitmap(bits)))
-    sets = texts.mapInArrow(_sets(words, needed), "a long, b long, grams binary")
-    # copies in other partitions are equal: one of them stays
-    sets = materialise(sets.join(placed.select("a", "b"), ["a", "b"], "left_semi").dropDuplicates(["a", "b"]))
-
     found = []
     members = placed.select("cluster", "chunk", (F.col("chunks") == 1).alias("itself"), F.lit(False).alias("probe"), "a", "b")
     centres = placed.select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks").distinct()
@@ -462,7 +456,7 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
         # first each block of a large cluster by itself and with the centre ...
         own = large.select("cluster", "chunk", F.lit(True).alias("itself"), F.lit(False).alias("probe"), "a", "b")
         centre = centres.filter("chunks > 1").select("cluster", "chunk", F.lit(True).alias("itself"), F.lit(True).alias("probe"), F.col("cluster.a").alias("a"), F.col("cluster.b").alias("b"))
-        first = materialise(_blocks(own.unionByName(centre), sets, percent))
+        first = materialise(_blocks(own.unionByName(centre), texts, words, percent, shared))
         found.append(first)
         # ... then those that are not connected with the centre, in the other blocks
         labels = materialise(connected_components(first.select(_node("a1", "b1").alias("u"), _node("a2", "b2").alias("v"))))
@@ -472,7 +466,7 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
         apart = labelled.filter(~F.coalesce(F.col("label"), F.col("node")).eqNullSafe(F.coalesce(F.col("centre_label"), F.col("cluster"))))
         apart = apart.select("cluster", F.col("chunk").alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "a", "b")
         probes = probes.unionByName(apart.filter("chunk != home").select("cluster", "chunk", F.lit(False).alias("itself"), "a", "b"))
-    second = _blocks(members.unionByName(probes.distinct().withColumn("probe", F.lit(True))), sets, percent)
+    second = _blocks(members.unionByName(probes.distinct().withColumn("probe", F.lit(True))), texts, words, percent, shared)
     found.append(materialise(second))
     out = found[0]
     for more in found[1:]:
@@ -480,8 +474,19 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
     return out
 
 
-def _blocks(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Walk the probes of each block through the tree of its members."""
+def _blocks(tasks: DataFrame, texts: DataFrame, words: int, percent: int, shared) -> DataFrame:
+    """Walk the probes of each block through the tree of its members.
+
+    The sets are made again from the texts, only for classes that stand in ``tasks``.  Copies of
+    a class in several partitions send the same set; a block drops them when they arrive.
+    """
+    spark = tasks.sparkSession
+    tasks = materialise(tasks)
+    slot = F.expr(f"pmod(a, {NEEDED})")
+    bits = tasks.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(a, {NEEDED}), 64) as int))").alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    needed = spark.sparkContext.broadcast((shared.value, _bitmap(bits)))
+    sets = texts.mapInArrow(_sets(words, needed), "a long, b long, grams binary")
     rows = tasks.join(sets, ["a", "b"]).select("cluster.a", "cluster.b", "chunk", "itself", "probe", F.col("a").alias("xa"), F.col("b").alias("xb"), "grams")
     rows = rows.toDF("ca", "cb", "chunk", "itself", "probe", "a", "b", "grams")
     dealt = rows.repartition("ca", "cb", "chunk").sortWithinPartitions("ca", "cb", "chunk", "itself", "probe", "a", "b")
