@@ -59,7 +59,7 @@ _V = validity_sql("sql")
 
 @register(
     "corpus_sql_validity",
-    f"""SELECT row_id, f IS NULL AS is_valid, split_part(f, ':', 1) AS error_type, substr(f, 1, 200) AS error_message FROM (SELECT row_id, {_V} AS f FROM ({RAW}) r) v""",
+    f"""SELECT row_id, f IS NULL AS is_valid, split_part(f, ':', 1) AS error_type, f AS error_message FROM (SELECT row_id, {_V} AS f FROM ({RAW}) r) v""",
 )
 def _(t):
     return corpus.flag_sql(raw(t), "sql").select("row_id", "is_valid", "error_type", "error_message")
@@ -67,7 +67,7 @@ def _(t):
 
 @register(
     "corpus_anomaly_report",
-    f"""SELECT split AS source, row_id AS row_index, sql AS sql_query, substr(f, 1, 200) AS error_message, split_part(f, ':', 1) AS error_type
+    f"""SELECT split AS source, row_id AS row_index, sql AS sql_query, f AS error_message, split_part(f, ':', 1) AS error_type
     FROM (SELECT *, {_V} AS f FROM ({RAW}) r) v WHERE f IS NOT NULL""",
 )
 def _(t):
@@ -214,12 +214,13 @@ def _(t):
 
 @register(
     "corpus_stratified_split",
-    """WITH d AS (SELECT doc_id, source, ('0x' || substr(md5('42:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+    """WITH d AS (SELECT doc_id, CASE WHEN source = 'src1' THEN NULL WHEN doc_id = 5 THEN 'alone' ELSE source END AS source, ('0x' || substr(md5('42:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM d)
-    SELECT doc_id, source, CASE WHEN k <= round(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r WHERE n >= 2""",
+    SELECT doc_id, source, CASE WHEN n >= 2 AND k <= round(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r""",
 )
 def _(t):
-    return corpus.stratified_split(t.documents.select("doc_id", "source"), "source", "doc_id")
+    source = F.when(F.col("source") == "src1", None).when(F.col("doc_id") == 5, "alone").otherwise(F.col("source"))
+    return corpus.stratified_split(t.documents.select("doc_id", source.alias("source")), "source", "doc_id")
 
 
 @register(
@@ -232,33 +233,40 @@ def _(t):
 
 
 _KEY = "input_text, sql"
+#: The engineered rows with null keys, in all splits.
+ENGN = f"SELECT * REPLACE (CASE WHEN row_id % 7 = 0 THEN NULL ELSE sql END AS sql) FROM ({ENG}) full_rows"
+
+
+def with_nulls(t):
+    return engineered(t).withColumn("sql", F.when(F.col("row_id") % 7 == 0, None).otherwise(F.col("sql")))
+
 
 
 @register(
     "corpus_leak_overlap",
     " UNION ALL ".join(
-        f"""SELECT '{a}' AS left_split, '{b}' AS right_split, count(*) AS n_shared FROM (SELECT {_KEY} FROM ({ENG}) e WHERE split = '{a}'
-        INTERSECT SELECT {_KEY} FROM ({ENG}) e WHERE split = '{b}') x"""
+        f"""SELECT '{a}' AS left_split, '{b}' AS right_split, count(*) AS n_shared FROM (SELECT {_KEY} FROM ({ENGN}) e WHERE split = '{a}'
+        INTERSECT SELECT {_KEY} FROM ({ENGN}) e WHERE split = '{b}') x"""
         for a, b in (("train", "val"), ("train", "test"), ("val", "test"))
     ),
 )
 def _(t):
-    return leakage.overlap(engineered(t), ["input_text", "sql"])
+    return leakage.overlap(with_nulls(t), ["input_text", "sql"])
 
 
 @register(
     "corpus_leak_remove",
-    f"""WITH e AS ({ENG}), h AS (SELECT DISTINCT {_KEY} FROM e WHERE split <> 'train')
+    f"""WITH e AS ({ENGN}), h AS (SELECT DISTINCT {_KEY} FROM e WHERE split <> 'train')
     SELECT * FROM e WHERE split <> 'train' UNION ALL SELECT * FROM e WHERE split = 'train' AND NOT EXISTS (
-    SELECT 1 FROM h WHERE h.input_text = e.input_text AND h.sql = e.sql)""",
+    SELECT 1 FROM h WHERE h.input_text = e.input_text AND h.sql IS NOT DISTINCT FROM e.sql)""",
 )
 def _(t):
-    return leakage.remove_leaks(engineered(t), ["input_text", "sql"])
+    return leakage.remove_leaks(with_nulls(t), ["input_text", "sql"])
 
 
 @register(
     "corpus_leak_report",
-    f"""WITH k AS (SELECT {_KEY}, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'val') AS va, count(*) FILTER (split = 'test') AS te FROM ({ENG}) e GROUP BY ALL),
+    f"""WITH k AS (SELECT {_KEY}, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'val') AS va, count(*) FILTER (split = 'test') AS te FROM ({ENGN}) e GROUP BY ALL),
     s AS (SELECT sum(tr) AS otr, sum(va) AS ova, sum(te) AS ote, sum(greatest(tr - 1, 0)) AS itr, sum(greatest(va - 1, 0)) AS iva, sum(greatest(te - 1, 0)) AS ite,
       count(*) FILTER (tr > 0 AND va + te > 0) AS cr, count(*) FILTER (tr > 0 AND va > 0) AS tv, count(*) FILTER (tr > 0 AND te > 0) AS tt,
       count(*) FILTER (va > 0 AND te > 0) AS vt FROM k)
@@ -267,7 +275,7 @@ def _(t):
     (ote - ite)::BIGINT AS final_test, (itr + iva + ite)::BIGINT AS total_intra, (itr + iva + ite + cr)::BIGINT AS total_removed, itr + iva + ite + cr > 0 AS leakage_cleaned FROM s""",
 )
 def _(t):
-    return leakage.leak_report(engineered(t), ["input_text", "sql"])
+    return leakage.leak_report(with_nulls(t), ["input_text", "sql"])
 
 
 @register(

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from bindings.corpus import ENG, RAW, engineered, raw
+from bindings.corpus import ENGN, RAW, raw, with_nulls
 from bindings.evaluation import validity_sql
 from bindings.registry import ORACLES, register
+from bindings.synthetic import catalogue
 from tidemark.plans import curation
 
 _V = f"(SELECT *, {validity_sql('sql')} AS f FROM ({RAW}) r)"
@@ -23,16 +24,16 @@ def _unpivot(stage, source, metrics):
     UNION ALL {_unpivot('balance', ORACLES['corpus_imbalance'], ['max_count', 'min_count', 'imbalance_ratio'])}
     UNION ALL SELECT 'generate', 'rows_needed', sum(needed)::DOUBLE FROM ({ORACLES['corpus_balance_targets']}) b
     UNION ALL {_unpivot('leakage', ORACLES['corpus_leak_report'], _LEAKS)}
-    UNION ALL SELECT 'clean', split || '_original', count(*)::DOUBLE FROM ({ENG}) e GROUP BY split
-    UNION ALL SELECT 'clean', split || '_removed', count(*) FILTER (regexp_matches(sql, '(?i)insert\\s+into'))::DOUBLE FROM ({ENG}) e GROUP BY split""",
+    UNION ALL SELECT 'clean', split || '_original', count(*)::DOUBLE FROM ({ENGN}) e GROUP BY split
+    UNION ALL SELECT 'clean', split || '_removed', count(*) FILTER (regexp_matches(sql, '(?i)insert\\s+into'))::DOUBLE FROM ({ENGN}) e GROUP BY split""",
     {"value": 6},
 )
 def _(t):
-    return curation.summary(raw(t), engineered(t))
+    return curation.summary(raw(t), with_nulls(t))
 
 
 @register("curation_end_to_end")
 def _(t):
     """Rows per split and class after all stages, synthetic rows included."""
-    out = curation.curate(raw(t))
+    out = curation.curate(raw(t), catalogue(t), on_overlap="drop")
     return out.groupBy("split", "sql_complexity").agg(F.count(F.lit(1)).alias("n_rows"))

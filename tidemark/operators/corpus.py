@@ -26,14 +26,14 @@ PROMPT_HEAD = "translate English to SQL: "
 
 
 def flag_sql(df: DataFrame, sql: str) -> DataFrame:
-    """Add is_valid, error_type and error_message (at most 200 characters)."""
+    """Add is_valid, error_type and error_message."""
     fault = sqltext.validity_error(F.col(sql))
     df = df.withColumn("__fault", fault)
     return df.withColumns(
         {
             "is_valid": F.col("__fault").isNull(),
             "error_type": F.substring_index("__fault", ":", 1),
-            "error_message": F.substring("__fault", 1, 200),
+            "error_message": F.col("__fault"),
         }
     ).drop("__fault")
 
@@ -244,28 +244,30 @@ def stratified_split(
 ) -> DataFrame:
     """Exactly ``round(share * n)`` seeded rows of every class to the second split.
 
-    Classes with fewer than two rows are dropped.  Draws are counted per (class, bucket);
-    the counts tell which bucket a class is cut in, and only that bucket's rows, about
-    1 / 2**bits of the class, are ranked.  The other rows are decided where they are.
+    Every row comes out: null is a class of its own, and a class with fewer than two rows stays
+    in the first split.  Draws are counted per (class, bucket); the counts tell which bucket a
+    class is cut in, and only that bucket's rows, about 1 / 2**bits of the class, are ranked.
+    The other rows are decided where they are.
     """
-    rows = df.filter(F.col(cls).isNotNull()).withColumn("__d", draw(F.col(key), seed))
+    # a key that is never null, so that the null class can be joined
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(cls).cast("string")), F.lit(""))
+    rows = df.withColumn("__s", stratum).withColumn("__d", draw(F.col(key), seed))
     rows = rows.withColumn("__b", F.shiftright("__d", 60 - bits).cast("int"))
-    counts = rows.groupBy(cls, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    whole = Window.partitionBy(cls)  # at most 2**bits rows of counts per class
+    counts = rows.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy("__s")  # at most 2**bits rows of counts per class
     counts = counts.withColumns(
         {"__upto": F.sum("__c").over(whole.orderBy("__b")), "__n": F.sum("__c").over(whole)}
-    ).withColumn("__want", F.round(F.col("__n") * share).cast("long"))
+    ).withColumn("__want", F.when(F.col("__n") < 2, 0).otherwise(F.round(F.col("__n") * share)).cast("long"))
     cuts = (
-        counts.filter(F.col("__n") >= 2)
-        .filter(F.col("__upto") >= F.col("__want"))
-        .groupBy(cls)
+        counts.filter(F.col("__upto") >= F.col("__want"))
+        .groupBy("__s")
         .agg(F.min(F.struct(F.col("__b").alias("__b"), (F.col("__want") - (F.col("__upto") - F.col("__c"))).alias("__take"))).alias("__cut"))
     )
-    rows = attach(rows, cuts, cls)
+    rows = attach(rows, cuts, "__s")
     clear = rows.filter(F.col("__b") != F.col("__cut.__b")).withColumn(
         "split", F.when(F.col("__b") < F.col("__cut.__b"), names[1]).otherwise(names[0])
     )
-    w = Window.partitionBy(cls).orderBy("__d", key)
+    w = Window.partitionBy("__s").orderBy("__d", key)
     edge = rows.filter(F.col("__b") == F.col("__cut.__b")).withColumn("__r", F.row_number().over(w))
     edge = edge.withColumn("split", F.when(F.col("__r") <= F.col("__cut.__take"), names[1]).otherwise(names[0])).drop("__r")
-    return clear.unionByName(edge).drop("__d", "__b", "__cut")
+    return clear.unionByName(edge).drop("__s", "__d", "__b", "__cut")

@@ -51,7 +51,7 @@ def check_held_out(df: DataFrame, keys: Sequence[str], split: str = "split") ->
 
 
 def remove_leaks(df: DataFrame, keys: Sequence[str], split: str = "split", check: bool = True) -> DataFrame:
-    """Train loses every row whose key is in val or test; val and test are kept as they are."""
+    """Train loses every row whose key is in val or test (null keys are equal); val and test are kept as they are."""
     if check:
         check_held_out(df, keys, split)
     held = df.filter(F.col(split).isin("val", "test"))
@@ -61,10 +61,20 @@ def remove_leaks(df: DataFrame, keys: Sequence[str], split: str = "split", check
     known = held.select(F.xxhash64(*[F.col(k) for k in keys]).alias("__h2"), *[F.col(k).alias(v) for k, v in names.items()]).distinct()
     rule = F.col("__h") == F.col("__h2")
     for k, v in names.items():
-        rule = rule & (F.col(k) == F.col(v))
+        rule = rule & F.col(k).eqNullSafe(F.col(v))
     return train.join(known, rule, "left_anti").drop("__h").unionByName(held)
 
 
+def drop_shared(df: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:
+    """Validation loses the rows whose key is in test."""
+    test = df.filter(F.col(split) == "test").select(F.xxhash64(*[F.col(k) for k in keys]).alias("__h"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    rule = F.xxhash64(*[F.col(k) for k in keys]) == F.col("__h")
+    for i, k in enumerate(keys):
+        rule = rule & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    val = df.filter(F.col(split) == "val").join(test.distinct(), rule, "left_anti")
+    return df.filter(F.col(split) != "val").unionByName(val)
+
+
 def leak_report(df: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:
     """Sizes before and after, duplicates per split and leakage counts, from one grouping by key."""
     k = _key_counts(df, keys, split)

@@ -1,6 +1,6 @@
 """The whole curation of a text-to-SQL corpus, and its run report.
 
-Rows are materialised twice: after the synthetic rows are drawn, and after leakage removal.
+Rows are materialised where several later steps read them.
 """
 
 from __future__ import annotations
@@ -16,15 +16,35 @@ COLUMNS = ["sql_prompt", "sql_context", "sql", "sql_complexity"]
 KEYS = ["input_text", "sql"]
 
 
-def curate(raw: DataFrame, seed: int = 42, share: float = 0.1) -> DataFrame:
-    """Validate, balance, split, de-duplicate, remove leaks, clean.
+RAW_TYPES = {"row_id": "bigint", "split": "string", **dict.fromkeys(COLUMNS, "string")}
+
+
+def check_schema(df: DataFrame, **rules) -> None:
+    """Raise when ``corpus.schema_violations`` finds any."""
+    found = corpus.schema_violations(df, **rules).filter("n_rows > 0").collect()
+    if found:
+        raise ValueError("; ".join(f"{r['check_name']} in {r['column_name']}: {r['n_rows']} rows" for r in found))
+
+
+def curate(raw: DataFrame, catalogue: DataFrame, seed: int = 42, share: float = 0.1, on_overlap: str = "raise") -> DataFrame:
+    """Check, validate, balance, split, de-duplicate, remove leaks, clean, check again.
 
     ``raw`` has row_id, split (train or test) and the four corpus columns; the result has
-    row_id, split, input_text, sql, sql_complexity.  The test split is never resampled.
+    row_id, split, input_text, sql, sql_complexity.  The test split is never resampled.  Rows
+    without a class stay.  Identical samples in val and test raise an error, or leave val with
+    ``on_overlap="drop"``.  ``catalogue`` describes the tables of synthetic rows.
     """
-    valid = corpus.flag_sql(raw, "sql").filter("is_valid").select("row_id", "split", *COLUMNS)
+    if on_overlap not in ("raise", "drop"):
+        raise ValueError("on_overlap is raise or drop")
+    missing = [c for c in RAW_TYPES if c not in raw.columns]
+    if missing:
+        raise ValueError(f"missing_column {', '.join(missing)}")
+    raw = raw.select(*RAW_TYPES)
+    check_schema(raw, expected=RAW_TYPES, critical=["sql_prompt"])
+    # written once: validity is used by the targets, the merge and the test branch
+    valid = materialise(corpus.flag_sql(raw, "sql").filter("is_valid").select("row_id", "split", *COLUMNS))
     train, test = valid.filter("split = 'train'"), valid.filter("split = 'test'")
-    drawn = synthetic.generate(raw.sparkSession, corpus.balance_targets(train, "sql_complexity"), seed)
+    drawn = synthetic.generate(raw.sparkSession, corpus.balance_targets(train, "sql_complexity"), catalogue, seed)
     # synthetic rows follow the originals in keep-first order
     top = raw.agg(F.max("row_id")).scalar()
     drawn = drawn.withColumn("row_id", F.col("row_id") + top + 1)
@@ -33,9 +53,13 @@ def curate(raw: DataFrame, seed: int = 42, share: float = 0.1) -> DataFrame:
     rows = split.unionByName(test.select("row_id", *COLUMNS, "split"))
     text = corpus.input_text(F.col("sql_context"), F.col("sql_prompt")).alias("input_text")
     rows = rows.select("row_id", "split", text, "sql", "sql_complexity")
-    unique = leakage.dedup_keep_first(rows, KEYS, "row_id")
-    clean = materialise(leakage.remove_leaks(unique, KEYS, check=False))
-    return corpus.clean(clean)
+    # written once: the check and the branches of the leak removal read it
+    unique = materialise(leakage.dedup_keep_first(rows, KEYS, "row_id"))
+    if on_overlap == "drop":
+        unique = leakage.drop_shared(unique, KEYS)
+    clean = materialise(corpus.clean(leakage.remove_leaks(unique, KEYS, check=on_overlap == "raise")))
+    check_schema(clean, expected={}, critical=["input_text", "sql"], non_empty=["input_text", "sql"], must_contain={"input_text": "query:"})
+    return clean
 
 
 def _long(stage: str, wide: DataFrame, metrics: list[str], prefix: str = "''") -> DataFrame:

@@ -1,120 +1,73 @@
-"""Domain catalogue of the synthetic rows: eleven domains, thirty-five tables.
+"""Catalogue of the synthetic rows, derived from given tables.
 
-Each column is ``name role``; the type and the fifteen sample values follow from the role:
-pk, fk:table, name (text), group (label), int / money / rate (metrics), n (plain number), date.
+A domain is a few tables with their first rows.  What a column is for follows from its type and
+name: the first column is the primary key, text columns group, numbers are metrics, dates and
+timestamps restrict; a column refers to another table of the domain if it ends like that
+table's primary key (``o_custkey`` and ``c_custkey``).
 """
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 15
-
-TEXT = """
-retail: stores, stock, customers and their orders
-  products(product_id pk, name name, category group, supplier group, price money, stock int, created_date date)
-  customers(customer_id pk, name name, city group, member_status group, total_purchases int, signup_date date)
-  orders(order_id pk, customer_id fk:customers, product_id fk:products, status group, quantity int, order_date date)
-  sales(sale_id pk, product_id fk:products, region group, amount money, sale_date date)
-healthcare: patients, doctors and treatments
-  patients(patient_id pk, name name, gender group, city group, age int, registration_date date)
-  doctors(doctor_id pk, name name, specialty group, hospital group, experience_years int, hire_date date)
-  appointments(appointment_id pk, patient_id fk:patients, doctor_id fk:doctors, status group, duration_minutes int, appointment_date date)
-  treatments(treatment_id pk, patient_id fk:patients, treatment_type group, cost money, treatment_date date)
-finance: accounts, transfers and loans
-  accounts(account_id pk, holder_name name, account_type group, branch group, balance money, opened_date date)
-  transactions(transaction_id pk, account_id fk:accounts, transaction_type group, amount money, transaction_date date)
-  loans(loan_id pk, account_id fk:accounts, loan_type group, principal money, interest_rate rate, start_date date)
-education: students, courses and grades
-  students(student_id pk, name name, major group, gpa rate, enrollment_date date)
-  courses(course_id pk, title name, department group, credits int, start_date date)
-  enrollments(enrollment_id pk, student_id fk:students, course_id fk:courses, semester group, score int, enrolled_date date)
-logistics: warehouses, shipments and routes
-  warehouses(warehouse_id pk, name name, region group, capacity int, built_date date)
-  shipments(shipment_id pk, warehouse_id fk:warehouses, carrier group, weight money, ship_date date)
-  routes(route_id pk, origin group, destination group, distance_km int, opened_date date)
-ecommerce: an online shop with reviews
-  products(product_id pk, name name, category group, brand group, price money, listed_date date)
-  orders(order_id pk, product_id fk:products, payment_method group, total_amount money, order_date date)
-  reviews(review_id pk, product_id fk:products, verified group, rating int, review_date date)
-manufacturing: lines, products and runs
-  production_lines(line_id pk, name name, plant group, capacity int, installed_date date)
-  products(product_id pk, name name, category group, unit_cost money, launch_date date)
-  production_runs(run_id pk, line_id fk:production_lines, product_id fk:products, shift group, units int, run_date date)
-real_estate: houses, agents and deals
-  properties(property_id pk, address name, city group, property_type group, price money, bedrooms int, listed_date date)
-  agents(agent_id pk, name name, office group, deals_closed int, hire_date date)
-  transactions(transaction_id pk, property_id fk:properties, agent_id fk:agents, financing group, sale_price money, closing_date date)
-hospitality: hotels, rooms and stays
-  hotels(hotel_id pk, name name, city group, stars int, opened_date date)
-  rooms(room_id pk, hotel_id fk:hotels, room_type group, nightly_rate money, renovated_date date)
-  reservations(reservation_id pk, room_id fk:rooms, channel group, nights int, check_in_date date)
-social_media: users, posts and campaigns
-  users(user_id pk, username name, country group, followers int, joined_date date)
-  posts(post_id pk, user_id fk:users, content_type group, likes int, posted_date date)
-  campaigns(campaign_id pk, user_id fk:users, platform group, budget money, launch_date date)
-gaming: players, matches and achievements
-  players(player_id pk, username name, tier group, region group, experience_points int, join_date date)
-  matches(match_id pk, player_id fk:players, game_mode group, score int, duration_minutes int, match_date date)
-  achievements(achievement_id pk, player_id fk:players, rarity group, points int, unlock_date date)
-"""
-
-_TYPES = {
-    "pk": "INT", "fk": "INT", "name": "VARCHAR(255)", "group": "VARCHAR(100)", "int": "INT", "money": "DECIMAL(10,2)",
-    "rate": "DECIMAL(5,2)", "n": "INT", "date": "DATE",
-}
+#: Rows of a table that a context shows.
+SAMPLE_ROWS = 10
 
 SCHEMA = (
     "domain string, description string, table_name string, columns array<struct<name:string,type:string,values:array<string>>>, "
     "primary_key string, grouping array<string>, metrics array<string>, dates array<string>, foreign_keys map<string,string>"
 )
 
+_SQL_TYPES = {"int": "INT", "bigint": "BIGINT", "double": "DOUBLE", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
 
-def _values(table: str, column: str, role: str) -> list[str]:
-    """Fifteen values by rule: the role gives the form, the name shifts the sequence."""
-    shift = sum(map(ord, table + column))
-    out = []
-    for i in range(SAMPLE_ROWS):
-        step = shift + 7 * i
-        if role == "pk":
-            out.append(str(i + 1))
-        elif role == "fk":
-            out.append(str(step % SAMPLE_ROWS + 1))
-        elif role == "name":
-            out.append(f"{table.rstrip('s').replace('_', ' ').title()} {i + 1}")
-        elif role == "group":
-            out.append(f"{column.replace('_', ' ').title()} {'ABCDE'[step % 5]}")
-        elif role in ("int", "n"):
-            out.append(str(step % 97 + 3))
-        elif role == "money":
-            out.append(f"{(step * 13) % 900 + 10}.{step % 100:02d}")
-        elif role == "rate":
-            out.append(f"{step % 5}.{step % 100:02d}")
-        else:
-            out.append(str(date(2021, 1, 1) + timedelta(days=(shift * 3 + 41 * i) % 1200)))
-    return out
 
+def _ending(column: str) -> str:
+    return column.split("_", 1)[-1]
 
-def table_rows() -> list[tuple]:
-    """Catalogue rows matching ``SCHEMA``."""
-    rows, domain, description = [], "", ""
-    for line in TEXT.strip().splitlines():
-        if not line.startswith("  "):
-            domain, description = (p.strip() for p in line.split(":", 1))
-            continue
-        table, body = line.strip().rstrip(")").split("(", 1)
-        columns, roles = [], {}
-        for part in body.split(", "):
-            name, role = part.split(" ")
-            kind = role.split(":")[0]
-            roles[name] = role
-            columns.append((name, _TYPES[kind], _values(table, name, kind)))
 
-        def having(*kinds, roles=roles):
-            return [n for n, r in roles.items() if r.split(":")[0] in kinds]
+def roles(tables: dict[str, list[tuple[str, str]]]) -> dict[str, dict]:
+    """Per table its primary key, grouping, metric and date columns and foreign keys, from (column, type)."""
+    primary = {name: columns[0][0] for name, columns in tables.items()}
+    out = {}
+    for name, columns in tables.items():
+        refers = {
+            c: other
+            for c, _ in columns
+            for other, key in primary.items()
+            if other != name and c != primary[name] and _ending(c) == _ending(key)
+        }
+        free = [(c, kind) for c, kind in columns if c != primary[name] and c not in refers]
+        out[name] = {
+            "primary_key": primary[name],
+            "grouping": [c for c, kind in free if kind == "string"],
+            "metrics": [c for c, kind in free if kind in ("int", "bigint", "double") or kind.startswith("decimal")],
+            "dates": [c for c, kind in free if kind == "date" or kind.startswith("timestamp")],
+            "foreign_keys": refers,
+        }
+    return out
+
 
-        foreign = {n: r.split(":")[1] for n, r in roles.items() if r.startswith("fk:")}
-        rows.append(
-            (domain, description, table, columns, having("pk")[0], having("group"), having("int", "money", "rate"), having("date"), foreign)
+def domain(name: str, description: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Catalogue rows of one domain; each table adds one row with its smallest rows as samples."""
+    known = roles({t: df.dtypes for t, df in tables.items()})
+    out = None
+    for table, df in tables.items():
+        texts = [F.col(c).cast("string").alias(c) for c in df.columns]
+        first = df.orderBy(*df.columns).limit(SAMPLE_ROWS).select(F.struct(*df.columns).alias("place"), *texts)
+        listed = first.agg(F.sort_array(F.collect_list(F.struct("place", *df.columns))).alias("rows"))
+        columns = F.array(
+            *[
+                F.struct(F.lit(c).alias("name"), F.lit(_SQL_TYPES.get(kind, "VARCHAR(255)")).alias("type"), F.col("rows")[c].alias("values"))
+                for c, kind in df.dtypes
+            ]
         )
-    return rows
+        own = known[table]
+        strings = {k: F.array(*map(F.lit, own[k])).cast("array<string>").alias(k) for k in ("grouping", "metrics", "dates")}
+        pairs = [F.lit(x) for pair in own["foreign_keys"].items() for x in pair]
+        row = listed.select(
+            F.lit(name).alias("domain"), F.lit(description).alias("description"), F.lit(table).alias("table_name"), columns.alias("columns"),
+            F.lit(own["primary_key"]).alias("primary_key"), *strings.values(), F.create_map(*pairs).cast("map<string,string>").alias("foreign_keys"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out

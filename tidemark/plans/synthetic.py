@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import pick
-from tidemark.plans import domains, templates
+from tidemark.plans import templates
 from tidemark.session import materialise
 
 # Ranges and choices of the drawn parameters.
@@ -31,10 +31,6 @@ def template_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def domain_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(domains.table_rows(), domains.SCHEMA)
-
-
 def context(name: Column, columns: Column) -> Column:
     """``CREATE TABLE`` and ``INSERT`` text of a table; as many rows as its shortest column.
 
@@ -59,9 +55,9 @@ def context(name: Column, columns: Column) -> Column:
 
 
 def fill(text: Column, values: dict[str, Column]) -> Column:
-    """Every ``{name}`` of the text replaced by its value."""
+    """Every ``{name}`` of the text replaced by its value; null counts as empty."""
     for name, value in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return text
 
 
@@ -112,8 +108,8 @@ def _relation(t1: Column, t2: Column) -> Column:
     return F.coalesce(from_to(t1, t2), from_to(t2, t1), F.lit("id"))
 
 
-def generate(spark: SparkSession, targets: DataFrame | dict[str, int], seed: int = 42, catalogue: DataFrame | None = None) -> DataFrame:
-    """As many rows per class as its target says.
+def generate(spark: SparkSession, targets: DataFrame | dict[str, int], catalogue: DataFrame, seed: int = 42) -> DataFrame:
+    """As many rows per class as its target says, about the tables of ``catalogue`` (see ``domains``).
 
     ``targets`` is (class, needed); classes without templates are skipped.  Its at most
     five usable numbers are read to lay out the id ranges.
@@ -121,16 +117,16 @@ def generate(spark: SparkSession, targets: DataFrame | dict[str, int], seed: int
     template_df = template_table(spark)
     if isinstance(targets, DataFrame):
         cls, needed = targets.columns[:2]
-        known = targets.filter(F.col(cls).isin(*templates.TEXT))
+        known = targets.filter(F.col(cls).isin(*templates.CLASSES))
         targets = {r[cls]: int(r[needed]) for r in known.orderBy(cls).collect()}
-    targets = {c: n for c, n in targets.items() if c in templates.TEXT and n > 0}
+    targets = {c: n for c, n in targets.items() if c in templates.CLASSES and n > 0}
     total = sum(targets.values())
     ids = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // 200_000)))
     bound, cls = 0, F.lit(None).cast("string")
     for name, n in targets.items():
         bound += n
         cls = F.coalesce(cls, F.when(F.col("id") < bound, F.lit(name)))
-    pairs = materialise(eligible(template_df, catalogue if catalogue is not None else domain_table(spark)))
+    pairs = materialise(eligible(template_df, catalogue))
     sizes = pairs.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.agg(F.map_from_entries(F.collect_list(F.struct("cls", "n")))).scalar()
 
@@ -138,7 +134,7 @@ def generate(spark: SparkSession, targets: DataFrame | dict[str, int], seed: int
         return pick(n, seed, slot, F.col("id"))
 
     def one_of(array, slot):
-        return F.get(array, at(F.size(array), slot))
+        return F.get(array, at(F.greatest(F.size(array), F.lit(1)), slot))  # null of an empty array
 
     def choice(values, slot):
         return F.get(F.array(*[F.lit(v) for v in values]), at(len(values), slot))

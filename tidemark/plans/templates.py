@@ -1,158 +1,110 @@
-"""Statement templates of the synthetic rows: fifteen per class.
+"""Statement templates of the synthetic rows, put together from clauses.
 
-A line is ``name | tables needed | columns needed (g, m, d) | verb style | subject | statement``.
-Statements use one base form for the aggregate (``SUM(``) and one for the date restriction
-(``BASE_DATE``); the generator swaps both.  Prompts follow from the subject by the patterns below.
+A statement is a measure, a source and an ending; each class has its own sources and endings and
+combines every measure with them.  Statements use one base form for the aggregate (``SUM(``) and
+one for the date restriction (``BASE_DATE``); the generator swaps both.
 """
 
 from __future__ import annotations
 
 BASE_DATE = "WHERE {date_col} >= '{year}-01-01'"
 
-PROMPT_PATTERNS = [
-    "{verb} {subject}",
-    "{verb} {subject} from {table1}",
-    "Using {table1}, {verb} {subject}",
-    "{verb} {subject} for the {year} report",
-    "In the {table1} data, {verb} {subject}",
+#: Name, words and form of the measures.
+MEASURES = [
+    ("sum", "the sum of {metric_col}", "SUM"),
+    ("mean", "the mean {metric_col}", "AVG"),
+    ("peak", "the peak of {metric_col}", "MAX"),
+    ("floor", "the floor of {metric_col}", "MIN"),
+    ("spread", "the spread of {metric_col}", "STDDEV"),
 ]
+REQUESTS = ["{verb} {what}", "{verb} {what} ({table1})", "I need {what}", "Out of {table1}: {what}"]
+REASON = "The statement gives {what}, read from {table1}"
 
-EXPLANATION = "Reads {table1} and returns {subject}"
 
+def _ctes():
+    endings = [
+        ("limit", "where it passes {threshold}", "WHERE v > {threshold}"),
+        ("leaders", "for the {top_n} leaders", "ORDER BY v DESC LIMIT {top_n}"),
+        ("better", "where it beats the mean group", "WHERE v > (SELECT AVG(v) FROM {cte_name})"),
+    ]
+    for name, words, form in MEASURES:
+        inner = f"SELECT {{group_col}} AS k, {form}({{metric_col}}) AS v FROM {{table1}} {BASE_DATE} GROUP BY {{group_col}}"
+        for end, more, clause in endings:
+            yield f"{name}_{end}", 1, "gmd", f"{words} by {{group_col}} {more}", f"WITH {{cte_name}} AS ({inner}) SELECT k, v FROM {{cte_name}} {clause}"
+
+
+def _sets():
+    operations = [
+        ("either", "in one or both of", "UNION"), ("stacked", "with repeats from", "UNION ALL"), ("shared", "in both", "INTERSECT"),
+        ("missing", "in the first only of", "EXCEPT"), ("missing_rows", "left over from the first of", "EXCEPT ALL"),
+    ]
+    conditions = [
+        ("plain", "g", "", "", ""),
+        ("large", "gm", " above {threshold}", " WHERE {metric_col} > {threshold}", " WHERE {metric_col2} > {threshold}"),
+        ("dated", "gd", " since {year}", f" {BASE_DATE}", ""),
+    ]
+    for name, words, operation in operations:
+        for kind, needs, more, left, right in conditions:
+            sql = f"SELECT {{group_col1}} AS k FROM {{table1}}{left} {operation} SELECT {{group_col2}} FROM {{table2}}{right}"
+            yield f"{name}_{kind}", 2, needs, f"values {words} {{table1}} and {{table2}}{more}", sql
+
+
+def _joins():
+    kinds = [("matched", "matched rows", "JOIN"), ("kept", "all {table1} rows", "LEFT JOIN"), ("full", "all rows of both tables", "FULL OUTER JOIN")]
+    for name, words, form in MEASURES:
+        for kind, rows, join in kinds:
+            sql = (
+                f"SELECT a.{{group_col1}} AS k1, b.{{group_col2}} AS k2, {form}(a.{{metric_col}}) AS v FROM {{table1}} AS a {join} {{table2}} AS b "
+                "ON a.{fk1} = b.{pk2} WHERE a.{date_col} >= '{date_string}' GROUP BY a.{group_col1}, b.{group_col2}"
+            )
+            yield f"{name}_{kind}", 2, "gmd", f"{words} by {{group_col1}} and {{group_col2}} over {rows}", sql
+
+
+def _windows():
+    functions = [
+        ("place", "the place of every row by {metric_col}", "RANK() OVER ({part}ORDER BY {metric_col} DESC)"),
+        ("so_far", "{metric_col} added up over time", "SUM({metric_col}) OVER ({part}ORDER BY {date_col})"),
+        ("step", "the change of {metric_col} from row to row", "{metric_col} - LAG({metric_col}) OVER ({part}ORDER BY {date_col})"),
+        ("quarter", "the quarter of {metric_col} that a row is in", "NTILE(4) OVER ({part}ORDER BY {metric_col})"),
+        ("portion", "each row's portion of {metric_col}", "{metric_col} / SUM({metric_col}) OVER ({bare})"),
+    ]
+    parts = [("all", "overall", ""), ("part", "within each {partition_col}", "PARTITION BY {partition_col} "), ("year", "within each year", "PARTITION BY YEAR({date_col}) ")]
+    for name, words, form in functions:
+        for part, more, clause in parts:
+            call = form.replace("{part}", clause).replace("{bare}", clause.strip())
+            yield f"{name}_{part}", 1, "gmd", f"{words}, {more}", f"SELECT {{group_col}}, {{date_col}}, {{metric_col}}, {call} AS v FROM {{table1}} {BASE_DATE}"
+
+
+def _nested():
+    for name, words, form in MEASURES:
+        inner = f"SELECT {form}(i.{{metric_col}}) FROM {{table1}} AS i"
+        yield f"{name}_all", 1, "gm", f"rows above {words} of all rows", f"SELECT {{group_col}}, {{metric_col}} FROM {{table1}} WHERE {{metric_col}} >= ({inner})"
+        same = "WHERE i.{group_col} = o.{group_col}"
+        yield f"{name}_own", 1, "gm", f"rows next to {words} of their {{group_col}}", f"SELECT o.{{group_col}}, o.{{metric_col}}, ({inner} {same}) AS v FROM {{table1}} AS o"
+        groups = f"SELECT {{group_col}} FROM {{table1}} GROUP BY {{group_col}} HAVING {form}({{metric_col}}) {{comparison_op}} {{threshold}}"
+        sql = f"SELECT COUNT(*) AS n FROM {{table1}} {BASE_DATE} AND {{group_col}} IN ({groups})"
+        yield f"{name}_in", 1, "gmd", f"how many rows have a {{group_col}} whose value of {words} is {{comparison_op}} {{threshold}}", sql
+
+
+_BUILDERS = {"CTEs": _ctes, "set operations": _sets, "multiple_joins": _joins, "window functions": _windows, "subqueries": _nested}
+CLASSES = list(_BUILDERS)
+#: How a request begins, by class.
 VERBS = {
-    "find": ["Find", "Locate", "Retrieve", "Get", "Look up", "Track down"],
-    "show": ["Show", "Display", "Present", "Output", "Bring up", "Print"],
-    "list": ["List", "Enumerate", "Itemize", "Outline", "Catalog"],
-    "calculate": ["Calculate", "Compute", "Work out", "Derive", "Determine"],
-    "analyze": ["Analyze", "Examine", "Study", "Review", "Look into"],
-    "rank": ["Rank", "Order", "Sort", "Arrange", "Grade"],
-    "compare": ["Compare", "Contrast", "Weigh", "Match up"],
-    "identify": ["Identify", "Spot", "Pinpoint", "Single out"],
-    "filter": ["Filter", "Select", "Pick", "Narrow down to"],
-    "summarize": ["Summarize", "Aggregate", "Roll up", "Condense"],
-    "classify": ["Classify", "Categorize", "Group", "Label"],
-    "detect": ["Detect", "Notice", "Catch", "Flag"],
-    "track": ["Track", "Follow", "Trace", "Chart"],
-    "project": ["Project", "Estimate", "Anticipate"],
-    "segment": ["Segment", "Split", "Divide", "Bucket"],
-    "normalize": ["Normalize", "Scale", "Standardize"],
-    "monitor": ["Monitor", "Watch", "Observe"],
-    "forecast": ["Forecast", "Predict", "Foresee"],
-    "count": ["Count", "Tally", "Number"],
-    "highlight": ["Highlight", "Emphasize", "Point out"],
-    "extract": ["Extract", "Pull", "Fetch"],
-    "combine": ["Combine", "Merge", "Unite", "Join"],
-}
-FALLBACK_VERBS = ["Show"]
-
-_W = BASE_DATE
-_J = "FROM {table1} AS a JOIN {table2} AS b ON a.{fk1} = b.{pk2}"
-_JL = "FROM {table1} AS a LEFT JOIN {table2} AS b ON a.{fk1} = b.{pk2}"
-_JW = "WHERE a.{date_col} >= '{year}-01-01'"
-_G, _M, _D, _P = "{group_col}", "{metric_col}", "{date_col}", "{partition_col}"
-_G1, _G2 = "a.{group_col1}", "b.{group_col2}"
-
-TEXT = {
-    "CTEs": f"""
-total_over | 1 | gmd | find | every {_G} with more than {{threshold}} {_M} | WITH {{cte_name}} AS (SELECT {_G}, SUM({_M}) AS amount FROM {{table1}} {_W} GROUP BY {_G}) SELECT {_G}, amount FROM {{cte_name}} WHERE amount > {{threshold}} ORDER BY amount DESC
-top_rows_mean | 1 | gm | calculate | the mean of the {{top_n}} largest {_M} in each {_G} | WITH placed AS (SELECT {_G}, {_M}, ROW_NUMBER() OVER (PARTITION BY {_G} ORDER BY {_M} DESC) AS place FROM {{table1}}), best AS (SELECT * FROM placed WHERE place <= {{top_n}}) SELECT {_G}, AVG({_M}) AS mean_value, COUNT(*) AS n FROM best GROUP BY {_G}
-year_overview | 1 | gmd | show | rows, highest and lowest {_M} per {_G} in {{year}} | WITH overview AS (SELECT {_G}, COUNT(*) AS n, MAX({_M}) AS highest, MIN({_M}) AS lowest FROM {{table1}} WHERE {_D} BETWEEN '{{year}}-01-01' AND '{{year}}-12-31' GROUP BY {_G} HAVING COUNT(*) > 2) SELECT * FROM overview ORDER BY highest DESC
-recent_spread | 1 | gmd | analyze | each {_G} whose recent mean {_M} is well above its minimum | WITH recent AS (SELECT {_G}, {_M} FROM {{table1}} WHERE {_D} >= DATE_SUB(CURDATE(), INTERVAL 6 MONTH)), spread AS (SELECT {_G}, AVG({_M}) AS mean_value, MIN({_M}) AS lowest, MAX({_M}) AS highest FROM recent GROUP BY {_G}) SELECT * FROM spread WHERE mean_value > 1.5 * lowest
-peak_month | 1 | gmd | identify | the strongest month of {_M} for each {_G} | WITH months AS (SELECT {_G}, DATE_FORMAT({_D}, '%Y-%m') AS ym, SUM({_M}) AS amount FROM {{table1}} {_W} GROUP BY {_G}, ym), placed AS (SELECT months.*, RANK() OVER (PARTITION BY {_G} ORDER BY amount DESC) AS place FROM months) SELECT {_G}, ym, amount FROM placed WHERE place = 1
-outlier_rows | 1 | gmd | detect | how many {_M} values lie two deviations off in each {_G} | WITH basis AS (SELECT {_G}, AVG({_M}) AS mu, STDDEV({_M}) AS sd FROM {{table1}} {_W} GROUP BY {_G}) SELECT basis.{_G}, COUNT(*) AS n FROM basis JOIN {{table1}} AS r ON r.{_G} = basis.{_G} WHERE ABS(r.{_M} - basis.mu) > 2 * basis.sd GROUP BY basis.{_G}
-half_years | 1 | gmd | compare | {_M} of both halves of {{year}} by {_G} | WITH halves AS (SELECT {_G}, SUM(CASE WHEN {_D} < '{{year}}-07-01' THEN {_M} ELSE 0 END) AS h1, SUM(CASE WHEN {_D} >= '{{year}}-07-01' THEN {_M} ELSE 0 END) AS h2 FROM {{table1}} WHERE {_D} BETWEEN '{{year}}-01-01' AND '{{year}}-12-31' GROUP BY {_G}) SELECT {_G}, h1, h2, h2 - h1 AS change_value, ROUND(100 * (h2 - h1) / NULLIF(h1, 0), 2) AS change_pct FROM halves WHERE h1 > 0
-yearly_growth | 1 | gmd | calculate | yearly growth of {_M} by {_G} since {{year}} | WITH years AS (SELECT {_G}, YEAR({_D}) AS y, SUM({_M}) AS amount FROM {{table1}} GROUP BY {_G}, y), steps AS (SELECT years.*, amount - LAG(amount) OVER (PARTITION BY {_G} ORDER BY y) AS growth FROM years) SELECT * FROM steps WHERE y >= {{year}} AND growth IS NOT NULL
-noisy_groups | 1 | gmd | identify | each {_G} with widely scattered {_M} | WITH scatter AS (SELECT {_G}, COUNT(*) AS n, AVG({_M}) AS mu, STDDEV({_M}) AS sd FROM {{table1}} {_W} GROUP BY {_G}) SELECT * FROM scatter WHERE n >= 5 AND sd > 0.2 * mu
-best_quarters | 1 | gmd | show | the two best quarters of {_M} per {_G} | WITH quarters AS (SELECT {_G}, QUARTER({_D}) AS q, SUM({_M}) AS amount, COUNT(*) AS n FROM {{table1}} WHERE YEAR({_D}) = {{year}} GROUP BY {_G}, q), placed AS (SELECT quarters.*, ROW_NUMBER() OVER (PARTITION BY {_G} ORDER BY amount DESC) AS place FROM quarters) SELECT * FROM placed WHERE place <= 2
-month_cohorts | 1 | gmd | analyze | monthly means of {_M} across every {_G} | WITH cohorts AS (SELECT {_G}, DATE_FORMAT({_D}, '%Y-%m') AS ym, AVG({_M}) AS mean_value FROM {{table1}} {_W} GROUP BY {_G}, ym) SELECT ym, AVG(mean_value) AS middle, MAX(mean_value) AS top_mean, MIN(mean_value) AS low_mean FROM cohorts GROUP BY ym
-milestones | 1 | gmd | find | when each {_G} reached {{threshold}} {_M} | WITH progress AS (SELECT {_G}, {_D}, SUM({_M}) OVER (PARTITION BY {_G} ORDER BY {_D}) AS so_far FROM {{table1}} {_W}) SELECT {_G}, MIN({_D}) AS reached FROM progress WHERE so_far >= {{threshold}} GROUP BY {_G}
-volatility | 1 | gmd | classify | each {_G} by how much daily {_M} varies | WITH days AS (SELECT {_G}, DATE({_D}) AS d, SUM({_M}) AS amount FROM {{table1}} {_W} GROUP BY {_G}, d), calm AS (SELECT {_G}, AVG(amount) AS mu, STDDEV(amount) AS sd FROM days GROUP BY {_G}) SELECT {_G}, CASE WHEN sd > 0.5 * mu THEN 'high' WHEN sd > 0.2 * mu THEN 'medium' ELSE 'low' END AS band FROM calm
-extremes | 1 | gmd | compare | the {{top_n}} best and worst {_G} by {_M} | WITH sums AS (SELECT {_G}, SUM({_M}) AS amount FROM {{table1}} {_W} GROUP BY {_G}), best AS (SELECT * FROM sums ORDER BY amount DESC LIMIT {{top_n}}), worst AS (SELECT * FROM sums ORDER BY amount LIMIT {{top_n}}) SELECT 'best' AS side, best.* FROM best UNION ALL SELECT 'worst' AS side, worst.* FROM worst
-weekly_trend | 1 | gmd | analyze | the weekly trend of {_M} per {_G} | WITH weeks AS (SELECT {_G}, YEARWEEK({_D}) AS w, SUM({_M}) AS amount FROM {{table1}} {_W} GROUP BY {_G}, w), fit AS (SELECT {_G}, CORR(w, amount) AS r FROM weeks GROUP BY {_G} HAVING COUNT(*) >= 10) SELECT {_G}, r, CASE WHEN r > 0 THEN 'up' ELSE 'down' END AS heading FROM fit
-""",
-    "set operations": f"""
-either_side | 2 | g | find | all {_G} values of {{table1}} and {{table2}} | SELECT {_G} AS item FROM {{table1}} WHERE {_G} IS NOT NULL UNION SELECT {_G} FROM {{table2}} WHERE {_G} IS NOT NULL
-both_sides | 2 | g | identify | {_G} values that {{table1}} and {{table2}} share | SELECT {_G} FROM {{table1}} INTERSECT SELECT {_G} FROM {{table2}}
-left_only | 2 | g | find | {_G} values missing in {{table2}} | SELECT {_G} FROM {{table1}} EXCEPT SELECT {_G} FROM {{table2}}
-stacked_counts | 2 | g | count | rows per {_G} in both tables | SELECT {_G}, COUNT(*) AS n FROM {{table1}} GROUP BY {_G} UNION ALL SELECT {_G}, COUNT(*) FROM {{table2}} GROUP BY {_G} ORDER BY n DESC
-both_tops | 2 | gmd | combine | the {{top_n}} largest {_M} of each table | (SELECT {_G}, {_M} FROM {{table1}} {_W} ORDER BY {_M} DESC LIMIT {{top_n}}) UNION ALL (SELECT {_G}, {_M} FROM {{table2}} {_W} ORDER BY {_M} DESC LIMIT {{top_n}})
-overlap_sizes | 2 | g | summarize | how far {_G} of both tables overlaps | SELECT 'left' AS part, COUNT(*) AS n FROM (SELECT {_G} FROM {{table1}} EXCEPT SELECT {_G} FROM {{table2}}) AS x UNION ALL SELECT 'both', COUNT(*) FROM (SELECT {_G} FROM {{table1}} INTERSECT SELECT {_G} FROM {{table2}}) AS y
-activity_marks | 2 | gd | show | where each {_G} was active since {{year}} | SELECT {_G}, 'seen in {{table1}}' AS mark FROM {{table1}} {_W} UNION SELECT {_G}, 'seen in {{table2}}' FROM {{table2}} {_W}
-both_maxima | 2 | gm | compare | the highest {_M} per {_G} in both tables | SELECT {_G}, MAX({_M}) AS highest FROM {{table1}} GROUP BY {_G} UNION ALL SELECT {_G}, MAX({_M}) FROM {{table2}} GROUP BY {_G}
-large_in_both | 2 | gm | filter | {_G} values with {_M} above {{threshold}} on both sides | SELECT {_G} FROM {{table1}} WHERE {_M} > {{threshold}} INTERSECT SELECT {_G} FROM {{table2}} WHERE {_M} > {{threshold}}
-seen_once | 2 | g | detect | {_G} values that occur once in both tables together | SELECT item, COUNT(*) AS n FROM (SELECT {_G} AS item FROM {{table1}} UNION ALL SELECT {_G} FROM {{table2}}) AS bag GROUP BY item HAVING COUNT(*) = 1
-named_totals | 2 | gmd | summarize | {_M} totals per {_G} and table | SELECT '{{table1}}' AS origin, {_G}, SUM({_M}) AS amount FROM {{table1}} {_W} GROUP BY {_G} UNION ALL SELECT '{{table2}}', {_G}, SUM({_M}) FROM {{table2}} {_W} GROUP BY {_G}
-new_values | 2 | gd | identify | {_G} values that are new since {{year}} | SELECT {_G} FROM {{table1}} {_W} EXCEPT SELECT {_G} FROM {{table2}} WHERE {_D} < '{{year}}-01-01'
-high_means | 2 | gm | find | {_G} values whose mean {_M} exceeds {{threshold}} | SELECT {_G}, AVG({_M}) AS mu FROM {{table1}} GROUP BY {_G} HAVING AVG({_M}) > {{threshold}} UNION SELECT {_G}, AVG({_M}) FROM {{table2}} GROUP BY {_G} HAVING AVG({_M}) > {{threshold}}
-common_or_not | 2 | g | classify | {_G} values as shared or not | SELECT item, 'shared' AS kind FROM (SELECT {_G} AS item FROM {{table1}} INTERSECT SELECT {_G} FROM {{table2}}) AS s UNION ALL SELECT item, 'single' FROM (SELECT {_G} AS item FROM {{table1}} EXCEPT SELECT {_G} FROM {{table2}}) AS u
-merged_top | 2 | gmd | rank | the {{top_n}} largest distinct {_M} of both tables | SELECT {_G}, {_M} FROM {{table1}} {_W} AND {_M} >= {{threshold}} UNION SELECT {_G}, {_M} FROM {{table2}} {_W} AND {_M} >= {{threshold}} ORDER BY 2 DESC LIMIT {{top_n}}
-""",
-    "multiple_joins": f"""
-pair_totals | 2 | gmd | show | total {_M} per {{group_col1}} and {{group_col2}} | SELECT {_G1}, {_G2}, SUM(a.{_M}) AS amount {_J} {_JW} GROUP BY {_G1}, {_G2} ORDER BY amount DESC LIMIT {{top_n}}
-matched_means | 2 | gm | analyze | mean {_M} of matched rows per {{group_col1}} | SELECT {_G1}, {_G2}, AVG(a.{_M}) AS mu, COUNT(*) AS n {_JL} WHERE b.{{pk2}} IS NOT NULL GROUP BY {_G1}, {_G2} HAVING COUNT(*) >= 3
-partner_counts | 2 | gmd | find | how many {{table2}} rows belong to each {{group_col1}} | SELECT {_G1}, COUNT(DISTINCT b.{{pk2}}) AS partners, MAX(a.{_M}) AS highest {_J} {_JW} GROUP BY {_G1} HAVING MAX(a.{_M}) > {{threshold}}
-shares | 2 | gmd | calculate | the share of each pair in all {_M} | SELECT {_G1}, {_G2}, SUM(a.{_M}) AS amount, 100.0 * SUM(a.{_M}) / SUM(SUM(a.{_M})) OVER () AS pct {_J} {_JW} GROUP BY {_G1}, {_G2} HAVING SUM(a.{_M}) > {{threshold}}
-right_side | 2 | gmd | summarize | mean, extremes and deviation of {_M} per pair | SELECT {_G1}, {_G2}, AVG(a.{_M}) AS mu, MIN(a.{_M}) AS lo, MAX(a.{_M}) AS hi, STDDEV(a.{_M}) AS sd FROM {{table1}} AS a RIGHT JOIN {{table2}} AS b ON a.{{fk1}} = b.{{pk2}} WHERE a.{_D} IS NOT NULL GROUP BY {_G1}, {_G2}
-all_rows | 2 | gmd | show | activity of both tables with unmatched rows | SELECT {_G1}, {_G2}, COUNT(DISTINCT a.{{pk1}}) AS n, SUM(a.{_M}) AS amount FROM {{table1}} AS a FULL OUTER JOIN {{table2}} AS b ON a.{{fk1}} = b.{{pk2}} {_JW} GROUP BY {_G1}, {_G2} ORDER BY amount DESC NULLS LAST
-above_mean | 2 | gmd | find | rows with more {_M} than average, with their group mean | SELECT {_G1}, {_G2}, a.{_M}, AVG(a.{_M}) OVER (PARTITION BY {_G2}) AS mu {_J} {_JW} AND a.{_M} > (SELECT AVG({_M}) FROM {{table1}})
-high_rate | 2 | gmd | analyze | how often {_M} passes {{threshold}} per {{group_col2}} | SELECT {_G2}, COUNT(DISTINCT a.{{pk1}}) AS n, 100.0 * SUM(CASE WHEN a.{_M} > {{threshold}} THEN 1 ELSE 0 END) / COUNT(*) AS pct FROM {{table2}} AS b LEFT JOIN {{table1}} AS a ON b.{{pk2}} = a.{{fk1}} {_JW} GROUP BY {_G2}
-spans | 2 | gmd | identify | pairs active for a month or longer | SELECT {_G1}, {_G2}, MIN(a.{_D}) AS first_day, MAX(a.{_D}) AS last_day, SUM(a.{_M}) AS amount {_J} {_JW} GROUP BY {_G1}, {_G2} HAVING DATEDIFF(MAX(a.{_D}), MIN(a.{_D})) >= 30
-places | 2 | gmd | rank | the {{top_n}} highest {_M} within each {{group_col2}} | SELECT * FROM (SELECT {_G2}, {_G1}, a.{_M}, RANK() OVER (PARTITION BY {_G2} ORDER BY a.{_M} DESC) AS place {_J} {_JW}) AS r WHERE place <= {{top_n}}
-name_lists | 2 | gmd | list | the {{group_col2}} values of each {{group_col1}} | SELECT {_G1}, COUNT(DISTINCT {_G2}) AS n, STRING_AGG(DISTINCT {_G2}, ', ') AS names, AVG(a.{_M}) AS mu {_JL} {_JW} GROUP BY {_G1} HAVING COUNT(DISTINCT {_G2}) >= 2
-tiers | 2 | gmd | segment | {_M} into three tiers per {{group_col2}} | SELECT {_G2}, COUNT(CASE WHEN a.{_M} <= {{threshold}} / 3 THEN 1 END) AS low, COUNT(CASE WHEN a.{_M} > 2 * {{threshold}} / 3 THEN 1 END) AS high {_J} {_JW} GROUP BY {_G2}
-deviations | 2 | gmd | detect | rows whose {_M} is far from the mean of their {{group_col2}} | SELECT * FROM (SELECT {_G1}, {_G2}, a.{_M} - AVG(a.{_M}) OVER (PARTITION BY {_G2}) AS gap {_J} {_JW}) AS g WHERE ABS(gap) > {{threshold}}
-five_numbers | 2 | gmd | summarize | quartiles of {_M} per {{group_col2}} | SELECT {_G2}, MIN(a.{_M}) AS lo, PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY a.{_M}) AS middle, MAX(a.{_M}) AS hi {_J} {_JW} GROUP BY {_G2}
-recently_active | 2 | gd | count | pairs active in the last 90 days per {{group_col2}} | WITH last_seen AS (SELECT {_G1} AS g1, {_G2} AS g2, MAX(a.{_D}) AS d {_J} GROUP BY {_G1}, {_G2}) SELECT g2, COUNT(*) AS n FROM last_seen WHERE d >= DATE_SUB(CURDATE(), INTERVAL 90 DAY) GROUP BY g2
-""",
-    "window functions": f"""
-rank_in_part | 1 | gmd | rank | the {{top_n}} largest {_M} in each {_P} | SELECT * FROM (SELECT {_G}, {_M}, RANK() OVER (PARTITION BY {_P} ORDER BY {_M} DESC) AS place, AVG({_M}) OVER (PARTITION BY {_P}) AS mu FROM {{table1}} {_W}) AS r WHERE place <= {{top_n}}
-before_after | 1 | gmd | track | {_M} with the previous and next value per {_G} | SELECT {_G}, {_D}, {_M}, LAG({_M}) OVER (PARTITION BY {_G} ORDER BY {_D}) AS before_value, LEAD({_M}) OVER (PARTITION BY {_G} ORDER BY {_D}) AS after_value FROM {{table1}} {_W}
-places_and_shares | 1 | gmd | rank | every row by {_M} with its relative place | SELECT {_G}, {_M}, ROW_NUMBER() OVER (ORDER BY {_M} DESC) AS place, PERCENT_RANK() OVER (PARTITION BY {_P} ORDER BY {_M}) AS rel, CUME_DIST() OVER (PARTITION BY {_P} ORDER BY {_M}) AS cum FROM {{table1}} {_W}
-running | 1 | gmd | calculate | the running total of {_M} per {_P} | SELECT {_G}, {_D}, SUM({_M}) OVER (PARTITION BY {_P} ORDER BY {_D} ROWS UNBOUNDED PRECEDING) AS so_far, AVG({_M}) OVER (PARTITION BY {_P} ORDER BY {_D} ROWS 2 PRECEDING) AS smooth FROM {{table1}} {_W}
-quartiles | 1 | gmd | segment | rows into quartiles of {_M} per {_P} | SELECT {_G}, {_M}, NTILE(4) OVER (PARTITION BY {_P} ORDER BY {_M}) AS quarter_no, DENSE_RANK() OVER (PARTITION BY {_P} ORDER BY {_M} DESC) AS dense_place FROM {{table1}} {_W}
-ends | 1 | gmd | compare | {_M} with the first and last value of its {_P} | SELECT {_G}, {_D}, {_M}, FIRST_VALUE({_M}) OVER (PARTITION BY {_P} ORDER BY {_D}) AS opening, LAST_VALUE({_M}) OVER (PARTITION BY {_P} ORDER BY {_D} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closing FROM {{table1}} {_W}
-bands | 1 | gmd | categorize | rows as above, within or below one deviation of {_M} | SELECT {_G}, {_M}, CASE WHEN {_M} > AVG({_M}) OVER (PARTITION BY {_P}) + STDDEV({_M}) OVER (PARTITION BY {_P}) THEN 'above' ELSE 'other' END AS band FROM {{table1}} {_W}
-share_to_date | 1 | gmd | track | the share of {_M} reached so far per {_P} | SELECT {_G}, {_D}, 100 * SUM({_M}) OVER (PARTITION BY {_P} ORDER BY {_D}) / SUM({_M}) OVER (PARTITION BY {_P}) AS pct FROM {{table1}} {_W}
-pareto | 1 | gmd | analyze | the cumulative share of {_M} from large to small | SELECT {_G}, {_M}, 100 * SUM({_M}) OVER (PARTITION BY {_P} ORDER BY {_M} DESC) / SUM({_M}) OVER (PARTITION BY {_P}) AS cum_pct FROM {{table1}} {_W}
-smooth_seven | 1 | gmd | monitor | {_M} against its seven-row mean | SELECT {_G}, {_D}, {_M} - AVG({_M}) OVER (ORDER BY {_D} ROWS 6 PRECEDING) AS off_mean FROM {{table1}} {_W}
-deciles | 1 | gmd | segment | {_M} into deciles with their bounds | SELECT tenth, MIN({_M}) OVER (PARTITION BY tenth) AS lo, MAX({_M}) OVER (PARTITION BY tenth) AS hi FROM (SELECT {_M}, NTILE(10) OVER (PARTITION BY {_P} ORDER BY {_M}) AS tenth FROM {{table1}} {_W}) AS t
-next_step | 1 | gmd | forecast | whether {_M} rises or falls next per {_G} | SELECT {_G}, {_D}, CASE WHEN LEAD({_M}) OVER (PARTITION BY {_G} ORDER BY {_D}) > {_M} THEN 'rise' ELSE 'no rise' END AS next_move FROM {{table1}} {_W}
-first_places | 1 | gmd | list | the first {{top_n}} rows by {_M} in each {_P} | SELECT * FROM (SELECT {_G}, {_M}, ROW_NUMBER() OVER (PARTITION BY {_P} ORDER BY {_M} DESC) AS place, COUNT(*) OVER (PARTITION BY {_P}) AS n FROM {{table1}} {_W}) AS p WHERE place <= {{top_n}}
-next_three | 1 | gmd | project | {_M} over the current and next two rows per {_G} | SELECT {_G}, {_D}, SUM({_M}) OVER (PARTITION BY {_G} ORDER BY {_D} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ahead FROM {{table1}} {_W}
-scaled | 1 | gmd | normalize | {_M} to the range of its {_P} | SELECT {_G}, ({_M} - MIN({_M}) OVER (PARTITION BY {_P})) / NULLIF(MAX({_M}) OVER (PARTITION BY {_P}) - MIN({_M}) OVER (PARTITION BY {_P}), 0) AS scaled FROM {{table1}} {_W}
-""",
-    "subqueries": f"""
-over_mean | 1 | gmd | find | rows with more than average {_M} | SELECT {_G}, {_M} FROM {{table1}} {_W} AND {_M} > (SELECT AVG({_M}) FROM {{table1}})
-with_children | 2 | gmd | show | rows of {{table1}} with the size of their {{table2}} | SELECT a.{_G}, a.{_M}, (SELECT COUNT(*) FROM {{table2}} AS b WHERE b.{{fk1}} = a.{{pk1}}) AS n, (SELECT AVG(b.{{metric_col2}}) FROM {{table2}} AS b WHERE b.{{fk1}} = a.{{pk1}}) AS mu FROM {{table1}} AS a {_JW}
-not_below_latest | 1 | gmd | identify | rows that reach the latest {_M} of their {_G} | SELECT {_G}, {_M} FROM {{table1}} AS a {_W} AND {_M} >= (SELECT b.{_M} FROM {{table1}} AS b WHERE b.{_G} = a.{_G} ORDER BY b.{_D} DESC LIMIT 1)
-big_groups | 1 | gmd | analyze | rows and means of each {_G} above {{threshold}} | SELECT {_G}, COUNT(*) AS n, AVG({_M}) AS mu FROM {{table1}} WHERE {_G} IN (SELECT {_G} FROM {{table1}} {_W} GROUP BY {_G} HAVING SUM({_M}) > {{threshold}}) GROUP BY {_G}
-group_best | 1 | gmd | find | the row with the most {_M} in each {_G} | SELECT {_G}, {_M}, {_D} FROM {{table1}} AS a WHERE {_M} = (SELECT MAX(b.{_M}) FROM {{table1}} AS b WHERE b.{_G} = a.{_G} AND b.{_D} >= '{{year}}-01-01')
-new_peaks | 1 | gmd | detect | rows above everything of the 90 days before | SELECT {_G}, {_M} FROM {{table1}} AS a {_W} AND {_M} > ALL (SELECT b.{_M} FROM {{table1}} AS b WHERE b.{_G} = a.{_G} AND b.{_D} < a.{_D} AND b.{_D} >= DATE_SUB(a.{_D}, INTERVAL 90 DAY))
-place_by_count | 1 | gmd | rank | the {{top_n}} best rows by {_M} | SELECT {_G}, {_M}, 1 + (SELECT COUNT(*) FROM {{table1}} AS b WHERE b.{_M} > a.{_M}) AS place FROM {{table1}} AS a {_W} ORDER BY place LIMIT {{top_n}}
-upper_quarter | 1 | gmd | filter | rows in the upper quarter of {_M} | SELECT {_G}, {_M} FROM {{table1}} {_W} AND {_M} > (SELECT PERCENTILE_CONT(0.75) WITHIN GROUP (ORDER BY {_M}) FROM {{table1}})
-groups_over_mean | 1 | gmd | compare | the mean {_M} of each {_G} with the overall mean | SELECT {_G}, AVG({_M}) AS mu, AVG({_M}) - (SELECT AVG({_M}) FROM {{table1}}) AS gap FROM {{table1}} {_W} GROUP BY {_G} HAVING AVG({_M}) > (SELECT AVG({_M}) FROM {{table1}})
-has_large_child | 2 | md | filter | rows of {{table1}} with a large {{table2}} row | SELECT a.{_M}, a.{_D} FROM {{table1}} AS a {_JW} AND EXISTS (SELECT 1 FROM {{table2}} AS b WHERE b.{{fk1}} = a.{{pk1}} AND b.{{metric_col2}} {{comparison_op}} {{threshold}})
-better_groups | 1 | gmd | identify | how many {_G} do better than each row | SELECT {_G}, {_M}, (SELECT COUNT(DISTINCT b.{_G}) FROM {{table1}} AS b WHERE b.{_M} > a.{_M}) AS better FROM {{table1}} AS a {_W} ORDER BY better LIMIT {{top_n}}
-five_percent | 1 | gmd | highlight | each {_G} with five percent or more of {_M} | SELECT {_G}, 100.0 * SUM({_M}) / (SELECT SUM({_M}) FROM {{table1}}) AS pct FROM {{table1}} {_W} GROUP BY {_G} HAVING 100.0 * SUM({_M}) / (SELECT SUM({_M}) FROM {{table1}}) >= 5
-repeated_values | 1 | gmd | extract | rows whose {_M} occurs more than once | SELECT {_G}, {_M} FROM {{table1}} {_W} AND {_M} IN (SELECT {_M} FROM {{table1}} GROUP BY {_M} HAVING COUNT(*) >= 2)
-recent_and_all | 2 | gmd | show | recent and lifetime {{table2}} of {{table1}} | SELECT a.{_G}, (SELECT COUNT(*) FROM {{table2}} AS b WHERE b.{{fk1}} = a.{{pk1}} AND b.{_D} >= '{{date_string}}') AS recent, (SELECT SUM(b.{{metric_col2}}) FROM {{table2}} AS b WHERE b.{{fk1}} = a.{{pk1}}) AS lifetime FROM {{table1}} AS a {_JW}
-far_groups | 1 | gmd | detect | each {_G} whose mean {_M} is a deviation off | SELECT {_G}, AVG({_M}) AS mu FROM {{table1}} {_W} GROUP BY {_G} HAVING ABS(AVG({_M}) - (SELECT AVG({_M}) FROM {{table1}})) > (SELECT STDDEV({_M}) FROM {{table1}})
-""",
+    "CTEs": ["Report", "Tell me", "Give me"],
+    "set operations": ["Collect", "Give me"],
+    "multiple_joins": ["Report", "Work out"],
+    "window functions": ["Put beside each row", "Report"],
+    "subqueries": ["Tell me", "Look for"],
 }
 
 
 def template_rows() -> list[dict]:
     """Templates as rows for a DataFrame."""
-    rows = []
-    for cls, block in TEXT.items():
-        for line in block.strip().splitlines():
-            name, tables, needs, style, subject, sql = (part.strip() for part in line.split(" | ", 5))
-            rows.append(
-                {
-                    "cls": cls, "template": name, "n_tables": int(tables), "needs": list(needs),
-                    "verbs": VERBS.get(style, FALLBACK_VERBS), "sql": sql + ";",
-                    "prompts": [p.replace("{subject}", subject) for p in PROMPT_PATTERNS],
-                    "explanation": EXPLANATION.replace("{subject}", subject),
-                }
-            )
-    return rows
+    return [
+        {
+            "cls": cls, "template": name, "n_tables": tables, "needs": list(needs), "verbs": VERBS[cls], "sql": sql + ";",
+            "prompts": [r.replace("{what}", words) for r in REQUESTS], "explanation": REASON.replace("{what}", words),
+        }
+        for cls, build in _BUILDERS.items()
+        for name, tables, needs, words, sql in build()
+    ]
