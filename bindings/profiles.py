@@ -143,7 +143,7 @@ def _(t):
     "SELECT c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20",
 )
 def _(t):
-    return charts.metric_bar(t.customer, "c_name", "c_acctbal", ["c_custkey"])
+    return charts.metric_bar(t.customer, "c_name", "c_acctbal", ["c_custkey"], 20)
 
 
 @register(
@@ -151,7 +151,7 @@ def _(t):
     "SELECT p_name, count(*) AS n_rows FROM part GROUP BY p_name ORDER BY n_rows DESC, p_name LIMIT 200",
 )
 def _(t):
-    return charts.word_frequencies(t.part, "p_name")
+    return charts.word_frequencies(t.part, "p_name", 200)
 
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -218,8 +218,7 @@ def _(t):
 
 @register(
     "chart_sample",
-    """SELECT o_orderkey, o_totalprice FROM orders WHERE (SELECT count(*) FROM orders) <= 1000
-    OR ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT < 576460752303423488""",
+    """SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT < 576460752303423488""",
 )
 def _(t):
-    return charts.sample_for(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "scatter")
+    return charts.sample_share(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 0.5)

@@ -180,19 +180,18 @@ def _(t):
 _ERR = "CASE WHEN contains(lower(message), 'syntax') THEN 'syntax_error' ELSE 'execution_error' END"
 
 
-@register("sqltext_error_type", f"SELECT event_id, {_ERR} AS error_type FROM ({LOG}) log WHERE event_type = 'error'")
+@register("sqltext_error_type", f"SELECT event_id, {_ERR} AS error_type FROM ({LOG}) log")
 def _(t):
-    log = statement_log(t).filter("event_type = 'error'")
-    return log.select("event_id", st.error_type(F.col("message")).alias("error_type"))
+    return statement_log(t).select("event_id", st.error_type(F.col("message")).alias("error_type"))
 
 
 @register(
     "sqltext_error_report",
     f"""SELECT db_type, primary_complexity, {_ERR} AS error_type, count(*) AS n_errors FROM {FEATURES} x
-    WHERE event_type = 'error' GROUP BY ALL""",
+    GROUP BY ALL""",
 )
 def _(t):
-    log = st.with_complexity(statement_log(t).filter("event_type = 'error'"), "sql")
+    log = st.with_complexity(statement_log(t), "sql")
     return sqlreports.error_report(log, "message", ["db_type", "primary_complexity"])
 
 

@@ -106,3 +106,30 @@ def test_runs_are_even_when_one_key_and_value_hold_everything(spark):
     runs = ordered.split_runs(df, ["k"], "v", ["id"], runs=8)
     sizes = [r["n"] for r in runs.rows.groupBy(ordered.RUN).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) < 1000
+
+
+ORDERS = {
+    "double": [None, float("nan"), float("-inf"), float("inf"), -0.5, 2.0],
+    "string": [None, "", "a", "b", "aa", "é"],
+    "date": [None, "1970-01-01", "2024-02-29", "1900-01-01"],
+    "bigint": [None, -(2**63), 2**63 - 1, 0, 5],
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+@pytest.mark.parametrize("desc", [False, True])
+def test_order_values_of_any_type(spark, kind, desc):
+    """NaN, nulls, texts, dates and the smallest long, in runs that cut equal values."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["x", "y", None]), i, rnd.choice(ORDERS[kind]), i % 7) for i in range(160)]
+    first = "string" if kind == "date" else kind
+    df = spark.createDataFrame(rows, f"k string, id long, v {first}, __keep int").withColumn("v", F.col("v").cast(kind))
+    order = F.desc("v") if desc else F.asc("v")
+    peers = Window.partitionBy("k").orderBy(order)
+    want = df.select(
+        "k", "id", "__keep", F.row_number().over(Window.partitionBy("k").orderBy(order, "id")).alias("rn"), F.rank().over(peers).alias("rk"),
+        F.dense_rank().over(peers).alias("dr"), F.count("*").over(peers).alias("up"),
+    )
+    runs = ordered.split_runs(df, ["k"], "v", ["id"], desc=desc, runs=12)
+    got = ordered.positions(runs, {"rn": "row_number", "rk": "rank", "dr": "dense_rank", "up": "upto"})
+    assert bag(got.select(*want.columns)) == bag(want)

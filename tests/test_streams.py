@@ -1,5 +1,7 @@
 """Streams over several files in several micro-batches equal their batch twins."""
 
+import time
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +37,7 @@ def test_streams_equal_batches(spark, tmp_path):
     def stream():
         return readers.stream_parquet(spark, folder, SCHEMA, files_per_trigger=1)
 
-    rate = streams.run_available(streams.request_rate(stream(), "ts"), ["window_start"])
+    rate = streams.run_available(streams.request_rate(stream(), "ts", "2 minutes"), ["window_start"])
     w = F.window("ts", "60 seconds", "10 seconds")
     want = batch.groupBy(w).agg(F.count("*").alias("n")).select("window.start", "n", F.col("n") / 60)
     assert bag(rate.toDF("a", "b", "c")) == bag(want.toDF("a", "b", "c"))
@@ -46,10 +48,27 @@ def test_streams_equal_batches(spark, tmp_path):
     last = streams.run_available(streams.gauge_last(stream(), "value", ["ts", "event_id"], ["event_type"]), ["event_type"])
     assert bag(last) == bag(telemetry.gauge_last(batch, "value", ["ts", "event_id"], ["event_type"]))
 
-    hist = streams.run_available(streams.histogram(stream(), "ts", "value", [1, 5, telemetry.INF], ["event_type"]), ["window_start", "event_type", "le"])
+    hist = streams.run_available(streams.histogram(stream(), "ts", "value", [1, 5, telemetry.INF], ["event_type"], "2 minutes"), ["window_start", "event_type", "le"])
     assert hist.filter("le = '+Inf'").agg(F.sum("n_rows")).first()[0] == 900
 
 
+def test_lateness_is_the_callers_choice(spark, tmp_path):
+    """Files that come in reverse time order: all counted when nothing is late, fewer with a short lateness."""
+    folder = str(tmp_path / "reverse")
+    rows = write_events(spark, str(tmp_path / "source"))
+    for i in (2, 1, 0):
+        rows.filter(F.floor(F.col("event_id") / 300) == i).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are read by modification time
+
+    def total(late):
+        source = readers.stream_parquet(spark, folder, SCHEMA, files_per_trigger=1)
+        rate = streams.run_available(streams.request_rate(source, "ts", late, length="10 seconds"), ["window_start"])
+        return rate.agg(F.sum("n_events")).first()[0]
+
+    assert total("1 day") == 900
+    assert total("1 second") < 900
+
+
 def test_guard_filter_keeps_allowed_only(spark, tmp_path):
     folder = str(tmp_path / "sql")
     spark.createDataFrame([("SELECT 1",), ("DROP TABLE t",), ("SELECT 2",)], "sql string").write.parquet(folder)

@@ -13,9 +13,7 @@ from tidemark.operators import ordered
 from tidemark.session import materialise
 
 # Limits the chart rules use.
-BINS, TOP_N, WORDS, SORTED_BARS = 30, 20, 200, 20
-SCATTER_ROWS, SCATTER_SHARE = 1000, 0.50
-HISTOGRAM_ROWS, HISTOGRAM_SHARE = 10_000, 0.30
+BINS = 30
 UNIQUE_SHARE, MIN_CORR_UNIQUE, MIN_CORR = 0.95, 0.3, 0.5
 
 
@@ -64,45 +62,33 @@ def box_outliers(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     return rows.filter((F.col(col) < F.col("f.lower_fence")) | (F.col(col) > F.col("f.upper_fence"))).drop("f")
 
 
-def box_by_category(df: DataFrame, num: str, cat: str, lo: int = 2, hi: int = 15) -> DataFrame:
-    """A box per category, when the column has ``lo`` to ``hi`` categories."""
+def box_by_category(df: DataFrame, num: str, cat: str) -> DataFrame:
+    """A box per category; how many categories a chart can take is the caller's choice."""
     rows = df.select(cat, F.col(num).cast("double").alias("v")).filter(F.col(cat).isNotNull())
     five = _five(rows, [cat], "v")
     outside = (F.col("v") < F.col("lower_fence")) | (F.col("v") > F.col("upper_fence"))
     counts = rows.join(five.select(cat, "lower_fence", "upper_fence"), cat).groupBy(cat).agg(F.count_if(outside).alias("n_outliers"))
-    return five.join(counts, cat).filter(_cardinality(df, cat).between(lo, hi))
-
-
-def _cardinality(df: DataFrame, col: str):
-    return df.agg(F.count_distinct(col)).scalar()
+    return five.join(counts, cat)
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Counts per value, written once: the charts read them for their size and for their rows."""
-    return materialise(_counts(df, col))
-
-
-def _counts(df: DataFrame, col: str) -> DataFrame:
+    """Rows per value, without nulls."""
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def frequency_bar(df: DataFrame, col: str, lo: int = 2, hi: int = 30) -> DataFrame:
-    counts = value_counts(df, col)
-    n = counts.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(n.between(lo, hi)).orderBy(F.desc("n_rows"), col)
+def frequency_bar(df: DataFrame, col: str) -> DataFrame:
+    return value_counts(df, col).orderBy(F.desc("n_rows"), col)
 
 
-def top_n_bar(df: DataFrame, col: str, n: int = TOP_N, min_values: int = 200) -> DataFrame:
-    counts = value_counts(df, col)
-    size = counts.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(size >= min_values).orderBy(F.desc("n_rows"), col).limit(n)
+def top_n_bar(df: DataFrame, col: str, n: int) -> DataFrame:
+    return value_counts(df, col).orderBy(F.desc("n_rows"), col).limit(n)
 
 
-def word_frequencies(df: DataFrame, col: str, n: int = WORDS) -> DataFrame:
-    return _counts(df, col).orderBy(F.desc("n_rows"), col).limit(n)
+def word_frequencies(df: DataFrame, col: str, n: int) -> DataFrame:
+    return value_counts(df, col).orderBy(F.desc("n_rows"), col).limit(n)
 
 
-def metric_bar(df: DataFrame, x: str, y: str, tie: Sequence[str], n: int = SORTED_BARS) -> DataFrame:
+def metric_bar(df: DataFrame, x: str, y: str, tie: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(F.desc(y), *tie).limit(n).select(x, y)
 
 
@@ -153,19 +139,17 @@ def line_over_time(df: DataFrame, date: str, metric: str) -> DataFrame:
 
 
 def line_points(df: DataFrame, date: str, metric: str) -> DataFrame:
-    """Every point, in time order (a range sort over the cluster)."""
-    return df.select(date, metric).orderBy(date)
+    """Every point, in time order.  The metric breaks ties, so that the range sort can cut a busy date."""
+    return df.select(date, metric).orderBy(date, metric)
 
 
-def scatter_colored(df: DataFrame, x: str, y: str, cat: str, lo: int = 2, hi: int = 10) -> DataFrame:
-    return df.select(x, y, cat).filter(_cardinality(df, cat).between(lo, hi))
+def scatter_colored(df: DataFrame, x: str, y: str, cat: str) -> DataFrame:
+    return df.select(x, y, cat)
 
 
-def sample_for(df: DataFrame, key: str, kind: str, seed: int = 42) -> DataFrame:
-    """Half of the rows for a scatter of more than 1000, three tenths for a histogram of more than 10 000.
+def sample_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """A seeded share of the rows, whatever their number.
 
     A row is drawn by its key, so re-runs and any partitioning agree.
     """
-    limit, share = {"scatter": (SCATTER_ROWS, SCATTER_SHARE), "histogram": (HISTOGRAM_ROWS, HISTOGRAM_SHARE)}[kind]
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    return df.filter((rows <= limit) | (draw(F.col(key), seed) < int(share * SPAN)))
+    return df.filter(draw(F.col(key), seed) < int(share * SPAN))

@@ -59,15 +59,22 @@ class Runs:
         return F.struct(*[F.col(p) for p in self.part])
 
     def peer_key(self) -> Column:
-        """Sorts like the run order: struct(part..., order value in run direction)."""
-        value = F.col(self.order)
-        if self.desc:
-            return F.struct(*[F.col(p) for p in self.part], value.isNull().alias("nil"), (-value).alias("v"))
-        return F.struct(*[F.col(p) for p in self.part], F.lit(False).alias("nil"), value.alias("v"))
+        """Key and order value of a row; equal for peers."""
+        return F.struct(*[F.col(p) for p in self.part], F.col(self.order).alias("v"))
+
+    def first_and_last(self) -> tuple[Column, Column]:
+        """First and last peer of a key in run order.
+
+        Structs compare by value with null smallest and NaN largest, as an ascending order has
+        it; a descending one is the reverse, nulls included.
+        """
+        low, high = F.min(self.peer_key()), F.max(self.peer_key())
+        return (high, low) if self.desc else (low, high)
 
     def finish(self, df: DataFrame) -> DataFrame:
-        drop = [c for c in df.columns if c.startswith("__")]
-        return df.drop(*drop)
+        """Without the columns made here; the caller's own stay, whatever they are called."""
+        own = {c for c in self.rows.columns if c not in (RUN, _ALL)}
+        return df.drop(*[c for c in df.columns if c.startswith("__") and c not in own])
 
 
 def split_runs(
@@ -118,14 +125,13 @@ def _carries(r: Runs, measures: dict[str, Column], peers: bool, dense: bool = Fa
     """
     spark = r.rows.sparkSession
     names = list(measures)
+    first, last = r.first_and_last()
     per_key = r.rows.groupBy(RUN, *r.part).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(m) for m, c in measures.items()],
-        F.min(r.peer_key()).alias("lo"),
-        F.max(r.peer_key()).alias("hi"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(m) for m, c in measures.items()], first.alias("lo"), last.alias("hi")
     )
     edge = F.struct(F.struct(*r.part).alias("k"), F.struct(*names).alias("m"))
     ends = per_key.groupBy(RUN).agg(
-        F.min(edge).alias("head"), F.max(edge).alias("tail"), F.min("lo").alias("hv"), F.max("hi").alias("tv")
+        F.min(edge).alias("head"), F.max(edge).alias("tail"), F.min_by("lo", r.key()).alias("hv"), F.max_by("hi", r.key()).alias("tv")
     )
     if dense:
         depth = r.rows.withColumn("__d", F.dense_rank().over(r.window(tie=False))).groupBy(RUN, *r.part).agg(F.max("__d").alias("d"))
@@ -189,7 +195,7 @@ def _peer_sums(r: Runs, measures: dict[str, Column], table, equal_on) -> tuple[d
     spark = r.rows.sparkSession
     bounds = spark.createDataFrame([(table[i][RUN], table[i]["hv"], table[i]["tv"]) for i in sorted(touched)], T.StructType(fields))
     at = r.rows.withColumn("__pk", r.peer_key()).join(F.broadcast(bounds), RUN)
-    first, last = F.col("__pk") == F.col("hv"), F.col("__pk") == F.col("tv")
+    first, last = F.col("__pk").eqNullSafe(F.col("hv")), F.col("__pk").eqNullSafe(F.col("tv"))
     sums = at.filter(first | last).groupBy(RUN).agg(
         F.struct(*[F.coalesce(F.sum(F.when(first, c)), F.lit(0)).alias(m) for m, c in measures.items()]).alias("h"),
         F.struct(*[F.coalesce(F.sum(F.when(last, c)), F.lit(0)).alias(m) for m, c in measures.items()]).alias("t"),

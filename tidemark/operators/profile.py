@@ -72,8 +72,8 @@ def missing(df: DataFrame, min_pct: float = 1.0) -> DataFrame:
     )
 
 
-def high_cardinality(df: DataFrame, col: str, threshold: int = 50, n: int = 5) -> DataFrame:
-    """Top and bottom n values, singletons and mode of a column with more than ``threshold`` values.
+def high_cardinality(df: DataFrame, col: str, n: int = 5) -> DataFrame:
+    """Top and bottom n values, singletons and mode of a column; ``total_unique`` says whether it has many values.
 
     (section, position, value, n_rows, percentage); equal counts are ordered by value.
     """
@@ -94,10 +94,8 @@ def high_cardinality(df: DataFrame, col: str, threshold: int = 50, n: int = 5) -
         "section", F.lit(0).alias("position"), F.lit(None).cast("string").alias("value"), "n_rows"
     )
     mode = top.filter(F.col("position") == 1).withColumn("section", F.lit("mode"))
-    enough = facts.select(F.col("total_unique") > threshold).scalar()
     return (
         top.unionByName(bottom).unionByName(summary).unionByName(mode)
-        .filter(enough)
         .withColumn("percentage", F.when(F.col("value").isNotNull(), F.col("n_rows") / rows * 100))
     )
 

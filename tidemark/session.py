@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +30,18 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the session names none, as in tests.
+    A temporary folder is used only when the session names none and has no executors of its
+    own (``local`` master), as in tests; elsewhere it would be a different disk on each machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
@@ -52,5 +60,29 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
+    for paths in _SCOPES:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables written within each open ``scratch`` block.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``materialise`` wrote within it.
+
+    Results of operators read such tables: write or collect them inside the block.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

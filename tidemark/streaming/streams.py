@@ -2,7 +2,8 @@
 
 Each takes a stream with a zoned event time and returns the aggregated stream; the
 expressions are those of the batch operators.  State is bounded by the watermark (windows)
-or by the number of label sets (running counters).
+or by the number of label sets (running counters).  ``late`` is the caller's choice: events that
+come later than that after the latest one are not counted.
 """
 
 from __future__ import annotations
@@ -16,12 +17,9 @@ from tidemark.functions import sqltext
 from tidemark.operators import telemetry
 from tidemark.session import shared_folder
 
-LATE = "2 minutes"
-
-
-def request_rate(events: DataFrame, ts: str, length: str = "60 seconds", step: str = "10 seconds", seconds: int = 60) -> DataFrame:
+def request_rate(events: DataFrame, ts: str, late: str, length: str = "60 seconds", step: str = "10 seconds", seconds: int = 60) -> DataFrame:
     w = F.window(ts, length, step)
-    rated = events.withWatermark(ts, LATE).groupBy(w).agg(F.count(F.lit(1)).alias("n_events"))
+    rated = events.withWatermark(ts, late).groupBy(w).agg(F.count(F.lit(1)).alias("n_events"))
     return rated.select(
         F.col("window.start").alias("window_start"), "n_events", (F.col("n_events") / seconds).alias("requests_per_second")
     )
@@ -31,9 +29,9 @@ def counters(events: DataFrame, labels: Sequence[str]) -> DataFrame:
     return telemetry.counter(events, labels)
 
 
-def histogram(events: DataFrame, ts: str, col: str, buckets: Sequence[float], labels: Sequence[str], length: str = "1 minute") -> DataFrame:
+def histogram(events: DataFrame, ts: str, col: str, buckets: Sequence[float], labels: Sequence[str], late: str, length: str = "1 minute") -> DataFrame:
     wide = (
-        events.withWatermark(ts, LATE)
+        events.withWatermark(ts, late)
         .groupBy(F.window(ts, length), *labels)
         .agg(*telemetry.bucket_counts(col, buckets), F.sum(col).alias("sum_value"), F.count(col).alias("count_value"))
         .withColumn("window_start", F.col("window.start"))
@@ -46,9 +44,9 @@ def gauge_last(events: DataFrame, col: str, at: Sequence[str], labels: Sequence[
     return telemetry.gauge_last(events, col, at, labels)
 
 
-def error_report(events: DataFrame, ts: str, message: str, length: str = "1 hour") -> DataFrame:
+def error_report(events: DataFrame, ts: str, message: str, late: str, length: str = "1 hour") -> DataFrame:
     typed = events.withColumn("error_type", sqltext.error_type(F.col(message)))
-    counted = typed.withWatermark(ts, LATE).groupBy(F.window(ts, length), "error_type").agg(F.count(F.lit(1)).alias("n_errors"))
+    counted = typed.withWatermark(ts, late).groupBy(F.window(ts, length), "error_type").agg(F.count(F.lit(1)).alias("n_errors"))
     return counted.select(F.col("window.start").alias("window_start"), "error_type", "n_errors")
 
 
