@@ -52,19 +52,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def process_memo(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, whichever tasks it runs."""
-    return pyspark.__dict__.setdefault("_tidemark_memo", {}).setdefault(name, {})
-
-
-def batches_of(rows: Iterator, size: int) -> Iterator[list]:
-    chunk: list = []
-    for row in rows:
-        chunk.append(row)
-        if len(chunk) >= size:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk
+    """A dictionary that lives as long as the Python worker, whichever tasks it runs.
+
+    A worker keeps the memory of one operator only: another name starts with an empty one, so
+    that a pipeline of operators needs no more memory than the largest of them.
+    """
+    memo = pyspark.__dict__.setdefault("_tidemark_memo", {})
+    if name not in memo:
+        memo.clear()
+        memo[name] = {}
+    return memo[name]
 
 
 def by_bytes(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:

@@ -17,7 +17,7 @@ from array import array
 from tidemark.llm.common import process_memo
 
 #: Words remembered by one Python worker; the memory is emptied when full, which changes no result.
-WORDS = 800_000
+WORDS = 500_000
 #: Letters below U+02B0, and characters with no doubt about their class: these, digits, signs and plain white space.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 COMMON = re.compile("[\t\n\r -~¡-¬®-±´-¸º»¿-ʯ]*")

@@ -34,7 +34,7 @@ EPOCHS, BATCH, RATE = 4, 64, 0.3
 #: Words of one block of the blocked forward-backward pass.
 BLOCK = 128
 #: Characters of text handled at a time, and words remembered by one Python worker.
-HELD, MEMORY = 2_000_000, 600_000
+HELD, MEMORY = 2_000_000, 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,7 +56,7 @@ class _Numbers(dict):
 
 def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
     """Feature numbers of a lower-case word; affixes are letter groups with the mark of an end."""
-    numbers = process_memo("feature_numbers").setdefault("of", _Numbers())
+    numbers = process_memo("crf").setdefault("numbers", _Numbers())
     marked, n = f"<{word}>", len(word) + 2
     groups = [marked[i : i + 2] for i in range(n - 1)] + [marked[i : i + 3] for i in range(n - 2)] + [marked[:4], marked[-4:], f"#{min(n, 14)}"]
     groups += [f"={lang}" for lang in lexicon.get(word, ())]
@@ -225,7 +225,6 @@ class Tagger:
     def __init__(self, model: dict):
         self.model, self.memory = model, process_memo("crf")
         if self.memory.get("of") is not model:  # another model than the last task's
-            self.memory.clear()
             self.memory.update(of=model, place={}, scores=[])
 
     def emissions(self, words: list[str]):

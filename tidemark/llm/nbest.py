@@ -31,7 +31,7 @@ SPACE = "▁"
 #: A spelled character costs this much more than the worst piece (fixed value of the format).
 UNKNOWN_PENALTY = 10
 #: Parts remembered by one Python worker, and of these searched backwards; characters of text handled at a time.
-MEMORY, SEARCHED, HELD = 600_000, 50_000, 1_000_000
+MEMORY, SEARCHED, HELD = 500_000, 20_000, 1_000_000
 LOWEST = float("-inf")
 
 
