@@ -127,6 +127,15 @@ def _(t):
     return telemetry.histogram(t.events, "value", telemetry.DURATION_BUCKETS, ["event_type"])
 
 
+@register(
+    "tel_result_size",
+    _bucket_sql("documents", "n_chars", telemetry.ROW_BUCKETS, "lang", "sum(n_chars)::BIGINT AS sum_value, count(n_chars) AS count_value"),
+)
+def _(t):
+    """Sizes in the buckets of result sizes."""
+    return telemetry.histogram(t.documents, "n_chars", telemetry.ROW_BUCKETS, ["lang"])
+
+
 @register(
     "tel_gauge_last",
     "SELECT event_type, arg_max(value, (ts, event_id)) AS last_value, max(ts) AS at FROM events GROUP BY event_type",

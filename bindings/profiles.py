@@ -135,7 +135,7 @@ def _(t):
     ORDER BY n_rows DESC, p_partkey LIMIT 20""",
 )
 def _(t):
-    return charts.top_n_bar(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    return charts.top_n_bar(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", 20)
 
 
 @register(

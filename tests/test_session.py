@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 
 from tidemark.operators import ordered
-from tidemark.session import ensure_checkpoint_dir, scratch
+from tidemark.session import discard, ensure_checkpoint_dir, materialise, scratch
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -25,3 +25,11 @@ def test_scratch_leaves_no_table(spark):
             assert ordered.positions(ordered.split_runs(rows, ["k"], "id", []), {"n": "row_number"}).count() == 50
         assert len(set(os.listdir(folder)) - before) >= 10
     assert set(os.listdir(folder)) == before
+
+
+def test_discard(spark):
+    table = materialise(spark.range(5))
+    folder = table._written.removeprefix("file:")
+    assert os.path.isdir(folder) and table.count() == 5
+    discard(table)
+    assert not os.path.exists(folder)

@@ -34,8 +34,8 @@ def f1_binary(both: Column, n_predicted: Column, n_gold: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-cased runs of letters and digits; none for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def bigrams(tokens: Column) -> Column:

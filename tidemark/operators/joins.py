@@ -215,12 +215,12 @@ def five_number_summary(fact, dim, fk, pk, g2, metric, date, since) -> DataFrame
 
 
 def recent_active_count(fact, dim, fk, pk, g1, g2, date, as_of, days: int = 90) -> DataFrame:
-    part = fact.groupBy(fk, g1).agg(F.max(date).alias("__d"))
-    last = _joined(part, dim, fk, pk, g2).groupBy(g1, g2).agg(F.max("__d").alias("last_activity"))
+    """A group's latest date is in the window exactly when one of its dates is, so the scan needs no others."""
     start = F.date_sub(F.lit(str(as_of)).cast("date"), days).cast(fact.schema[date].dataType)
+    part = fact.filter(F.col(date) >= start).groupBy(fk, g1).agg(F.max(date).alias("__d"))
+    last = _joined(part, dim, fk, pk, g2).groupBy(g1, g2).agg(F.max("__d").alias("last_activity"))
     return (
-        last.filter(F.col("last_activity") >= start)
-        .groupBy(g2)
+        last.groupBy(g2)
         .agg(F.count(F.lit(1)).alias("active_count"))
         .orderBy(F.desc("active_count"))
     )

@@ -63,7 +63,25 @@ def materialise(df: DataFrame) -> DataFrame:
     for paths in _SCOPES:
         paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` returned and that no later step reads.
+
+    The driver's JVM is asked to collect its garbage too: only then does Spark remove the
+    shuffle files of jobs that have ended.
+    """
+    for table in tables:
+        _delete(table.sparkSession, table._written)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 #: Tables written within each open ``scratch`` block.
@@ -82,7 +100,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCOPES.remove(paths)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in paths:
-            place = hadoop.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
