@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import by_bytes, process_memo, row_keys
 from tidemark.llm.components import connected_components
 from tidemark.operators.support import attach
-from tidemark.session import materialise
+from tidemark.session import discard, materialise
 
 #: Slots of the sketch that orders the n-grams, and of the set that says whose n-grams are needed.
 SLOTS, NEEDED = 1 << 18, 1 << 22
@@ -425,6 +425,7 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
     ranged = met.distinct().withColumn("span", F.explode(F.array(span, span + 1)))
     groups = ranged.groupBy("token", "span").agg(F.min(F.struct("a", "b")).alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     shared_rows = materialise(ranged.join(groups, ["token", "span"]))
+    discard(met)
     # each class joins the cluster whose centre it shares most n-grams with
     votes = shared_rows.groupBy("a", "b", "n", "centre").agg(F.count(F.lit(1)).alias("votes"))
     chosen = votes.groupBy("a", "b", "n").agg(F.max(F.struct("votes", F.col("centre").alias("cluster")))["cluster"].alias("cluster"))
@@ -436,14 +437,18 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
     placed = materialise(placed)
     # n-grams shared by several clusters: the class of the smaller cluster looks into the larger
     spread = shared_rows.select("token", "span", "a", "b").join(placed.select("a", "b", "cluster", "members"), ["a", "b"])
-    spread = materialise(spread)
+    spread = materialise(spread)  # read three times below
     many = spread.groupBy("token", "span").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high").select("token", "span")
-    spread = spread.join(many, ["token", "span"])
-    there = spread.select("token", "span", F.col("cluster").alias("other"), F.col("members").alias("other_members")).distinct()
-    crossing = spread.join(there, ["token", "span"]).filter(
+    mixed = spread.join(many, ["token", "span"])
+    there = mixed.select("token", "span", F.col("cluster").alias("other"), F.col("members").alias("other_members")).distinct()
+    crossing = mixed.join(there, ["token", "span"]).filter(
         F.struct("members", "cluster") < F.struct(F.col("other_members").alias("members"), F.col("other").alias("cluster"))
     )
     crossing = materialise(crossing.select("a", "b", F.col("other").alias("cluster")).distinct())
+    discard(shared_rows, spread, chosen)
+    # a class alone in its cluster, into which no other looks, has nothing to be compared with
+    looked_into = materialise(crossing.select("cluster").distinct())
+    placed = placed.filter("members > 1").unionByName(placed.filter("members = 1").join(looked_into, "cluster", "left_semi"))
 
     found = []
     members = placed.select("cluster", "chunk", (F.col("chunks") == 1).alias("itself"), F.lit(False).alias("probe"), "a", "b")
