@@ -2,8 +2,6 @@ import random
 
 import pytest
 
-SPACES = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Columns whose names operators use inside or add.
 CLASHES = "k1 string, k2 string, keep_id string, kept string, group_size string, n_lines string, shard string, slot string, score string, id string, part string"
 SCHEMA = f"doc_id long, text string, lang string, {CLASHES}"

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_text_operators import components
+from plain_versions import components
 
 from tidemark.llm.langid import identify_languages
 from tidemark.llm.packing import piece_lengths

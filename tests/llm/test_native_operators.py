@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import LOWER, SPACES
+from plain_versions import LOWER, SPACES
 from pyspark.sql import functions as F
 
 from tidemark.llm import license_scan as licenses
