@@ -9,6 +9,8 @@ each (prefix filter), so only these are exchanged.
 2. Prefix n-grams are exchanged; those that no other class of similar length has are dropped.
 3. Each class joins the cluster of one class that it shares most n-grams with.  Pairs that share an
    n-gram across clusters are found as (class, cluster).
+   Histograms of the sets' hashes, about 32 times smaller than the sets, bound what a pair can have in
+   common; sets without a partner that the bounds allow go no further.
 4. In a task, a block of a cluster is a prefix tree of its ordered sets.  Each other set walks the
    tree: what it has in common with a path is counted once for all sets below, and a subtree is
    left as soon as the elements that remain on either side cannot reach the threshold.
@@ -84,6 +86,42 @@ def signature(grams) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little")
 
 
+def histogram(grams) -> bytes:
+    """How many elements fall in each of about ``n / 2`` buckets of the hash; empty if a count needs more than a byte."""
+    import numpy as np
+
+    size = max(16, 1 << (len(grams) // 2).bit_length())
+    counts = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+class Histograms:
+    """Histograms of a block; sets have at most the sum of bucket-wise minima in common."""
+
+    def __init__(self, rows: list):
+        import numpy as np
+
+        by_size: dict[int, list[int]] = {}
+        for i, h in enumerate(rows):
+            by_size.setdefault(len(h), []).append(i)
+        self.groups = [(np.array(at), np.array([rows[i] for i in at], np.int64)) for size, at in by_size.items() if size]
+        self.unknown = np.array(by_size.get(0, []), np.int64)
+        self.n = len(rows)
+
+    def bounds(self, probe):
+        """The most that ``probe`` can have in common with each set."""
+        import numpy as np
+
+        out = np.full(self.n, 1 << 60)
+        if len(probe):
+            for at, rows in self.groups:
+                size = min(rows.shape[1], len(probe))  # the larger one is folded to the smaller
+                a = rows.reshape(len(rows), -1, size).sum(axis=1)
+                b = probe.astype(np.int64).reshape(-1, size).sum(axis=0)
+                out[at] = np.minimum(a, b).sum(axis=1)
+        return out
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -102,7 +140,7 @@ def _describe(words: int):
         import pyarrow as pa
 
         counts, id_type = np.zeros(SLOTS, np.int64), None
-        names = ["kind", "id", "k1", "k2", "n", "a", "b"]
+        names = ["kind", "id", "k1", "k2", "n", "a", "b", "hist"]
         for batch, rows, texts in _texts(batches):
             id_type = batch.column(1).type
             sets = [shingles(t, words) for t in texts]
@@ -111,12 +149,13 @@ def _describe(words: int):
             own = [batch.column(i).slice(rows.start, len(rows)) for i in (1, 2, 3)]
             cols = [[0] * len(rows), [len(s) for s in sets], [s[0] for s in sigs], [s[1] for s in sigs]]
             kind, n, a, b = (pa.array(c, pa.int64()) for c in cols)
-            yield pa.RecordBatch.from_arrays([kind, *own, n, a, b], names)
+            hist = pa.array([histogram(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([kind, *own, n, a, b, hist], names)
         if id_type is not None:
             full = np.flatnonzero(counts)
             k = len(full)
             one, none = pa.array(np.ones(k, np.int64)), pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([one, pa.nulls(k, id_type), none, none, pa.array(counts[full]), pa.array(full), none], names)
+            yield pa.RecordBatch.from_arrays([one, pa.nulls(k, id_type), none, none, pa.array(counts[full]), pa.array(full), none, pa.nulls(k, pa.binary())], names)
 
     return run
 
@@ -387,11 +426,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["id"].dataType.simpleString()
     one, two = row_keys(rows, "id", "text")
     keyed = rows.withColumns({"k1": one, "k2": two})
-    described = materialise(keyed.mapInArrow(_describe(words), f"kind long, id {kind}, k1 long, k2 long, n long, a long, b long"))
-    texts = described.filter("kind = 0").drop("kind")
+    described = materialise(keyed.mapInArrow(_describe(words), f"kind long, id {kind}, k1 long, k2 long, n long, a long, b long, hist binary"))
+    texts = described.filter("kind = 0").drop("kind", "hist")
     shared = spark.sparkContext.broadcast(_weights(described))
 
-    links = _links(rows, words, percent, shared)
+    links = _links(rows, described.filter("kind = 0 AND n > 0").select("a", "b", "n", "hist"), words, percent, shared)
     labels = connected_components(links.select(_node("a1", "b1").alias("u"), _node("a2", "b2").alias("v")))
     labels = labels.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "label")
     classes = texts.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
@@ -413,7 +452,7 @@ def _weights(described: DataFrame):
     return np.minimum(2048 * np.log2(counts + 1.0), 65535).astype(np.uint64)
 
 
-def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
+def _links(rows: DataFrame, hists: DataFrame, words: int, percent: int, shared) -> DataFrame:
     """Links ``(a1, b1, a2, b2)`` that connect all classes that similar pairs connect."""
     spark = rows.sparkSession
     texts = rows.select("text")
@@ -461,7 +500,7 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
         # first each block of a large cluster by itself and with the centre ...
         own = large.select("cluster", "chunk", F.lit(True).alias("itself"), F.lit(False).alias("probe"), "a", "b")
         centre = centres.filter("chunks > 1").select("cluster", "chunk", F.lit(True).alias("itself"), F.lit(True).alias("probe"), F.col("cluster.a").alias("a"), F.col("cluster.b").alias("b"))
-        first = materialise(_blocks(own.unionByName(centre), texts, words, percent, shared))
+        first = materialise(_blocks(own.unionByName(centre), texts, hists, words, percent, shared))
         found.append(first)
         # ... then those that are not connected with the centre, in the other blocks
         labels = materialise(connected_components(first.select(_node("a1", "b1").alias("u"), _node("a2", "b2").alias("v"))))
@@ -471,7 +510,7 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
         apart = labelled.filter(~F.coalesce(F.col("label"), F.col("node")).eqNullSafe(F.coalesce(F.col("centre_label"), F.col("cluster"))))
         apart = apart.select("cluster", F.col("chunk").alias("home"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "a", "b")
         probes = probes.unionByName(apart.filter("chunk != home").select("cluster", "chunk", F.lit(False).alias("itself"), "a", "b"))
-    second = _blocks(members.unionByName(probes.distinct().withColumn("probe", F.lit(True))), texts, words, percent, shared)
+    second = _blocks(members.unionByName(probes.distinct().withColumn("probe", F.lit(True))), texts, hists, words, percent, shared)
     found.append(materialise(second))
     out = found[0]
     for more in found[1:]:
@@ -479,14 +518,94 @@ def _links(rows: DataFrame, words: int, percent: int, shared) -> DataFrame:
     return out
 
 
-def _blocks(tasks: DataFrame, texts: DataFrame, words: int, percent: int, shared) -> DataFrame:
+def _thin(percent: int):
+    """Rows of blocks that have a partner in their block whose bound reaches the threshold."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        key, last, members, sizes, hists, found, alive, out = None, None, [], [], [], None, None, []
+
+        def possible(n: int, hist):
+            return (100 + percent) * np.minimum(found.bounds(hist), np.minimum(lengths(), n)) >= percent * (lengths() + n)
+
+        def lengths():
+            return np.array(sizes, np.int64)
+
+        def grown() -> None:
+            nonlocal found, alive
+            if found is None and members:
+                found, alive = Histograms(hists), np.zeros(len(members), bool)
+                if key[-1]:
+                    for i, hist in enumerate(hists):
+                        partners = possible(sizes[i], hist)
+                        partners[i] = False
+                        alive |= partners
+
+        def ended() -> None:
+            grown()
+            if members:
+                out.extend((*key, False, *m) for m, a in zip(members, alive) if a)
+
+        def flushed():
+            nonlocal out
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+            cols = list(zip(*out)) if out else [[]] * len(kinds)
+            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["ca", "cb", "chunk", "itself", "probe", "a", "b"])
+            out = []
+            return done
+
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            raw = batch.column(8)
+            for i, (ca, cb, chunk, itself, probe, a, b, n) in enumerate(zip(*cols)):
+                if (ca, cb, chunk, itself) != key:
+                    ended()
+                    key, last, members, sizes, hists, found, alive = (ca, cb, chunk, itself), None, [], [], [], None, None
+                if last == (probe, a, b):
+                    continue  # a copy of the class
+                last = (probe, a, b)
+                hist = np.frombuffer(raw[i].as_buffer(), np.uint8)
+                if not probe:
+                    members.append((a, b))
+                    sizes.append(n)
+                    hists.append(hist.copy())
+                    continue
+                grown()
+                if found is None:
+                    continue
+                partners = possible(n, hist)
+                for j in np.flatnonzero(partners):
+                    if members[j] == (a, b):
+                        partners[j] = False
+                if partners.any():
+                    alive |= partners
+                    out.append((*key, True, a, b))
+            if len(out) > 50_000:
+                yield flushed()
+        ended()
+        yield flushed()
+
+    return run
+
+
+def _thinned(tasks: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
+    rows = tasks.join(hists, ["a", "b"]).select("cluster.a", "cluster.b", "chunk", "itself", "probe", F.col("a").alias("xa"), F.col("b").alias("xb"), "n", "hist")
+    rows = rows.toDF("ca", "cb", "chunk", "itself", "probe", "a", "b", "n", "hist")
+    dealt = rows.repartition("ca", "cb", "chunk").sortWithinPartitions("ca", "cb", "chunk", "itself", "probe", "a", "b")
+    out = dealt.mapInArrow(_thin(percent), "ca long, cb long, chunk int, itself boolean, probe boolean, a long, b long")
+    return out.select(_node("ca", "cb").alias("cluster"), "chunk", "itself", "probe", "a", "b")
+
+
+def _blocks(tasks: DataFrame, texts: DataFrame, hists: DataFrame, words: int, percent: int, shared) -> DataFrame:
     """Walk the probes of each block through the tree of its members.
 
     The sets are made again from the texts, only for classes that stand in ``tasks``.  Copies of
     a class in several partitions send the same set; a block drops them when they arrive.
     """
     spark = tasks.sparkSession
-    tasks = materialise(tasks)
+    tasks = materialise(_thinned(tasks, hists, percent))
     slot = F.expr(f"pmod(a, {NEEDED})")
     bits = tasks.select(F.floor(slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(a, {NEEDED}), 64) as int))").alias("bit"))
     bits = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
