@@ -89,6 +89,24 @@ def test_license_scan(docs, rows):
     assert Counter(tuple(r) for r in license_scan(docs).collect()) == want
 
 
+def test_license_notices_wrap(spark):
+    """A notice is found wherever its lines end and however they are led in; scattered words are not."""
+    texts, want = [], []
+    for label, template in licenses.TEMPLATES.items():
+        words = template.split()
+        for cut in range(1, len(words)):
+            for before in (0, 5, 8, 9, 30):
+                lead = " ".join(["word"] * before)
+                texts.append(f"{lead}\n * {' '.join(words[:cut])}\n * {' '.join(words[cut:])}\nmore")
+                want.append(label)
+        texts.append((" " + "word " * 24).join(words))
+        want.append(None)
+    out = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert (want[r.doc_id] in r.labels.split(",") and r.score == 1) if want[r.doc_id] else r.score == 0, texts[r.doc_id]
+
+
 def test_hypergeometric_is_exact(spark):
     for good, bad, n in ((7, 5, 4), (40, 60, 30), (3, 0, 2), (0, 4, 3), (1, 200, 100), (300, 2, 250)):
         us = [(i + 0.5) / 400 for i in range(400)]

@@ -1,6 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line, a template a set of words; a pair is a match when the block holds at least
+A block is a window of consecutive words, wherever lines end; a template is a set of words.  A
+window is one and a half times as long as the longest template, and windows overlap so that each
+passage of a template's length lies within one.  A pair is a match when the block holds at least
 ``threshold`` of the template's words.  The join is exact and avoids comparing all pairs:
 
 * tokens have one global order, by the number of blocks that hold them (rarest first), counted
@@ -49,9 +51,27 @@ def needed(size: int, threshold: float) -> int:
     return next(n for n in range(1, size + 1) if n >= threshold * size - 1e-9)
 
 
-def words_by_line(text: Column) -> Column:
-    """Per line its words; no word crosses a line."""
-    return F.transform(F.split(text, "\n", -1), lambda line: F.filter(F.split(line, SEPARATOR, -1), lambda w: w != ""))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, SEPARATOR, -1), lambda w: w != "")
+
+
+def window_sizes(templates: dict[str, str]) -> tuple[int, int]:
+    """Words in a window, and from one window's start to the next."""
+    longest = max(len(t.split()) for t in templates.values())
+    width = -(-3 * longest // 2)
+    return width, width - longest + 1
+
+
+def windows(words: Column, vocabulary: list[str], width: int, stride: int, least: int) -> Column:
+    """``(no, tokens)`` of each window with ``least`` or more distinct words of ``vocabulary``."""
+
+    def of_document(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ws) - (width - stride + 1), F.lit(0)), F.lit(stride))
+        found = F.transform(starts, lambda at: F.struct(at.alias("no"), F.array_distinct(F.array_compact(F.slice(ws, at + 1, width))).alias("tokens")))
+        return F.filter(found, lambda b: F.size(b["tokens"]) >= least)
+
+    # words of no template become null once, not in each window
+    return let(F.transform(words, lambda w: F.when(w.isin(vocabulary), w)), of_document)
 
 
 def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
@@ -130,14 +150,11 @@ def license_scan(
     one, two = row_keys(rows, "id", "text")
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
     least = min(needed(len(set(t.split())), threshold) for t in templates.values())
-    split = rows.select("id", one.alias("k1"), two.alias("k2"), words_by_line(ascii_lower(text_or_empty("text"))).alias("lines"))
-    blocks = F.filter(
-        F.transform("lines", lambda ws, no: F.struct(no.alias("no"), F.array_distinct(F.filter(ws, lambda w: w.isin(vocabulary))).alias("tokens"))),
-        lambda b: F.size(b["tokens"]) >= least,
-    )
+    split = rows.select("id", one.alias("k1"), two.alias("k2"), words_of(ascii_lower(text_or_empty("text"))).alias("words"))
+    blocks = windows(F.col("words"), vocabulary, *window_sizes(templates), least)
     scanned = materialise(
         split.select(
-            "id", "k1", "k2", let(F.flatten("lines"), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), phrase_places(ws, phrases).alias("places"))).alias("base"),
+            "id", "k1", "k2", let(F.col("words"), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), phrase_places(ws, phrases).alias("places"))).alias("base"),
             blocks.alias("blocks"),
         )
     )
