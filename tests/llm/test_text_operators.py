@@ -85,6 +85,26 @@ def test_quality_counts(docs, rows):
     assert all(r.kept == (not r.base_failed and r.low <= r.log_perplexity <= r.high) for r in out)
 
 
+def test_quality_rejects_rubble(spark):
+    """Rubble that passes the base rules is rejected by its perplexity; labelled clean text is not."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    clean = docs.join(labels.filter("quality = 1"), "doc_id").filter("n_chars > 1000 and lang = 'en'").orderBy("doc_id").limit(20).collect()
+    rubble = []
+    for r in clean:
+        words = r.text.split()
+        rubble.append((-r.doc_id, " ".join(w + " ###" * (i % 2) for i, w in enumerate(words)), "en"))
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rubble, "doc_id long, text string, lang string"))
+    out = {r.doc_id: r for r in quality_rules(rows).collect()}
+    passed = [-r.doc_id for r in clean if not out[-r.doc_id].base_failed]
+    assert len(passed) > 10 and not any(out[i].kept for i in passed)
+    share = {}
+    for quality in (0, 1):
+        own = [out[r.doc_id] for r in labels.filter(f"quality = {quality}").collect()]
+        own = [r for r in own if not r.base_failed]
+        share[quality] = sum(not r.kept for r in own) / len(own)
+    assert share[0] > 0.7 and share[1] < 0.03, share
+
+
 def test_kneser_ney(spark):
     """Counts by hand, probabilities that sum to one, and the textbook formula."""
     texts = ["the end of the thing.", "the thing, the end", "an end of it all, the thing"] * 3 + ["odd"]
