@@ -105,6 +105,23 @@ def test_quality_rejects_rubble(spark):
     assert share[0] > 0.7 and share[1] < 0.03, share
 
 
+def test_quality_band_of_a_small_language(spark):
+    """A language of 30 documents has a band of its own, which keeps its clean texts and rejects rubble."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1")
+    clean = docs.join(labels, "doc_id", "left_semi").filter("lang = 'en' and length(text) > 1000").orderBy("doc_id").limit(30).collect()
+    small = [(-r.doc_id, r.text, "small") for r in clean]
+    rng = random.Random(2)
+    noisy = lambda text: "".join(rng.choice("qxzjkvwy") if i % 25 == 0 else c for i, c in enumerate(text))
+    rubble = [(-1_000_000 - r.doc_id, noisy(r.text), "small") for r in clean[:4]]
+    rows = docs.unionByName(spark.createDataFrame(small + rubble, docs.schema))
+    out = {r.doc_id: r for r in quality_rules(rows).collect()}
+    passed = [out[i] for i, _, _ in small if not out[i].base_failed]
+    noise = [out[i] for i, _, _ in rubble if not out[i].base_failed]
+    assert len(passed) > 20 and sum(r.kept for r in passed) >= len(passed) - 2
+    assert len(noise) > 2 and not any(r.kept for r in noise)
+
+
 def test_kneser_ney(spark):
     """Counts by hand, probabilities that sum to one, and the textbook formula."""
     texts = ["the end of the thing.", "the thing, the end", "an end of it all, the thing"] * 3 + ["odd"]
