@@ -102,6 +102,23 @@ def test_nbest_by_enumeration():
         assert all(lattice.decode(ids) == text for _, ids in lattice.encode(text))
 
 
+def test_nbest_checks_each_rank(monkeypatch):
+    """A wrong segmentation of any rank is reported for that rank only."""
+    import pyarrow as pa
+
+    from tidemark.llm import nbest
+
+    path, text = vocabulary("piece_bpe_32k.model"), "the thing of the end"
+    lattice = PieceLattice(path, 3)
+    found = lattice.encode(text)
+    wrong = [*found[:2], (found[2][0], found[2][1][:-4])]
+    monkeypatch.setattr(lattice, "encode", lambda _: wrong)
+    monkeypatch.setattr(nbest, "_lattice", lambda *_: lattice)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+    out = pa.Table.from_batches(nbest._encode(path, 3)(iter([batch])))
+    assert out["rank"].to_pylist() == [1, 2, 3] and out["round_trip"].to_pylist() == [True, True, False]
+
+
 def test_nbest_rows(docs, rows):
     out = encode_nbest(docs, vocabulary("piece_bpe_32k.model"), best=3)
     back = decode_ids(out, vocabulary("piece_bpe_32k.model")).collect()

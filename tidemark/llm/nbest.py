@@ -255,8 +255,8 @@ def _encode(path: str, best: int):
                 rows = []
                 for row in range(a, b):
                     found = lattice.encode(texts[row])
-                    back = lattice.decode(found[0][1]) == texts[row]
-                    rows += [(row, rank, score, len(ids) // 4, ids, back) for rank, (score, ids) in enumerate(found, 1)]
+                    for rank, (score, ids) in enumerate(found, 1):
+                        rows.append((row, rank, score, len(ids) // 4, ids, lattice.decode(ids) == texts[row]))
                 row, *cols = zip(*rows)
                 kinds = (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.bool_())
                 arrays = [batch.column(0).take(pa.array(row)), *[pa.array(c, k) for c, k in zip(cols, kinds)]]
@@ -267,7 +267,7 @@ def _encode(path: str, best: int):
 
 def encode_nbest(docs: DataFrame, model: str, best: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Up to ``best`` rows per row of ``docs``: id, ``rank`` from 1, ``score``, ``n_pieces``, ``ids``
-    (binary, little-endian 32 bit), ``round_trip`` (the best ids decode to the text).
+    (binary, little-endian 32 bit), ``round_trip`` (the ids decode to the text).
 
     A text with fewer segmentations has fewer rows; null or empty text has one, without pieces.
     Equal scores come in a fixed order.  A text with U+2581 decodes to a space there, as the
