@@ -18,6 +18,7 @@ from tidemark.llm.nbest import encode_nbest
 from tidemark.llm.packing import pack_powers_of_two
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.sharding import hypergeometric_shards
+from tidemark.llm.spelling import spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,3 +192,11 @@ def _(docs):
 @query("op10_quality_rules")
 def _(docs):
     return quality_rules(docs).drop("k1", "k2")
+
+
+# --- 12: spelling variants --------------------------------------------------------------------
+
+
+@query("op12_spelling_variants")
+def _(docs):
+    return spelling_variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
