@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from plain_versions import LOWER
 
-from tidemark.llm import spelling
+from tidemark.llm import lexical, spelling
+from tidemark.llm.lexical import QueryBlock, count_levels, lexical_search, query_terms, sketch, term_hashes
 from tidemark.llm.spelling import near_words, one_edit, spelling_variants
 
 
@@ -115,3 +116,79 @@ def test_near_words_meet_once(spark):
     pairs = [(r.word, r.near) for r in near_words(df).collect()]
     assert len(pairs) == len(set(pairs)) and all((b, a) in pairs for a, b in pairs)
     assert {b for a, b in pairs if a == "aaaaa"} == {"aaaaaa", "aaaab", "baaaa", "aabaa", "aabaaa"}
+
+
+# --- ranked lexical search --------------------------------------------------------------------
+
+
+def plain_search(rows, items, k=20):
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").findall
+    held = [(r[0], Counter(cut((r[1] or "").translate(LOWER)))) for r in rows]
+    full = [sum(c.values()) for _, c in held]
+    n_docs, n_terms = sum(n > 0 for n in full), sum(full)
+    df = Counter(t for _, c in held for t in c)
+    out = Counter()
+    for item, text in items:
+        scores = []
+        for (doc, c), n in zip(held, full):
+            score = 0
+            for t in cut((text or "").translate(LOWER)):
+                if c[t]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    score += w * ((1000000000 * c[t]) // (1000 * c[t] + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0))
+        for rank, (score, none, doc) in enumerate(sorted(scores)[:k], 1):
+            out[(item, rank, None if none else doc, -score)] += 1
+    return out
+
+
+def search(docs, items, **options):
+    return Counter(tuple(r) for r in lexical_search(docs, items, **options).select("item_id", "rank", "doc_id", "score").collect())
+
+
+ITEMS = [(1, "the of and"), (2, "mot fin mot mot"), (3, None), (4, ""), (5, "nowhere-to zzzz"), (6, "changed LONG words"), (7, "CC by 4 all rights"), (8, "été çà x"), (2, "over")]
+
+
+@pytest.mark.parametrize("seeds,items", [(40, 512), (20, 2), (1, 3)])
+def test_search_is_that_of_all_scores(spark, docs, rows, monkeypatch, seeds, items):
+    monkeypatch.setattr(lexical, "SEEDS", seeds)
+    monkeypatch.setattr(lexical, "BLOCK_ITEMS", items)
+    asked = spark.createDataFrame([(*i, "c") for i in ITEMS], "item_id long, text string, score string")
+    got = search(docs, asked)
+    want = plain_search(rows, ITEMS)
+    assert got == want and len(want) > 60
+    assert search(docs, asked, k=3) == plain_search(rows, ITEMS, 3)
+
+
+def test_search_of_a_table(spark):
+    read = lambda name, *cols: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(*cols)
+    docs, items = read("documents", "doc_id", "text"), read("benchmark", "item_id", "text")
+    assert search(docs, items) == plain_search([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
+
+
+def test_search_awkward(spark, docs, empty):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert search(empty, items) == search(docs, items.limit(0)) == search(empty, items.limit(0)) == Counter()
+    assert search(docs, items.filter("item_id in (3, 4, 5)")) == Counter()
+    named = spark.createDataFrame([("b", "x y"), ("a", "y x"), ("c", "x"), (None, "x y")], "name string, body string")
+    got = lexical_search(named, items.filter("item_id = 8"), 2, id_col="name", text_col="body").collect()
+    assert [(r["rank"], r["name"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, "c"), (2, "a")]
+
+
+def test_bounds_hold_and_are_close():
+    rng = random.Random(4)
+    words = [f"w{i}".encode() for i in range(3000)]
+    queries = [[rng.choice(words) for _ in range(30)] for _ in range(20)]
+    block = QueryBlock(queries, {w: rng.randrange(1, 9000) for w in words}, 1000, 300_000)
+    loose = []
+    for size in (0, 1, 5, 300, 5000):
+        found = Counter(rng.choice(words[:1500]) for _ in range(size))
+        found.update({words[0]: 3000} if size == 5000 else {})
+        n = sum(found.values())
+        bounds = block.bounds(n, *sketch(term_hashes(list(found)), np.array(list(found.values()), np.uint32)), count_levels())
+        exact = np.array([block.score(q, found, n) for q in range(20)])
+        assert (bounds >= exact).all()
+        loose.append(bounds.sum() / max(1, exact.sum()))
+    assert loose[3] < 1.6 and loose[4] < 1.3
+    assert query_terms("A-b é_1\x7fZ") == ["a".encode(), b"b", "é".encode(), b"1", b"z"]

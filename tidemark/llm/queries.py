@@ -12,6 +12,7 @@ from tidemark.llm.bitplanes import read_tokens, write_tokens
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.langid import identify_languages
+from tidemark.llm.lexical import lexical_search
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.nbest import encode_nbest
@@ -24,9 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    def bind(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def query(name: str, oracle: str | None = None, tables: tuple[str, ...] = ("documents",)):
+    def bind(fn: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: fn(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
         if oracle:
             ORACLES[name] = oracle.strip()
         return fn
@@ -194,6 +195,39 @@ def _(docs):
     return quality_rules(docs).drop("k1", "k2")
 
 
+# --- 11: ranked lexical search ----------------------------------------------------------------
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+WITH worded AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+sizes AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM worded),
+items AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+tfs AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM worded)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), sizes
+),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN tfs USING (term) JOIN weights USING (term), sizes GROUP BY ALL
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+""",
+    ("documents", "benchmark"),
+)
+def _(docs, items):
+    return lexical_search(docs, items, 20)
+
+
 # --- 12: spelling variants --------------------------------------------------------------------
 
 
