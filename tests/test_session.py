@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 
 from tidemark.operators import ordered
-from tidemark.session import discard, ensure_checkpoint_dir, materialise, scratch
+from tidemark.session import discard, ensure_checkpoint_dir, materialise, scratch, shared_folder
 
 
 def test_a_cluster_needs_a_shared_folder():
@@ -33,3 +33,15 @@ def test_discard(spark):
     assert os.path.isdir(folder) and table.count() == 5
     discard(table)
     assert not os.path.exists(folder)
+
+
+def test_discard_leaves_other_tables(spark):
+    discard(spark.range(3))  # not one that was written
+
+
+def test_scratch_deletes_folders_handed_out(spark):
+    with scratch(spark):
+        path = shared_folder(spark, "runs")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))

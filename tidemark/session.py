@@ -47,8 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder, for written intermediate tables."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the checkpoint folder, for written intermediate tables and files.
+
+    Within ``scratch`` it is deleted at the end of the block.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -60,37 +66,38 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, "table")
-    for paths in _SCOPES:
-        paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``materialise`` returned and that no later step reads.
+    """Deletes tables that ``materialise`` returned and that no later step reads; others are left as they are.
 
     The driver's JVM is asked to collect its garbage too: only then does Spark remove the
     shuffle files of jobs that have ended.
     """
-    for table in tables:
-        _delete(table.sparkSession, table._written)
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    written = [table for table in tables if hasattr(table, "_written")]
+    for table in written:
+        delete(table.sparkSession, table._written)
+    if written:
+        written[0].sparkSession.sparkContext._jvm.System.gc()
 
 
-#: Tables written within each open ``scratch`` block.
+#: Folders handed out within each open ``scratch`` block.
 _SCOPES: list[list[str]] = []
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that ``materialise`` wrote within it.
+    """Deletes, at its end, the folders that operators wrote to within it.
 
     Results of operators read such tables: write or collect them inside the block.
     """
@@ -101,4 +108,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCOPES.remove(paths)
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
