@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from plain_versions import LOWER
 
-from tidemark.llm import lexical, spelling
+from tidemark.llm import hmm, lexical, spelling
+from tidemark.llm.hmm import END, OWN, UNKNOWN, expected_counts, hmm_scores, train_hmm
 from tidemark.llm.lexical import QueryBlock, count_levels, lexical_search, query_terms, sketch, term_hashes
 from tidemark.llm.spelling import near_words, one_edit, spelling_variants
 
@@ -192,3 +193,144 @@ def test_bounds_hold_and_are_close():
         loose.append(bounds.sum() / max(1, exact.sum()))
     assert loose[3] < 1.6 and loose[4] < 1.3
     assert query_terms("A-b é_1\x7fZ") == ["a".encode(), b"b", "é".encode(), b"1", b"z"]
+
+
+# --- hidden Markov model ----------------------------------------------------------------------
+
+
+def plain_tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), END]
+
+
+def plain_base(rows):
+    """What the contract fixes: (id, held out, tokens, known, training tokens, base score)."""
+    held = [crc32(str("" if r[0] is None else r[0]).encode()) % 5 == 1 for r in rows]
+    c = Counter(t for r, h in zip(rows, held) if not h for t in plain_tokens(r[1]))
+    n, v = sum(c.values()), len(c)
+    out = []
+    for r, h in zip(rows, held):
+        ts = plain_tokens(r[1])
+        out.append((r[0], h, len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts)))
+    return c, out
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[5]))
+
+
+def check_base(got, want):
+    got, want = in_order(got), in_order(want)
+    assert [tuple(r[:5]) for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9)
+
+
+def test_hmm_base_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = hmm_scores(docs, rounds=1).collect()
+    check_base(got, plain_base([tuple(r) for r in docs.collect()])[1])
+
+
+def counts_of(model):
+    return {r["symbol"]: np.array(r[1:]) for r in model.counts.collect()}
+
+
+def plain_model_score(model, counts, c, tokens):
+    """Log likelihood of tokens by the plain recursion, from the model's counts."""
+    all_states = sum(counts.values())
+    everything = all_states.sum() + 0.5
+    once, twice = sum(n == 1 for w, n in c.items() if w != END), sum(n == 2 for n in c.values())
+    unseen = (once + 1) / (once + 2 * twice + 2) if once else 1.0
+    rare = Counter()
+    for w, n in c.items():
+        if 1 < n < OWN and w != END:
+            rare[UNKNOWN + w[-2:]] += n
+    moves, state, total = np.array(model.moves), None, 0.0
+    for w in tokens:
+        n = c[w]
+        if n >= OWN or (w == END and n):
+            symbol, inner = w, 1.0
+        elif n > 1:
+            symbol, inner = UNKNOWN + w[-2:], n / rare[UNKNOWN + w[-2:]]
+        else:
+            symbol, inner = UNKNOWN, (1 - unseen) / once if n else unseen
+        g = counts[symbol]
+        b = (g + hmm.PRIOR * (g.sum() + (0.5 if symbol == UNKNOWN else 0)) / everything) / (all_states + hmm.PRIOR)
+        state = (np.array(model.first) if state is None else state @ moves) * b * inner
+        total += math.log10(state.sum())
+        state /= state.sum()
+    return total
+
+
+def test_hmm_scores_are_likelihoods(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(hmm, "SHARD_WORDS", 40)
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 300)
+    model = train_hmm(docs, states=3, rounds=6)
+    got = model.scores().collect()
+    c, want = plain_base(rows)
+    check_base([(r.id, r.held_out, r.n_tokens, r.n_known, model.train_tokens, r.base_score) for r in got], want)
+    texts, counts = {r[0]: r[1] for r in rows if r[0] is not None}, counts_of(model)
+    for r in [r for r in got if r.id is not None and r.n_tokens < 2000]:
+        assert math.isclose(r.score, plain_model_score(model, counts, c, plain_tokens(texts[r.id])), rel_tol=1e-5)
+    assert all(b > a - 1e-3 * abs(a) for a, b in zip(model.likelihoods, model.likelihoods[1:])) and model.likelihoods[-1] > model.likelihoods[0]
+    assert np.allclose(np.sum(model.moves, axis=1), 1) and math.isclose(sum(model.first), 1)
+    # the same whatever the partitions and shards
+    monkeypatch.setattr(hmm, "SHARD_WORDS", 10**6)
+    again = {r.doc_id: r.score for r in hmm_scores(docs.repartition(2), states=3, rounds=6).collect()}
+    assert all(math.isclose(again[r.id], r.score, rel_tol=1e-3) for r in got if r.id is not None)
+
+
+def test_hmm_probabilities_add_up(spark):
+    """Over every token that may come next, the known ones and the unknown word."""
+    rng = random.Random(2)
+    words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(3000)]
+    texts = [(i, " ".join(words[i * 30 : i * 30 + 30])) for i in range(100)]
+    c, _ = plain_base(texts)
+    assert any(n == 1 for n in c.values()) and any(1 < n < OWN for n in c.values()) and any(n >= OWN for n in c.values())
+    model = train_hmm(spark.createDataFrame(texts, "doc_id long, text string"), states=4, rounds=3)
+    counts = counts_of(model)
+    for begun in ([], ["w1"], ["w1", "never", "w2"]):
+        share = 10 ** plain_model_score(model, counts, c, begun)
+        assert math.isclose(sum(10 ** plain_model_score(model, counts, c, [*begun, w]) for w in [*c, "never"]), share, rel_tol=1e-9)
+
+
+def test_expected_counts_by_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    emissions, moves, first = rng.random((4, 2)), rng.random((2, 2)), rng.random(2)
+    moves, first = moves / moves.sum(axis=1, keepdims=True), first / first.sum()
+    tokens = [np.array([0, 3, 1, 1]), np.array([2]), np.array([3, 0])]
+    counts, pairs, begun, total = np.zeros((4, 2)), np.zeros((2, 2)), np.zeros(2), 0.0
+    for t in tokens:
+        paths = {}
+        for path in product(range(2), repeat=len(t)):
+            p = first[path[0]] * np.prod([moves[a, b] for a, b in zip(path, path[1:])]) * np.prod([emissions[x, s] for x, s in zip(t, path)])
+            paths[path] = p
+        whole = sum(paths.values())
+        total += math.log(whole)
+        for path, p in paths.items():
+            begun[path[0]] += p / whole
+            for x, s in zip(t, path):
+                counts[x, s] += p / whole
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += p / whole
+    got = expected_counts(tokens, emissions, moves, first)
+    assert np.allclose(got[0], counts) and np.allclose(got[1], pairs) and np.allclose(got[2], begun) and math.isclose(got[3], total)
+
+
+def test_hmm_is_better_than_counts_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in hmm_scores(docs).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    gain = sum(r.score - r.base_score for r in held) / tokens
+    assert len(held) > 150 and gain > 0.3
+    assert sum(r.score > r.base_score for r in held if r.n_known > 50) > 0.9 * sum(r.n_known > 50 for r in held)
+
+
+def test_hmm_awkward(spark, empty):
+    assert hmm_scores(empty).collect() == []
+    only_held = spark.createDataFrame([(1, "a b"), (1, None)], "doc_id long, text string")
+    out = hmm_scores(only_held, folds=1, held_fold=0).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    long = spark.createDataFrame([("x", "y" * 100_000 + " Z"), ("y", "y" * 100_000)], "score2 string, text string")
+    assert {r.score2: r.n_tokens for r in hmm_scores(long, "score2").collect()} == {"x": 3, "y": 2}

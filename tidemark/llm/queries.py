@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import license_scan as licenses
 from tidemark.llm.bitplanes import read_tokens, write_tokens
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.hmm import hmm_scores
 from tidemark.llm.jaccard_join import near_duplicates
 from tidemark.llm.langid import identify_languages
 from tidemark.llm.lexical import lexical_search
@@ -234,3 +235,11 @@ def _(docs, items):
 @query("op12_spelling_variants")
 def _(docs):
     return spelling_variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# --- 13: language-model scores ----------------------------------------------------------------
+
+
+@query("op13_hmm_scores")
+def _(docs):
+    return hmm_scores(docs)
