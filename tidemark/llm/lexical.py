@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from tidemark.session import discard, materialise
 
 #: Terms whose frequencies a task holds before it sends them on.
-HELD_TERMS = 500_000
+HELD_TERMS = 300_000
 #: Queries of a block: this many, or this many characters.
 BLOCK_ITEMS, BLOCK_CHARS = 512, 1_000_000
 #: Documents per query that set the first threshold.
 SEEDS = 40
-#: Documents whose bounds a task holds at a time.
+#: Documents that a task indexes, and whose bounds it holds, at a time.
 HELD_DOCS = 256
 #: Each slot holds a count rounded up to one of these: exact up to 128, then by eighths.
 EXACT_COUNTS, LEVELS = 128, 255
@@ -102,10 +102,10 @@ def _index(batches: Iterator) -> Iterator:
         return pa.RecordBatch.from_arrays(cols, names)
 
     names = ["id", "doc", "n", "slots", "sketch", "terms", "counts", "term", "df"]
-    for batch in batches:
-        ids = batch.column(0)
-        rows = []
-        for text in batch.column(1).to_pylist():
+    pieces = (batch.slice(a, HELD_DOCS) for batch in batches for a in range(0, batch.num_rows, HELD_DOCS))
+    for piece in pieces:
+        ids, rows = piece.column(0), []
+        for text in piece.column(1).to_pylist():
             words = (text or "").encode().translate(table).split()
             found = Counter(words)
             terms = list(found)
@@ -114,11 +114,11 @@ def _index(batches: Iterator) -> Iterator:
             rows.append((place, len(words), slots, held, b" ".join(terms), counts.tobytes()))
             place += 1
             frequency.update(terms)
-            if len(frequency) >= HELD_TERMS:
-                yield entries()
-                frequency.clear()
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.nulls(0, t) for t in types]
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
         yield pa.RecordBatch.from_arrays([ids, *cols, pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())], names)
+        if len(frequency) >= HELD_TERMS:
+            yield entries()
+            frequency.clear()
     if frequency:
         yield entries()
 
