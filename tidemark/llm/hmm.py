@@ -40,6 +40,8 @@ PRIOR = 50.0
 STAY = 0.9
 #: A shard ends when it has as many words or tokens; tokens of the documents that pass the recursions together.
 SHARD_WORDS, SHARD_TOKENS, BATCH_TOKENS = 500_000, 8_000_000, 1_000_000
+#: Documents that a task cuts into words at a time.
+PIECE_DOCS = 500
 #: Longer words are named by a digest.
 LONGEST = 48
 #: The end of a text, and the symbol of words seen once or never: no word holds a space.
@@ -80,7 +82,7 @@ def _shards(batches: Iterator) -> Iterator:
         )
 
     kind = None
-    for batch in batches:
+    for batch in (whole.slice(a, PIECE_DOCS) for whole in batches for a in range(0, whole.num_rows, PIECE_DOCS)):
         kind = batch.column(0).type
         held = batch.column(1).to_pylist()
         texts, out, a = batch.column(2).to_pylist(), [], 0
