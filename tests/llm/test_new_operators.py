@@ -11,7 +11,7 @@ import pytest
 from plain_versions import LOWER
 
 from tidemark.llm import hmm, lexical, spelling
-from tidemark.llm.hmm import END, OWN, UNKNOWN, expected_counts, hmm_scores, train_hmm
+from tidemark.llm.hmm import END, OWN, UNKNOWN, expected_counts, hmm_scores, to_planes, train_hmm
 from tidemark.llm.lexical import QueryBlock, count_levels, lexical_search, query_terms, sketch, term_hashes
 from tidemark.llm.spelling import near_words, one_edit, spelling_variants
 
@@ -264,6 +264,7 @@ def plain_model_score(model, counts, c, tokens):
 def test_hmm_scores_are_likelihoods(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(hmm, "SHARD_WORDS", 40)
     monkeypatch.setattr(hmm, "BATCH_TOKENS", 300)
+    monkeypatch.setattr(hmm, "GROUP_TOKENS", 1000)
     model = train_hmm(docs, states=3, rounds=6)
     got = model.scores().collect()
     c, want = plain_base(rows)
@@ -314,7 +315,7 @@ def test_expected_counts_by_enumeration():
                 counts[x, s] += p / whole
             for a, b in zip(path, path[1:]):
                 pairs[a, b] += p / whole
-    got = expected_counts(tokens, emissions, moves, first)
+    got = expected_counts([np.frombuffer(to_planes(t.astype(np.uint32)), np.uint8) for t in tokens], emissions, moves, first)
     assert np.allclose(got[0], counts) and np.allclose(got[1], pairs) and np.allclose(got[2], begun) and math.isclose(got[3], total)
 
 

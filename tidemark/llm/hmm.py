@@ -8,9 +8,9 @@ recursion, summed over all state sequences.
 
 Nothing that grows with the vocabulary passes the driver or is broadcast.  Tokens are numbered
 within *shards* (the documents of a task, cut where their vocabulary or their tokens exceed a
-bound); a shard's words meet the corpus-wide counts in one join, and in each round a shard's symbols
-meet their emissions in one, so what moves is the vocabularies of shards.  Tokens lie in a table that
-is bucketed by shard and stay where they are.
+bound), whose words meet the corpus-wide counts in one exchange.  Small shards are joined into
+*groups* of bounded size.  In each round a group's symbols meet their emissions in one join, so what moves is
+the symbols of groups; the tokens lie in a table that is bucketed by group and stay where they are.
 
 A word with OWN occurrences or more in the training documents has emissions of its own.  Rarer words share
 those of a symbol, by their last two letters, and within it are told apart by their counts; words
@@ -21,11 +21,12 @@ words and one unknown word, as the base score does.
 
 from __future__ import annotations
 
+import math
 import uuid
 from array import array
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import delete, discard, materialise, shared_folder
@@ -38,14 +39,14 @@ OWN = 20
 PRIOR = 50.0
 #: Chance to stay in a state before training.
 STAY = 0.9
-#: A shard ends when it has as many words or tokens; tokens of the documents that pass the recursions together.
-SHARD_WORDS, SHARD_TOKENS, BATCH_TOKENS = 500_000, 8_000_000, 1_000_000
+#: A shard ends when it has as many words or tokens; tokens of a group, and of the documents that pass the recursions together.
+SHARD_WORDS, SHARD_TOKENS, GROUP_TOKENS, BATCH_TOKENS = 500_000, 8_000_000, 8_000_000, 500_000
 #: Documents that a task cuts into words at a time.
 PIECE_DOCS = 500
 #: Longer words are named by a digest.
 LONGEST = 48
-#: The end of a text, and the symbol of words seen once or never: no word holds a space.
-END, UNKNOWN = " ", "  "
+#: The end of a text, the symbol of words seen once or never, and what other sums are filed under: no word holds a space.
+END, UNKNOWN, SUMS = " ", "  ", "   "
 
 
 class _Numbers(dict):
@@ -62,6 +63,32 @@ def _name(word: bytes) -> bytes:
     return word if len(word) <= LONGEST else b" " + blake2b(word, digest_size=16).hexdigest().encode()
 
 
+def to_planes(numbers) -> bytes:
+    """32-bit numbers as four planes of bytes, which compress well where numbers are small."""
+    import numpy as np
+
+    return np.frombuffer(numbers, np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(planes):
+    import numpy as np
+
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def binaries(column) -> list:
+    """Values of a binary column as arrays of bytes that share its memory."""
+    import numpy as np
+
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        out += [held[a:b] for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def _shards(batches: Iterator) -> Iterator:
     """Documents as token numbers of their shard, and the shard's words with their training counts."""
     import numpy as np
@@ -85,19 +112,20 @@ def _shards(batches: Iterator) -> Iterator:
     for batch in (whole.slice(a, PIECE_DOCS) for whole in batches for a in range(0, whole.num_rows, PIECE_DOCS)):
         kind = batch.column(0).type
         held = batch.column(1).to_pylist()
-        texts, out, a = batch.column(2).to_pylist(), [], 0
+        texts, out, sizes, a = batch.column(2).to_pylist(), [], [], 0
         for i, text in enumerate(texts):
             ids = array("I", map(numbers.__getitem__, (text or "").encode().lower().split()))
             ids.append(0)
             if not held[i]:
                 trained.append(np.frombuffer(ids, np.uint32))
-            out.append(ids.tobytes())
+            out.append(to_planes(ids))
+            sizes.append(len(ids))
             tokens += len(ids)
             if i + 1 == len(texts) or len(numbers) >= SHARD_WORDS or tokens >= SHARD_TOKENS:
                 n = len(out)
                 docs = [pa.array(np.full(n, shard)), batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(out, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*docs, pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
-                out, a = [], i + 1
+                yield pa.RecordBatch.from_arrays([*docs, pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(sizes, pa.int64())], names)
+                out, sizes, a = [], [], i + 1
             if len(numbers) >= SHARD_WORDS or tokens >= SHARD_TOKENS:
                 yield words()
                 shard, tokens, trained, numbers = shard + 1, 0, [], _Numbers()
@@ -107,29 +135,43 @@ def _shards(batches: Iterator) -> Iterator:
 
 
 def _symbols(docs, words):
-    """Documents of a shard as numbers of symbols, with their sums over words; and the shard's symbols."""
+    """Documents of a group as numbers of symbols, with their sums over words; and the group's symbols."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    order = np.argsort(words.column("number").to_numpy())
-    base, inner, known = (words.column(c).to_numpy(zero_copy_only=False)[order] for c in ("base", "inner", "known"))
+    shard, number = words.column("shard").to_numpy(), words.column("number").to_numpy()
+    order = np.lexsort((number, shard))
+    shards, starts = np.unique(shard[order], return_index=True)
+    c = words.column("c").to_numpy()[order]
+    own_shard = words.column("first").to_numpy(zero_copy_only=False)[order]
     coded = pc.dictionary_encode(words.column("symbol").combine_chunks())
-    symbol = coded.indices.to_numpy()[order].astype(np.uint32)
-    tokens = [np.frombuffer(t, np.uint32) for t in docs.column("tokens").to_pylist()]
-    n = len(tokens)
-    shard = words.column("shard")[0].as_py()
-    sums = [[len(t) for t in tokens], *[[float(v[t].sum()) for t in tokens] for v in (base, inner)], [int(known[t].sum()) for t in tokens]]
+    names_, symbol = coded.dictionary, coded.indices.to_numpy()[order].astype(np.uint32)
+    kinds = np.array([n != UNKNOWN and n.startswith(UNKNOWN) for n in names_.to_pylist()], bool)
+    unknown = symbol == (names_.index(UNKNOWN).as_py())
+    # per word: known, seen once, logs for the base score and for the word within its symbol
+    values = np.stack([c > 0, unknown & (c > 0), np.log10(c + 0.5), np.where(kinds[symbol], np.log10(np.maximum(c, 1)), 0.0)])
+    first = starts[np.searchsorted(shards, docs.column("shard").to_numpy())]
+    planes = binaries(docs.column("tokens"))
+    sums, tokens = np.zeros((4, len(planes))), []
+    for i, held in enumerate(planes):
+        at = first[i] + from_planes(held)
+        sums[:, i] = values[:, at].sum(axis=1)
+        tokens.append(to_planes(symbol[at]))
+    n = len(planes)
+    group = docs.column("group")[0].as_py()
     cols = [
-        pa.array(np.full(n, shard)), docs.column("id").combine_chunks(), docs.column("held_out").combine_chunks(),
-        pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64()), pa.array(sums[3], pa.int64()),
-        pa.array([symbol[t].tobytes() for t in tokens], pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()),
+        pa.array(np.full(n, group)), docs.column("id").combine_chunks(), docs.column("held_out").combine_chunks(),
+        pa.array([len(p) // 4 for p in planes], pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
+        pa.array(sums[2]), pa.array(sums[3]), pa.array(tokens, pa.binary()),
+        pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
     ]
-    names = ["shard", "id", "held_out", "n_tokens", "base_score", "inner", "n_known", "tokens", "symbol", "number"]
-    held = coded.dictionary
-    m = len(held)
-    kinds = [c.type for c in cols[1:8]]
-    listed = [pa.array(np.full(m, shard)), *[pa.nulls(m, k) for k in kinds], held, pa.array(np.arange(m, dtype=np.int32))]
+    names = ["group", "id", "held_out", "n_tokens", "n_known", "n_once", "base_log", "rare_log", "tokens", "symbol", "number", "total", "types", "twice"]
+    m = len(names_)
+    # a word counts where its first shard is
+    mine = [np.bincount(symbol, own_shard * v, m).astype(np.int64) for v in (c, c > 0, c == 2)]
+    empty = [pa.nulls(m, x.type) for x in cols[1:9]]
+    listed = [pa.array(np.full(m, group)), *empty, names_, pa.array(np.arange(m, dtype=np.int32)), *map(pa.array, mine)]
     return pa.concat_tables([pa.Table.from_arrays(cols, names), pa.Table.from_arrays(listed, names)])
 
 
@@ -137,6 +179,8 @@ def batches_by_length(lengths) -> Iterator:
     """Places of texts, longest first, in batches of about BATCH_TOKENS tokens."""
     import numpy as np
 
+    if not len(lengths):
+        return
     order = np.argsort(-lengths, kind="stable")
     ends = np.cumsum(lengths[order]) // BATCH_TOKENS
     cuts = np.flatnonzero(np.diff(ends)) + 1
@@ -171,16 +215,15 @@ def forward(flat, starts, active, emissions, moves, first):
     return shares, scale
 
 
-def expected_counts(tokens: list, emissions, moves, first):
+def expected_counts(planes: list, emissions, moves, first):
     """Expected counts of (symbol, state), of moves and of first states, and the log likelihood."""
     import numpy as np
 
     states = len(first)
     counts = np.zeros(emissions.shape)
     pairs, begun, likelihood = np.zeros((states, states)), np.zeros(states), 0.0
-    lengths = np.array([len(t) for t in tokens])
-    for places in batches_by_length(lengths):
-        flat, active, starts = by_step([tokens[i] for i in places])
+    for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64)):
+        flat, active, starts = by_step([from_planes(planes[i]) for i in places])
         shares, scale = forward(flat, starts, active, emissions, moves, first)
         likelihood += float(np.log(scale, dtype=np.float64).sum())
         after = np.ones((active[0], states), shares.dtype)
@@ -199,8 +242,8 @@ def expected_counts(tokens: list, emissions, moves, first):
     return counts, pairs, begun, likelihood
 
 
-def _shard_emissions(table, states: int):
-    """Emissions of a shard's symbols, in the order of their numbers."""
+def _group_emissions(table, states: int):
+    """Emissions of a group's symbols, in the order of their numbers."""
     import numpy as np
 
     out = np.empty((table.num_rows, states), np.float32)
@@ -213,16 +256,18 @@ def _expect(states: int, moves, first):
         import numpy as np
         import pyarrow as pa
 
-        emissions = _shard_emissions(symbols, states)
-        tokens = [np.frombuffer(t, np.uint32) for t in docs.column("tokens").to_pylist()]
+        emissions = _group_emissions(symbols, states)
+        planes = binaries(docs.column("tokens"))
         a, f = np.array(moves, np.float32), np.array(first, np.float32)
-        counts, pairs, begun, likelihood = expected_counts(tokens, emissions, a, f) if tokens else (np.zeros(emissions.shape), np.zeros_like(a), np.zeros_like(f), 0.0)
-        sums = [*pairs.ravel().tolist(), *begun.tolist(), likelihood]
-        rows = [pa.concat_arrays([symbols.column("symbol").combine_chunks(), pa.nulls(1, pa.string())])]
+        counts, pairs, begun, likelihood = expected_counts(planes, emissions, a, f)
+        sums = np.zeros((states * (states + 1) + 1, states))
+        sums[:, 0] = [*pairs.ravel(), *begun, likelihood]
+        names = symbols.column("symbol").combine_chunks()
         own = counts[symbols.column("number").to_numpy()]
-        rows += [pa.array(np.append(own[:, k], 0.0)) for k in range(states)]
-        rows.append(pa.array([None] * len(own) + [sums], pa.list_(pa.float64())))
-        return pa.Table.from_arrays(rows, ["symbol", *[f"g{k}" for k in range(states)], "sums"])
+        seen = np.flatnonzero(own.any(axis=1))
+        names = pa.concat_arrays([names.take(pa.array(seen)), pa.array([f"{SUMS}{i}" for i in range(len(sums))], names.type)])
+        rows = np.concatenate([own[seen], sums])
+        return pa.Table.from_arrays([names, *[pa.array(rows[:, k]) for k in range(states)]], ["symbol", *[f"g{k}" for k in range(states)]])
 
     return run
 
@@ -232,34 +277,38 @@ def _likelihood(states: int, moves, first):
         import numpy as np
         import pyarrow as pa
 
-        emissions = _shard_emissions(symbols, states).astype(np.float64)
-        tokens = [np.frombuffer(t, np.uint32) for t in docs.column("tokens").to_pylist()]
+        emissions = _group_emissions(symbols, states).astype(np.float64)
+        planes = binaries(docs.column("tokens"))
         a, f = np.array(moves), np.array(first)
-        score = np.zeros(len(tokens))
-        for places in batches_by_length(np.array([len(t) for t in tokens], np.int64)) if tokens else ():
-            flat, active, starts = by_step([tokens[i] for i in places])
+        score = np.zeros(len(planes))
+        for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64)):
+            flat, active, starts = by_step([from_planes(planes[i]) for i in places])
             _, scale = forward(flat, starts, active, emissions, a, f)
             logs = np.log10(scale)
             for t, n in enumerate(active):
                 score[places[:n]] += logs[starts[t] : starts[t] + n]
-        score += docs.column("inner").to_numpy()
-        kept = [docs.column(c).combine_chunks() for c in ("id", "held_out", "n_tokens", "n_known", "base_score")]
-        return pa.Table.from_arrays([*kept, pa.array(score)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        kept = [docs.column(c).combine_chunks() for c in KEPT]
+        return pa.Table.from_arrays([*kept, pa.array(score)], [*KEPT, "states_log"])
 
     return run
 
 
+KEPT = ["id", "held_out", "n_tokens", "n_known", "n_once", "base_log", "rare_log"]
+
+
 class TokenTable:
-    """Documents of symbol numbers, bucketed by shard."""
+    """Documents as numbers of symbols, and the symbols of each group, bucketed by group."""
 
     def __init__(self, rows: DataFrame):
         self.spark = rows.sparkSession
         self.name, self.path = f"hmm_tokens_{uuid.uuid4().hex}", shared_folder(self.spark, "hmm-tokens")
         buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.write.bucketBy(buckets, "shard").option("path", self.path).saveAsTable(self.name)
+        rows.write.bucketBy(buckets, "group").option("path", self.path).saveAsTable(self.name)
         table = self.spark.table(self.name)
-        self.docs = table.filter(F.col("tokens").isNotNull()).drop("symbol", "number")
-        self.symbols = table.filter(F.col("symbol").isNotNull()).select(F.col("shard").alias("shard"), "symbol", "number")
+        self.docs = table.filter(F.col("tokens").isNotNull()).select("group", *KEPT, "tokens")
+        listed = table.filter(F.col("symbol").isNotNull())
+        self.symbols = listed.select(F.col("group").alias("group"), "symbol", "number")
+        self.totals = listed.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("total", "types", "twice")])
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -271,46 +320,64 @@ def _start(symbol: Column, k: int) -> Column:
     return 0.05 + F.pmod(F.xxhash64(symbol, F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
 
 
-def _emissions(model: DataFrame, states: int) -> DataFrame:
-    """``(symbol, b0, b1, ...)`` from expected counts ``(symbol, g0, g1, ...)``."""
-    counted = model.agg(*[F.coalesce(F.sum(f"g{k}"), F.lit(0.0)) for k in range(states)]).first()
+def _emissions(counts: DataFrame, states: int) -> DataFrame:
+    """``(symbol, b0, b1, ...)`` from expected counts ``(symbol, g0, g1, ...)``.
+
+    What a symbol of rare words emits is divided by its occurrences: times a word's count it is the word's.
+    """
+    counted = counts.agg(*[F.coalesce(F.sum(f"g{k}"), F.lit(0.0)) for k in range(states)]).first()
     everything = sum(counted) + 0.5
+    seen = sum(F.col(f"g{k}") for k in range(states))
     # the unknown word is never seen in training; half an occurrence keeps it possible
-    seen = sum((F.col(f"g{k}") for k in range(states)), F.when(F.col("symbol") == UNKNOWN, 0.5).otherwise(0.0))
-    return model.select(
-        "symbol", *[((F.col(f"g{k}") + PRIOR * seen / everything) / (counted[k] + PRIOR)).cast("float").alias(f"b{k}") for k in range(states)]
+    mixed = seen + F.when(F.col("symbol") == UNKNOWN, 0.5).otherwise(0.0)
+    share = F.when(F.col("symbol").startswith(UNKNOWN) & (F.col("symbol") != UNKNOWN), seen).otherwise(1.0)
+    return counts.select(
+        "symbol", *[((F.col(f"g{k}") + PRIOR * mixed / everything) / (counted[k] + PRIOR) / share).cast("float").alias(f"b{k}") for k in range(states)]
     )
 
 
-def _with_emissions(table: TokenTable, model: DataFrame, states: int) -> DataFrame:
-    return table.symbols.join(_emissions(model, states), "symbol", "inner")
-
-
 class HiddenMarkovModel:
     """Trained over a table of tokens; see the module text."""
 
-    def __init__(self, table: TokenTable, id_type: str, train_tokens: int, start: DataFrame, states: int, rounds: int):
-        self.table, self.id_type, self.train_tokens, self.states = table, id_type, train_tokens, states
+    def __init__(self, table: TokenTable, id_type: str, states: int, rounds: int):
+        self.table, self.id_type, self.states = table, id_type, states
+        start = materialise(table.totals)
+        here = F.col("symbol") == UNKNOWN
+        sums = start.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("total"), F.col("types"), F.when(here, F.col("types")), F.col("twice"))])
+        self.train_tokens, self.types, self.once, self.twice = sums.first()
         rest = (1 - STAY) / states
         self.moves = [[STAY * (i == j) + rest for j in range(states)] for i in range(states)]
         self.first = [1 / states] * states
-        self.counts = materialise(start)
+        weights = [_start(F.col("symbol"), k) for k in range(states)]
+        self.written = materialise(start.select("symbol", *[(F.col("total") * w / sum(weights)).alias(f"g{k}") for k, w in enumerate(weights)]))
+        self.counts = self.written
+        discard(start)
         #: natural log likelihood of the training tokens' symbols, before each round
         self.likelihoods: list[float] = []
         for _ in range(rounds):
             self._round()
 
+    def unseen(self) -> float:
+        """Share of the unknown word in its symbol: words unseen take Good's estimate, the share of words
+        seen once, and these that of words seen twice."""
+        return (self.once + 1) / (self.once + 2 * self.twice + 2) if self.once else 1.0
+
+    def _with_emissions(self) -> DataFrame:
+        # a group may hold the unknown word alone, which no count names
+        shared = self.table.symbols.join(_emissions(self.counts, self.states), "symbol", "left")
+        return shared.withColumns({f"b{k}": F.coalesce(f"b{k}", F.lit(1e-9).cast("float")) for k in range(self.states)})
+
     def _round(self) -> None:
         states = self.states
         columns = ", ".join(f"g{k} double" for k in range(states))
-        trained = self.table.docs.filter(~F.col("held_out")).select("shard", "tokens")
-        groups = trained.groupBy("shard").cogroup(_with_emissions(self.table, self.counts, states).groupBy("shard"))
-        found = materialise(groups.applyInArrow(_expect(states, self.moves, self.first), f"symbol string, {columns}, sums array<double>"))
-        counts = materialise(found.filter(F.col("symbol").isNotNull()).groupBy("symbol").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(states)]))
-        sums = found.filter(F.col("sums").isNotNull()).select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
-        total = [r["v"] for r in sums.orderBy("at").collect()] or [0.0] * (states * (states + 1) + 1)
-        discard(found, self.counts)
-        self.counts = counts
+        trained = self.table.docs.filter(~F.col("held_out")).select("group", "tokens")
+        groups = trained.groupBy("group").cogroup(self._with_emissions().groupBy("group"))
+        found = groups.applyInArrow(_expect(states, self.moves, self.first), f"symbol string, {columns}")
+        written = materialise(found.groupBy("symbol").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(states)]))
+        discard(self.written)
+        self.written, self.counts = written, written.filter(~F.col("symbol").startswith(SUMS))
+        sums = {r["symbol"]: r["g0"] for r in written.filter(F.col("symbol").startswith(SUMS)).select("symbol", "g0").collect()}
+        total = [sums.get(f"{SUMS}{i}", 0.0) for i in range(states * (states + 1) + 1)]
         pairs = [[x + 0.1 for x in total[i * states : (i + 1) * states]] for i in range(states)]
         self.moves = [[x / sum(row) for x in row] for row in pairs]
         begun = [x + 0.1 for x in total[states * states : states * states + states]]
@@ -319,9 +386,16 @@ class HiddenMarkovModel:
 
     def scores(self) -> DataFrame:
         """Every document of the token table: id, held_out, n_tokens, n_known, base_score, score."""
-        groups = self.table.docs.groupBy("shard").cogroup(_with_emissions(self.table, self.counts, self.states).groupBy("shard"))
-        schema = f"id {self.id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        return groups.applyInArrow(_likelihood(self.states, self.moves, self.first), schema)
+        groups = self.table.docs.groupBy("group").cogroup(self._with_emissions().groupBy("group"))
+        schema = f"id {self.id_type}, held_out boolean, n_tokens long, n_known long, n_once long, base_log double, rare_log double, states_log double"
+        found = groups.applyInArrow(_likelihood(self.states, self.moves, self.first), schema)
+        once = math.log10((1 - self.unseen()) / self.once) if self.once else 0.0
+        unknown = (F.col("n_tokens") - F.col("n_known")) * math.log10(self.unseen())
+        return found.select(
+            "id", "held_out", "n_tokens", "n_known",
+            (F.col("base_log") - F.col("n_tokens") * math.log10(self.train_tokens + 0.5 * (self.types + 1))).alias("base_score"),
+            (F.col("states_log") + F.col("rare_log") + F.col("n_once") * once + unknown).alias("score"),
+        )
 
 
 def train_hmm(
@@ -335,39 +409,27 @@ def train_hmm(
     cut = materialise(rows.mapInArrow(_shards, schema))
     texts, words = cut.filter(F.col("tokens").isNotNull()), cut.filter(F.col("word").isNotNull())
 
-    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
-    n, types, once, twice = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if((F.col("c") == 1) & (F.col("word") != END)), F.count_if(F.col("c") == 2)
-    ).first()
-    # Good's estimates: words unseen take the share of words seen once, these the share of words seen twice
-    unseen = (once + 1) / (once + 2 * twice + 2) if once else 1.0
-    own = (F.col("c") >= OWN) | (F.col("word") == END)
+    # shards in their order, joined up to the size of a group: one row each
+    sizes = texts.groupBy("shard").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    groups = materialise(sizes.select("shard", F.floor(F.coalesce(before, F.lit(0)) / GROUP_TOKENS).alias("group")))
+
+    # a word has a row in each shard that holds it
+    holders = Window.partitionBy("word")
+    counted = words.select("shard", "word", "number", F.sum("n").over(holders).alias("c"), (F.col("shard") == F.min("shard").over(holders)).alias("first"))
+    own = (F.col("c") >= OWN) | ((F.col("word") == END) & (F.col("c") > 0))
     rare = F.concat(F.lit(UNKNOWN), F.substring("word", -2, 2))
-    symbol = F.when(own, F.col("word")).when(F.col("c") == 1, F.lit(UNKNOWN)).otherwise(rare)
-    known = counts.withColumn("symbol", symbol)
-    totals = materialise(known.groupBy("symbol").agg(F.sum("c").alias("total")))
-    share = F.when(F.col("symbol") == UNKNOWN, (1 - unseen) / max(1, once)).otherwise(F.col("c") / F.col("total"))
-    known = known.join(totals, "symbol").select("word", "c", "symbol", F.log10(share).alias("inner"))
-    listed = words.select("shard", "word", "number").join(known, "word", "left").select(
-        F.col("shard").alias("shard"), "number",  # a column of its own: both sides come from one table
-        F.coalesce("symbol", F.lit(UNKNOWN)).alias("symbol"),
-        F.coalesce("inner", F.log10(F.lit(unseen))).alias("inner"),
-        F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (n + 0.5 * (types + 1))).alias("base"),
-        F.col("c").isNotNull().alias("known"),
-    )
-    coded = texts.select("shard", "id", "held_out", "tokens").groupBy("shard").cogroup(listed.groupBy("shard")).applyInArrow(
-        _symbols,
-        f"shard long, id {id_type}, held_out boolean, n_tokens long, base_score double, inner double, n_known long, "
-        "tokens binary, symbol string, number int",
+    counted = counted.withColumn("symbol", F.when(own, F.col("word")).when(F.col("c") < 2, F.lit(UNKNOWN)).otherwise(rare)).drop("word")
+    # columns of their own: both sides come from one table
+    listed = counted.join(groups, "shard").select(*[F.col(c).alias(c) for c in ("group", "shard", "number", "symbol", "c", "first")])
+    docs_ = texts.join(groups, "shard").select(F.col("group").alias("group"), "shard", "id", "held_out", "tokens")
+    schema = (
+        f"group long, id {id_type}, held_out boolean, n_tokens long, n_known long, n_once long, base_log double, rare_log double, "
+        "tokens binary, symbol string, number int, total long, types long, twice long"
     )
-    table = TokenTable(coded)
-    # every symbol has a row, the unknown word's also where no training word is rare
-    start = totals.unionByName(docs.sparkSession.range(1).select(F.lit(UNKNOWN).alias("symbol"), F.lit(0).cast("long").alias("total")))
-    start = start.groupBy("symbol").agg(F.sum("total").alias("total"))
-    weights = [_start(F.col("symbol"), k) for k in range(states)]
-    start = start.select("symbol", *[(F.col("total") * w / sum(weights)).alias(f"g{k}") for k, w in enumerate(weights)])
-    model = HiddenMarkovModel(table, id_type, n, start, states, rounds)
-    discard(cut, counts, totals)
+    table = TokenTable(docs_.groupBy("group").cogroup(listed.groupBy("group")).applyInArrow(_symbols, schema))
+    discard(cut, groups)
+    model = HiddenMarkovModel(table, id_type, states, rounds)
     return model
 
 
@@ -387,7 +449,7 @@ def hmm_scores(
     model = train_hmm(docs, id_col, text_col, folds, held_fold, states, rounds)
     out = materialise(model.scores())
     model.table.drop()
-    discard(model.counts)
+    discard(model.written)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
