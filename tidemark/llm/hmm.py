@@ -40,7 +40,7 @@ PRIOR = 50.0
 #: Chance to stay in a state before training.
 STAY = 0.9
 #: A shard ends when it has as many words or tokens; tokens of a group, and of the documents that pass the recursions together.
-SHARD_WORDS, SHARD_TOKENS, GROUP_TOKENS, BATCH_TOKENS = 500_000, 8_000_000, 8_000_000, 500_000
+SHARD_WORDS, SHARD_TOKENS, GROUP_TOKENS, BATCH_TOKENS = 500_000, 4_000_000, 4_000_000, 500_000
 #: Documents that a task cuts into words at a time.
 PIECE_DOCS = 500
 #: Longer words are named by a digest.
@@ -200,23 +200,26 @@ def by_step(tokens: list):
     return flat, active, starts
 
 
-def forward(flat, starts, active, emissions, moves, first):
-    """Scaled forward recursion: state shares and scale of every token, step by step."""
+def forward(seen, starts, active, moves, first):
+    """Scaled forward recursion over emissions ``seen`` (state by token, step by step): state shares and scale of every token."""
     import numpy as np
 
-    shares = emissions[flat]
-    scale = np.empty(len(flat), shares.dtype)
+    shares, scale = seen.copy(), np.empty(seen.shape[1], seen.dtype)
+    turned = np.ascontiguousarray(moves.T)
     for t, n in enumerate(active):
-        now = shares[starts[t] : starts[t] + n]
-        now *= first if t == 0 else shares[starts[t - 1] : starts[t - 1] + n] @ moves
-        total = now.sum(axis=1)
-        now /= total[:, None]
-        scale[starts[t] : starts[t] + n] = total
+        here = starts[t]
+        now, total = shares[:, here : here + n], scale[here : here + n]
+        if t:
+            now *= turned @ shares[:, starts[t - 1] : starts[t - 1] + n]
+        else:
+            now *= first[:, None]
+        np.sum(now, axis=0, out=total)
+        now /= total
     return shares, scale
 
 
 def expected_counts(planes: list, emissions, moves, first):
-    """Expected counts of (symbol, state), of moves and of first states, and the log likelihood."""
+    """Expected counts of (state, symbol), of moves and of first states, and the log likelihood; ``emissions`` are state by symbol."""
     import numpy as np
 
     states = len(first)
@@ -224,30 +227,33 @@ def expected_counts(planes: list, emissions, moves, first):
     pairs, begun, likelihood = np.zeros((states, states)), np.zeros(states), 0.0
     for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64)):
         flat, active, starts = by_step([from_planes(planes[i]) for i in places])
-        shares, scale = forward(flat, starts, active, emissions, moves, first)
+        seen = np.take(emissions, flat, axis=1)
+        shares, scale = forward(seen, starts, active, moves, first)
         likelihood += float(np.log(scale, dtype=np.float64).sum())
-        after = np.ones((active[0], states), shares.dtype)
-        seen = np.zeros((states, states))
+        seen /= scale
+        after = np.ones((states, active[0]), shares.dtype)
+        moved = np.zeros((states, states))
         for t in range(len(active) - 1, 0, -1):
             n, here, before = active[t], starts[t], starts[t - 1]
-            ahead = emissions[flat[here : here + n]] * after[:n] / scale[here : here + n, None]
-            seen += shares[before : before + n].T @ ahead
-            shares[here : here + n] *= after[:n]
-            after[:n] = ahead @ moves.T
-        shares[: active[0]] *= after
-        pairs += seen * moves
-        begun += shares[: active[0]].sum(axis=0)
+            ahead = seen[:, here : here + n]
+            ahead *= after[:, :n]
+            moved += shares[:, before : before + n] @ ahead.T
+            shares[:, here : here + n] *= after[:, :n]
+            after[:, :n] = moves @ ahead
+        shares[:, : active[0]] *= after
+        pairs += moved * moves
+        begun += shares[:, : active[0]].sum(axis=1)
         for k in range(states):
-            counts[:, k] += np.bincount(flat, shares[:, k], len(counts))
+            counts[k] += np.bincount(flat, shares[k], counts.shape[1])
     return counts, pairs, begun, likelihood
 
 
 def _group_emissions(table, states: int):
-    """Emissions of a group's symbols, in the order of their numbers."""
+    """Emissions of a group's symbols by state, in the order of their numbers."""
     import numpy as np
 
-    out = np.empty((table.num_rows, states), np.float32)
-    out[table.column("number").to_numpy()] = np.stack([table.column(f"b{k}").to_numpy() for k in range(states)], axis=1)
+    out = np.empty((states, table.num_rows), np.float32)
+    out[:, table.column("number").to_numpy()] = np.stack([table.column(f"b{k}").to_numpy() for k in range(states)])
     return out
 
 
@@ -263,10 +269,10 @@ def _expect(states: int, moves, first):
         sums = np.zeros((states * (states + 1) + 1, states))
         sums[:, 0] = [*pairs.ravel(), *begun, likelihood]
         names = symbols.column("symbol").combine_chunks()
-        own = counts[symbols.column("number").to_numpy()]
-        seen = np.flatnonzero(own.any(axis=1))
+        own = counts[:, symbols.column("number").to_numpy()]
+        seen = np.flatnonzero(own.any(axis=0))
         names = pa.concat_arrays([names.take(pa.array(seen)), pa.array([f"{SUMS}{i}" for i in range(len(sums))], names.type)])
-        rows = np.concatenate([own[seen], sums])
+        rows = np.concatenate([own.T[seen], sums])
         return pa.Table.from_arrays([names, *[pa.array(rows[:, k]) for k in range(states)]], ["symbol", *[f"g{k}" for k in range(states)]])
 
     return run
@@ -283,7 +289,7 @@ def _likelihood(states: int, moves, first):
         score = np.zeros(len(planes))
         for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64)):
             flat, active, starts = by_step([from_planes(planes[i]) for i in places])
-            _, scale = forward(flat, starts, active, emissions, a, f)
+            _, scale = forward(np.take(emissions, flat, axis=1), starts, active, a, f)
             logs = np.log10(scale)
             for t, n in enumerate(active):
                 score[places[:n]] += logs[starts[t] : starts[t] + n]
@@ -297,22 +303,27 @@ KEPT = ["id", "held_out", "n_tokens", "n_known", "n_once", "base_log", "rare_log
 
 
 class TokenTable:
-    """Documents as numbers of symbols, and the symbols of each group, bucketed by group."""
+    """Documents as numbers of symbols, bucketed by group, and the symbols of each group, bucketed and sorted by symbol."""
 
     def __init__(self, rows: DataFrame):
-        self.spark = rows.sparkSession
-        self.name, self.path = f"hmm_tokens_{uuid.uuid4().hex}", shared_folder(self.spark, "hmm-tokens")
-        buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.write.bucketBy(buckets, "group").option("path", self.path).saveAsTable(self.name)
-        table = self.spark.table(self.name)
+        self.spark, self.written = rows.sparkSession, {}
+        self.buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        table = self._write(rows.write.bucketBy(self.buckets, "group"))
         self.docs = table.filter(F.col("tokens").isNotNull()).select("group", *KEPT, "tokens")
-        listed = table.filter(F.col("symbol").isNotNull())
-        self.symbols = listed.select(F.col("group").alias("group"), "symbol", "number")
-        self.totals = listed.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("total", "types", "twice")])
+        listed = table.filter(F.col("symbol").isNotNull()).select("group", "symbol", "number", "total", "types", "twice")
+        self.symbols = self._write(listed.repartition(self.buckets, "symbol").write.bucketBy(self.buckets, "symbol").sortBy("symbol"))
+        self.totals = self.symbols.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("total", "types", "twice")])
+
+    def _write(self, writer) -> DataFrame:
+        name, path = f"hmm_{uuid.uuid4().hex}", shared_folder(self.spark, "hmm")
+        writer.option("path", path).saveAsTable(name)
+        self.written[name] = path
+        return self.spark.table(name)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        delete(self.spark, self.path)
+        for name, path in self.written.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, path)
 
 
 def _start(symbol: Column, k: int) -> Column:
@@ -364,7 +375,7 @@ class HiddenMarkovModel:
 
     def _with_emissions(self) -> DataFrame:
         # a group may hold the unknown word alone, which no count names
-        shared = self.table.symbols.join(_emissions(self.counts, self.states), "symbol", "left")
+        shared = self.table.symbols.select("group", "symbol", "number").join(_emissions(self.counts, self.states), "symbol", "left")
         return shared.withColumns({f"b{k}": F.coalesce(f"b{k}", F.lit(1e-9).cast("float")) for k in range(self.states)})
 
     def _round(self) -> None:
