@@ -175,14 +175,14 @@ def _symbols(docs, words):
     return pa.concat_tables([pa.Table.from_arrays(cols, names), pa.Table.from_arrays(listed, names)])
 
 
-def batches_by_length(lengths) -> Iterator:
-    """Places of texts, longest first, in batches of about BATCH_TOKENS tokens."""
+def batches_by_length(lengths, limit: int) -> Iterator:
+    """Places of texts, longest first, in batches of about ``limit`` tokens."""
     import numpy as np
 
     if not len(lengths):
         return
     order = np.argsort(-lengths, kind="stable")
-    ends = np.cumsum(lengths[order]) // BATCH_TOKENS
+    ends = np.cumsum(lengths[order]) // limit
     cuts = np.flatnonzero(np.diff(ends)) + 1
     yield from np.split(order, cuts)
 
@@ -197,25 +197,28 @@ def by_step(tokens: list):
     flat = np.empty(starts[-1], np.int64)
     for i, t in enumerate(tokens):
         flat[starts[: len(t)] + i] = t
-    return flat, active, starts
+    # plain numbers cut arrays faster than those of an array
+    return flat, active.tolist(), starts.tolist()
 
 
-def forward(seen, starts, active, moves, first):
-    """Scaled forward recursion over emissions ``seen`` (state by token, step by step): state shares and scale of every token."""
+def forward(shares, starts, active, moves, first):
+    """Scaled forward recursion in place: ``shares`` (state by token, step by step) holds emissions, then the
+    shares of states; returns the scale of every token."""
     import numpy as np
 
-    shares, scale = seen.copy(), np.empty(seen.shape[1], seen.dtype)
+    scale = np.empty(shares.shape[1], shares.dtype)
     turned = np.ascontiguousarray(moves.T)
-    for t, n in enumerate(active):
-        here = starts[t]
+    before = None
+    for here, n in zip(starts, active):
         now, total = shares[:, here : here + n], scale[here : here + n]
-        if t:
-            now *= turned @ shares[:, starts[t - 1] : starts[t - 1] + n]
-        else:
+        if before is None:
             now *= first[:, None]
-        np.sum(now, axis=0, out=total)
+        else:
+            now *= turned @ before[:, :n]
+        np.add.reduce(now, axis=0, out=total)
         now /= total
-    return shares, scale
+        before = now
+    return scale
 
 
 def expected_counts(planes: list, emissions, moves, first):
@@ -225,10 +228,11 @@ def expected_counts(planes: list, emissions, moves, first):
     states = len(first)
     counts = np.zeros(emissions.shape)
     pairs, begun, likelihood = np.zeros((states, states)), np.zeros(states), 0.0
-    for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64)):
+    for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64), BATCH_TOKENS):
         flat, active, starts = by_step([from_planes(planes[i]) for i in places])
         seen = np.take(emissions, flat, axis=1)
-        shares, scale = forward(seen, starts, active, moves, first)
+        shares = seen.copy()
+        scale = forward(shares, starts, active, moves, first)
         likelihood += float(np.log(scale, dtype=np.float64).sum())
         seen /= scale
         after = np.ones((states, active[0]), shares.dtype)
@@ -287,10 +291,9 @@ def _likelihood(states: int, moves, first):
         planes = binaries(docs.column("tokens"))
         a, f = np.array(moves), np.array(first)
         score = np.zeros(len(planes))
-        for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64)):
+        for places in batches_by_length(np.array([len(p) // 4 for p in planes], np.int64), BATCH_TOKENS // 2):
             flat, active, starts = by_step([from_planes(planes[i]) for i in places])
-            _, scale = forward(np.take(emissions, flat, axis=1), starts, active, a, f)
-            logs = np.log10(scale)
+            logs = np.log10(forward(np.take(emissions, flat, axis=1), starts, active, a, f))
             for t, n in enumerate(active):
                 score[places[:n]] += logs[starts[t] : starts[t] + n]
         kept = [docs.column(c).combine_chunks() for c in KEPT]
@@ -305,11 +308,12 @@ KEPT = ["id", "held_out", "n_tokens", "n_known", "n_once", "base_log", "rare_log
 class TokenTable:
     """Documents as numbers of symbols, bucketed by group, and the symbols of each group, bucketed and sorted by symbol."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, spent: tuple[DataFrame, ...]):
         self.spark, self.written = rows.sparkSession, {}
         self.buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         table = self._write(rows.write.bucketBy(self.buckets, "group"))
         self.docs = table.filter(F.col("tokens").isNotNull()).select("group", *KEPT, "tokens")
+        discard(*spent)
         listed = table.filter(F.col("symbol").isNotNull()).select("group", "symbol", "number", "total", "types", "twice")
         self.symbols = self._write(listed.repartition(self.buckets, "symbol").write.bucketBy(self.buckets, "symbol").sortBy("symbol"))
         self.totals = self.symbols.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("total", "types", "twice")])
@@ -438,8 +442,7 @@ def train_hmm(
         f"group long, id {id_type}, held_out boolean, n_tokens long, n_known long, n_once long, base_log double, rare_log double, "
         "tokens binary, symbol string, number int, total long, types long, twice long"
     )
-    table = TokenTable(docs_.groupBy("group").cogroup(listed.groupBy("group")).applyInArrow(_symbols, schema))
-    discard(cut, groups)
+    table = TokenTable(docs_.groupBy("group").cogroup(listed.groupBy("group")).applyInArrow(_symbols, schema), (cut, groups))
     model = HiddenMarkovModel(table, id_type, states, rounds)
     return model
 
