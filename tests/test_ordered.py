@@ -89,18 +89,6 @@ def test_null_keys_and_order_values(spark):
         assert bag(got.select("id", "rk")) == bag(want)
 
 
-@pytest.mark.parametrize("case", CASES)
-def test_percentiles_interpolate(spark, case):
-    rows = rows_with(*case)
-    df = spark.createDataFrame(rows, SCHEMA)
-    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    names = [f"q{i}" for i in range(len(qs))]
-    got = {r["k"]: [r[n] for n in names] for r in ordered.percentiles(df, ["k"], "v", qs, names).collect()}
-    for key in {r[0] for r in rows}:
-        want = np.quantile([r[1] for r in rows if r[0] == key], qs)
-        assert np.allclose(got[key], want)
-
-
 def test_runs_are_even_when_one_key_and_value_hold_everything(spark):
     df = spark.range(4000).selectExpr("'x' as k", "1.0 as v", "id")
     runs = ordered.split_runs(df, ["k"], "v", ["id"], runs=8)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import SPAN, draw
-from tidemark.operators import ordered
+from tidemark.operators import selection
 from tidemark.session import materialise
 
 # Limits the chart rules use.
@@ -35,7 +35,7 @@ def histogram(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
 
 
 def _five(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    five = ordered.percentiles(df, by, col, [0, 0.25, 0.5, 0.75, 1], ["min_value", "q1", "median", "q3", "max_value"])
+    five = selection.percentiles(df, by, col, [0, 0.25, 0.5, 0.75, 1], ["min_value", "q1", "median", "q3", "max_value"])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return materialise(five.withColumns({"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach}))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered
+from tidemark.operators import selection
 from tidemark.operators.support import as_type_of, attach, since_filter
 
 
@@ -208,10 +208,10 @@ def deviation_filter(fact, dim, fk, pk, g1, g2, metric, date, since, threshold:
 
 
 def five_number_summary(fact, dim, fk, pk, g2, metric, date, since) -> DataFrame:
-    """Exact quartiles by position over range-partitioned value counts."""
+    """Exact quartiles by bucket selection."""
     both = _joined(since_filter(fact, date, since), dim, fk, pk, g2).select(g2, metric)
     names = ["min_value", "q1", "median", "q3", "max_value"]
-    return ordered.percentiles(both, [g2], metric, [0.0, 0.25, 0.5, 0.75, 1.0], names).orderBy(F.desc("median"))
+    return selection.percentiles(both, [g2], metric, [0.0, 0.25, 0.5, 0.75, 1.0], names).orderBy(F.desc("median"))
 
 
 def recent_active_count(fact, dim, fk, pk, g1, g2, date, as_of, days: int = 90) -> DataFrame:

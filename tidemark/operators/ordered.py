@@ -299,27 +299,3 @@ def neighbours(r: Runs, columns: dict[str, Callable[[WindowSpec], Column]], back
     w = r.window()
     both = both.withColumns({name: make(w) for name, make in columns.items()})
     return r.finish(both.filter(~F.col("__ghost")))
-
-
-def percentiles(df: DataFrame, part: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact linearly interpolated percentiles per group, without one buffer per group.
-
-    Values are first counted per (group, value), which absorbs repeated values map-side;
-    cumulative counts over the distinct values locate the two rows around each position.
-    """
-    part = list(part)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("__c"))
-    counted = counted.withColumnRenamed("__c", "cnt__")
-    r = split_runs(counted, part, value, [])
-    cum = positions(r, {"cum__": "running_sum", "all__": "total_sum"}, metric="cnt__")
-    picks = []
-    for i, q in enumerate(qs):
-        at = F.lit(float(q)) * (F.col("all__") - 1)
-        lo, hi = F.floor(at), F.ceil(at)
-        covers_lo = (F.col("cum__") > lo) & (F.col("cum__") - F.col("cnt__") <= lo)
-        covers_hi = (F.col("cum__") > hi) & (F.col("cum__") - F.col("cnt__") <= hi)
-        low = F.max(F.when(covers_lo, F.col(value).cast("double")))
-        high = F.max(F.when(covers_hi, F.col(value).cast("double")))
-        share = F.max(at - lo)
-        picks.append((low + (high - low) * share).alias(names[i]))
-    return cum.groupBy(*part).agg(*picks)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import ordered
+from tidemark.operators import selection
 from tidemark.session import materialise
 
 
@@ -51,14 +51,14 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sd and exact quartiles per numeric column.
 
     The columns are stacked to (column, value) once, so moments and quartiles of all of
-    them come from the same scan; quartiles are located by position, not in one buffer.
+    them come from the same scan; quartiles are found by bucket selection, not in one buffer.
     """
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column_name, v)").filter(F.col("v").isNotNull())
     moments = long.groupBy("column_name").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")
     )
-    quarts = ordered.percentiles(long, ["column_name"], "v", [0, 0.25, 0.5, 0.75, 1], ["min", "q25", "median", "q75", "max"])
+    quarts = selection.percentiles(long, ["column_name"], "v", [0, 0.25, 0.5, 0.75, 1], ["min", "q25", "median", "q75", "max"])
     return moments.join(quarts, "column_name")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered
+from tidemark.operators import selection
 from tidemark.operators.support import as_type_of, attach, since_filter
 from tidemark.session import materialise
 
@@ -143,7 +143,7 @@ def overall_rank_topn(df, group, metric, date, since, n: int, tie) -> DataFrame:
 
 def above_q3(df, group, metric, date, since, q: float = 0.75) -> DataFrame:
     rows = since_filter(df, date, since)
-    bar = ordered.percentiles(rows, [], metric, [q], ["q"]).scalar()
+    bar = selection.percentiles(rows, [], metric, [q], ["q"]).scalar()
     return rows.select(group, metric, date).filter(F.col(metric) > bar)
 
 

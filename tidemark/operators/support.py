@@ -47,3 +47,13 @@ def per_class(df: DataFrame, cls: str, *aggs: Column) -> DataFrame:
     """
     grouped = df.groupBy(cls).agg(*aggs, F.count(cls).alias("__n"))
     return grouped.filter(F.col("__n") > 0).drop("__n")
+
+
+def join_null_safe(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner or semi join on columns whose nulls are equal; the columns of ``other`` follow those of ``df``."""
+    names = {c: f"__on{i}" for i, c in enumerate(on)}
+    other = other.withColumnsRenamed(names)
+    rule = F.lit(True)
+    for c, renamed in names.items():
+        rule = rule & F.col(c).eqNullSafe(F.col(renamed))
+    return df.join(other, rule, how).drop(*names.values())
