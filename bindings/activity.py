@@ -227,7 +227,8 @@ def _(t):
 
 @register("stream_counters", "SELECT event_type, user_id, count(*) AS total FROM events GROUP BY ALL")
 def _(t):
-    return streams.run_available(streams.counters(_stream(t), ["event_type", "user_id"]), ["event_type", "user_id"])
+    labels = ["event_type", "user_id"]
+    return streams.running_totals(streams.run_available(streams.counters(_stream(t), "ts", labels, LATE), ["window_start", *labels]), labels)
 
 
 @register(
@@ -245,8 +246,8 @@ def _(t):
     "SELECT event_type, arg_max(value, (ts, event_id)) AS last_value, max(ts) AS at FROM events GROUP BY event_type",
 )
 def _(t):
-    out = streams.gauge_last(_stream(t), "value", ["ts", "event_id"], ["event_type"])
-    return _plain_time(streams.run_available(out, ["event_type"]), "at")
+    windows = streams.run_available(streams.gauge_last(_stream(t), "ts", "value", ["ts", "event_id"], ["event_type"], LATE), ["window_start", "event_type"])
+    return _plain_time(streams.last_values(windows, ["event_type"]), "at")
 
 
 @register(

@@ -30,11 +30,11 @@ _SUFFIX = "CASE WHEN event_id % 10 = 9 OR event_id % 30 = 4 THEN ' (t)' WHEN eve
 RAW = (
     f"SELECT event_id AS row_id, {_SPLIT2} AS split, {QUESTION} AS sql_prompt, {_CONTEXT} AS sql_context, {SQL} AS sql, {_CLASS} AS sql_complexity FROM events"
 )
-_TEXT = (
+TEXT = (
     "'translate English to SQL: ' || CASE WHEN sql_context IS NOT NULL THEN 'context: ' || sql_context || chr(10) || chr(10) ELSE '' END || 'query: ' || sql_prompt"
 )
 ENG = (
-    f"SELECT event_id AS row_id, {_SPLIT3} AS split, replace({_TEXT.replace('sql_context', '(' + _CONTEXT + ')').replace('sql_prompt', '(' + QUESTION + ')')}, '', '') || {_SUFFIX} AS input_text, "
+    f"SELECT event_id AS row_id, {_SPLIT3} AS split, replace({TEXT.replace('sql_context', '(' + _CONTEXT + ')').replace('sql_prompt', '(' + QUESTION + ')')}, '', '') || {_SUFFIX} AS input_text, "
     f"{SQL} AS sql, {_CLASS} AS sql_complexity FROM events"
 )
 
@@ -206,7 +206,7 @@ def _(t):
 
 @register(
     "corpus_input_text",
-    f"SELECT row_id, {_TEXT} AS input_text FROM ({RAW}) r",
+    f"SELECT row_id, {TEXT} AS input_text FROM ({RAW}) r",
 )
 def _(t):
     return raw(t).select("row_id", corpus.input_text(F.col("sql_context"), F.col("sql_prompt")).alias("input_text"))

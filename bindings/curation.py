@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from bindings.corpus import ENGN, RAW, raw, with_nulls
+from bindings.corpus import ENGN, RAW, TEXT, raw, with_nulls
 from bindings.evaluation import validity_sql
 from bindings.registry import ORACLES, register
 from bindings.synthetic import catalogue
+from bindings.synthetic_sql import synthetic_sql
+from tidemark.operators import corpus
 from tidemark.plans import curation
 
 _V = f"(SELECT *, {validity_sql('sql')} AS f FROM ({RAW}) r)"
@@ -32,7 +34,37 @@ def _(t):
     return curation.summary(raw(t), with_nulls(t))
 
 
-@register("curation_end_to_end")
+_VALID = f"(SELECT * FROM {_V} v WHERE f IS NULL)"
+_TRAIN = f"(SELECT * FROM {_VALID} t WHERE split = 'train')"
+_COUNTS = f"(SELECT sql_complexity AS c, count(*) AS n FROM {_TRAIN} k WHERE sql_complexity IS NOT NULL GROUP BY 1)"
+_NEED = f"""SELECT c AS sql_complexity, (SELECT max(n) FROM {_COUNTS} m) - coalesce(n, 0) AS needed
+  FROM (VALUES {', '.join(f"('{c}')" for c in corpus.SYNTHETIC_CLASSES)}) l(c) LEFT JOIN {_COUNTS} k USING (c) WHERE (SELECT max(n) FROM {_COUNTS} m) > coalesce(n, 0)"""
+_TOP = f"(SELECT coalesce(max(row_id), -1) + 1 FROM {_VALID} x)"
+
+
+@register(
+    "curation_end_to_end",
+    rf"""WITH merged AS (
+      SELECT row_id, sql_prompt, sql_context, sql, sql_complexity FROM {_TRAIN} t
+      UNION ALL SELECT row_id + {_TOP}, sql_prompt, sql_context, sql, sql_complexity FROM ({synthetic_sql(_NEED)}) s
+    ),
+    ranked AS (
+      SELECT *, count(*) OVER (PARTITION BY sql_complexity) AS n,
+        row_number() OVER (PARTITION BY sql_complexity ORDER BY ('0x' || substr(md5('42:' || row_id), 1, 15))::BIGINT, row_id) AS k FROM merged
+    ),
+    all_rows AS (
+      SELECT CASE WHEN n >= 2 AND k <= round(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS split, row_id, sql_prompt, sql_context, sql, sql_complexity FROM ranked
+      UNION ALL SELECT split, row_id, sql_prompt, sql_context, sql, sql_complexity FROM {_VALID} t WHERE split = 'test'
+    ),
+    texts AS (SELECT split, row_id, {TEXT} AS input_text, sql, sql_complexity FROM all_rows),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, input_text, sql ORDER BY row_id) AS k FROM texts) x WHERE k = 1),
+    marked AS (
+      SELECT *, bool_or(split = 'test') OVER (PARTITION BY input_text, sql) AS in_test, bool_or(split = 'val') OVER (PARTITION BY input_text, sql) AS in_val FROM firsts
+    )
+    SELECT split, sql_complexity, count(*) AS n_rows FROM marked
+    WHERE (split = 'test' OR NOT in_test) AND (split <> 'train' OR NOT in_val) AND NOT coalesce(regexp_matches(sql, '(?i)insert\s+into'), false)
+    GROUP BY split, sql_complexity""",
+)
 def _(t):
     """Rows per split and class after all stages, synthetic rows included."""
     out = curation.curate(raw(t), catalogue(t), on_overlap="drop")

@@ -55,12 +55,16 @@ def _representatives(t):
 
 @register(
     "vec_batch_topk",
-    f"""SELECT * FROM (SELECT query_label::BIGINT AS query_label, vec_id, list_cosine_similarity({_E}, q) AS similarity,
-    row_number() OVER (PARTITION BY query_label ORDER BY list_cosine_similarity({_E}, q) DESC, vec_id) AS place FROM embeddings, {_REPS} r) x WHERE place <= 10""",
+    f"""SELECT query_id, vec_id, similarity, place FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS place
+    FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) x WHERE place <= 10""",
     {"similarity": 6},
 )
 def _(t):
-    return vectors.batch_topk(_representatives(t), t.embeddings, "query_label", "vec_id", "embedding", 10)
+    """Every row whose id is divisible by 20 asks all rows."""
+    asked = t.embeddings.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.batch_topk(asked, t.embeddings, "query_id", "vec_id", "embedding", 10)
 
 
 _META = "CASE WHEN label = 3 THEN map('Dataset Summary', 'x') ELSE map('table_name', 'x', 'total_rows', '1') END"

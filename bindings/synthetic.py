@@ -4,66 +4,35 @@ from pyspark.sql import functions as F
 
 from bindings.corpus import RAW, raw
 from bindings.registry import ORACLES, register
+from bindings.synthetic_sql import DOMAINS, catalogue_sql, columns_of, pairs_sql, synthetic_sql
 from tidemark.operators import corpus
-from tidemark.plans import domains, synthetic, templates
-
-#: Tables of each domain, with their columns and types.
-DOMAINS = {
-    "sales": ("what customers order", {
-        "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-        "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
-        "lineitem": "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
-        "nation": "n_nationkey int, n_name string, n_regionkey int",
-    }),
-    "supply": ("who supplies which parts", {
-        "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-        "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
-        "nation": "n_nationkey int, n_name string, n_regionkey int",
-    }),
-    "usage": ("what users do", {"events": "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"}),
-}
-
-
-def _columns(text):
-    return [tuple(c.split(" ")) for c in text.split(", ")]
-
+from tidemark.plans import domains, synthetic
 
 def catalogue(t):
     out = None
     for name, (description, tables) in DOMAINS.items():
-        rows = domains.domain(name, description, {k: getattr(t, k).select(*[c for c, _ in _columns(v)]) for k, v in tables.items()})
+        rows = domains.domain(name, description, {k: getattr(t, k).select(*[c for c, _ in columns_of(v)]) for k, v in tables.items()})
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _usable(needs: str, n_tables: int) -> int:
-    """Domains with enough tables that have what a template needs; a table without a grouping column groups by its key."""
-    fits = {"g": lambda r: True, "m": lambda r: r["metrics"], "d": lambda r: r["dates"]}
-    kinds = [domains.roles({k: _columns(v) for k, v in tables.items()}) for _, tables in DOMAINS.values()]
-    return sum(sum(all(fits[x](r) for x in needs) for r in known.values()) >= n_tables for known in kinds)
-
-
-def _pairs_sql() -> str:
-    per = {c: [_usable(r["needs"], r["n_tables"]) for r in templates.template_rows() if r["cls"] == c] for c in templates.CLASSES}
-    return ", ".join(f"('{c}', {sum(n)}, {sum(x > 0 for x in n)}, {max(n)})" for c, n in per.items())
-
-
 def targets(t):
     return corpus.balance_targets(raw(t), "sql_complexity")
 
 
-@register("synth_rows")
-def _(t):
-    return synthetic.generate(t.spark, targets(t), catalogue(t))
+_NEED = ORACLES["corpus_balance_targets"]
 
 
-_NEED = ORACLES["corpus_balance_targets"]
+@register("synth_rows", synthetic_sql(_NEED))
+def _(t):
+    return synthetic.generate(t.spark, targets(t), catalogue(t))
 
 
 @register(
     "synth_eligible",
-    f"""SELECT sql_complexity, needed, n_pairs, n_templates, n_domains, round(needed / n_pairs, 4) AS rows_per_pair
-    FROM ({_NEED}) n JOIN (VALUES {_pairs_sql()}) p(cls, n_pairs, n_templates, n_domains) ON cls = sql_complexity""",
+    f"""WITH {catalogue_sql()}, {pairs_sql()},
+    counted AS (SELECT cls, count(*) AS n_pairs, count(DISTINCT template) AS n_templates, count(DISTINCT domain) AS n_domains FROM pairs GROUP BY cls)
+    SELECT sql_complexity, needed, n_pairs, n_templates, n_domains, round(needed / n_pairs, 4) AS rows_per_pair FROM ({_NEED}) n JOIN counted ON cls = sql_complexity""",
 )
 def _(t):
     """Usable template-domain pairs per class, against the rows that class needs."""
@@ -114,6 +83,11 @@ def _(t):
     return t.customer.select("c_custkey", synthetic.context(F.lit("customer"), F.expr(_COLUMNS)).alias("context"))
 
 
-@register("synth_actual_duplicates")
+@register(
+    "synth_actual_duplicates",
+    f"""SELECT n_rows, n_distinct, n_rows - n_distinct AS n_duplicates, coalesce((n_rows - n_distinct) * 100.0::DOUBLE / nullif(n_rows, 0), 0) AS duplicate_pct
+    FROM (SELECT count(*) AS n_rows, count(DISTINCT (sql_prompt, sql)) AS n_distinct FROM ({synthetic_sql(_NEED)}) s) c""",
+    {"duplicate_pct": 6},
+)
 def _(t):
     return synthetic.actual_duplicates(synthetic.generate(t.spark, targets(t), catalogue(t)))

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -291,10 +292,31 @@ def test_cosine_and_batch_topk(spark):
     got = {r["id"]: r["s"] for r in df.filter("size(e) > 0").select("id", vectors.cosine(F.col("e"), vectors.vector([1, 0])).alias("s")).collect()}
     assert got[1] == 1.0 and got[2] == 0.0 and math.isclose(got[3], 2**-0.5)
     queries = spark.createDataFrame([(100, [1.0, 0.0]), (200, [0.0, 1.0]), (300, [-1.0, 0.0])], "q long, e array<float>")
-    for chunk in (1, 4096):
-        top = vectors.batch_topk(queries, df.repartition(3), "q", "id", "e", 2, chunk=chunk)
+    for blocks in ((1, 1), (1024, 8192)):
+        top = vectors.batch_topk(queries, df.repartition(3), "q", "id", "e", 2, *blocks)
         best = sorted((r["q"], r["place"], r["id"]) for r in top.collect())
         assert best == [(100, 1, 1), (100, 2, 3), (200, 1, 3), (200, 2, 1), (300, 1, 2), (300, 2, 3)]
+    assert vectors.batch_topk(queries.limit(0), df, "q", "id", "e", 2).collect() == vectors.batch_topk(queries, df.limit(0), "q", "id", "e", 2).collect() == []
+
+
+def test_batch_topk_of_many_queries(spark):
+    """10,000 queries (one of them twice, one without a vector), text keys, and equal vectors, in several blocks."""
+    rng = np.random.default_rng(1)
+    known = [(f"k{i:03d}", rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(300)]
+    asked = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(9999)]
+    asked += [asked[5], (10_000, None)]
+    df = spark.createDataFrame(known, "key string, v array<double>")
+    top = vectors.batch_topk(spark.createDataFrame(asked, "q long, v array<double>"), df, "q", "key", "v", 3, 700, 90)
+    assert top.dtypes[:2] == [("q", "bigint"), ("key", "string")]
+
+    def unit(vs):
+        m = np.array(vs)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    scores = np.round(unit([v for _, v in asked if v]) @ unit([v for _, v in known]).T, 12) + 0.0
+    want = sorted((q, known[i][0], p + 1) for (q, _), line in zip(asked, scores) for p, i in enumerate(np.argsort(-line, kind="stable")[:3]))
+    assert sorted((r["q"], r["key"], r["place"]) for r in top.collect()) == want
 
 
 def test_time_to_ms(spark):

@@ -42,10 +42,14 @@ def test_streams_equal_batches(spark, tmp_path):
     want = batch.groupBy(w).agg(F.count("*").alias("n")).select("window.start", "n", F.col("n") / 60)
     assert bag(rate.toDF("a", "b", "c")) == bag(want.toDF("a", "b", "c"))
 
-    counts = streams.run_available(streams.counters(stream(), ["event_type"]), ["event_type"])
-    assert bag(counts) == bag(telemetry.counter(batch, ["event_type"]))
-
-    last = streams.run_available(streams.gauge_last(stream(), "value", ["ts", "event_id"], ["event_type"]), ["event_type"])
+    windows = streams.run_available(streams.counters(stream(), "ts", ["event_type"], "2 minutes", "1 minute"), ["window_start", "event_type"])
+    counts = streams.running_totals(windows, ["event_type"])
+    assert windows.count() > counts.count() and bag(counts) == bag(telemetry.counter(batch, ["event_type"]))
+
+    windows = streams.run_available(
+        streams.gauge_last(stream(), "ts", "value", ["ts", "event_id"], ["event_type"], "2 minutes", "1 minute"), ["window_start", "event_type"]
+    )
+    last = streams.last_values(windows, ["event_type"])
     assert bag(last) == bag(telemetry.gauge_last(batch, "value", ["ts", "event_id"], ["event_type"]))
 
     hist = streams.run_available(streams.histogram(stream(), "ts", "value", [1, 5, telemetry.INF], ["event_type"], "2 minutes"), ["window_start", "event_type", "le"])
@@ -75,3 +79,28 @@ def test_guard_filter_keeps_allowed_only(spark, tmp_path):
     src = spark.readStream.schema("sql string").parquet(folder)
     out = streams.run_available(streams.guard_filter(src, "sql"), [], mode="append")
     assert sorted(r["sql"] for r in out.collect()) == ["SELECT 1", "SELECT 2"]
+
+
+def test_state_of_counters_expires(spark, tmp_path):
+    """Every file brings new users; the state holds those of the last windows only, the sink all of them."""
+    folder = str(tmp_path / "users")
+    for i in range(6):
+        rows = spark.range(100).selectExpr(
+            f"id + {100 * i} as event_id", f"timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, {i}, 0, id * 3) as ts",
+            f"concat('user', id % 20 + {20 * i}) as event_type", "1.0D as value",
+        )
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    for make in (
+        lambda s: streams.counters(s, "ts", ["event_type"], "1 minute", "10 minutes"),
+        lambda s: streams.gauge_last(s, "ts", "value", ["ts", "event_id"], ["event_type"], "1 minute", "10 minutes"),
+    ):
+        seen = []
+        source = readers.stream_parquet(spark, folder, SCHEMA, files_per_trigger=1)
+        query = (
+            make(source).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"state{id(make)}"))
+            .trigger(availableNow=True).foreachBatch(lambda batch, i: seen.append(batch.select("event_type").distinct().count())).start()
+        )
+        query.awaitTermination()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert sum(seen) >= 120 and len(held) >= 6 and max(held) <= 60 and held[-1] <= 40

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.support import attach
+from tidemark.session import materialise
 
 
 def _hash(keys: Sequence[str]):
@@ -75,6 +76,30 @@ def drop_shared(df: DataFrame, keys: Sequence[str], split: str = "split") -> Dat
     return df.filter(F.col(split) != "val").unionByName(val)
 
 
+def settle_splits(df: DataFrame, keys: Sequence[str], row_id: str, split: str = "split", on_overlap: str = "raise") -> DataFrame:
+    """De-duplication and leak removal in one grouping by key.
+
+    Of each key the first row (by ``row_id``) of every split is taken.  Train keeps it if no other split
+    has the key; validation and test keep theirs.  A key that both of these hold raises an error, or
+    leaves validation with ``on_overlap="drop"``.  Null keys are equal.
+    """
+    if on_overlap not in ("raise", "drop"):
+        raise ValueError("on_overlap is raise or drop")
+    rest = [c for c in df.columns if c not in (*keys, split, row_id)]
+    names = ("train", "val", "test")
+    firsts = [F.min(F.when(F.col(split) == s, F.struct(row_id, *rest))).alias(f"__{s}") for s in names]
+    keyed = materialise(df.groupBy(_hash(keys), *keys).agg(*firsts))
+    val, test = F.col("__val"), F.col("__test")
+    if on_overlap == "raise":
+        n = keyed.filter(val.isNotNull() & test.isNotNull()).count()
+        if n:
+            raise ValueError(f"{n} identical samples in both val and test")
+    kept = {"train": val.isNull() & test.isNull(), "val": test.isNull(), "test": F.lit(True)}
+    rows = [F.when(F.col(f"__{s}").isNotNull() & rule, F.struct(F.lit(s).alias("s"), F.col(f"__{s}").alias("r"))) for s, rule in kept.items()]
+    out = keyed.select(*keys, F.explode(F.array_compact(F.array(*rows))).alias("__k"))
+    return out.select(*[F.col("__k.s").alias(c) if c == split else F.col(c) if c in keys else F.col(f"__k.r.{c}").alias(c) for c in df.columns])
+
+
 def leak_report(df: DataFrame, keys: Sequence[str], split: str = "split") -> DataFrame:
     """Sizes before and after, duplicates per split and leakage counts, from one grouping by key."""
     k = _key_counts(df, keys, split)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
+from tidemark.session import materialise
 
-QUERY_CHUNK = 4096  # query vectors per broadcast
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192  # rows that meet in one matrix product
+DIGITS = 12  # of a similarity that count
 BUCKETS = [round(i / 10, 1) for i in range(11)]  # fixed values: similarity bucket bounds
 
 
@@ -63,59 +66,64 @@ def two_stage(df: DataFrame, key: str, vec: str, first: Sequence[float], refined
     return a.unionByName(b).withColumn("place", F.row_number().over(place))
 
 
-def batch_topk(queries: DataFrame, corpus: DataFrame, qkey: str, key: str, vec: str, k: int, chunk: int = QUERY_CHUNK) -> DataFrame:
-    """Top k by cosine for many queries at once.
+def _numbered_blocks(rows: DataFrame, key: str, limit: int, name: str) -> tuple[DataFrame, int]:
+    """Rows dealt by hash of key and vector into blocks of about ``limit`` rows, and the number of blocks."""
+    blocks = max(1, -(-rows.count() // limit))
+    return rows.withColumn(name, F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int")), blocks
 
-    Queries are broadcast in chunks of a fixed size.  A task multiplies its corpus batches
-    with the chunk and keeps k rows per query, so what is shuffled is at most k rows per
-    query and task, never query-corpus pairs.
+
+def batch_topk(
+    queries: DataFrame, corpus: DataFrame, qkey: str, key: str, vec: str, k: int, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK
+) -> DataFrame:
+    """Top k by cosine for many queries at once: query key, key, ``similarity``, ``place`` (equal ones by key).
+
+    Queries and corpus are dealt into blocks of bounded size.  Every pair of blocks meets in one
+    task, is one matrix product, and sends on k rows for each of its queries, so neither side
+    passes the driver or has to fit a task.  Queries and rows without a vector are skipped; a vector of
+    length 0 has similarity 0 to every other.  Repeated queries are answered each.
     """
-    spark = corpus.sparkSession
-    n = queries.count()
-    parts = max(1, -(-n // chunk))
-    merged = None
-    for part in range(parts):
-        some = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64(qkey), F.lit(parts)) == part)
-        found = _chunk_topk(spark, some.select(qkey, vec).toPandas(), corpus, qkey, key, vec, k)
-        merged = found if merged is None else merged.unionByName(found)
-    best = Window.partitionBy(qkey).orderBy(F.desc("similarity"), key)
-    return merged.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
+    q, n_q = _numbered_blocks(queries.filter(F.size(vec) > 0).select(F.col(qkey).alias("q"), F.col(vec).alias("v")), "q", query_block, "qb")
+    c, n_c = _numbered_blocks(corpus.filter(F.size(vec) > 0).select(F.col(key).alias("c"), F.col(vec).alias("v")), "c", corpus_block, "cb")
+    # repeated queries are told apart by a number of their own, written so that it stays the same
+    q = materialise(q.withColumn("n", F.monotonically_increasing_id())).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    types = {name: df.schema[name].dataType.simpleString() for df, name in ((q, "q"), (c, "c"))}
+    pairs = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
+    near = pairs.applyInArrow(_block_topk(k), f"n long, q {types['q']}, c {types['c']}, similarity double")
+    best = Window.partitionBy("n").orderBy(F.desc("similarity"), "c")
+    ranked = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    return ranked.select(F.col("q").alias(qkey), F.col("c").alias(key), "similarity", "place")
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of length 1 (or 0)."""
+    flat = np.asarray(pc.list_flatten(vectors), dtype="float64")
+    matrix = np.nan_to_num(flat).reshape(len(vectors), -1)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _chunk_topk(spark, chunk: pd.DataFrame, corpus: DataFrame, qkey: str, key: str, vec: str, k: int) -> DataFrame:
-    ids = chunk[qkey].to_numpy()
-    shared = spark.sparkContext.broadcast(_unit(np.array(chunk[vec].tolist(), dtype="float64").reshape(len(chunk), -1)))
-    schema = f"{qkey} {corpus_type(chunk, qkey)}, {key} {dict(corpus.dtypes)[key]}, similarity double"
-
-    def search(batches):
-        kept = None
-        for batch in batches:
-            batch = batch[batch[vec].map(lambda v: v is not None and len(v) > 0)]
-            if batch.empty:
-                continue
-            scores = _unit(np.array(batch[vec].tolist(), dtype="float64")) @ shared.value.T
-            take = min(k, len(batch))
-            rows = []
-            for q in range(scores.shape[1]):
-                # the k best plus everything tied with the last of them
-                bar = np.partition(scores[:, q], -take)[-take]
-                hit = np.flatnonzero(scores[:, q] >= bar)
-                rows.append(pd.DataFrame({qkey: ids[q], key: batch[key].to_numpy()[hit], "similarity": scores[hit, q]}))
-            kept = pd.concat(rows if kept is None else [kept, *rows])
-            kept = kept.sort_values(["similarity", key], ascending=[False, True]).groupby(qkey, sort=False).head(k)
-        if kept is not None:
-            yield kept
-
-    return corpus.select(key, vec).mapInPandas(search, schema)
-
-
-def corpus_type(chunk: pd.DataFrame, column: str) -> str:
-    return "string" if chunk[column].dtype == object else "bigint"
+def _block_topk(k: int):
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        corpus = corpus.sort_by("c")  # equal similarities: the smaller key first
+        rows, found, values = [], [], []
+        if queries.num_rows and corpus.num_rows:
+            # rounded, as equal vectors may differ in the last digits of a matrix product
+            scores = np.round(_unit(queries.column("v")) @ _unit(corpus.column("v")).T, DIGITS) + 0.0  # no negative zero
+            take = min(k, scores.shape[1])
+            bars = np.partition(scores, scores.shape[1] - take, axis=1)[:, -take]
+            for i, (line, bar) in enumerate(zip(scores, bars)):
+                hit = np.flatnonzero(line >= bar)
+                hit = hit[np.argsort(-line[hit], kind="stable")[:take]]
+                rows.append(np.full(len(hit), i))
+                found.append(hit)
+                values.append(line[hit])
+        at, hit = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, found))
+        asked, known = queries.take(pa.array(at)), corpus.take(pa.array(hit))
+        similarity = pa.array(np.concatenate([*values, np.zeros(0)]), pa.float64())
+        return pa.Table.from_arrays([asked.column("n"), asked.column("q"), known.column("c"), similarity], ["n", "q", "c", "similarity"])
+
+    return run
 
 
 def best_similarity(df: DataFrame, key: str, vec: str, candidates: Sequence[Sequence[float]]) -> DataFrame:

@@ -46,18 +46,15 @@ def curate(raw: DataFrame, catalogue: DataFrame, seed: int = 42, share: float =
     train, test = valid.filter("split = 'train'"), valid.filter("split = 'test'")
     drawn = synthetic.generate(raw.sparkSession, corpus.balance_targets(train, "sql_complexity"), catalogue, seed)
     # synthetic rows follow the originals in keep-first order
-    top = raw.agg(F.max("row_id")).scalar()
+    top = valid.agg(F.coalesce(F.max("row_id"), F.lit(-1))).scalar()
     drawn = drawn.withColumn("row_id", F.col("row_id") + top + 1)
     merged = materialise(corpus.merge_synthetic(train, drawn, ["row_id", *COLUMNS]))
     split = corpus.stratified_split(merged, "sql_complexity", "row_id", share, seed)
     rows = split.unionByName(test.select("row_id", *COLUMNS, "split"))
     text = corpus.input_text(F.col("sql_context"), F.col("sql_prompt")).alias("input_text")
     rows = rows.select("row_id", "split", text, "sql", "sql_complexity")
-    # written once: the check and the branches of the leak removal read it
-    unique = materialise(leakage.dedup_keep_first(rows, KEYS, "row_id"))
-    if on_overlap == "drop":
-        unique = leakage.drop_shared(unique, KEYS)
-    clean = materialise(corpus.clean(leakage.remove_leaks(unique, KEYS, check=on_overlap == "raise")))
+    # one grouping by text gives first rows, leaks and shared samples alike
+    clean = materialise(corpus.clean(leakage.settle_splits(rows, KEYS, "row_id", on_overlap=on_overlap)))
     check_schema(clean, expected={}, critical=["input_text", "sql"], non_empty=["input_text", "sql"], must_contain={"input_text": "query:"})
     return clean
 

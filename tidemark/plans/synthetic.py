@@ -76,7 +76,6 @@ def eligible(template_df: DataFrame, domain_df: DataFrame) -> DataFrame:
             F.col("metrics").alias("m"),
             F.col("dates").alias("d"),
             F.map_entries("foreign_keys").alias("fks"),
-            context(F.col("table_name"), F.col("columns")).alias("context"),
         ).alias("t"),
     )
     per_domain = tables.groupBy("domain", "description").agg(F.sort_array(F.collect_list(F.struct(F.col("t.table_name").alias("o"), "t"))).alias("ts"))
@@ -202,7 +201,12 @@ def generate(spark: SparkSession, targets: DataFrame | dict[str, int], catalogue
     values = {k: F.col(f"v_{k}") for k in values}
     sql = F.replace("sql", F.lit("SUM("), F.concat(F.col("agg_func"), F.lit("(")))
     sql = F.replace(sql, F.lit(templates.BASE_DATE), where)
-    both = F.when(F.col("n_tables") > 1, F.concat_ws(" ", "t1.context", "t2.context")).otherwise(F.col("t1.context"))
+    # the texts of tables are long: they meet the finished rows, not the drawing of them
+    texts = materialise(catalogue.select("domain", "table_name", context(F.col("table_name"), F.col("columns")).alias("context")))
+    for i in ("1", "2"):
+        named = texts.select("domain", F.col("table_name").alias(f"n{i}"), F.col("context").alias(f"c{i}"))
+        rows = rows.withColumn(f"n{i}", F.col(f"t{i}.table_name")).join(named, ["domain", f"n{i}"])
+    both = F.when(F.col("n_tables") > 1, F.concat_ws(" ", "c1", "c2")).otherwise(F.col("c1"))
     return rows.select(
         F.col("id").alias("row_id"),
         fill(one_of(F.col("prompts"), "prompt"), values).alias("sql_prompt"),

@@ -1,9 +1,10 @@
 """Structured Streaming forms of the telemetry operators.
 
 Each takes a stream with a zoned event time and returns the aggregated stream; the
-expressions are those of the batch operators.  State is bounded by the watermark (windows)
-or by the number of label sets (running counters).  ``late`` is the caller's choice: events that
-come later than that after the latest one are not counted.
+expressions are those of the batch operators.  State is bounded by the watermark: also what
+runs for ever (counters, last values) is kept per window in the stream, and the windows are
+merged from the sink.  ``late`` is the caller's choice: events that come later than that after the latest
+one are not counted.
 """
 
 from __future__ import annotations
@@ -25,8 +26,19 @@ def request_rate(events: DataFrame, ts: str, late: str, length: str = "60 second
     )
 
 
-def counters(events: DataFrame, labels: Sequence[str]) -> DataFrame:
-    return telemetry.counter(events, labels)
+def counters(events: DataFrame, ts: str, labels: Sequence[str], late: str, length: str = "1 hour") -> DataFrame:
+    """Events per label set and window; :func:`running_totals` adds the windows up.
+
+    A window's state ends with the watermark, so label sets that are no longer seen cost nothing:
+    what is kept for ever is the sink's table, not the state.
+    """
+    counted = events.withWatermark(ts, late).groupBy(F.window(ts, length), *labels).agg(F.count(F.lit(1)).alias("total"))
+    return counted.select(F.col("window.start").alias("window_start"), *labels, "total")
+
+
+def running_totals(windows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Totals per label set over the windows that a sink holds."""
+    return windows.groupBy(*labels).agg(F.sum("total").alias("total"))
 
 
 def histogram(events: DataFrame, ts: str, col: str, buckets: Sequence[float], labels: Sequence[str], late: str, length: str = "1 minute") -> DataFrame:
@@ -40,8 +52,19 @@ def histogram(events: DataFrame, ts: str, col: str, buckets: Sequence[float], la
     return telemetry.unpivot_buckets(wide, ["window_start", *labels], buckets, ["sum_value", "count_value"])
 
 
-def gauge_last(events: DataFrame, col: str, at: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    return telemetry.gauge_last(events, col, at, labels)
+def gauge_last(
+    events: DataFrame, ts: str, col: str, at: Sequence[str], labels: Sequence[str], late: str, length: str = "1 hour"
+) -> DataFrame:
+    """The last value per label set and window; :func:`last_values` takes the latest window's."""
+    place = F.struct(*at)
+    last = events.withWatermark(ts, late).groupBy(F.window(ts, length), *labels).agg(F.max(place).alias("place"), F.max_by(col, place).alias("last_value"))
+    return last.select(F.col("window.start").alias("window_start"), *labels, "place", "last_value")
+
+
+def last_values(windows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """The latest value per label set over the windows that a sink holds, and its time ``at``."""
+    ends = windows.groupBy(*labels).agg(F.max_by("last_value", "place").alias("last_value"), F.max("place").alias("place"))
+    return ends.select(*labels, "last_value", F.col("place")[windows.schema["place"].dataType.names[0]].alias("at"))
 
 
 def error_report(events: DataFrame, ts: str, message: str, late: str, length: str = "1 hour") -> DataFrame:
