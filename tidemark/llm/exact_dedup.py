@@ -5,9 +5,8 @@ by length and a hash of its first characters; both work on a written table of 24
 Only rows whose (length, prefix) group still has several members have their full content hashed
 and shuffled (level 3); all others are unique and leave the job without moving.
 
-Which rows survive level 2 is passed to the scan as a set of slots, ``hash(length, prefix) mod
-SLOTS``.  It has at most SLOTS rows however large the input is, so it may be broadcast.  A slot
-shared by chance only sends a unique row through level 3, where it forms a group of one.
+Which (length, prefix) groups survive level 2 is a written table, so that Spark knows its size: it
+is broadcast while it is small and joined by a shuffle beyond.  So are the groups of level 3.
 """
 
 from __future__ import annotations
@@ -15,42 +14,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, fresh, text_or_empty, without
-from tidemark.session import materialise
+from tidemark.llm.common import SPACES, fresh, let, text_or_empty, without
+from tidemark.operators.support import attach
+from tidemark.session import discard, materialise
 
-#: Bound of the broadcast set of surviving slots (8 bytes each).
-SLOTS = 1 << 18
 #: Characters of the normalised text that level 2 hashes.
 PREFIX = 128
 
 
 def normalised(text: str) -> Column:
-    """Each run of white space replaced by one space; null counts as empty."""
-    return F.regexp_replace(text_or_empty(text), f"{SPACE_CLASS}+", " ")
+    """Each run of white space replaced by one space; null counts as empty.
 
-
-def digest(text: str) -> Column:
-    return F.sha2(normalised(text), 256)
+    Single characters are replaced by plain search; only a text with two spaces together then needs the pattern.
+    """
+    out = text_or_empty(text)
+    for space in SPACES[1:]:
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    return let(out, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, "  +", " ")).otherwise(t))
 
 
-def _length_and_prefix(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
+def _length_and_prefix(docs: DataFrame, text: str, names: list[str], keep_norm: bool = False) -> DataFrame:
     norm, length, prefix = names
-    return (
-        docs.withColumn(norm, normalised(text))
-        .withColumns({length: F.length(norm), prefix: F.xxhash64(F.substring(norm, 1, PREFIX))})
-        .drop(norm)
-    )
+    out = docs.withColumn(norm, normalised(text)).withColumns({length: F.length(norm), prefix: F.xxhash64(F.substring(norm, 1, PREFIX))})
+    return out if keep_norm else out.drop(norm)
 
 
-def surviving_slots(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Slots of the (length, prefix hash) groups that have several rows: column ``slot``, at most SLOTS rows."""
-    keys = materialise(
-        _length_and_prefix(docs.select(F.col(text_col).alias("text")), "text", ["norm", "length", "prefix"]).select("length", "prefix")
-    )
-    # written, so that the size of this short list is known when the join is planned
-    lengths = materialise(keys.groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("length"))
-    pairs = keys.join(lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return pairs.select(F.pmod(F.xxhash64("length", "prefix"), F.lit(SLOTS)).alias("slot")).distinct()
+def surviving_pairs(docs: DataFrame, text_col: str, length: str, prefix: str) -> DataFrame:
+    """The (length, prefix hash) pairs that several rows share."""
+    keys = materialise(_length_and_prefix(docs.select(F.col(text_col).alias("text")), "text", ["norm", "length", "prefix"]).select("length", "prefix"))
+    lengths = keys.groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("length")
+    pairs = attach(keys, lengths, "length", "left_semi").groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    out = materialise(pairs.select(F.col("length").alias(length), F.col("prefix").alias(prefix)))
+    discard(keys)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
@@ -63,32 +59,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ones are replaced; an empty table gives an empty result.
     """
     docs = without(docs, "keep_id", "group_size", "kept", "text_sha256")
-    norm, length, prefix, slot, full = fresh(docs, "norm", "length", "prefix", "slot", "full")
-    slots = materialise(surviving_slots(docs, text_col)).withColumnRenamed("slot", slot)
-    marked = _length_and_prefix(docs, text_col, [norm, length, prefix]).withColumn(
-        slot, F.pmod(F.xxhash64(length, prefix), F.lit(SLOTS))
-    )
-    unique = marked.join(F.broadcast(slots), slot, "left_anti")
-    candidates = marked.join(F.broadcast(slots), slot, "left_semi").withColumn(full, digest(text_col))
-    groups = (
-        candidates.groupBy(full)
-        .agg(F.min(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-    )
-    own = docs.columns
-    extra = {"text_sha256": F.col(full)} if with_digest else {}
-    copies = candidates.join(groups, full, "left").select(
-        *[F.col(f"`{c}`") for c in own],
-        F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("group_size").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"),
-        *[c.alias(n) for n, c in extra.items()],
-    )
-    singles = unique.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.col(id_col).alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"),
-        *([digest(text_col).alias("text_sha256")] if with_digest else []),
-    )
-    return singles.unionByName(copies)
+    norm, length, prefix, full, keep, size = fresh(docs, "norm", "length", "prefix", "full", "keep", "size")
+    pairs = surviving_pairs(docs, text_col, length, prefix)
+    hashed = F.sha2(F.col(norm), 256)
+
+    def marked(rows: DataFrame, how: str) -> DataFrame:
+        return _length_and_prefix(rows, text_col, [norm, length, prefix], keep_norm=True).join(pairs, [length, prefix], how)
+
+    narrow = docs.select(*dict.fromkeys([id_col, text_col]))
+    members = marked(narrow, "left_semi").select(F.col(id_col).alias(keep), hashed.alias(full))
+    groups = members.groupBy(full).agg(F.min(keep).alias(keep), F.count(F.lit(1)).alias(size)).filter(F.col(size) > 1)
+    copies = attach(marked(docs, "left_semi").withColumn(full, hashed), groups, full, "left")
+    singles = marked(docs, "left_anti").withColumns({full: hashed if with_digest else F.lit(None).cast("string"), keep: F.col(id_col), size: F.lit(1)})
+    alone = F.col(size).isNull()
+
+    def finished(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *[F.col(f"`{c}`") for c in docs.columns],
+            F.when(alone, F.col(id_col)).otherwise(F.col(keep)).alias("keep_id"),
+            F.coalesce(size, F.lit(1)).cast("long").alias("group_size"),
+            (alone | F.col(id_col).eqNullSafe(F.col(keep))).alias("kept"),
+            *([F.col(full).alias("text_sha256")] if with_digest else []),
+        )
+
+    return finished(singles).unionByName(finished(copies))
