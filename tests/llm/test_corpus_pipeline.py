@@ -74,3 +74,21 @@ def test_stages_take_awkward_rows(spark, docs, empty):
         out = stage(spark, docs, SF)
         assert out.count() > 0 or name == "quality_rules"
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_copies_keep_rows_as_they_came(spark):
+    """Columns named like the operators' own keep their values; of repeated rows one stays."""
+    names = ["keep_id", "kept", "group_size", "text_sha256", "component_id", "n_shingles", "k1", "row", "full"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names)
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (1, text), (2, text), (3, "other words are here and stay as they are"), (3, "other words are here and stay as they are")]
+    rows += [(None, "x y"), (None, "x  y"), (4, "a b c"), (5, None), (6, ""), (7, "unlike all of the others in each and every word")]
+    docs = spark.createDataFrame([(*r, "en", *["mine"] * len(names)) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["exact_dedup"](spark, docs, SF)
+    assert out.schema == docs.schema
+    got = Counter(r.doc_id for r in out.collect())
+    assert got == Counter([1, 3, None, 4, 5, 7]) and all(set(r[3:]) == {"mine"} for r in out.collect())
+    out = stages["ngram_jaccard"](spark, docs, SF)
+    assert out.schema == docs.schema and all(set(r[3:]) == {"mine"} for r in out.collect())
+    assert Counter(r.doc_id for r in out.collect()) == Counter([1, 3, None, None, 4, 5, 6, 7])

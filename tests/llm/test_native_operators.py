@@ -55,6 +55,16 @@ def test_line_dedup(docs, rows, batches, monkeypatch):
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == want
 
 
+def test_line_dedup_of_other_ids(spark):
+    line = "a line that is long enough to count"
+    rows = [(f"id-{i:03d}", f"{line}\nown line of document number {i}") for i in range(40)]
+    for cast in ("doc_id", "decimal(20,3)", "binary"):
+        ids = F.col("doc_id") if cast == "doc_id" else F.substring("doc_id", 4, 3).cast(cast)
+        out = line_dedup(spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", ids), batches=5)
+        kept = [r["doc_id"] for r in out.filter("n_dropped = 0").collect()]
+        assert len(kept) == 1 and kept[0] == out.agg(F.max("doc_id")).first()[0]
+
+
 def test_line_runs_compact(spark):
     runs = lines_.LineRuns(spark, fanout=2)
     for i in range(5):

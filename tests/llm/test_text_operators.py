@@ -230,3 +230,27 @@ def test_empty(empty):
     assert identify_languages(empty).count() == 0
     assert quality_rules(empty).count() == 0
     assert near_duplicates(empty).count() == 0
+
+
+def test_words_are_letters_only(spark):
+    assert langid.words_of("½ ² ① x½y Ⅷ Été_2a") == ["x", "y", "été", "a"]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("le mot de la fin", "fr"), ("the end of the word", "en")] * 10)]
+    docs = spark.createDataFrame([*rows, (90, "½ ² ①", None)], "score long, text string, lang string")
+    out = {r["score"]: r for r in identify_languages(docs, "score").collect()}
+    assert out[90]["lang_pred"] == "und" and out[90]["_score"] == 0 and out[0]["_score"] > 0
+
+
+def test_sample_is_bounded_in_all(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 12)
+    rows = [(i, f"word number {i}", f"l{i % 40 if i % 3 else 0}") for i in range(600)]
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert 0 < len(sample) <= 12 and "l0" in {lang for lang, _ in sample}
+
+
+def test_null_and_empty_languages_have_bands_of_their_own(spark):
+    rng = random.Random(5)
+    words = "the of and in thing over word end".split()
+    text = lambda k: " ".join(rng.choice(words) + rng.choice(["", "a", "x", "er"][:k]) for _ in range(60))
+    rows = [(i, text(1), "") for i in range(30)] + [(100 + i, text(4), None) for i in range(30)]
+    out = quality_rules(spark.createDataFrame(rows, "n_words long, text string, lang string"), "n_words").collect()
+    assert len({(r["low"], r["high"]) for r in out}) == 2 and {r["_n_words"] for r in out} == {60}

@@ -51,6 +51,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def named_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with its column ``id`` under the caller's name; a column of ``df`` that has this name gets a fresh one."""
+    if id_col.lower() == "id":
+        return df.withColumnRenamed("id", id_col)
+    for name in df.columns:
+        if name.lower() == id_col.lower():
+            (other,) = fresh(df, name)
+            df = df.withColumnRenamed(name, other)
+    return df.withColumnRenamed("id", id_col)
+
+
 def process_memo(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, whichever tasks it runs.
 

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import named_id
 from tidemark.session import delete, discard, materialise, shared_folder
 
 #: Hidden states and rounds of training.
@@ -456,14 +457,12 @@ def hmm_scores(
     as text leaves another remainder than ``held_fold`` by ``folds``.  ``base_score`` is the log10
     probability by smoothed word counts, ``score`` that by the model.  Null and empty texts have
     the end only; a null id counts as an empty one; repeated rows are scored alike; an empty table gives an
-    empty result, and without training rows every word is unknown.  Other columns are not used.
+    empty result, and without training rows every word is unknown.  Other columns are not used; a column
+    of the result that is named like the id gets another name.
     """
-    if id_col.lower() in ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"):
-        raise ValueError(f"the id column may not be named {id_col}")
     model = train_hmm(docs, id_col, text_col, folds, held_fold, states, rounds)
     out = materialise(model.scores())
     model.table.drop()
     discard(model.written)
-    return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    out = out.select("id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return named_id(out, id_col)

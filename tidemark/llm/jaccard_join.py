@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, process_memo, row_keys
+from tidemark.llm.common import by_bytes, named_id, process_memo, row_keys
 from tidemark.llm.components import connected_components
 from tidemark.operators.support import attach
 from tidemark.session import discard, materialise
@@ -439,7 +439,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.join(named, "label").select("a", "b", "component_id", F.lit(True).alias("known"))
     out = texts.join(classes, ["a", "b"], "left")
     single = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "k1", "k2", F.col("n").alias("n_shingles"), single.alias("component_id"))
+    return named_id(out.select("id", "k1", "k2", F.col("n").alias("n_shingles"), single.alias("component_id")), id_col)
 
 
 def _weights(described: DataFrame):

@@ -19,12 +19,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, process_memo, row_keys
+from tidemark.llm.common import by_bytes, fresh, named_id, process_memo, row_keys
 from tidemark.operators.support import attach
+from tidemark.session import materialise
 
 #: Bound of the training sample.
 SAMPLE_DOCS, SAMPLE_WORDS = 500, 120
+#: Windows of all languages together.
+SAMPLE_ALL = 10_000
 #: Words of each language's lexicon, taken from the sample.
 LEXICON = 300
 FEATURES = 1 << 15
@@ -39,6 +43,14 @@ HELD, MEMORY = 2_000_000, 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; other number characters, such as fractions, end a word too."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that training never sees; false for a null id (which training does not see either)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -195,7 +207,7 @@ def _windows(batches: Iterator) -> Iterator:
     for batch in batches:
         langs, words, ranks = [], [], []
         for lang, text, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            found = WORD.findall(text.lower())
+            found = words_of(text)
             if found:
                 start = h % max(1, len(found) - SAMPLE_WORDS + 1)
                 langs.append(lang)
@@ -206,15 +218,20 @@ def _windows(batches: Iterator) -> Iterator:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
-    """At most SAMPLE_DOCS windows of SAMPLE_WORDS words per language, chosen by hash."""
+    """At most SAMPLE_DOCS windows of SAMPLE_WORDS words per language, chosen by hash, and SAMPLE_ALL in all.
+
+    With more languages than that, the ones with the most documents are learned.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 1))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(sizes.orderBy(F.desc("n"), "lang").limit(SAMPLE_ALL))
+    each = min(SAMPLE_DOCS, SAMPLE_ALL // max(1, sizes.count()))
     # a share of each language that holds twice the bound or so, then exactly the bound
-    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCS) / F.col("n")) * F.lit(float(2**63 - 1))
+    share = F.least(F.lit(1.0), F.lit(2.0 * each) / F.col("n")) * F.lit(float(2**63 - 1))
     near = attach(rows, sizes, "lang").filter(F.col("h") <= share)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= SAMPLE_DOCS)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rank") <= each)
     found = ranked.select("lang", "text", "h").mapInArrow(_windows, "lang string, words array<string>, h long")
     return sorted((r["lang"], list(r["words"])) for r in found.collect())
 
@@ -247,7 +264,7 @@ class Tagger:
         return self.memory["scores"][0][np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
 
-def _predict(shared):
+def _predict(shared, pred_name: str = "lang_pred", score_name: str = "score"):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -258,7 +275,7 @@ def _predict(shared):
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in by_bytes(texts, HELD):
-                words = [WORD.findall(t.lower()) for t in texts[a:b]]
+                words = [words_of(t) for t in texts[a:b]]
                 pred, score = ["und"] * (b - a), [0.0] * (b - a)
                 full = [i for i, w in enumerate(words) if w]
                 if full and langs:
@@ -271,26 +288,41 @@ def _predict(shared):
                         pred[i], score[i] = langs[k], min(1.0, s)
                 keep = [batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)]
                 cols = [*keep, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[1:], pred_name, score_name])
 
     return run
 
 
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str):
+    sample = training_sample(docs, id_col, text_col, lang_col)
+    return docs.sparkSession.sparkContext.broadcast(train(sample) if sample else {"langs": []})
+
+
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: id, key ``(k1, k2)`` of the row, ``held_out``, ``lang_pred``, ``score``.
 
     Learns from rows with a text, a language and an id that is not held out; predicts from the
     text alone.  ``und`` with score 0 if the text is null, empty or has no letter, or if nothing
     could be learned.  Repeated rows are judged alike, an empty table gives an empty result.
-    Other columns are not used.
+    Other columns are not used; a column of the result that is named like the id gets another name.
     """
-    spark = docs.sparkSession
-    sample = training_sample(docs, id_col, text_col, lang_col)
-    model = train(sample) if sample else {"langs": []}
-    shared = spark.sparkContext.broadcast(model)
+    shared = _model(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     one, two = row_keys(rows, "id", "text")
     rows = rows.withColumns({"k1": one, "k2": two, "held_out": held_out(F.col("id"))})
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_predict(shared), f"id {kind}, k1 long, k2 long, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+    return named_id(out, id_col)
+
+
+def keep_agreed(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in whose words a language is found with a score of ``least`` or more.
+
+    Whole rows pass the prediction once and stay where they are.
+    """
+    shared = _model(docs, id_col, text_col, lang_col)
+    pred, score = fresh(docs, "lang_pred", "score")
+    rows = docs.select(F.col(text_col).cast("string").alias(fresh(docs, "whole_text")[0]), *[F.col(f"`{c}`") for c in docs.columns])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    judged = rows.mapInArrow(_predict(shared, pred, score), schema)
+    return judged.filter((F.col(pred) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

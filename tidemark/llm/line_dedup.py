@@ -85,10 +85,15 @@ class LineRuns:
         self.levels = []
 
 
+#: Ids that stand for all when batches are cut: those with the smallest hashes.
+SAMPLE_IDS = 1000
+
+
 def _batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list:
-    shares = [i / batches for i in range(1, batches)]
-    found = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, shares)), F.lit(1000)).alias("q")).first()["q"] if shares else None
-    return sorted(set(found or []))
+    """Ids that cut the table into about equal batches; ids may be of any type that can be ordered."""
+    sample = docs.filter(F.col(id_col).isNotNull()).select(id_col, F.xxhash64(*docs.columns).alias("h")).orderBy("h", id_col).limit(SAMPLE_IDS)
+    ranked = [r[0] for r in sample.select(id_col).orderBy(id_col).collect()]
+    return list(dict.fromkeys(ranked[len(ranked) * i // batches] for i in range(1, batches))) if ranked else []
 
 
 def repeated_lines(hashed: DataFrame, id_col: str, min_docs: int, batches: int) -> DataFrame:

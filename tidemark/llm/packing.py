@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, fresh
+from tidemark.llm.common import by_bytes, named_id
 from tidemark.llm.encoding import encoder
 from tidemark.operators.support import attach
 from tidemark.session import materialise
@@ -68,7 +68,7 @@ def pack_powers_of_two(
 
     ``end_id`` ends every document, so null and empty texts give one piece of one id.  A null id
     is passed on; repeated rows are packed each.  An empty table gives an empty result.  Other
-    columns of ``docs`` are not used.
+    columns of ``docs`` are not used; a column of the result that is named like the id gets another name.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -83,10 +83,8 @@ def pack_powers_of_two(
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = counts.withColumn("before", before).join(F.broadcast(buckets), "length")
     firsts = firsts.select("length", "part", (F.col("all") + F.col("before")).alias("first"))
-    (out_id,) = fresh(pieces.drop("id"), id_col)
-    if out_id != id_col:
-        raise ValueError(f"the id column may not be named {id_col}")
-    return attach(pieces, firsts, ["length", "part"]).select(
-        F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens",
+    out = attach(pieces, firsts, ["length", "part"]).select(
+        "id", "start", "length", "ids", "doc_tokens",
         (F.col("first") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
+    return named_id(out, id_col)
