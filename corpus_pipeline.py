@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, row_keys
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.jaccard_join import near_duplicates
-from tidemark.llm.langid import identify_languages
+from tidemark.llm.langid import keep_agreed
 from tidemark.llm.packing import pack_powers_of_two
-from tidemark.llm.quality import quality_rules
-from tidemark.session import materialise
+from tidemark.llm.quality import keep_good
+from tidemark.session import discard, materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,24 +40,39 @@ def _without(docs: DataFrame, rejected: DataFrame, *columns: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that fail the base rules or lie outside the perplexity band of their language."""
-    return _without(docs, quality_rules(docs).filter("NOT kept"), "doc_id", "text", "lang")
+    return keep_good(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letters or whose words agree on no language."""
-    found = identify_languages(docs)
-    return _without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_AGREEMENT)), "doc_id", "text")
+    return keep_agreed(docs, LEAST_AGREEMENT)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return exact_dedup(docs).filter("kept").select(docs.columns)
+    """One document of each group of equal texts stays, as it came; of repeated rows, one."""
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = exact_dedup(whole).filter("kept")
+    # rows of a group that share the smallest id are told apart by nothing: one of them stays
+    groups = found.filter("group_size > 1").groupBy(F.sha2(normalised("text"), 256).alias("full"))
+    first = groups.agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return found.filter("group_size = 1").select("row.*").unionByName(first.select("row.*"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts stays, that with the smallest id."""
-    found = near_duplicates(docs)
-    return _without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id", "text")
+    """One document of each group of linked texts stays, that with the smallest id; of repeated rows, one.
+
+    Linked rows that share this id, or have none, but differ in text all stay: the id does not tell them apart.
+    """
+    found = materialise(near_duplicates(docs))
+    stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    repeated = found.filter(stay & (F.col("n_shingles") > 0)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2")
+    repeated = materialise(repeated)
+    kept = _without(docs, found.filter(~stay).select("k1", "k2").unionByName(repeated), "doc_id", "text")
+    k1, k2 = fresh(docs, "k1", "k2")
+    one, two = row_keys(docs, "doc_id", "text")
+    again = docs.withColumns({k1: one, k2: two}).join(repeated.toDF(k1, k2), [k1, k2], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(again.groupBy(k1, k2).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +93,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each written as Parquet to the shared folder and read by the next."""
+    """The stages in turn, each written as Parquet to the shared folder and read by the next; spent ones are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
