@@ -31,7 +31,7 @@ def messages(t):
     FROM {MESSAGES} m GROUP BY user_id, chat_id""",
 )
 def _(t):
-    return chats.chat_list(messages(t))
+    return chats.chat_list(messages(t), 30)
 
 
 @register(

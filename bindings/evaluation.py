@@ -189,6 +189,17 @@ def _(t):
     return ev.confusion(_both_classes(t), "gold_class", "guess")
 
 
+_CLASSES = [*sqltext.CLASS_SCORES, "unknown"]
+
+
+@register(
+    "eval_confusion_wide",
+    f"""SELECT gold_class AS true_class, {', '.join(f"count(*) FILTER (guess = '{c}') AS {c}" for c in _CLASSES)} FROM {_CONF} c GROUP BY gold_class""",
+)
+def _(t):
+    return ev.confusion_matrix(_both_classes(t), "gold_class", "guess", _CLASSES)
+
+
 @register(
     "eval_class_report",
     f"""WITH c AS (SELECT * FROM {_CONF} q), k AS (SELECT gold_class AS cls FROM c UNION SELECT guess FROM c),

@@ -378,3 +378,37 @@ def test_gt_all_prior_equals_brute_force_within_hours(spark):
         if m is not None and (not seen or (None not in seen and m > max(seen))):
             want.append((k, m))
     assert got == sorted(want)
+
+
+def test_category_list_has_pages(spark):
+    fact = spark.range(2500).selectExpr("id as fk", "id % 2 = 0 as g1", "1.0D as m", "timestamp_ntz'2024-01-01 00:00:00' as d")
+    dim = spark.range(2500).selectExpr("id as pk", "case when id < 2400 then concat('c', lpad(id, 4, '0')) end as g2")
+    out = joins.category_list(fact, dim, "fk", "pk", "g1", "g2", "m", "d", "2024-01-01", page=500).collect()
+    assert [(r["page"], len(r["category_list"].split(", ")), r["distinct_categories"]) for r in out if r["g1"]] == [(0, 500, 1200), (1, 500, 1200), (2, 200, 1200)]
+    names = [n for r in out if not r["g1"] for n in r["category_list"].split(", ")]
+    assert names == [f"c{i:04d}" for i in range(1, 2400, 2)]
+
+
+def test_high_value_rate_counts_the_left_join(spark):
+    """A group without facts at all counts a row; one with old facts only counts none; null dates count."""
+    dim = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, None), (6, "c")], "pk long, g string")
+    fact = spark.createDataFrame(
+        [(1, 10, 9.0, "2024-02-01"), (1, 10, 1.0, "2024-02-01"), (3, 11, 9.0, "2020-01-01"), (4, 12, 9.0, None), (5, None, 9.0, "2024-02-01"), (5, 13, None, "2024-03-01"), (9, 14, 9.0, "2024-02-01")],
+        "fk long, pk1 long, m double, d string",
+    ).withColumn("d", F.col("d").cast("timestamp"))
+    out = joins.high_value_rate(fact, dim, "fk", "pk", "pk1", "g", "m", "d", "2024-01-01", 5)
+    assert {(r["g"], r["related_count"], r["high_value_count"], r["high_value_pct"]) for r in out.collect()} == {("a", 1, 1, 33.33), ("b", 1, 1, 100.0), (None, 1, 1, 50.0)}
+
+
+def test_text_stats_of_one_value_and_none(spark):
+    rows = spark.createDataFrame([("a", "xx"), ("a", "xx"), ("a", None), ("b", None), ("c", "x"), ("c", "xxxx")], "k string, t string")
+    got = {r["k"]: r for r in corpus.text_stats(rows, ["t"], ["k"]).collect()}
+    assert (got["a"]["n_values"], got["a"]["unique_count"], got["a"]["len_mean"], got["a"]["len_std"], got["a"]["len_median"]) == (2, 1, 2.0, 0.0, 2.0)
+    assert (got["b"]["n_values"], got["b"]["null_rate"], got["b"]["len_mean"], got["b"]["len_std"], got["b"]["len_median"]) == (0, 1.0, None, None, None)
+    assert (got["c"]["len_mean"], got["c"]["len_p25"]) == (2.5, 1.75) and math.isclose(got["c"]["len_std"], 3 / 2**0.5)
+
+
+def test_confusion_matrix_is_wide(spark):
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b"), ("b", "z")], "t string, p string")
+    out = evaluation.confusion_matrix(rows, "t", "p", ["a", "b", "c"]).orderBy("true_class")
+    assert [tuple(r) for r in out.collect()] == [("a", 1, 2, 0), ("b", 0, 0, 0)]

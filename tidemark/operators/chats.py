@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 PAGE = 1000
 
 
-def chat_list(messages: DataFrame, user_id=None, title_chars: int = 30) -> DataFrame:
-    """Chats of a user (or of all users), newest first; titled by the start of the first message."""
+def chat_list(messages: DataFrame, title_chars: int, user_id=None) -> DataFrame:
+    """Chats of a user (or of all users), newest first; titled by the first ``title_chars`` characters of the first message."""
     rows = messages if user_id is None else messages.filter(F.col("user_id") == user_id)
     return (
         rows.groupBy("user_id", "chat_id")

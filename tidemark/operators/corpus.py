@@ -80,29 +80,44 @@ def schema_violations(
 
 
 def _stats(df: DataFrame, col: str, by: Sequence[str], percents: dict[str, float], duplicates: bool) -> DataFrame:
-    # Lengths have few distinct values, so percentile() keeps a small count map; texts are
-    # told apart by a 128-bit digest instead of being shuffled whole.
+    """Counts and lengths of one column.
+
+    Rows are first counted by digest, which tells texts apart without moving them whole; what follows
+    adds up these counts, so that one group, however large, is a plain aggregate: distinct
+    values are rows, and moments and percentiles are taken over lengths with frequencies.
+    """
     rows = df.select(*by, F.length(col).alias("len"), F.md5(F.col(col)).alias("digest"))
+    counted = rows.groupBy(*by, "digest", "len").agg(F.count(F.lit(1)).alias("n"))
     names = list(percents)
+    long, exact = F.col("len").cast("long"), F.col("n").cast("decimal(38,0)")
     aggs = [
-        F.count("digest").alias("n_values"),
-        F.count_if(F.col("digest").isNull()).alias("null_count"),
-        F.avg(F.col("digest").isNull().cast("double")).alias("null_rate"),
-        F.count_distinct("digest").alias("unique_count"),
-        F.count(F.lit(1)).alias("all_rows"),
+        F.coalesce(F.sum(F.when(F.col("digest").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
+        F.coalesce(F.sum(F.when(F.col("digest").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count("digest").alias("unique_count"),
+        F.sum("n").alias("all_rows"),
         F.min("len").alias("len_min"),
         F.max("len").alias("len_max"),
-        F.avg("len").alias("len_mean"),
-        F.stddev_samp("len").alias("len_std"),
-        F.percentile("len", F.array(*[F.lit(percents[n]) for n in names])).alias("p"),
+        F.sum(long * F.col("n")).alias("s1"),
+        F.sum((long * long * exact).cast("decimal(38,0)")).alias("s2"),
+        F.percentile("len", F.array(*[F.lit(percents[n]) for n in names]), F.col("n")).alias("p"),
     ]
-    out = rows.groupBy(*by).agg(*aggs)
-    out = out.withColumns({n: F.col("p")[i] for i, n in enumerate(names)})
+    out = counted.groupBy(*by).agg(*aggs)
+    n, s1 = F.col("n_values"), F.col("s1")
+    # exact sums: nothing cancels before the one rounding to a double
+    spread = (F.col("s2") * n - s1.cast("decimal(38,0)") * s1).cast("double")
+    out = out.withColumns(
+        {
+            "null_rate": F.try_divide(F.col("null_count").cast("double"), F.col("all_rows")),
+            "len_mean": F.try_divide(s1.cast("double"), n),
+            "len_std": F.when(n > 1, F.sqrt(spread / n / F.greatest(n - 1, F.lit(1)))),
+            **{name: F.col("p")[i] for i, name in enumerate(names)},
+        }
+    )
     if duplicates:
         # null is a value of its own here, as in a keep-first comparison
         distinct = F.col("unique_count") + (F.col("null_count") > 0).cast("int")
-        out = out.withColumn("duplicate_count", F.col("all_rows") - distinct)
-    return out.withColumn("column_name", F.lit(col)).drop("p", "all_rows")
+        out = out.withColumn("duplicate_count", F.coalesce("all_rows", F.lit(0)) - distinct)
+    return out.withColumn("column_name", F.lit(col)).drop("p", "all_rows", "s1", "s2")
 
 
 def text_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -215,10 +230,14 @@ def input_text(context: Column, prompt: Column) -> Column:
 # ---- cleaning ------------------------------------------------------------------------
 
 
+#: Inserted sample rows, and the instruction, before the part of the prompt that stays.
+SAMPLE_ROWS_PATTERN, INSTRUCTION_PATTERN = r"(?is)insert\s+into.*?\n\nquery:", r"(?is)translate\s+english\s+to\s+sql.*?context:"
+
+
 def clean(df: DataFrame, text: str = "input_text", sql: str = "sql") -> DataFrame:
     """Inserted sample rows and the instruction are cut from the prompt; INSERT statements are dropped."""
-    t = F.regexp_replace(F.col(text), r"(?is)insert\s+into.*?\n\nquery:", "query:")
-    t = F.regexp_replace(t, r"(?is)translate\s+english\s+to\s+sql.*?context:", "context:")
+    t = F.regexp_replace(F.col(text), SAMPLE_ROWS_PATTERN, "query:")
+    t = F.regexp_replace(t, INSTRUCTION_PATTERN, "context:")
     kept = df.filter(~F.coalesce(F.col(sql).rlike(r"(?i)insert\s+into"), F.lit(False)))
     return kept.withColumns({text: t, sql: F.replace(F.col(sql), F.lit("\n"), F.lit(" "))})
 

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import selection
-from tidemark.operators.support import as_type_of, attach, since_filter
+from tidemark.operators import ordered, selection
+from tidemark.operators.support import as_type_of, attach, join_null_safe, since_filter
+from tidemark.session import materialise
 
 
 def _dim(dim: DataFrame, pk: str, *cols: str) -> DataFrame:
@@ -116,17 +117,25 @@ def above_avg_with_group_avg(fact, dim, fk, pk, g1, g2, metric, date, since) ->
 
 
 def high_value_rate(fact, dim, fk, pk, pk1, g2, metric, date, since, threshold: float) -> DataFrame:
-    right = fact.select(F.col(fk).alias("__fk"), F.col(pk1).alias("__pk1"), metric, F.col(date).alias("__d"))
-    both = _dim(dim, pk, g2).join(right, F.col("__pk") == F.col("__fk"), "left")
-    both = both.filter((F.col("__d") >= as_type_of(fact, date, since)) | F.col("__d").isNull())
-    high = F.sum(F.when(F.col(metric) > threshold, 1).otherwise(0))
+    """Fact keys per group, their rows above the threshold and the share of these in the left join's rows.
+
+    Facts are added up by foreign key before they meet the dimension, distinct keys are counted
+    in two levels, and dimension rows without facts are a part of their own.
+    """
+    recent = fact.filter((F.col(date) >= as_type_of(fact, date, since)) | F.col(date).isNull())
+    high = F.count_if(F.col(metric) > threshold)
+    dims = _dim(dim, pk, g2)
+    sums = recent.groupBy(F.col(fk).alias("__fk")).agg(high.alias("high"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("long")
+    matched = dims.join(sums, F.col("__pk") == F.col("__fk")).select(g2, zero.alias("related"), "high", "n")
+    keys = recent.filter(F.col(pk1).isNotNull()).select(F.col(fk).alias("__fk"), F.col(pk1).alias("__pk1")).distinct()
+    related = dims.join(keys, F.col("__pk") == F.col("__fk")).select(g2, "__pk1").distinct().select(g2, F.lit(1).cast("long").alias("related"), zero.alias("high"), zero.alias("n"))
+    known = fact.select(F.col(fk).alias("__fk")).distinct()
+    alone = dims.join(known, F.col("__pk") == F.col("__fk"), "left_anti").select(g2, zero.alias("related"), zero.alias("high"), F.lit(1).cast("long").alias("n"))
+    both = matched.unionByName(related).unionByName(alone)
     return (
         both.groupBy(g2)
-        .agg(
-            F.count_distinct("__pk1").alias("related_count"),
-            high.alias("high_value_count"),
-            F.count(F.lit(1)).alias("__n"),
-        )
+        .agg(F.sum("related").alias("related_count"), F.sum("high").alias("high_value_count"), F.sum("n").alias("__n"))
         .filter(F.col("related_count") > 0)
         .withColumn("high_value_pct", F.round(F.col("high_value_count") * 100.0 / F.col("__n"), 2))
         .drop("__n")
@@ -158,23 +167,20 @@ def rank_within_group(fact, dim, fk, pk, g1, g2, metric, date, since, n: int) ->
     return both.withColumn("rank_within_group", F.rank().over(w)).filter(F.col("rank_within_group") <= n)
 
 
-def category_list(fact, dim, fk, pk, g1, g2, metric, date, since, min_categories: int = 2) -> DataFrame:
+def category_list(fact, dim, fk, pk, g1, g2, metric, date, since, min_categories: int = 2, page: int = 1000) -> DataFrame:
+    """The categories of each group in pages of ``page`` names, so that a group with very many is several rows.
+
+    A name's place in its group comes from range-partitioned runs; no task holds a group.
+    """
     part = since_filter(fact, date, since).groupBy(fk, g1).agg(F.sum(metric).alias("__s"), F.count(metric).alias("__c"))
-    pairs = (
-        _joined(part, dim, fk, pk, g2, how="left")
-        .groupBy(g1, g2)
-        .agg(F.sum("__s").alias("__s"), F.sum("__c").alias("__c"))
-    )
-    return (
-        pairs.groupBy(g1)
-        .agg(
-            F.count(g2).alias("distinct_categories"),
-            F.array_join(F.array_sort(F.collect_list(g2)), ", ").alias("category_list"),
-            F.try_divide(F.sum("__s"), F.sum("__c")).alias("avg_metric"),
-        )
-        .filter(F.col("distinct_categories") >= min_categories)
-        .orderBy(F.desc("distinct_categories"))
-    )
+    pairs = materialise(_joined(part, dim, fk, pk, g2, how="left").groupBy(g1, g2).agg(F.sum("__s").alias("__s"), F.sum("__c").alias("__c")))
+    groups = pairs.groupBy(g1).agg(F.count(g2).alias("distinct_categories"), F.try_divide(F.sum("__s"), F.sum("__c")).alias("avg_metric"))
+    groups = materialise(groups.filter(F.col("distinct_categories") >= min_categories))
+    named = pairs.filter(F.col(g2).isNotNull()).select(g1, g2)
+    places = ordered.positions(ordered.split_runs(named, [g1], g2, []), {"place_": "row_number"})
+    pages = places.groupBy(g1, F.floor((F.col("place_") - 1) / page).alias("page")).agg(F.array_join(F.array_sort(F.collect_list(g2)), ", ").alias("category_list"))
+    both = join_null_safe(pages, groups, [g1])
+    return both.select(g1, "page", "distinct_categories", "category_list", "avg_metric").orderBy(F.desc("distinct_categories"), g1, "page")
 
 
 def tier_counts(fact, dim, fk, pk, g2, metric, date, since, threshold: float) -> DataFrame:

@@ -63,8 +63,11 @@ def gt_all_prior(df, group, metric, date, since, days: int = 90) -> DataFrame:
     unit = 3_600_000_000
     reach = days * 24
     micros = F.unix_micros(F.col(date).cast("timestamp"))
+    seen = df
+    if since is not None:  # rows from `since` on look back this far
+        seen = df.filter(F.col(date) >= F.date_sub(F.lit(str(since)).cast("date"), days).cast(df.schema[date].dataType))
     peaks = (
-        df.filter(F.col(date).isNotNull() & F.col(group).isNotNull())
+        seen.filter(F.col(date).isNotNull() & F.col(group).isNotNull())
         .groupBy(group, date)
         .agg(F.max(metric).alias("__peak"), F.max(F.col(metric).isNull()).alias("__null"))
         .withColumn("__t", micros)
