@@ -258,7 +258,9 @@ def _group_emissions(table, states: int):
     import numpy as np
 
     out = np.empty((states, table.num_rows), np.float32)
-    out[:, table.column("number").to_numpy()] = np.stack([table.column(f"b{k}").to_numpy() for k in range(states)])
+    number = table.column("number").to_numpy()
+    for k in range(states):
+        out[k, number] = table.column(f"b{k}").to_numpy()
     return out
 
 
@@ -273,12 +275,13 @@ def _expect(states: int, moves, first):
         counts, pairs, begun, likelihood = expected_counts(planes, emissions, a, f)
         sums = np.zeros((states * (states + 1) + 1, states))
         sums[:, 0] = [*pairs.ravel(), *begun, likelihood]
-        names = symbols.column("symbol").combine_chunks()
-        own = counts[:, symbols.column("number").to_numpy()]
-        seen = np.flatnonzero(own.any(axis=0))
-        names = pa.concat_arrays([names.take(pa.array(seen)), pa.array([f"{SUMS}{i}" for i in range(len(sums))], names.type)])
-        rows = np.concatenate([own.T[seen], sums])
-        return pa.Table.from_arrays([names, *[pa.array(rows[:, k]) for k in range(states)]], ["symbol", *[f"g{k}" for k in range(states)]])
+        # column by column, without copies of the whole table of counts
+        number = symbols.column("number").to_numpy()
+        at = np.flatnonzero(counts.any(axis=0)[number])
+        names = symbols.column("symbol").combine_chunks().take(pa.array(at))
+        names = pa.concat_arrays([names, pa.array([f"{SUMS}{i}" for i in range(len(sums))], names.type)])
+        columns = [pa.array(np.append(counts[k][number[at]], sums[:, k])) for k in range(states)]
+        return pa.Table.from_arrays([names, *columns], ["symbol", *[f"g{k}" for k in range(states)]])
 
     return run
 
