@@ -45,18 +45,86 @@ def _(t):
     return scored(t).select("event_id", "token_f1")
 
 
+# Per step: pattern of the word, length of the suffix, letters that go, letters that come, test of what precedes the suffix.
+# The first pattern of a step that matches decides.
+_SHORT = "^([^aeiouy]*[aeiouy]*[^aeiouy][aeiouy][^aeiouywxY]|[aeiouy][^aeiouy])"
+_ENDS = [
+    [("^.ies$", 3, 1, "", ""), ("sses$", 4, 2, "", ""), ("ies$", 3, 2, "", ""), ("ss$", 2, 0, "", ""), ("s$", 1, 1, "", "")],
+    [
+        ("^.ied$", 3, 1, "", ""), ("ied$", 3, 2, "", ""), ("eed$", 3, 1, "", "M1"), ("(at|bl|iz)ed$", 2, 1, "", "V"),
+        ("(at|bl|iz)ing$", 3, 3, "e", "V"), ("(ll|ss|zz)ed$", 2, 2, "", "V"), ("(ll|ss|zz)ing$", 3, 3, "", "V"),
+        *[(f"{d}{d}{e}$", len(e), len(e) + 1, "", "V") for e in ("ed", "ing") for d in "bcdfghjkmnpqrtvwxY0123456789"],
+        (_SHORT + "ed$", 2, 2, "e", "M=1"), ("ed$", 2, 2, "", "V"), (_SHORT + "ing$", 3, 3, "e", "M=1"), ("ing$", 3, 3, "", "V"),
+    ],
+    [(".[^aeiouy][yY]$", 1, 1, "i", "")],
+    [("[aeiouy].*[^aeiouy].*alli$", 4, 2, "", "M1")],
+    [
+        ("ational$", 7, 5, "e", "M1"), ("tional$", 6, 2, "", "M1"), ("[ea]nci$", 4, 1, "e", "M1"), ("izer$", 4, 1, "", "M1"),
+        ("bli$", 3, 1, "e", "M1"), ("entli$", 5, 2, "", "M1"), ("eli$", 3, 2, "", "M1"), ("ousli$", 5, 2, "", "M1"),
+        ("ization$", 7, 5, "e", "M1"), ("ation$", 5, 3, "e", "M1"), ("ator$", 4, 2, "e", "M1"), ("alism$", 5, 3, "", "M1"),
+        ("(iveness|fulness|ousness)$", 7, 4, "", "M1"), ("aliti$", 5, 3, "", "M1"), ("iviti$", 5, 3, "e", "M1"),
+        ("biliti$", 6, 5, "le", "M1"), ("fulli$", 5, 2, "", "M1"), ("logi$", 3, 1, "", "M1"),
+    ],
+    [
+        ("icate$", 5, 3, "", "M1"), ("ative$", 5, 5, "", "M1"), ("alize$", 5, 3, "", "M1"), ("iciti$", 5, 3, "", "M1"),
+        ("ical$", 4, 2, "", "M1"), ("ful$", 3, 3, "", "M1"), ("ness$", 4, 4, "", "M1"),
+    ],
+    [
+        ("ement$", 5, 5, "", "M2"), ("(ance|ence|able|ible|ment)$", 4, 4, "", "M2"), ("(ant|ent|ism|ate|iti|ous|ive|ize)$", 3, 3, "", "M2"),
+        ("[st]ion$", 3, 3, "", "M2"), ("(al|er|ic|ou)$", 2, 2, "", "M2"),
+    ],
+    [("e$", 1, 1, "", "E")],
+    [("ll$", 1, 1, "", "M2")],
+]
+_OWN = {"skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "innings": "inning", "outings": "outing", "cannings": "canning"} | {
+    w: w for w in "sky news inning outing canning howe proceed exceed succeed".split()
+}
+
+
+def _stem_table(source):
+    """Statements that give the table stems (word, stem) of the words of ``source`` (a column w)."""
+    m1, m2, cvc = "^[^aeiouy]*[aeiouy]+[^aeiouy]", "^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]", "[^aeiouy][aeiouy][^aeiouywxY]$|^[aeiouy][^aeiouy]$"
+    out = [f"st0 AS (SELECT DISTINCT w, regexp_replace(w, '(^|[aeiouy])y', '\\1Y', 'g') AS s FROM {source})"]
+    for i, step in enumerate(_ENDS):
+        cases = []
+        for pattern, n, less, more, test in step:
+            rest = f"left(s, length(s) - {n})"
+            ok = {
+                "": "true", "M1": f"regexp_matches({rest}, '{m1}')", "M2": f"regexp_matches({rest}, '{m2}')", "V": f"regexp_matches({rest}, '[aeiouy]')",
+                "M=1": f"regexp_matches({rest}, '[aeiouy]')",
+                "E": f"(regexp_matches({rest}, '{m2}') OR (regexp_matches({rest}, '{m1}') AND NOT regexp_matches({rest}, '{cvc}')))",
+            }[test]
+            when = f"regexp_matches(s, '{pattern}')" + (f" AND regexp_matches({rest}, '{m1}') AND NOT regexp_matches({rest}, '{m2}')" if test == "M=1" else "")
+            cases.append(f"WHEN {when} THEN CASE WHEN {ok} THEN left(s, length(s) - {less}) || '{more}' ELSE s END")
+        out.append(f"st{i + 1} AS (SELECT w, CASE {' '.join(cases)} ELSE s END AS s FROM st{i})")
+    own = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _OWN.items())
+    out.append(f"stems AS (SELECT w, CASE WHEN length(w) <= 3 THEN w ELSE CASE w {own} ELSE lower(s) END END AS s FROM st{len(_ENDS)})")
+    return ",\n    ".join(out)
+
+
 def _words(c):
     return f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
 
 
-def _bigrams(c):
-    w = _words(c)
+def _stemmed(c):
+    return f"list_transform({_words(c)}, lambda x: known[x])"
+
+
+_TEXTS = f"""texts AS (SELECT event_id, predicted, sql FROM ({LOG}) log),
+    spoken AS (SELECT unnest({_words('predicted')}) AS w FROM texts UNION SELECT unnest({_words('sql')}) FROM texts),
+    {_stem_table('spoken')},
+    dictionary AS (SELECT map(list(w), list(s)) AS known FROM stems),
+    said AS (SELECT event_id, {_stemmed('predicted')} AS p, {_stemmed('sql')} AS g FROM texts, dictionary)"""
+
+
+def _bigrams(w):
     return f"list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
 
 
 @register(
     "eval_rouge2",
-    f"""WITH b AS (SELECT event_id, {_bigrams('predicted')} AS p, {_bigrams('sql')} AS g FROM ({LOG}) log),
+    f"""WITH {_TEXTS},
+    b AS (SELECT event_id, {_bigrams('p')} AS p, {_bigrams('g')} AS g FROM said),
     pc AS (SELECT event_id, k, count(*) AS n FROM (SELECT event_id, unnest(p) AS k FROM b) u GROUP BY ALL),
     gc AS (SELECT event_id, k, count(*) AS n FROM (SELECT event_id, unnest(g) AS k FROM b) u GROUP BY ALL),
     h AS (SELECT pc.event_id, sum(least(pc.n, gc.n)) AS hits FROM pc JOIN gc USING (event_id, k) GROUP BY pc.event_id),
@@ -77,7 +145,8 @@ _STEP = """list_transform(range(1, len(g) + 1), lambda j: greatest(cells[j], coa
 
 @register(
     "eval_rouge_l",
-    f"""WITH RECURSIVE w AS (SELECT event_id, {_words('predicted')} AS p, {_words('sql')} AS g FROM ({LOG}) log),
+    f"""WITH RECURSIVE {_TEXTS},
+    w AS MATERIALIZED (SELECT * FROM said),
     u AS (SELECT DISTINCT p, g FROM w),
     dp AS (SELECT p, g, 0 AS k, list_transform(range(1, len(g) + 1), lambda j: 0::BIGINT) AS cells FROM u
       UNION ALL SELECT p, g, k + 1, {_STEP} FROM dp WHERE k < len(p)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,29 +39,47 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bigrams(tokens: Column) -> Column:
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.slice(pairs, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+CELLS = 1 << 20  # cells of one block of pairs
 
 
-def _lcs(a, b) -> int:
-    """Longest common subsequence by bit vectors: one machine-word operation per 64 cells."""
-    where: dict[str, int] = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+def _lcs_block(a: list, b: list) -> np.ndarray:
+    """Longest common subsequences of the pairs (a[i], b[i]), a row of all their tables at a time."""
+    wide, n_rows = max(map(len, b)), max(map(len, a))
+    right = np.full((len(b), wide), -1, dtype=np.int64)
+    left = np.full((len(a), n_rows), -2, dtype=np.int64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        left[i, : len(x)], right[i, : len(y)] = x, y
+    best = np.zeros((len(b), wide + 1), dtype=np.int32)
+    for k in range(n_rows):
+        taken = np.where(right == left[:, k : k + 1], best[:, :-1] + 1, best[:, 1:])
+        best[:, 1:] = np.maximum.accumulate(taken, axis=1)
+    return best[:, -1]
 
 
 def lcs_length():
-    """Arrow UDF over two token-array columns."""
+    """Arrow UDF over two columns of arrays of non-negative numbers.
+
+    Pairs of like length meet in blocks; the widest row of a block times its pairs is bounded,
+    so a very long text is a block of its own.
+    """
 
     @F.pandas_udf("int")
     def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+        out = np.zeros(len(a), dtype=np.int32)
+        sizes = pd.DataFrame({"a": a.map(len).to_numpy(), "b": b.map(len).to_numpy()})
+        order = sizes[(sizes.a > 0) & (sizes.b > 0)].sort_values(["a", "b"]).index.to_numpy()
+        widest = sizes.max(axis=1).to_numpy()
+        start = 0
+        while start < len(order):
+            stop, most = start + 1, widest[order[start]]
+            while stop < len(order):
+                most = max(most, widest[order[stop]])
+                if most * (stop - start + 1) > CELLS:
+                    break
+                stop += 1
+            block = order[start:stop]
+            out[block] = _lcs_block([a.iloc[i] for i in block], [b.iloc[i] for i in block])
+            start = stop
+        return pd.Series(out)
 
     return lcs

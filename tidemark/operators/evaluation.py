@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import sqltext, tokens
+from tidemark.functions import sqltext, stems, tokens
 from tidemark.operators.support import per_class
+from tidemark.session import materialise
 
 
 def score(df: DataFrame, predicted: str, gold: str) -> DataFrame:
@@ -38,32 +39,61 @@ def _prf(hits: Column, n_pred: Column, n_gold: Column, prefix: str) -> dict[str,
     return {f"{prefix}_precision": precision, f"{prefix}_recall": recall, f"{prefix}_fmeasure": f}
 
 
-def rouge2(df: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
-    """Bigram overlap counted as bags.
+def _word_rows(df: DataFrame, key: str, predicted: str, gold: str, stem: bool) -> DataFrame:
+    """One row per word: __key, is_pred, pos and a number that equal stems (or words) share.
 
-    Bigrams are rows, so a long text is spread over tasks; equal bigrams of a text are
-    added up map-side.
+    Distinct words are stemmed once, in a written table whose size lets Catalyst choose how it
+    is joined.  A row without any word keeps one row of nulls.
     """
-    base = df.select(key, tokens.words(F.col(predicted)).alias("p"), tokens.words(F.col(gold)).alias("g"))
 
-    def side(col: str, is_pred: int):
-        return base.select(key, F.explode_outer(tokens.bigrams(F.col(col))).alias("b")).select(
-            key, "b", F.when(F.col("b").isNotNull(), is_pred).otherwise(0).alias("p"),
-            F.when(F.col("b").isNotNull(), 1 - is_pred).otherwise(0).alias("g"),
-        )
+    def side(text: str, is_pred: bool) -> Column:
+        return F.transform(
+            tokens.words(F.col(text)), lambda word, pos: F.struct(F.lit(is_pred).alias("is_pred"), pos.alias("pos"), word.alias("word"))
+        )
+
+    rows = df.select(F.col(key).alias("__key"), F.explode_outer(F.concat(side(predicted, True), side(gold, False))).alias("w"))
+    rows = rows.select("__key", F.col("w.is_pred").alias("is_pred"), F.col("w.pos").alias("pos"), F.col("w.word").alias("word"))
+    distinct = rows.filter("word is not null").select("word").distinct()
+    known = stems.with_stem(distinct, "word") if stem else distinct.withColumn("stem", F.col("word"))
+    alike = known.groupBy("stem").agg(F.collect_list("word").alias("words"))
+    # written, so the numbers stay as they are when a task is repeated
+    numbered = alike.withColumn("id", F.monotonically_increasing_id())
+    numbered = materialise(numbered.select("id", F.explode("words").alias("word")))
+    return rows.join(numbered, "word", "left").select("__key", "is_pred", "pos", F.col("id").alias("word"))
+
+
+def rouge2(df: DataFrame, key: str, predicted: str, gold: str, stem: bool = True) -> DataFrame:
+    """Bigram overlap counted as bags, of stemmed words unless ``stem`` is false.
 
-    counts = side("p", 1).unionByName(side("g", 0)).groupBy(key, "b").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    sums = counts.groupBy(key).agg(
-        F.sum(F.least("p", "g")).alias("hits"), F.sum("p").alias("n_p"), F.sum("g").alias("n_g")
+    ``key`` is unique.  Words are rows and meet in one exchange by key, so a long text is
+    sorted and counted on disk where memory is short.  No bigrams (null, empty, one word) on
+    a side gives zeros.
+    """
+    rows = _word_rows(df, key, predicted, gold, stem).repartition(F.col("__key"))
+    following = F.lead("word").over(Window.partitionBy("__key", "is_pred").orderBy("pos"))
+    pairs = rows.withColumn("next", following)
+    counts = pairs.groupBy("__key", "word", "next").agg(F.count_if("is_pred").alias("p"), F.count_if(~F.col("is_pred")).alias("g"))
+    real = F.col("next").isNotNull()
+    sums = counts.groupBy("__key").agg(
+        *[F.sum(F.when(real, c).otherwise(0)).alias(n) for n, c in (("hits", F.least("p", "g")), ("n_p", F.col("p")), ("n_g", F.col("g")))]
     )
-    return sums.select(key, *[c.alias(n) for n, c in _prf(F.col("hits"), F.col("n_p"), F.col("n_g"), "rouge2").items()])
+    return sums.select(F.col("__key").alias(key), *[c.alias(n) for n, c in _prf(F.col("hits"), F.col("n_p"), F.col("n_g"), "rouge2").items()])
+
 
+def rouge_l(df: DataFrame, key: str, predicted: str, gold: str, stem: bool = True) -> DataFrame:
+    """Longest common subsequence of words, stemmed unless ``stem`` is false.
 
-def rouge_l(df: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
-    """Longest common subsequence of words (no stemming)."""
-    base = df.select(key, tokens.words(F.col(predicted)).alias("p"), tokens.words(F.col(gold)).alias("g"))
-    scored = base.select(key, F.size("p").alias("n_p"), F.size("g").alias("n_g"), tokens.lcs_length()("p", "g").alias("hits"))
-    return scored.select(key, *[c.alias(n) for n, c in _prf(F.col("hits"), F.col("n_p"), F.col("n_g"), "rougel").items()])
+    ``key`` is unique.  No words (null, empty) on a side gives zeros.  Stemmed words travel as
+    numbers; an array holds one text of the input.
+    """
+    rows = _word_rows(df, key, predicted, gold, stem)
+    at = F.struct("pos", "word")
+    texts = rows.groupBy("__key").agg(
+        F.collect_list(F.when(F.col("is_pred"), at)).alias("p"), F.collect_list(F.when(~F.col("is_pred"), at)).alias("g")
+    )
+    texts = texts.select("__key", *[F.sort_array(c).getField("word").alias(c) for c in ("p", "g")])
+    scored = texts.select("__key", F.size("p").alias("n_p"), F.size("g").alias("n_g"), tokens.lcs_length()("p", "g").alias("hits"))
+    return scored.select(F.col("__key").alias(key), *[c.alias(n) for n, c in _prf(F.col("hits"), F.col("n_p"), F.col("n_g"), "rougel").items()])
 
 
 def overall(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
