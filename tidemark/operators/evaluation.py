@@ -53,7 +53,8 @@ def _word_rows(df: DataFrame, key: str, predicted: str, gold: str, stem: bool) -
 
     rows = df.select(F.col(key).alias("__key"), F.explode_outer(F.concat(side(predicted, True), side(gold, False))).alias("w"))
     rows = rows.select("__key", F.col("w.is_pred").alias("is_pred"), F.col("w.pos").alias("pos"), F.col("w.word").alias("word"))
-    distinct = rows.filter("word is not null").select("word").distinct()
+    both = F.concat(tokens.words(F.col(predicted)), tokens.words(F.col(gold)))
+    distinct = df.select(F.explode(F.array_distinct(both)).alias("word")).distinct()
     known = stems.with_stem(distinct, "word") if stem else distinct.withColumn("stem", F.col("word"))
     alike = known.groupBy("stem").agg(F.collect_list("word").alias("words"))
     # written, so the numbers stay as they are when a task is repeated
