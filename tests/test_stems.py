@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+
+from bindings.evaluation import _stem_table
 from tidemark.functions import stems, tokens
 from tidemark.operators import evaluation
 from tests.test_semantics import brute_lcs
@@ -45,3 +48,11 @@ def test_common_subsequences_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
     got = df.select("a", "b", tokens.lcs_length()("a", "b").alias("n")).collect()
     assert len(got) == len(pairs) and all(r["n"] == brute_lcs(r["a"], r["b"]) for r in got)
+
+
+def test_oracle_statement_gives_the_known_stems():
+    pairs = [p.split() for p in KNOWN.replace("\n", " ").split(",")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE spoken AS SELECT unnest(?::VARCHAR[]) AS w", [[w for w, _ in pairs]])
+    got = dict(con.execute(f"WITH {_stem_table('spoken')} SELECT w, s FROM stems").fetchall())
+    assert got == dict(pairs)
