@@ -119,6 +119,16 @@ def test_nbest_checks_each_rank(monkeypatch):
     assert out["rank"].to_pylist() == [1, 2, 3] and out["round_trip"].to_pylist() == [True, True, False]
 
 
+def test_nbest_round_trips_are_those_of_whole_decoding():
+    lattice, rng = PieceLattice(vocabulary("piece_bpe_32k.model"), 4), random.Random(2)
+    texts = ["", "a", "the▁thing", "▁", "é\nx end", *("".join(rng.choice("ten a.,\né ▁") for _ in range(40)) for _ in range(200))]
+    for text in texts:
+        found = [ids for _, ids in lattice.encode(text)]
+        found += [found[-1][4:], found[0][:-4], found[0][:8] + found[0][12:], found[0] * 2, b"", *found]
+        for given in (found, found[::-1]):
+            assert lattice.round_trips(given, text) == [lattice.decode(ids) == text for ids in given], text
+
+
 def test_nbest_rows(docs, rows):
     out = encode_nbest(docs, vocabulary("piece_bpe_32k.model"), best=3)
     back = decode_ids(out, vocabulary("piece_bpe_32k.model")).collect()

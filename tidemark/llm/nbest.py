@@ -224,17 +224,47 @@ class PieceLattice:
         blobs = list(map(self.blobs.__getitem__, numbers))
         options = [self.options(parts[i]) for i in least]
         base = total - sum(o[0][0] for o in options)
+        # what lies between the parts that may change is the same for all
+        between = [b"".join(blobs[a + 1 : b]) for a, b in zip([-1, *least], [*least, len(blobs)])]
         out = []
         for score, picks in self.combine(options):
-            for i, o, p in zip(least, options, picks):
-                blobs[i] = o[p][1]
-            out.append((base + score, b"".join(blobs)))
+            pieces = [between[0]]
+            for o, p, kept in zip(options, picks, between[1:]):
+                pieces += (o[p][1], kept)
+            out.append((base + score, b"".join(pieces)))
         return out
 
+    def spelled(self, ids: bytes) -> bytes:
+        """The bytes of the pieces."""
+        return b"".join(map(self.table.__getitem__, array("I", ids)))
+
     def decode(self, ids: bytes) -> str:
         """The text of ``ids``."""
-        spelled = b"".join(map(self.table.__getitem__, array("I", ids)))
-        return spelled.decode("utf-8", "replace").removeprefix(" ")
+        return self.spelled(ids).decode("utf-8", "replace").removeprefix(" ")
+
+    def round_trips(self, found: list[bytes], text: str) -> list[bool]:
+        """Whether each of ``found``, segmentations of one text, decodes to ``text``.
+
+        The first is decoded whole.  Another one is decoded where it differs from the first: with
+        the same bytes there it has the same bytes in all.  If they differ, it is decoded whole too.
+        """
+        import numpy as np
+
+        out: list[bool] = []
+        first = np.frombuffer(found[0], dtype=np.uint32)
+        for ids in found:
+            if not out:
+                out.append(self.decode(ids) == text)
+                continue
+            own = np.frombuffer(ids, dtype=np.uint32)
+            size = min(len(first), len(own))
+            other = np.flatnonzero(first[:size] != own[:size])
+            head = int(other[0]) if len(other) else size
+            other = np.flatnonzero(first[len(first) - size :][::-1] != own[len(own) - size :][::-1])
+            tail = min(int(other[0]) if len(other) else size, size - head)
+            same = self.spelled(found[0][4 * head : len(found[0]) - 4 * tail]) == self.spelled(ids[4 * head : len(ids) - 4 * tail])
+            out.append(out[0] if same else self.decode(ids) == text)
+        return out
 
 
 def _lattice(path: str, best: int) -> PieceLattice:
@@ -255,8 +285,9 @@ def _encode(path: str, best: int):
                 rows = []
                 for row in range(a, b):
                     found = lattice.encode(texts[row])
-                    for rank, (score, ids) in enumerate(found, 1):
-                        rows.append((row, rank, score, len(ids) // 4, ids, lattice.decode(ids) == texts[row]))
+                    trips = lattice.round_trips([ids for _, ids in found], texts[row])
+                    for rank, ((score, ids), trip) in enumerate(zip(found, trips), 1):
+                        rows.append((row, rank, score, len(ids) // 4, ids, trip))
                 row, *cols = zip(*rows)
                 kinds = (pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.bool_())
                 arrays = [batch.column(0).take(pa.array(row)), *[pa.array(c, k) for c, k in zip(cols, kinds)]]
