@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered
+from tidemark.operators import ordered, windows
 
 
 def rows_with(seed, n, hot_key, hot_value, nulls=0.0):
@@ -43,11 +43,12 @@ def test_positions_equal_plain_windows(spark, case, desc):
         F.count("*").over(Window.partitionBy("k")).alias("n"), F.count("*").over(peers).alias("up"),
         F.sum("m").over(rows.rowsBetween(Window.unboundedPreceding, 0)).alias("rs"),
         F.sum("m").over(peers).alias("ps"), F.sum("m").over(Window.partitionBy("k")).alias("ts"),
+        F.size(F.collect_set("v").over(Window.partitionBy("k"))).alias("dv"),
     )
     runs = ordered.split_runs(df, ["k"], "v", ["id"], desc=desc, runs=16)
     got = ordered.positions(
         runs,
-        {"rn": "row_number", "rk": "rank", "dr": "dense_rank", "n": "total", "up": "upto", "rs": "running_sum", "ps": "range_sum", "ts": "total_sum"},
+        {"rn": "row_number", "rk": "rank", "dr": "dense_rank", "n": "total", "up": "upto", "rs": "running_sum", "ps": "range_sum", "ts": "total_sum", "dv": "distinct"},
         metric="m",
     )
     assert bag(got.select(*want.columns)) == bag(want)
@@ -61,6 +62,24 @@ def test_whole_table_order(spark, case):
     assert bag(ordered.positions(runs, {"rn": "row_number"}).select("id", "rn")) == bag(want)
 
 
+@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("desc", [False, True])
+def test_opposite_order_within_another_key(spark, case, desc):
+    df = spark.createDataFrame(rows_with(*case), SCHEMA).withColumn("k", F.when(F.col("k") != "k1", F.col("k")))
+    df = df.withColumn("v", F.when(F.col("v") != 3, F.col("v")))
+    whole = Window.orderBy(F.desc("v") if desc else F.asc("v"), "id")
+    peers = Window.partitionBy("k").orderBy(F.asc("v") if desc else F.desc("v"))
+    want = df.select(
+        "k", "id", F.row_number().over(whole).alias("rn"), F.rank().over(peers).alias("rk"),
+        F.count("*").over(peers).alias("up"), F.count("*").over(Window.partitionBy("k")).alias("n"),
+    )
+    runs = ordered.split_runs(df, [], "v", ["id"], desc=desc, runs=16)
+    rows = ordered.positions(runs, {"rn": "row_number"}, keep_runs=True)
+    got = ordered.reversed_positions(runs, ["k"], {"rk": "rank", "up": "upto", "n": "total"}, rows)
+    assert set(got.columns) == {"k", "v", "m", "id", "rn", "rk", "up", "n"}
+    assert bag(got.select(*want.columns)) == bag(want)
+
+
 @pytest.mark.parametrize("case", CASES)
 @pytest.mark.parametrize("n_runs", [3, 40])
 def test_neighbours_equal_plain_windows(spark, case, n_runs):
@@ -121,3 +140,19 @@ def test_order_values_of_any_type(spark, kind, desc):
     runs = ordered.split_runs(df, ["k"], "v", ["id"], desc=desc, runs=12)
     got = ordered.positions(runs, {"rn": "row_number", "rk": "rank", "dr": "dense_rank", "up": "upto"})
     assert bag(got.select(*want.columns)) == bag(want)
+    whole = ordered.split_runs(df, [], "v", ["id"], desc=not desc, runs=12)
+    got = ordered.reversed_positions(whole, ["k"], {"rk": "rank", "up": "upto"})
+    assert bag(got.select("k", "id", "__keep", "rk", "up")) == bag(want.select("k", "id", "__keep", "rk", "up"))
+
+
+@pytest.mark.parametrize("shape", [windows.row_number_percent_rank_cume, windows.ntile_dense_rank])
+def test_two_orders_from_one_range_exchange(spark, shape, monkeypatch):
+    """The rows are cut into runs once and written once; the plan left moves them by run only."""
+    df = spark.createDataFrame(rows_with(*CASES[0]), SCHEMA)
+    cuts, split = [], ordered.split_runs
+    monkeypatch.setattr(ordered, "split_runs", lambda *a, **k: cuts.append(split(*a, **k)) or cuts[-1])
+    out = shape(df, "k", "k", "m", None, None, ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(cuts) == 1 and "rangepartitioning" not in plan
+    assert plan.count("hashpartitioning") == 1
+    assert out.count() == df.count()

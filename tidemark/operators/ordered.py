@@ -50,10 +50,10 @@ class Runs:
         keys = [self._direction(self.order, self.desc)]
         if tie:
             keys += [F.col(t).asc() for t in self.tie]
-        return Window.partitionBy(RUN, *self.part).orderBy(*keys)
+        return self.group().orderBy(*keys)
 
     def group(self) -> WindowSpec:
-        return Window.partitionBy(RUN, *self.part)
+        return Window.partitionBy(RUN, *([] if self.constant_part else self.part))
 
     def key(self) -> Column:
         return F.struct(*[F.col(p) for p in self.part])
@@ -134,9 +134,12 @@ def _carries(r: Runs, measures: dict[str, Column], peers: bool, dense: bool = Fa
         F.min(edge).alias("head"), F.max(edge).alias("tail"), F.min_by("lo", r.key()).alias("hv"), F.max_by("hi", r.key()).alias("tv")
     )
     if dense:
-        depth = r.rows.withColumn("__d", F.dense_rank().over(r.window(tie=False))).groupBy(RUN, *r.part).agg(F.max("__d").alias("d"))
-        last = depth.groupBy(RUN).agg(F.max(F.struct(F.struct(*r.part).alias("k"), "d")).alias("x"))
-        ends = ends.join(last.select(RUN, F.col("x.d").alias("d")), RUN)
+        # distinct values of each key in a run; repeated ones leave a task once
+        values = r.rows.select(RUN, *dict.fromkeys([*r.part, r.order])).distinct()
+        depth = values.groupBy(RUN, *r.part).agg(F.count(F.lit(1)).alias("d"))
+        at = F.struct(F.struct(*r.part).alias("k"), "d")
+        sides = depth.groupBy(RUN).agg(F.min(at).alias("x"), F.max(at).alias("y"))
+        ends = ends.join(sides.select(RUN, F.col("x.d").alias("hd"), F.col("y.d").alias("d")), RUN)
     schema = ends.schema
     table = sorted(ends.collect(), key=lambda row: row[RUN])
     n = len(table)
@@ -149,7 +152,7 @@ def _carries(r: Runs, measures: dict[str, Column], peers: bool, dense: bool = Fa
     after = {m: [0] * n for m in names}
     pbefore = {m: [0] * n for m in names}
     pafter = {m: [0] * n for m in names}
-    dense_before = [0] * n
+    dense_before, dense_after = [0] * n, [0] * n
     for m in names:
         for i in range(1, n):
             if goes_on[i - 1]:
@@ -171,16 +174,20 @@ def _carries(r: Runs, measures: dict[str, Column], peers: bool, dense: bool = Fa
                 whole = _same(head_key[i - 1], tail_key[i - 1])
                 # a peer group that continues into a run was counted by the run before
                 dense_before[i] = table[i - 1]["d"] + (dense_before[i - 1] if whole else 0) - (1 if equal_on[i - 1] else 0)
+        for i in range(n - 2, -1, -1):
+            if goes_on[i]:
+                whole = _same(head_key[i + 1], tail_key[i + 1])
+                dense_after[i] = table[i + 1]["hd"] + (dense_after[i + 1] if whole else 0) - (1 if equal_on[i] else 0)
     kind = {m: schema["head"].dataType["m"].dataType[m].dataType for m in names}
     fields = [T.StructField(RUN, schema[RUN].dataType)]
     fields += [T.StructField("__hk", schema["head"].dataType["k"].dataType), T.StructField("__tk", schema["tail"].dataType["k"].dataType)]
     fields += [T.StructField("__hv", schema["hv"].dataType), T.StructField("__tv", schema["tv"].dataType)]
-    fields += [T.StructField("__before_d", T.LongType())]
+    fields += [T.StructField("__before_d", T.LongType()), T.StructField("__after_d", T.LongType())]
     for m in names:
         fields += [T.StructField(f"__{p}_{m}", kind[m]) for p in ("before", "after", "pbefore", "pafter")]
     out = []
     for i, row in enumerate(table):
-        line = [row[RUN], row["head"]["k"], row["tail"]["k"], row["hv"], row["tv"], dense_before[i]]
+        line = [row[RUN], row["head"]["k"], row["tail"]["k"], row["hv"], row["tv"], dense_before[i], dense_after[i]]
         for m in names:
             line += [_typed(v[m][i], kind[m]) for v in (before, after, pbefore, pafter)]
         out.append(tuple(line))
@@ -211,8 +218,8 @@ def _plus(flag: Column, carried: Column) -> Column:
 def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_runs: bool = False) -> DataFrame:
     """Add order statistics over ``part``.
 
-    ``columns`` maps output name to one of: row_number, rank, dense_rank, total (group
-    size), upto (rows at or before, peers included), running_sum (ROWS),
+    ``columns`` maps output name to one of: row_number, rank, dense_rank, distinct (order
+    values of the group), total (group size), upto (rows at or before, peers included), running_sum (ROWS),
     range_sum (RANGE, peers included), total_sum.  ``keep_runs`` keeps the run column, so
     that :func:`neighbours` can go on with the same runs.
     """
@@ -221,12 +228,14 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
     if kinds & {"running_sum", "range_sum", "total_sum"}:
         measures["s"] = F.col(metric)
         measures["c"] = F.when(F.col(metric).isNotNull(), 1).otherwise(0).cast("long")
-    need_peers = bool(kinds & {"rank", "dense_rank", "upto", "range_sum"})
-    carry = _carries(r, measures, need_peers, dense="dense_rank" in kinds)
+    need_peers = bool(kinds & {"rank", "dense_rank", "distinct", "upto", "range_sum"})
+    carry = _carries(r, measures, need_peers, dense=bool(kinds & {"dense_rank", "distinct"}))
     rows = r.rows
     df = rows.join(F.broadcast(carry), RUN)
     in_head = r.key().eqNullSafe(F.col("__hk"))
     in_tail = r.key().eqNullSafe(F.col("__tk"))
+    if "distinct" in kinds:
+        df = df.withColumn("__depth", F.dense_rank().over(r.window(tie=False)))
     ordered, peers, group = r.window(), r.window(tie=False), r.group()
     rows_frame = ordered.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -244,6 +253,8 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
             c = F.rank().over(peers) + _plus(in_head, F.col("__before_n")) - _plus(at_head, F.col("__pbefore_n"))
         elif kind == "dense_rank":
             c = F.dense_rank().over(peers) + _plus(in_head, F.col("__before_d"))
+        elif kind == "distinct":
+            c = F.max("__depth").over(group) + _plus(in_head, F.col("__before_d")) + _plus(in_tail, F.col("__after_d"))
         elif kind == "total":
             c = F.count(F.lit(1)).over(group) + _plus(in_head, F.col("__before_n")) + _plus(in_tail, F.col("__after_n"))
         elif kind == "upto":
@@ -263,6 +274,64 @@ def positions(r: Runs, columns: dict[str, str], metric: str | None = None, keep_
     return df.select(RUN, *r.rows.drop(RUN).columns, *made) if keep_runs else r.finish(df)
 
 
+def reversed_positions(r: Runs, part: Sequence[str], columns: dict[str, str], rows: DataFrame | None = None) -> DataFrame:
+    """Add order statistics over ``part`` in the opposite direction of runs of the whole table.
+
+    Runs of the whole table are in order for any key: the rows of later runs come first in the
+    opposite order.  So a histogram per (run, key) says how many rows of a key come before a run,
+    and no row changes its run.  Rows equal to the first or last value of a run may lie in its
+    neighbours as well; they are counted by the same histogram.  It is written and joined as its
+    size allows; for one key it has at most as many rows as there are runs.
+
+    ``columns`` maps output name to rank, upto (rows at or before, peers included) or total.  A
+    null key is a key.  ``rows`` are those of the runs with more columns, as ``keep_runs`` gives them.
+    """
+    if not r.constant_part:
+        raise ValueError("runs of the whole table are needed")
+    keys = [f"__p{i}" for i in range(len(part))]
+    first, last = r.first_and_last()
+    bounds = materialise(r.rows.groupBy(RUN).agg(first.getField("v").alias("__hv"), last.getField("v").alias("__tv")))
+    at_head, at_tail = F.col(r.order).eqNullSafe(F.col("__hv")), F.col(r.order).eqNullSafe(F.col("__tv"))
+    single = F.col("__hv").eqNullSafe(F.col("__tv"))
+    histogram = (
+        r.rows.join(F.broadcast(bounds), RUN)
+        .groupBy(RUN, "__hv", "__tv", *[F.col(p).alias(k) for p, k in zip(part, keys)])
+        .agg(F.count(F.lit(1)).alias("all"), F.count_if(at_head).alias("head"), F.count_if(at_tail).alias("tail"))
+    )
+    counted = [("all", F.lit(None), F.col("all")), ("head", F.col("__hv"), F.col("head")), ("tail", F.col("__tv"), F.col("tail"))]
+    kind = r.rows.schema[r.order].dataType
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), v.cast(kind).alias("v"), n.alias("n")) for side, v, n in counted]))
+    # where a run has one value, its head stands for both ends
+    sides = histogram.select(RUN, "__hv", "__tv", *keys, sides.alias("s")).filter(~(single & (F.col("s.side") == "tail")))
+    over = Window.partitionBy(*keys, F.col("s.side") == "all", "s.v").orderBy(RUN)
+    earlier = F.coalesce(F.sum("s.n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    later = F.coalesce(F.sum("s.n").over(over.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    sides = sides.withColumns({"earlier": earlier, "later": later})
+
+    def of(side: Column, value: Column) -> Column:
+        return F.max(F.when(side, value))
+
+    whole, head, tail = (F.col("s.side") == side for side in ("all", "head", "tail"))
+    carried = sides.groupBy(RUN, "__hv", "__tv", *keys).agg(
+        of(whole, F.col("later")).alias("__below"),
+        of(whole, F.col("earlier") + F.col("s.n") + F.col("later")).alias("__total"),
+        of(head, F.col("earlier")).alias("__equal_before"),
+        of(tail | (head & single), F.col("later")).alias("__equal_after"),
+    )
+    carried = materialise(carried.withColumnRenamed(RUN, "__at"))
+    rule = F.col(RUN) == F.col("__at")
+    for p, k in zip(part, keys):
+        rule = rule & F.col(p).eqNullSafe(F.col(k))
+    df = (r.rows if rows is None else rows).join(carried, rule)
+    opposite = Window.partitionBy(RUN, *part).orderBy(r._direction(r.order, not r.desc))
+    made = {
+        "rank": F.rank().over(opposite) + F.col("__below") - _plus(at_tail, F.col("__equal_after")),
+        "upto": F.count(F.lit(1)).over(opposite) + F.col("__below") + _plus(at_head, F.col("__equal_before")),
+        "total": F.col("__total"),
+    }
+    return r.finish(df.withColumns({name: made[kind] for name, kind in columns.items()}))
+
+
 def neighbours(r: Runs, columns: dict[str, Callable[[WindowSpec], Column]], back: int = 0, ahead: int = 0) -> DataFrame:
     """Evaluate lag / lead / ROWS-frame expressions that look ``back`` and ``ahead`` rows.
 

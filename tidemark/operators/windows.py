@@ -43,9 +43,10 @@ def lag_lead_change(df, group, metric, date, since, tie) -> DataFrame:
 
 def row_number_percent_rank_cume(df, group, part, metric, date, since, tie) -> DataFrame:
     rows = since_filter(df, date, since).select(*dict.fromkeys([group, part, metric, *tie]))
-    overall = ordered.positions(ordered.split_runs(rows, [], metric, tie, desc=True), {"overall_rank": "row_number"})
-    r = ordered.split_runs(overall, [part], metric, tie)
-    out = ordered.positions(r, {"rank_": "rank", "upto_": "upto", "total_": "total"})
+    r = ordered.split_runs(rows, [], metric, tie, desc=True)
+    overall = ordered.positions(r, {"overall_rank": "row_number"}, keep_runs=True)
+    # the partitions are ranked within the runs of the whole order
+    out = ordered.reversed_positions(r, [part], {"rank_": "rank", "upto_": "upto", "total_": "total"}, overall)
     share = F.when(F.col("total_") > 1, (F.col("rank_") - 1) / (F.col("total_") - 1)).otherwise(F.lit(0.0))
     return out.select(
         group, metric, "overall_rank", share.alias("percentile"), (F.col("upto_") / F.col("total_")).alias("cumulative_dist")
@@ -75,11 +76,10 @@ def _bucket(buckets: int, row_number: str, total: str):
 def ntile_dense_rank(df, group, part, metric, date, since, tie, buckets: int = 4) -> DataFrame:
     rows = since_filter(df, date, since).select(*dict.fromkeys([group, part, metric, *tie]))
     r = ordered.split_runs(rows, [part], metric, tie)
-    up = ordered.positions(r, {"rn_": "row_number", "total_": "total", "upto_": "upto", "dense_": "dense_rank"})
     # Descending ranks follow from ascending ones: rows above = total - rows up to and
     # including the peers; distinct values above = distinct values - ascending dense rank.
-    depth = up.groupBy(part).agg(F.max("dense_").alias("depth_"))
-    out = attach(up, depth, part)
+    wanted = {"rn_": "row_number", "total_": "total", "upto_": "upto", "dense_": "dense_rank", "depth_": "distinct"}
+    out = ordered.positions(r, wanted)
     return out.select(
         *dict.fromkeys([group, part]),
         metric,
