@@ -42,9 +42,7 @@ _NEED = f"""SELECT c AS sql_complexity, (SELECT max(n) FROM {_COUNTS} m) - coale
 _TOP = f"(SELECT coalesce(max(row_id), -1) + 1 FROM {_VALID} x)"
 
 
-@register(
-    "curation_end_to_end",
-    rf"""WITH merged AS (
+_MARKED = rf"""WITH merged AS (
       SELECT row_id, sql_prompt, sql_context, sql, sql_complexity FROM {_TRAIN} t
       UNION ALL SELECT row_id + {_TOP}, sql_prompt, sql_context, sql, sql_complexity FROM ({synthetic_sql(_NEED)}) s
     ),
@@ -61,11 +59,48 @@ _TOP = f"(SELECT coalesce(max(row_id), -1) + 1 FROM {_VALID} x)"
     marked AS (
       SELECT *, bool_or(split = 'test') OVER (PARTITION BY input_text, sql) AS in_test, bool_or(split = 'val') OVER (PARTITION BY input_text, sql) AS in_val FROM firsts
     )
-    SELECT split, sql_complexity, count(*) AS n_rows FROM marked
-    WHERE (split = 'test' OR NOT in_test) AND (split <> 'train' OR NOT in_val) AND NOT coalesce(regexp_matches(sql, '(?i)insert\s+into'), false)
+"""
+_KEPT = r"(split = 'test' OR NOT in_test) AND (split <> 'train' OR NOT in_val) AND NOT coalesce(regexp_matches(sql, '(?i)insert\s+into'), false)"
+
+
+@register(
+    "curation_end_to_end",
+    f"""{_MARKED}    SELECT split, sql_complexity, count(*) AS n_rows FROM marked
+    WHERE {_KEPT}
     GROUP BY split, sql_complexity""",
 )
 def _(t):
     """Rows per split and class after all stages, synthetic rows included."""
     out = curation.curate(raw(t), catalogue(t), on_overlap="drop")
     return out.groupBy("split", "sql_complexity").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_CELLS = "VALUES " + ", ".join(f"('{m}', {m})" for m in ["previous_pct", "current_pct", "pct_change", "previous_mean_length", "current_mean_length", "mean_pct_change"])
+
+
+@register(
+    "curation_drift",
+    f"""{_MARKED}, cur AS (SELECT sql_complexity AS c, replace(sql, chr(10), ' ') AS sql FROM marked WHERE {_KEPT} AND split = 'train'),
+    prev AS (SELECT sql_complexity AS c, sql FROM ({RAW}) r WHERE split = 'train'),
+    cs AS (SELECT c, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct, avg(length(sql)) AS m FROM cur WHERE c IS NOT NULL GROUP BY c),
+    ps AS (SELECT c, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct, avg(length(sql)) AS m FROM prev WHERE c IS NOT NULL GROUP BY c),
+    both_ AS (
+      SELECT c, coalesce(ps.pct, 0) AS previous_pct, coalesce(cs.pct, 0) AS current_pct,
+        CASE WHEN ps.pct > 0 THEN (coalesce(cs.pct, 0) - ps.pct) / ps.pct * 100 WHEN cs.pct > 0 THEN 100 ELSE 0 END AS pct_change,
+        ps.m AS previous_mean_length, cs.m AS current_mean_length, (cs.m - ps.m) / ps.m * 100 AS mean_pct_change
+      FROM cs FULL JOIN ps USING (c)
+    ),
+    n AS (SELECT (SELECT count(*) FROM prev) AS previous_rows, (SELECT count(*) FROM cur) AS current_rows),
+    r AS (SELECT (count(*) FILTER (abs(pct_change) > 10) + count(*) FILTER (abs(mean_pct_change) > 5))::DOUBLE AS n_reasons FROM both_)
+    SELECT 'drift' AS stage, v.metric, v.value FROM n, LATERAL (VALUES ('previous_rows', previous_rows::DOUBLE), ('current_rows', current_rows::DOUBLE),
+      ('size_change_pct', round((current_rows - previous_rows) * 100.0::DOUBLE / previous_rows, 2))) v(metric, value)
+    UNION ALL SELECT 'drift', v.metric, v.value FROM r, LATERAL (VALUES ('n_reasons', n_reasons), ('drift_detected', (n_reasons > 0)::INT::DOUBLE)) v(metric, value)
+    UNION ALL SELECT 'drift', c || '_' || v.metric, round(v.value, 2) FROM both_, LATERAL ({_CELLS}) v(metric, value)
+    WHERE v.metric LIKE '%pct' OR v.metric = 'pct_change' OR mean_pct_change IS NOT NULL""",
+    {"value": 2},
+)
+def _(t):
+    """How far the run moves the train split away from its input."""
+    before = raw(t)
+    after = curation.curate(before, catalogue(t), on_overlap="drop")
+    return curation.drift_report(after.filter("split = 'train'"), before.filter("split = 'train'"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bindings.registry import Tables
 from bindings.synthetic import catalogue
 from tidemark.plans import curation, synthetic
+from tidemark.sources import readers
 
 TARGETS = {"CTEs": 300, "set operations": 200, "multiple_joins": 250, "window functions": 150, "subqueries": 100, "basic": 9}
 
@@ -100,3 +101,30 @@ def test_curation_invariants(spark, tables):
     assert out.groupBy("split", "input_text", "sql").count().filter("count > 1").count() == 0
     assert out.filter(F.col("sql").rlike("(?i)insert\\s+into") | F.col("input_text").rlike("(?i)insert\\s+into")).count() == 0
     assert set(r["split"] for r in out.select("split").distinct().collect()) == {"train", "val", "test"}
+
+
+def test_releases_are_compared(spark, tables, tmp_path):
+    """The first release has nothing to compare with; the next ones see the train split of the one before."""
+    root, day = str(tmp_path / "corpus"), iter(["d1", "d2", "d3"])
+
+    def release(rows, **limits):
+        out = curation.release(rows, tables, root, next(day), limits, on_overlap="drop")
+        return {r["metric"]: r["value"] for r in out.collect()}
+
+    assert release(raw_rows(spark)) == {"compared": 0.0}
+    assert readers.published(spark, root).filter("split = 'train'").count() > 0
+    same = release(raw_rows(spark))
+    assert same["compared"] == 1 and same["drift_detected"] == 0 and same["size_change_pct"] == 0
+    longer = raw_rows(spark).withColumn("sql", F.when(F.col("sql_complexity") == "basic", F.concat("sql", F.lit(" WHERE a = 1"))).otherwise(F.col("sql")))
+    got = release(longer)
+    assert got["drift_detected"] == 1 and got["basic_mean_pct_change"] > 5 and got["previous_rows"] == same["current_rows"]
+    kept = readers.published(spark, root)
+    assert kept.filter("split = 'train'").count() == got["current_rows"]
+    assert spark.read.json(f"{root}/d3/drift").count() == len(got)
+
+
+def test_an_empty_pointer_is_an_error(spark, tmp_path):
+    assert readers.published(spark, str(tmp_path)) is None
+    spark.createDataFrame([], "latest string, folder string").write.json(str(tmp_path / "_latest"))
+    with pytest.raises(ValueError, match="empty"):
+        readers.published(spark, str(tmp_path))

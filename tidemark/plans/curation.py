@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import corpus, leakage
+from tidemark.operators import corpus, drift, leakage
 from tidemark.plans import synthetic
 from tidemark.session import materialise
+from tidemark.sources import readers, sinks
 
 COLUMNS = ["sql_prompt", "sql_context", "sql", "sql_complexity"]
 KEYS = ["input_text", "sql"]
@@ -65,6 +66,49 @@ def _long(stage: str, wide: DataFrame, metrics: list[str], prefix: str = "''") -
     return long.select(F.lit(stage).alias("stage"), "metric", "value")
 
 
+def drift_report(cur: DataFrame, prev: DataFrame, cls: str = "sql_complexity", text: str = "sql", **limits: float) -> DataFrame:
+    """Drift of ``cur`` against ``prev`` in the form of the run report.
+
+    Sizes, the decision, the share of each class then and now, and the mean lengths of classes
+    that both have.  ``limits`` are those of ``drift.decision``.
+    """
+    shares = drift.class_drift(cur, prev, cls).withColumn("__name", F.col(cls))
+    lengths = drift.length_drift(cur, prev, cls, text).withColumn("__name", F.col(cls))
+    named = "concat(__name, '_')"
+    parts = [
+        _long("drift", drift.size_change(cur, prev), ["previous_rows", "current_rows", "size_change_pct"]),
+        _long("drift", drift.decision(cur, prev, cls, text, **limits), ["n_reasons", "drift_detected"]),
+        _long("drift", shares, ["previous_pct", "current_pct", "pct_change"], named),
+        _long("drift", lengths, ["previous_mean_length", "current_mean_length", "mean_pct_change"], named),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def release(raw: DataFrame, catalogue: DataFrame, root: str, ts: str, limits: dict[str, float] | None = None, **options) -> DataFrame:
+    """A whole run: curate, compare with the snapshot before, publish as ``root/ts``; returns the drift report.
+
+    The train splits are compared.  The report is written beside the snapshot, and the pointer to
+    the latest snapshot moves last.  Without an earlier snapshot the report has one row, ``compared``
+    = 0; else this is 1 and the rows of :func:`drift_report` follow.  ``options`` go to :func:`curate`.
+    """
+    spark = raw.sparkSession
+    rows = curate(raw, catalogue, **options)
+    before = readers.published(spark, root)
+    report = spark.range(1).select(
+        F.lit("drift").alias("stage"), F.lit("compared").alias("metric"), F.lit(0.0 if before is None else 1.0).alias("value")
+    )
+    if before is not None:
+        train = F.col("split") == "train"
+        report = report.unionByName(drift_report(rows.filter(train), before.filter(train), **(limits or {})))
+    folder = f"{root.rstrip('/')}/{ts}/drift"
+    sinks.write_report(report, folder)
+    sinks.publish(rows, root, ts)
+    return spark.read.schema(report.schema).json(folder)
+
+
 def summary(raw: DataFrame, engineered: DataFrame) -> DataFrame:
     """One row per stage and metric: load, validity, balance, generation, leakage, cleaning."""
     flagged = corpus.flag_sql(raw, "sql").groupBy("split").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +83,20 @@ def latest_folder(spark: SparkSession, root: str, mode: str = "first_file") -> D
     return per.orderBy(*order, F.desc("folder")).limit(1).select("folder", F.col(at).alias("at"))
 
 
+def published(spark: SparkSession, root: str) -> DataFrame | None:
+    """The snapshot that the pointer below ``root`` names, with its split column; None before the first one."""
+    pointer = f"{root.rstrip('/')}/_latest"
+    try:
+        latest = spark.read.schema("latest string, folder string").json(pointer).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if latest is None:
+        raise ValueError(f"{pointer} is empty: a run ended while it was written")
+    return spark.read.parquet(f"{latest['folder']}/data")
+
+
 def jdbc_options(
     kind: str, host: str, db: str, user: str, password: str, table: str | None = None, query: str | None = None,
     port: int | None = None, partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 1,
