@@ -70,14 +70,16 @@ def drift_report(cur: DataFrame, prev: DataFrame, cls: str = "sql_complexity", t
     """Drift of ``cur`` against ``prev`` in the form of the run report.
 
     Sizes, the decision, the share of each class then and now, and the mean lengths of classes
-    that both have.  ``limits`` are those of ``drift.decision``.
+    that both have.  ``limits`` are those of ``drift.decision``.  The snapshots are read once; a
+    few rows a class are written, from which all parts follow.
     """
-    shares = drift.class_drift(cur, prev, cls).withColumn("__name", F.col(cls))
-    lengths = drift.length_drift(cur, prev, cls, text).withColumn("__name", F.col(cls))
+    stats = materialise(drift.class_stats(cur, prev, cls, text))
+    shares = drift.shares_of(stats, cls).withColumn("__name", F.col(cls))
+    lengths = drift.lengths_of(stats, cls).withColumn("__name", F.col(cls))
     named = "concat(__name, '_')"
     parts = [
-        _long("drift", drift.size_change(cur, prev), ["previous_rows", "current_rows", "size_change_pct"]),
-        _long("drift", drift.decision(cur, prev, cls, text, **limits), ["n_reasons", "drift_detected"]),
+        _long("drift", drift.sizes_of(stats), ["previous_rows", "current_rows", "size_change_pct"]),
+        _long("drift", drift.decision_of(stats, cls, **limits), ["n_reasons", "drift_detected"]),
         _long("drift", shares, ["previous_pct", "current_pct", "pct_change"], named),
         _long("drift", lengths, ["previous_mean_length", "current_mean_length", "mean_pct_change"], named),
     ]
