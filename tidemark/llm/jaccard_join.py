@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, named_id, process_memo, row_keys
+from tidemark.llm.common import named_id, process_memo, row_keys, slices, text_bytes, tidy
 from tidemark.llm.components import connected_components
 from tidemark.operators.support import attach
 from tidemark.session import discard, materialise
@@ -40,44 +40,91 @@ SLOTS, NEEDED = 1 << 18, 1 << 22
 MEET = 2000
 #: Members and n-grams of one block, about.
 BLOCK_SETS, BLOCK_GRAMS = 256, 1_000_000
-#: Characters of text handled at a time, and words remembered by one Python worker.
-HELD, MEMORY = 2_000_000, 400_000
+#: Bytes of text handled at a time, and sets remembered by a task.
+HELD, MEMORY = 500_000, 400_000
+#: Bytes of a word that are hashed by their place; longer words are hashed as a whole.
+LONGEST = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Its powers multiply the words of an n-gram by position; they have no small common relations.
 GOLDEN = 0x9E3779B97F4A7C15
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _tables():
+    """A random number for each byte at each place of a word (equal for A-Z and a-z), and which bytes are white space."""
+    import numpy as np
+
+    memo = process_memo("shingles")
+    if not memo:
+        numbers = np.random.default_rng(GOLDEN).integers(0, 1 << 64, (LONGEST, 256), np.uint64)
+        numbers[:, 65:91] = numbers[:, 97:123]
+        space = np.zeros(256, bool)
+        space[[0x20, *range(0x09, 0x0E)]] = True
+        memo["of"] = numbers.ravel(), space
+    return memo["of"]
+
 
-        if len(self) > MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(data, starts):
+    """64-bit hashes of the words of all texts, and where the words of each text begin: ``starts`` are the
+    texts' first bytes in ``data``, and its end.
 
+    A word's hash is the sum of its bytes' numbers by place, so equal hashes of different words have a chance of 2**-64.
+    """
+    import numpy as np
+    import xxhash
 
-def shingles(text: str, words: int):
-    """Sorted distinct 64-bit hashes of the word n-grams; a shorter text is one n-gram."""
+    numbers, space = _tables()
+    inside = ~space[data]
+    opens = np.ones(len(data), bool)
+    opens[1:] = ~inside[:-1]
+    opens[starts[:-1][starts[:-1] < len(data)]] = True  # texts lie next to each other
+    opens &= inside
+    begins = np.flatnonzero(opens)
+    edges = np.searchsorted(begins, starts)
+    if not len(begins):
+        return np.zeros(0, np.uint64), edges
+    held, first = data[inside], np.flatnonzero(opens[inside])
+    lengths = np.diff(first, append=len(held))
+    place = np.arange(len(held), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+    np.minimum(place, LONGEST - 1, out=place)
+    place <<= 8
+    place |= held
+    hashes = np.add.reduceat(numbers[place], first)
+    for i in np.flatnonzero(lengths > LONGEST).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(held[first[i] : first[i] + lengths[i]].tobytes().translate(LOWER))
+    return hashes, edges
+
+
+def shingles(data, starts, words: int) -> list:
+    """Per text, the sorted distinct 64-bit hashes of its word n-grams; a shorter text is one n-gram."""
     import numpy as np
     import xxhash
 
-    memo = process_memo("word_hashes")
-    hashes = memo.setdefault("of", _WordHashes())
-    found = text.encode().translate(LOWER).split()  # splits bytes at exactly the six white-space characters
-    if not found:
-        return np.zeros(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b"\n" + b" ".join(found))], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    last = len(h) - words + 1
-    out = np.zeros(last, np.uint64)
+    h, edges = word_hashes(data, starts)
+    last = max(len(h) - words + 1, 0)
+    grams = np.zeros(last, np.uint64)
     for k in range(words):
-        out += h[k : k + last] * np.uint64(pow(GOLDEN, k + 1, 1 << 64))
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+        grams += h[k : k + last] * np.uint64(pow(GOLDEN, k + 1, 1 << 64))
+    grams ^= grams >> np.uint64(31)
+    grams *= np.uint64(0xD6E8FEB86659FD93)
+    grams ^= grams >> np.uint64(29)
+    spans = list(zip(edges[:-1].tolist(), (edges[1:] - words + 1).tolist()))
+    for a, b in spans:
+        if a < b:
+            grams[a:b].sort()  # n-grams across texts lie between these ranges
+    differs = np.ones(last, bool)
+    differs[1:] = grams[1:] != grams[:-1]
+    sets = []
+    for i, (a, b) in enumerate(spans):
+        if a < b:
+            kept = differs[a:b]
+            kept[0] = True
+            sets.append(grams[a:b] if kept.all() else grams[a:b][kept])
+        elif a < b + words - 1:
+            found = data[starts[i] : starts[i + 1]].tobytes().translate(LOWER).split()  # splits bytes at exactly the six white-space characters
+            sets.append(np.array([xxhash.xxh3_64_intdigest(b"\n" + b" ".join(found))], np.uint64))
+        else:
+            sets.append(np.zeros(0, np.uint64))
+    return sets
 
 
 def signature(grams) -> tuple[int, int]:
@@ -126,12 +173,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _texts(batches: Iterator) -> Iterator:
-    """``(batch, row numbers, texts)`` in ranges of bounded size."""
+def _sets_of(batches: Iterator, words: int) -> Iterator:
+    """Slices of batches, of bounded size, and the sets of their texts."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        for a, b in by_bytes(texts, HELD):
-            yield batch, range(a, b), texts[a:b]
+        for part in slices(batch, HELD):
+            yield part, shingles(*text_bytes(part.column(0)), words)
 
 
 def _describe(words: int):
@@ -141,13 +187,12 @@ def _describe(words: int):
 
         counts, id_type = np.zeros(SLOTS, np.int64), None
         names = ["kind", "id", "k1", "k2", "n", "a", "b", "hist"]
-        for batch, rows, texts in _texts(batches):
-            id_type = batch.column(1).type
-            sets = [shingles(t, words) for t in texts]
+        for part, sets in _sets_of(batches, words):
+            id_type = part.column(1).type
             counts += np.bincount(np.concatenate(sets).view(np.uint64) >> np.uint64(46), minlength=SLOTS) if sets else 0
             sigs = [signature(s) for s in sets]
-            own = [batch.column(i).slice(rows.start, len(rows)) for i in (1, 2, 3)]
-            cols = [[0] * len(rows), [len(s) for s in sets], [s[0] for s in sigs], [s[1] for s in sigs]]
+            own = [part.column(i) for i in (1, 2, 3)]
+            cols = [[0] * len(sets), [len(s) for s in sets], [s[0] for s in sigs], [s[1] for s in sigs]]
             kind, n, a, b = (pa.array(c, pa.int64()) for c in cols)
             hist = pa.array([histogram(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([kind, *own, n, a, b, hist], names)
@@ -157,7 +202,7 @@ def _describe(words: int):
             one, none = pa.array(np.ones(k, np.int64)), pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays([one, pa.nulls(k, id_type), none, none, pa.array(counts[full]), pa.array(full), none, pa.nulls(k, pa.binary())], names)
 
-    return run
+    return tidy(run)
 
 
 def ordered(grams, weights):
@@ -174,10 +219,9 @@ def _prefixes(words: int, percent: int, shared):
 
         weights = shared.value
         seen: set[tuple[int, int]] = set()  # copies within the partition need not be sent again
-        for _, _, texts in _texts(batches):
+        for _, sets in _sets_of(batches, words):
             tokens, cols = [], []
-            for text in texts:
-                grams = shingles(text, words)
+            for grams in sets:
                 if not len(grams):
                     continue
                 sig = signature(grams)
@@ -203,7 +247,7 @@ def _prefixes(words: int, percent: int, shared):
                 ["token", "a", "bn", "salt"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _sets(words: int, shared):
@@ -213,10 +257,9 @@ def _sets(words: int, shared):
 
         weights, needed = shared.value
         seen: set[tuple[int, int]] = set()
-        for _, _, texts in _texts(batches):
+        for _, sets in _sets_of(batches, words):
             rows = []
-            for text in texts:
-                grams = shingles(text, words)
+            for grams in sets:
                 if not len(grams):
                     continue
                 sig = signature(grams)
@@ -231,7 +274,7 @@ def _sets(words: int, shared):
                 a, b, s = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], ["a", "b", "grams"])
 
-    return run
+    return tidy(run)
 
 
 class PrefixTree:
@@ -405,7 +448,7 @@ def _join(percent: int):
         grown()
         yield flushed()
 
-    return run
+    return tidy(run)
 
 
 def _node(a: str, b: str) -> Column:
@@ -587,7 +630,7 @@ def _thin(percent: int):
         ended()
         yield flushed()
 
-    return run
+    return tidy(run)
 
 
 def _thinned(tasks: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
