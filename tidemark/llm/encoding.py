@@ -57,10 +57,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        #: whether a word keeps the space before it
-        self.spaced = spec["pre_tokenizer"]["type"] == "ByteLevel"
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: whether a word keeps the space before it; the vocabulary is not made a text again for this
+        self.spaced = json.loads(self.tokenizer.pre_tokenizer.__getstate__())["type"] == "ByteLevel"
         self.cut_words = re.compile(SPACED if self.spaced else UNSPACED).findall
         self.words = _Words(self.tokenizer.model)
         self.cut = re.compile(r" (?=\S)")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_bytes, fresh, named_id, process_memo, row_keys
+from tidemark.llm.common import fresh, named_id, process_memo, row_keys, slices, tidy
 from tidemark.operators.support import attach
 from tidemark.session import materialise
 
@@ -37,8 +37,8 @@ SEQUENCE, SHORTEST_RUN, LONGEST_RUN = 64, 6, 40
 EPOCHS, BATCH, RATE = 4, 64, 0.3
 #: Words of one block of the blocked forward-backward pass.
 BLOCK = 128
-#: Characters of text handled at a time, and words remembered by one Python worker.
-HELD, MEMORY = 2_000_000, 500_000
+#: Bytes of text handled at a time, and words remembered by one Python worker.
+HELD, MEMORY = 500_000, 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -273,10 +273,9 @@ def _predict(shared, pred_name: str = "lang_pred", score_name: str = "score"):
         langs = model["langs"]
         tagger = Tagger(model) if langs else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in by_bytes(texts, HELD):
-                words = [words_of(t) for t in texts[a:b]]
-                pred, score = ["und"] * (b - a), [0.0] * (b - a)
+            for piece in slices(batch, HELD):
+                words = [words_of(t or "") for t in piece.column(0).to_pylist()]
+                pred, score = ["und"] * len(words), [0.0] * len(words)
                 full = [i for i, w in enumerate(words) if w]
                 if full and langs:
                     sizes = np.array([len(words[i]) for i in full])
@@ -286,11 +285,10 @@ def _predict(shared, pred_name: str = "lang_pred", score_name: str = "score"):
                     best = share.argmax(axis=1)
                     for i, k, s in zip(full, best.tolist(), share.max(axis=1).tolist()):
                         pred[i], score[i] = langs[k], min(1.0, s)
-                keep = [batch.column(i).slice(a, b - a) for i in range(1, batch.num_columns)]
-                cols = [*keep, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+                cols = [*piece.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[1:], pred_name, score_name])
 
-    return run
+    return tidy(run)
 
 
 def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str):

@@ -17,13 +17,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes, named_id
+from tidemark.llm.common import named_id, slices, tidy
 from tidemark.llm.encoding import encoder
 from tidemark.operators.support import attach
 from tidemark.session import materialise
 
-#: Characters of text whose pieces are held at a time.
-HELD = 2_000_000
+#: Bytes of text whose pieces are held at a time.
+HELD = 1_000_000
 
 
 def piece_lengths(n: int, window: int) -> list[int]:
@@ -41,11 +41,10 @@ def _pieces(tokenizer: str, window: int, end_id: int):
         part, places = TaskContext.get().partitionId(), {}
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_bytes(texts, HELD):
+            for piece in slices(batch, HELD):
                 rows: list[tuple] = []
-                for row in range(a, b):
-                    tokens = encode(texts[row]) + end
+                for row, text in enumerate(piece.column(0).to_pylist()):
+                    tokens = encode(text or "") + end
                     n, start = len(tokens) // 4, 0
                     for length in piece_lengths(n, window):
                         place = places.get(length, 0)
@@ -54,10 +53,10 @@ def _pieces(tokenizer: str, window: int, end_id: int):
                         start += length
                 row, *cols = zip(*rows)
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                arrays = [ids.take(pa.array(row)), *[pa.array(c, k) for c, k in zip(cols, kinds)]]
+                arrays = [piece.column(1).take(pa.array(row)), *[pa.array(c, k) for c, k in zip(cols, kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids", "doc_tokens", "part", "place"])
 
-    return run
+    return tidy(run)
 
 
 def pack_powers_of_two(
@@ -72,7 +71,7 @@ def pack_powers_of_two(
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids binary, doc_tokens long, part long, place long"
     pieces = materialise(rows.mapInArrow(_pieces(tokenizer, window, end_id), schema))
