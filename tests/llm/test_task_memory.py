@@ -1,6 +1,7 @@
 """Texts in slices, n-gram hashes of whole slices, and memory that tasks give back."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -79,3 +80,42 @@ def test_tasks_give_memory_back(monkeypatch):
     calls = []
     monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
     assert list(common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+
+
+def prefix_rows(weights, texts, words=2):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    found = pa.Table.from_batches(join._prefixes(words, 75, SimpleNamespace(value=weights))(iter([batch])))
+    return found.to_pylist()
+
+
+def test_ngrams_of_a_large_table_are_not_all_dealt_out():
+    """On a large table every slot of the sketch counts many n-grams; only slots well above that hold a common one."""
+    texts = [f"w{i} v{i}" for i in range(100)]
+    weights = np.full(join.SLOTS, int(2048 * np.log2(30_000)), np.uint64)
+    assert {r["salt"] for r in prefix_rows(weights, texts)} == {0}
+    weights[np.random.default_rng(1).random(join.SLOTS) < 0.3] = int(2048 * np.log2(60_000))
+    assert {r["salt"] > 0 for r in prefix_rows(weights, texts)} == {True, False}
+
+
+def test_first_shared_ngram_of_a_similar_pair_passes_on_both_sides():
+    rng, pairs = random.Random(3), 0
+    for _ in range(3000):
+        base = rng.sample(range(60), rng.randint(1, 30))
+        x, y = (sorted({v for v in base if rng.random() > 0.1} | {rng.randrange(60) for _ in range(rng.randint(0, 3))}) for _ in range(2))
+        common = sorted(set(x) & set(y))
+        if common and 100 * len(common) >= 75 * len({*x, *y}):
+            pairs += 1
+            i, j = x.index(common[0]), y.index(common[0])
+            assert len(y) <= join.longest_partner(len(x), i, 75) and len(x) <= join.longest_partner(len(y), j, 75)
+            assert i < join.prefix_length(len(x), 75) and j < join.prefix_length(len(y), 75)
+    assert pairs > 300
+
+
+@pytest.mark.parametrize("salt", [0, 1])
+def test_classes_meet_only_where_a_similar_pair_can(spark, salt):
+    """An n-gram late in the prefixes of two sets of one size leaves too few elements for both; an early one does not."""
+    late, early = join.longest_partner(100, 24, 75), join.longest_partner(100, 3, 75)
+    rows = [(7, 1, 2 << 32 | 100, late, salt), (7, 2, 2 << 32 | 100, late, salt), (8, 1, 2 << 32 | 100, early, salt), (8, 2, 2 << 32 | 100, early, salt)]
+    rows += [(8, 2, 2 << 32 | 100, early, salt), (9, 1, 2 << 32 | 100, early, salt)]
+    found = join._meetings(spark.createDataFrame(rows, "token long, a long, bn long, limit int, salt int"), 75)
+    assert {(r.token, r.a, r.b, r.n, r.centre.a) for r in found.collect()} == {(8, 1, 2, 100, 1), (8, 2, 2, 100, 1)}

@@ -6,7 +6,9 @@ hash.  Two sets that reach the threshold share an n-gram among the first ``n - c
 each (prefix filter), so only these are exchanged.
 
 1. Texts with equal sets form a class; from here on a class counts once.
-2. Prefix n-grams are exchanged; those that no other class of similar length has are dropped.
+2. Prefix n-grams are exchanged; those that no other class of similar length has are dropped, and
+   those whose place in the set leaves too few elements after it for any class that has them (the first
+   n-gram that a similar pair shares passes this on both sides).
 3. Each class joins the cluster of one class that it shares most n-grams with.  Pairs that share an
    n-gram across clusters are found as (class, cluster).
    Histograms of the sets' hashes, about 32 times smaller than the sets, bound what a pair can have in
@@ -26,13 +28,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import named_id, process_memo, row_keys, slices, text_bytes, tidy
 from tidemark.llm.components import connected_components
 from tidemark.operators.support import attach
-from tidemark.session import discard, materialise
+from tidemark.session import collect_garbage, discard, materialise
 
 #: Slots of the sketch that orders the n-grams, and of the set that says whose n-grams are needed.
 SLOTS, NEEDED = 1 << 18, 1 << 22
@@ -173,6 +175,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def longest_partner(n, place, percent: int):
+    """The most elements that a set can have which is similar to one of ``n``, if the first that both have is at
+    ``place`` of the latter: they share ``n - place`` at most."""
+    return ((100 + percent) * (n - place) - percent * n) // percent
+
+
 def _sets_of(batches: Iterator, words: int) -> Iterator:
     """Slices of batches, of bounded size, and the sets of their texts."""
     for batch in batches:
@@ -218,6 +226,7 @@ def _prefixes(words: int, percent: int, shared):
         import pyarrow as pa
 
         weights = shared.value
+        usual = np.exp2(np.median(weights.astype(np.float64)) / 2048)  # what a slot counts without an n-gram of many documents
         seen: set[tuple[int, int]] = set()  # copies within the partition need not be sent again
         for _, sets in _sets_of(batches, words):
             tokens, cols = [], []
@@ -237,15 +246,20 @@ def _prefixes(words: int, percent: int, shared):
                 continue
             a, b, n, p = (np.array(c, np.int64) for c in zip(*cols))
             token = np.concatenate(tokens)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(p) - p, p)
+            limit = longest_partner(np.repeat(n, p), place, percent)
             # n-grams of many documents are dealt out by class, so that no window holds them all
-            often = np.exp2((token >> np.uint64(48)).astype(np.float64) / 2048)
+            often = np.exp2((token >> np.uint64(48)).astype(np.float64) / 2048) - usual
             parts = np.maximum(1, np.ceil(often / MEET)).astype(np.int64)
             salt = np.repeat(a & 0x7FFFFFFF, p) % parts
             salt[parts > 1] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(np.repeat(a, p)), pa.array(np.repeat(b << 32 | n, p)), pa.array(salt.astype(np.int32))],
-                ["token", "a", "bn", "salt"],
-            )
+                [
+                    pa.array(token.view(np.int64)), pa.array(np.repeat(a, p)), pa.array(np.repeat(b << 32 | n, p)),
+                    pa.array(limit.astype(np.int32)), pa.array(salt.astype(np.int32)),
+                ],
+                ["token", "a", "bn", "limit", "salt"],
+            )
 
     return tidy(run)
 
@@ -465,6 +479,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; other columns are not used.
     """
     spark = docs.sparkSession
+    collect_garbage(spark)  # what earlier steps left adds to what the exchanges below need
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     kind = rows.schema["id"].dataType.simpleString()
     one, two = row_keys(rows, "id", "text")
@@ -495,39 +510,69 @@ def _weights(described: DataFrame):
     return np.minimum(2048 * np.log2(counts + 1.0), 65535).astype(np.uint64)
 
 
+def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
+    """``(token, span, a, b, n, centre)``: n-grams that classes of similar length have in common, once for each class.
+
+    Rows of an n-gram meet in one exchange; what is counted, dropped and chosen follows there.  Only n-grams of
+    very many documents, which are dealt out, need another one.
+    """
+    here = Window.partitionBy("token", "salt")
+    met = prefixes.withColumn("met", F.count(F.lit(1)).over(here)).filter("met > 1 OR salt > 0").drop("met").distinct()
+    met = met.select("token", "salt", "a", F.shiftrightunsigned("bn", 32).alias("b"), F.col("bn").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n"), "limit")
+
+    # similar lengths fall into the same or neighbouring ranges; a class stands in its own, and in the next if it can have a partner there
+    def span(n: str) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+
+    own = span("n")
+    spans = F.when(span("limit") > own, F.array(own, own + 1)).otherwise(F.array(own))
+    ranged = met.withColumn("span", F.explode(spans))
+    group = Window.partitionBy("token", "salt", "span")
+    ranged = ranged.withColumns({"least": F.min("n").over(group), "most": F.max("limit").over(group)}).filter("salt > 0 OR least <= limit AND n <= most").drop("least", "most")
+    ranged = ranged.withColumns({"centre": F.min(F.struct("a", "b")).over(group), "size": F.count(F.lit(1)).over(group)}).filter("salt > 0 OR size > 1").drop("size")
+    ranged = materialise(ranged)
+    collect_garbage(prefixes.sparkSession)
+    # n-grams that were dealt out: over all parts
+    common = ranged.filter("salt > 0").drop("centre")
+    groups = common.groupBy("token", "span").agg(
+        F.min("n").alias("least"), F.max("limit").alias("most"), F.min(F.struct("a", "b")).alias("centre"), F.count(F.lit(1)).alias("size")
+    )
+    common = common.join(groups.filter("size > 1"), ["token", "span"]).filter("least <= limit AND n <= most")
+    columns = ["token", "span", "a", "b", "n", "centre"]
+    found = materialise(ranged.filter("salt = 0").select(columns).unionByName(common.select(columns)))
+    discard(ranged)
+    return found
+
+
 def _links(rows: DataFrame, hists: DataFrame, words: int, percent: int, shared) -> DataFrame:
     """Links ``(a1, b1, a2, b2)`` that connect all classes that similar pairs connect."""
     spark = rows.sparkSession
     texts = rows.select("text")
-    prefixes = texts.mapInArrow(_prefixes(words, percent, shared), "token long, a long, bn long, salt int")
-    met = prefixes.withColumn("met", F.expr("count(1) OVER (PARTITION BY token, salt)")).filter("met > 1 OR salt > 0")
-    met = materialise(met.select("token", "a", F.shiftrightunsigned("bn", 32).alias("b"), F.col("bn").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n")))
-    # similar lengths fall into the same or neighbouring ranges; each class stands in two
-    span = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    ranged = met.distinct().withColumn("span", F.explode(F.array(span, span + 1)))
-    groups = ranged.groupBy("token", "span").agg(F.min(F.struct("a", "b")).alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    shared_rows = materialise(ranged.join(groups, ["token", "span"]))
-    discard(met)
-    # each class joins the cluster whose centre it shares most n-grams with
-    votes = shared_rows.groupBy("a", "b", "n", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    chosen = votes.groupBy("a", "b", "n").agg(F.max(F.struct("votes", F.col("centre").alias("cluster")))["cluster"].alias("cluster"))
-    chosen = materialise(chosen)
+    shared_rows = _meetings(texts.mapInArrow(_prefixes(words, percent, shared), "token long, a long, bn long, limit int, salt int"), percent)
+    # each class joins the cluster whose centre it shares most n-grams with; all rows of a class meet once
+    votes = F.count(F.lit(1)).over(Window.partitionBy("a", "b", "centre"))
+    cluster = F.max(F.struct("votes", "centre")).over(Window.partitionBy("a", "b"))["centre"]
+    spread = shared_rows.repartition("a", "b").withColumn("votes", votes).withColumn("cluster", cluster)
+    spread = materialise(spread.select("token", "span", "a", "b", "n", "cluster"))
+    discard(shared_rows)
+    chosen = materialise(spread.select("a", "b", "n", "cluster").distinct())
     sizes = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("grams"))
     chunks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     sizes = materialise(sizes.select("cluster", "members", chunks.alias("chunks")))
     placed = attach(chosen, sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int"))
     placed = materialise(placed)
     # n-grams shared by several clusters: the class of the smaller cluster looks into the larger
-    spread = shared_rows.select("token", "span", "a", "b").join(placed.select("a", "b", "cluster", "members"), ["a", "b"])
-    spread = materialise(spread)  # read three times below
-    many = spread.groupBy("token", "span").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low != high").select("token", "span")
-    mixed = spread.join(many, ["token", "span"])
+    together = Window.partitionBy("token", "span")
+    several = spread.select("token", "span", "a", "b", "cluster").withColumn("low", F.min("cluster").over(together)).withColumn("high", F.max("cluster").over(together))
+    several = materialise(several.filter("low != high").select("token", "span", "a", "b", "cluster"))
+    discard(spread)
+    mixed = several.join(sizes.select("cluster", "members"), "cluster")
     there = mixed.select("token", "span", F.col("cluster").alias("other"), F.col("members").alias("other_members")).distinct()
     crossing = mixed.join(there, ["token", "span"]).filter(
         F.struct("members", "cluster") < F.struct(F.col("other_members").alias("members"), F.col("other").alias("cluster"))
     )
     crossing = materialise(crossing.select("a", "b", F.col("other").alias("cluster")).distinct())
-    discard(shared_rows, spread, chosen)
+    discard(several, chosen)
     # a class alone in its cluster, into which no other looks, has nothing to be compared with
     looked_into = materialise(crossing.select("cluster").distinct())
     placed = placed.filter("members > 1").unionByName(placed.filter("members = 1").join(looked_into, "cluster", "left_semi"))
