@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import common
+from tidemark.llm import common, lexical
 from tidemark.llm import jaccard_join as join
 from tidemark.llm.encoding import PieceEncoder
 
@@ -119,3 +119,14 @@ def test_classes_meet_only_where_a_similar_pair_can(spark, salt):
     rows += [(8, 2, 2 << 32 | 100, early, salt), (9, 1, 2 << 32 | 100, early, salt)]
     found = join._meetings(spark.createDataFrame(rows, "token long, a long, bn long, limit int, salt int"), 75)
     assert {(r.token, r.a, r.b, r.n, r.centre.a) for r in found.collect()} == {(8, 1, 2, 100, 1), (8, 2, 2, 100, 1)}
+
+
+def test_search_passes_small_batches(spark, monkeypatch):
+    seen, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    write = lexical.materialise
+    monkeypatch.setattr(lexical, "materialise", lambda df: seen.append(spark.conf.get(key)) or write(df))
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    found = lexical.lexical_search(docs, spark.createDataFrame([(5, "b a")], "item_id long, text string")).collect()
+    assert [(r.item_id, r["rank"], r.doc_id) for r in found] == [(5, 1, 1), (5, 2, 2)]
+    assert len(seen) > 2 and set(seen) == {str(lexical.HELD_DOCS)} and spark.conf.get(key) == before
