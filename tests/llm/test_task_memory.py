@@ -1,14 +1,16 @@
 """Texts in slices, n-gram hashes of whole slices, and memory that tasks give back."""
 
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyspark
 import pytest
 
-from tidemark.llm import common, lexical
+from tidemark.llm import common, hmm, lexical
 from tidemark.llm import jaccard_join as join
 from tidemark.llm.encoding import PieceEncoder
 
@@ -130,3 +132,20 @@ def test_search_passes_small_batches(spark, monkeypatch):
     found = lexical.lexical_search(docs, spark.createDataFrame([(5, "b a")], "item_id long, text string")).collect()
     assert [(r.item_id, r["rank"], r.doc_id) for r in found] == [(5, 1, 1), (5, 2, 2)]
     assert len(seen) > 2 and set(seen) == {str(lexical.HELD_DOCS)} and spark.conf.get(key) == before
+
+
+def test_words_of_a_shard_leave_in_pieces(monkeypatch):
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    for name, value in {"PIECE_DOCS": 3, "PIECE_WORDS": 4, "SHARD_WORDS": 15}.items():
+        monkeypatch.setattr(hmm, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    held = [i % 5 == 1 for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(held), pa.array(texts)], ["id", "held_out", "text"])
+    got = Counter()
+    for part in hmm._shards(iter([batch])):
+        rows = [r for r in part.to_pylist() if r["word"] is not None]
+        assert len(rows) <= 4
+        got.update({r["word"]: r["n"] for r in rows})
+    want = Counter(w for t, h in zip(texts, held) for w in [*t.split(), hmm.END] if not h)
+    assert +got == want
