@@ -149,3 +149,34 @@ def test_words_of_a_shard_leave_in_pieces(monkeypatch):
         got.update({r["word"]: r["n"] for r in rows})
     want = Counter(w for t, h in zip(texts, held) for w in [*t.split(), hmm.END] if not h)
     assert +got == want
+
+
+def test_groups_of_a_part_share_their_symbols(spark, monkeypatch):
+    """Symbols move once a part, so as texts grow their rows grow no faster, and the scores stay as they are."""
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(random.Random(i).choices(words, k=200))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(hmm, "GROUP_TOKENS", 201 * 5)
+    made, scores = {}, {}
+    for n, parts in ((80, 16), (400, 20)):
+        some = docs.filter(f"doc_id < {n}").repartitionByRange(n // 5, "doc_id")
+        model = hmm.train_hmm(some, states=2, rounds=2)
+        groups = model.table.docs.filter("tokens is not null").select("group").distinct().count()
+        made[n] = model.table.symbols.count()
+        assert groups > n // 10 and made[n] <= parts * 40 and model.table.symbols.groupBy("part", "symbol").count().filter("count > 1").isEmpty()
+        scores[n] = {r.id: r.score for r in model.scores().collect()}
+        model.table.drop()
+    assert made[400] < 3 * made[80]
+    monkeypatch.setattr(hmm, "GROUP_TOKENS", 10**9)
+    alone = {r.doc_id: r.score for r in hmm.hmm_scores(docs, states=2, rounds=2).collect()}
+    assert len(scores[400]) == 400 and all(abs(scores[400][i] - s) < 1e-3 * abs(s) for i, s in alone.items())
+
+
+def test_sums_of_a_part_keep_their_precision(spark):
+    docs = spark.createDataFrame([(i, "a b a c " * 700) for i in range(50)], "doc_id long, text string")
+    model = hmm.train_hmm(docs, states=1, rounds=2)
+    (first,) = model.first
+    assert first == 1.0 and model.moves == [[1.0]]
+    # one state: the texts' own word counts, smoothed
+    counted = {r.symbol: r.g0 for r in model.counts.collect()}
+    assert {w: round(n) for w, n in counted.items() if n > 1} == {w: n * model.train_tokens // 2801 for w, n in {"a": 1400, "b": 700, "c": 700, hmm.END: 1}.items()}
